@@ -40,8 +40,8 @@ def gamma2_quantiles(n: int) -> list[float]:
 
 def terms(text: Column) -> Column:
     """array<struct<h: hash of the word, lw: ln of its count>>; for a text without words one term that stands for that."""
-    words = F.filter(F.split(text, WHITE), lambda w: w != "")
-    return F.when(F.coalesce(F.octet_length(text), F.lit(0)) == 0, _none()).otherwise(_counted(F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))))
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
+    return _counted(F.sort_array(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def _none() -> Column:
@@ -50,13 +50,15 @@ def _none() -> Column:
 
 def _counted(hashes: Column) -> Column:
     """Runs of equal values in a sorted array, as terms."""
-    n = F.size(hashes)
-    at = lambda xs, i: F.get(xs, i)
-    starts = lambda hs: F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: (i == 0) | (at(hs, i) != at(hs, i - 1)))
-    pair = lambda hs, st: F.transform(st, lambda s, i: F.struct(at(hs, s).alias("h"), F.log((F.coalesce(at(st, i + 1), F.size(hs)) - s).cast("double")).alias("lw")))
-    # let-bindings by one-element arrays: the sorted hashes and the starts are each computed once
-    bound = F.transform(F.array(hashes), lambda hs: F.element_at(F.transform(F.array(starts(hs)), lambda st: pair(hs, st)), 1))
-    return F.when(n == 0, _none()).otherwise(F.element_at(bound, 1))
+    at = F.get
+    ends = lambda hs: F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: ~at(hs, i).eqNullSafe(at(hs, i + 1)))
+    log_of = lambda n: F.when(n == 1, F.lit(0.0)).otherwise(F.log(n.cast("double")))
+    pair = lambda hs, es: F.transform(es, lambda e, i: F.struct(at(hs, e).alias("h"), log_of(e - F.coalesce(at(es, i - 1), F.lit(-1))).alias("lw")))
+    # let-bindings by one-element arrays: the sorted hashes and the ends are each computed once
+    bound = F.transform(
+        F.array(hashes), lambda hs: F.when(F.size(hs) == 0, _none()).otherwise(F.element_at(F.transform(F.array(ends(hs)), lambda es: pair(hs, es)), 1))
+    )
+    return F.element_at(bound, 1)
 
 
 def sample_columns(h: Column, lw: Column, n: int = SAMPLES) -> list[Column]:
@@ -71,7 +73,7 @@ def sample_columns(h: Column, lw: Column, n: int = SAMPLES) -> list[Column]:
         r = F.get(gamma, u.bitwiseAND(F.lit(mask)).cast("int"))
         log_c = F.get(log_gamma, F.shiftright(u, QUANTILE_BITS).bitwiseAND(F.lit(mask)).cast("int"))
         b = F.shiftrightunsigned(u, 24).cast("double") * F.lit(2.0**-40)
-        t = F.floor(lw / r + b)
+        t = F.when(lw == 0, F.lit(0).cast("long")).otherwise(F.floor(lw / r + b))
         log_a = log_c - r * (t - b + 1)
         ident = F.shiftrightunsigned(u, 40).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFF))
         out.append(F.shiftleft((log_a * F.lit(float(1 << 24))).cast("long"), 24).bitwiseOR(ident))
@@ -137,9 +139,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = spread.select("id", "o", "text", F.col("__to.part").alias("part"), F.col("__to.ghost").alias("ghost"), F.xxhash64("text").alias("tie"))
     w = Window.partitionBy("part").orderBy("ghost", "o", "tie")
     rows = spread.select("part", "id", "ghost", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    rows = rows.filter("ghost = 0 or rn is not null").withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next, 1, cast(floor(length(text) / 2) as int))")))
-    del half
+    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next, 1, cast(floor(length(text) / 2) as int))")))
     keys = ["part", "rn", "ghost", "id", "n_chars", "edited_sha256"]
     rows = rows.select("part", "rn", "ghost", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("edited", F.lit("")), 256).alias("edited_sha256"), "text", "edited")
     both = rows.withColumn("__v", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("s")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("s")))))
