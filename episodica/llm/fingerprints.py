@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from episodica.llm.common import range_of
 
 #: Samples of a fingerprint; bits kept of a sample's identity (four fit a long).
-SAMPLES, ID_BITS = 32, 16
+SAMPLES, ID_BITS = 64, 16
 #: Quantiles of Gamma(2, 1) and of its logarithm that stand for the distribution.
 QUANTILE_BITS = 9
 WHITE = r"[\x20\x09-\x0D]+"

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from episodica.llm.common import table
 from episodica.llm.fingerprints import compare_with_edits
 from episodica.llm.mixing import mix, shuffled
+from episodica.llm.packing import pack
 from episodica.llm.sharding import shard_by_size
+from episodica.llm.tokens import count_tokens
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +26,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled(mix(table(spark, sf_dir, "documents")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_fingerprints": op5_fingerprints,
     "op7_mixing": op7_mixing,
+    "op9_packing": op9_packing,
+    "op10_tokens": op10_tokens,
 }
 
 ORACLES: dict[str, str] = {}
