@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from episodica.llm.common import table
 from episodica.llm.fingerprints import compare_with_edits
+from episodica.llm.minhash import near_duplicates
 from episodica.llm.mixing import mix, shuffled
 from episodica.llm.packing import pack
 from episodica.llm.sharding import shard_by_size
 from episodica.llm.tokens import count_tokens
+from episodica.llm.topk import top_k
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +24,18 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled(mix(table(spark, sf_dir, "documents")))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -37,7 +47,9 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_fingerprints": op5_fingerprints,
+    "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
+    "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_tokens": op10_tokens,
 }
