@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from episodica.llm.common import table
 from episodica.llm.fingerprints import compare_with_edits
+from episodica.llm.langid import identify
 from episodica.llm.minhash import near_duplicates
 from episodica.llm.mixing import mix, shuffled
 from episodica.llm.packing import pack
@@ -20,6 +21,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(table(spark, sf_dir, "documents"), 24)
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_langid": op4_langid,
     "op5_fingerprints": op5_fingerprints,
     "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
