@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from episodica.llm import licenses
 from episodica.llm.common import table
 from episodica.llm.fingerprints import compare_with_edits
+from episodica.llm.html_text import extract
 from episodica.llm.langid import identify
 from episodica.llm.minhash import near_duplicates
 from episodica.llm.mixing import mix, shuffled
@@ -21,6 +23,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -51,6 +61,8 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_html": op2_html,
+    "op3_licenses": op3_licenses,
     "op4_langid": op4_langid,
     "op5_fingerprints": op5_fingerprints,
     "op6_topk": op6_topk,
@@ -60,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tokens": op10_tokens,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
