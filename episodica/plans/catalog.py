@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from episodica.plans import building, sequences, statistics  # noqa: F401
+from episodica.plans.base import ORACLES, QUERIES
 
 
 def entry(spark: SparkSession) -> DataFrame:
