@@ -91,3 +91,8 @@ def r6(x: Column, digits: int = 6) -> Column:
     """As steady() has it in SQL."""
     k = float(10**digits)
     return F.floor(x.cast("double") * k + 0.5001) / F.lit(k)
+
+
+def micros(c: str) -> Column:
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")

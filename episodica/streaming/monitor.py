@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a time with a zone: the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def tumbling_counts(events: DataFrame, ts: str, keys: Sequence[str], value: str, size: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts and sums over windows of event time; a stream forgets windows that the watermark has passed."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _watermarked(events, ts, late)
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     return rows.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str, keys: Sequence[str], gap: str, late: str = "10 minutes") -> DataFrame:
     """Runs of events with no gap of that length: start, end, n. A gap after the last row of a log is how staleness shows."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _watermarked(events, ts, late)
     out = rows.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -25,8 +30,8 @@ def sessions(events: DataFrame, ts: str, keys: Sequence[str], gap: str, late: st
 def stale(log: DataFrame, ts: str, keys: Sequence[str], now: str, seconds: int) -> DataFrame:
     """Keys whose last row is older than `seconds` at `now`, and by how much."""
     last = log.groupBy(*keys).agg(F.max(ts).alias("last"))
-    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last")
-    return last.withColumn("age", age).filter(F.col("age") > seconds)
+    last = last.withColumn("last", F.col("last").cast("timestamp_ntz"))  # no zone, so that the session's does not matter
+    return last.withColumn("age", F.expr(f"timestampdiff(SECOND, date_trunc('SECOND', last), timestamp_ntz'{now}')")).filter(F.col("age") > seconds)
 
 
 def finished(log: DataFrame, keys: Sequence[str], step: str, last: int) -> DataFrame:
