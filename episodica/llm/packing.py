@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.llm.common import durable, ship_package
-from episodica.llm.tokens import VOCABULARY, coder, slices
+from episodica.llm.tokens import VOCABULARY, coder, text_slices
 
 CAPACITY, END_ID = 2048, 0
 _RANK_BITS = 48
@@ -89,11 +89,10 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, i
         c, part = coder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
-                index, n = c.index(texts)
-                to, lens = np.cumsum(n), c.lens[index]
-                ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], to])]
-                ids = c._gather(index)[0]
+            for first, texts in text_slices(batch.column(1)):
+                x = c.code(texts)
+                ends = np.concatenate([[0], np.cumsum(x.lens[x.index])])[np.concatenate([[0], np.cumsum(x.n)])]
+                ids = x.all_ids()
                 row, piece, start, length, crc = [], [], [], [], []
                 for i in range(len(texts)):
                     own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
@@ -105,10 +104,10 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, i
                         length.append(len(cut))
                         crc.append(zlib.crc32(cut.tobytes()))
                 nth = []
-                for x in length:
-                    nth.append(seen[x])
-                    seen[x] += 1
-                cols = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())]
+                for size in length:
+                    nth.append(seen[size])
+                    seen[size] += 1
+                cols = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc)), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
@@ -128,7 +127,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     plan = plan_slots({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, capacity)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     shifts = counts.select("length", "part", before.alias("before"))
-    ranked = pieces.join(shifts, ["length", "part"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"), "part")
+    ranked = pieces.join(shifts.hint("merge"), ["length", "part"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"), "part")
     shared = spark.sparkContext.broadcast(plan)
     schema = T.StructType([*(ranked.schema[n] for n in (id_col, "piece", "start", "length", "ids_crc32")), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), ranked.schema["part"]])
 

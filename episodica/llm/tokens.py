@@ -1,8 +1,8 @@
 """Exact token ids and counts of whole texts by way of their chunks, and of every prefix by dynamic programming.
 
 The vocabulary's pre-tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks (runs without ASCII
-white space) one after the other. Each distinct chunk is encoded once and remembered; a text's prefix counts at chunk ends are the running
-sums of its chunks' counts, and prefix_counts() gives those at each code point within a chunk.
+white space) one after the other. Each distinct chunk of some megabytes of texts is encoded once; a text's prefix counts at chunk ends are the
+running sums of its chunks' counts, and PrefixCounter gives those at each code point within a chunk.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +25,10 @@ from pyspark.sql import types as T
 from episodica.llm.common import ship_package
 
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks remembered by a worker, and bytes of text taken at once.
-MOST_CHUNKS, SLICE_BYTES = 500_000, 4_000_000
+#: Bytes of text taken at once: by a coder (more texts share more chunks), and by those who keep texts as Python objects.
+CODED_BYTES, SLICE_BYTES = 24_000_000, 4_000_000
+#: Marks that make a piece of their own after letters.
+MARKS = ".,"
 #: Words joined for one call of the library.
 JOINED = 1000
 #: The contractions that the pre-tokenizer splits off.
@@ -40,28 +44,54 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@dataclass
+class Coded:
+    """Texts as numbers of distinct chunks: index holds those of all texts one after the other, n how many each text has.
+
+    Chunk k has the ids ids[starts[k] : starts[k] + lens[k]]. Number blank, if any, is the empty string, which splitting leaves at a text's
+    ends and which has no ids.
+    """
+
+    index: np.ndarray
+    n: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    lens: np.ndarray
+    blank: int
+
+    def all_ids(self) -> np.ndarray:
+        return gathered(self.ids, self.starts[self.index], self.lens[self.index])
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, lens: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
+    """The runs of ids one after the other, each followed by one of then."""
+    if then is None:
+        return ids[np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)]
+    before = np.cumsum(lens + 1) - lens - 1
+    out = np.empty(int(lens.sum()) + len(lens), ids.dtype)
+    out[np.arange(int(lens.sum())) + np.repeat(np.arange(len(lens)), lens)] = gathered(ids, starts, lens)
+    out[before + lens] = then
+    return out
+
+
 class ChunkCoder:
-    """Ids of chunks by the library, each distinct chunk encoded once as long as it is remembered."""
+    """Ids of texts by way of the library's ids of their distinct chunks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.plain = Tokenizer.from_file(path)  # for lower-case ASCII letters, which need no normalizer and no pattern
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.marks = {m: vocab[f"{m.decode()}</w>"] for m in (b".", b",") if f"{m.decode()}</w>" in vocab}
+        self.marks = {m: vocab[f"{m}</w>"] for m in MARKS}
         self.path = path
         self._prefixes: PrefixCounter | None = None
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     @property
     def prefixes(self) -> PrefixCounter:
@@ -69,79 +99,60 @@ class ChunkCoder:
             self._prefixes = PrefixCounter(self)
         return self._prefixes
 
-    def _add(self, chunks: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
-        n, m = len(self.at), len(chunks)
-        while n + m > len(self.starts):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        while self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.starts[n : n + m] = self.n_ids + np.cumsum(lens) - lens
-        self.lens[n : n + m] = lens
-        self.n_ids += len(ids)
-        self.at.update(zip(chunks, range(n, n + m), strict=True))
-
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _single(self, chunks: list[bytes], texts: list[str]) -> None:
-        got = self.encode(texts)
-        self._add(chunks, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64))
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encodes the chunks that are not remembered."""
-        new = chunks.difference(self.at)
-        if len(self.at) + 2 * len(new) > MOST_CHUNKS and self.at:
-            self.forget()
-            new = chunks
-        marked = [c for c in new if c[-1:] in self.marks and c[:-1].isalpha()]
-        new = new.difference(marked)
-        new.update(c[:-1] for c in marked if c[:-1] not in self.at)
-        words, odd, texts = [], [], []
-        for c in new:
-            s = c.decode("utf-8", "replace")
-            if s.isalpha():
-                words.append(c)
-                texts.append(s)
-            else:
-                odd.append(c)
+    def _single(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.encode(chunks)
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def _words(self, words: list[str], library) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of words of letters alone: each is one piece, which ends in the only token of it that ends a word."""
+        ids, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), JOINED):
             part = words[i : i + JOINED]
-            ids = np.array(self.encode([" ".join(texts[i : i + JOINED])])[0], np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(part):  # a run of letters ends in one token that ends a word
-                self._add(part, ids, np.diff(last, prepend=-1))
-            else:
-                self._single(part, texts[i : i + JOINED])
-        for i in range(0, len(odd), JOINED):
-            self._single(odd[i : i + JOINED], [c.decode("utf-8", "replace") for c in odd[i : i + JOINED]])
-        if marked:  # letters and one mark: two pieces of their own
-            base = np.array([self.at[c[:-1]] for c in marked])
-            ids, lens = self._gather(base, np.array([self.marks[c[-1:]] for c in marked], np.uint32))
-            self._add(marked, ids, lens)
-
-    def _gather(self, index: np.ndarray, then: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the chunks at index, each followed by one of then; and how many of each."""
-        lens = self.lens[index]
-        full = lens + (then is not None)
-        before = np.cumsum(full) - full
-        out = np.zeros(int(full.sum()), np.uint32)
-        at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-        out[at + np.repeat(before, lens)] = self.ids[at + np.repeat(self.starts[index], lens)]
-        if then is not None:
-            out[before + lens] = then
-        return out, full
-
-    def index(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the chunks of all texts, and how many chunks each has."""
-        words = [t.split() if b"\xcc" in t or b"\xcd" in t else t.lower().split() for t in texts]  # no accent to join after lower-casing
-        seen: set[bytes] = set()
-        for w in words:
-            seen.update(w)
-        self.learn(seen)
-        n = np.array([len(w) for w in words], np.int64)
-        get = self.at.__getitem__
-        return np.fromiter((i for w in words for i in map(get, w)), np.int64, int(n.sum())), n
+            got = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[got])
+            own = (got, np.diff(last, prepend=-1)) if len(last) == len(part) else self._single(part)
+            ids.append(own[0])
+            lens.append(own[1])
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def code(self, texts: pa.Array) -> Coded:
+        """texts: strings without null."""
+        lowered = pc.ascii_lower(texts)
+        accents = pc.match_substring_regex(texts, "[\u0300-\u036f]")  # which lower-casing first might join to a letter
+        if pc.any(accents).as_py():
+            lowered = pc.if_else(accents, texts, lowered)
+        lists = pc.ascii_split_whitespace(lowered)
+        chunks = lists.flatten().dictionary_encode()
+        n, distinct = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), chunks.dictionary
+        index = chunks.indices.to_numpy(zero_copy_only=False)
+
+        alone = pc.utf8_is_alpha(distinct).to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(distinct, r"^\pL+[.,]$").to_numpy(zero_copy_only=False)
+        odd = ~alone & ~marked
+        take = lambda mask: distinct.filter(pa.array(mask))
+        words = pa.concat_arrays([take(alone), pc.utf8_slice_codeunits(take(marked), 0, -1)]).dictionary_encode()
+        easy = pc.match_substring_regex(words.dictionary, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        parts = [self._words(words.dictionary.filter(pa.array(easy)).to_pylist(), self.plain), self._words(words.dictionary.filter(pa.array(~easy)).to_pylist(), self.library)]
+        ids, lens = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts = np.cumsum(lens) - lens
+        place = np.empty(len(easy), np.int64)
+        place[np.concatenate([np.flatnonzero(easy), np.flatnonzero(~easy)])] = np.arange(len(easy))
+        of = place[words.indices.to_numpy(zero_copy_only=False)]
+
+        n_alone = int(alone.sum())
+        base = of[n_alone:]
+        then = np.array([self.marks[c] for c in pc.utf8_slice_codeunits(take(marked), -1).to_pylist()], np.uint32)
+        ids_m, lens_m = gathered(ids, starts[base], lens[base], then), lens[base] + 1
+        ids_o, lens_o = self._single(take(odd).to_pylist())
+        out_starts, out_lens = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        out_starts[alone], out_lens[alone] = starts[of[:n_alone]], lens[of[:n_alone]]
+        out_starts[marked], out_lens[marked] = len(ids) + np.cumsum(lens_m) - lens_m, lens_m
+        out_starts[odd], out_lens[odd] = len(ids) + len(ids_m) + np.cumsum(lens_o) - lens_o, lens_o
+        blank = pc.index(distinct, "").as_py()
+        return Coded(index, n, np.concatenate([ids, ids_m, ids_o]), out_starts, out_lens, blank)
 
 
 class PrefixCounter:
@@ -261,12 +272,22 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list
         yield first, part
 
 
-def fit(c: ChunkCoder, text: bytes, ends: np.ndarray, budget: int) -> int:
+def text_slices(texts: pa.Array, most: int = CODED_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of rows with about most bytes of text: the first row's number and the texts, null as empty."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    to, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(to, (to[first - 1] if first else 0) + most, side="right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+def fit(c: ChunkCoder, text: str, ends: np.ndarray, budget: int) -> int:
     """Bytes of the longest prefix with at most budget tokens, by the prefix counts at chunk ends and those inside one chunk."""
-    j = int(np.searchsorted(ends, budget, side="right"))  # chunks before j fit whole
+    j, raw = int(np.searchsorted(ends, budget, side="right")), text.encode()  # chunks before j fit whole
     if j == len(ends):
-        return len(text)
-    m = next(islice(CHUNK.finditer(text), j, None))
+        return len(raw)
+    m = next(islice(CHUNK.finditer(raw), j, None))
     left = budget - (int(ends[j - 1]) if j else 0)
     chunk = m.group().decode("utf-8", "replace")
     fits = [i for i, n in enumerate(c.prefixes.of_chunk(chunk), 1) if n <= left]
@@ -277,24 +298,24 @@ def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULAR
     """id, n_bytes, n_tokens, over_limit and fit_bytes (the longest prefix of at most limit tokens) of every row.
 
     A null or empty text has no bytes and no tokens. Rows are kept as they are, with repeated and null ids; other columns are ignored. No
-    shuffle; a worker holds SLICE_BYTES of text and MOST_CHUNKS chunks at most, and one text however long.
+    shuffle; a worker holds about CODED_BYTES of text at once, and one text however long.
     """
     ship_package(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()), ("fit_bytes", T.LongType())))])
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()), ("fit_bytes", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
-                index, n = c.index(texts)
-                running = np.concatenate([[0], np.cumsum(c.lens[index])])  # prefix counts at chunk ends, over all texts of the slice
-                to = np.cumsum(n)
-                counts = running[to] - running[to - n]
-                bytes_ = np.array([len(t) for t in texts], np.int64)
+            for first, texts in text_slices(batch.column(1)):
+                x = c.code(texts)
+                running = np.concatenate([[0], np.cumsum(x.lens[x.index])])  # prefix counts at chunk ends, over all texts of the slice
+                to = np.cumsum(x.n)
+                counts = running[to] - running[to - x.n]
+                bytes_ = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
                 fits = bytes_.copy()
                 for i in np.flatnonzero(counts > limit):
-                    fits[i] = fit(c, texts[i], running[to[i] - n[i] + 1 : to[i] + 1] - running[to[i] - n[i]], limit)
+                    own = x.index[to[i] - x.n[i] : to[i]]
+                    fits[i] = fit(c, texts[i].as_py(), np.cumsum(x.lens[own[own != x.blank]]), limit)
                 cols = [batch.column(0).slice(first, len(texts)), pa.array(bytes_), pa.array(counts), pa.array(counts > limit), pa.array(fits)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
@@ -307,19 +328,18 @@ def prefix_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "
     counts is non-decreasing; a null or blank text has empty arrays. Between two ends, PrefixCounter.of_chunk gives the counts.
     """
     ship_package(docs.sparkSession)
-    arrays = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ends", arrays), T.StructField("counts", arrays)])
+    arrays = T.ArrayType(T.LongType())
+    schema = T.StructType([docs.schema[id_col], T.StructField("ends", arrays), T.StructField("counts", arrays)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
-                index, n = c.index(texts)
-                lens, at = c.lens[index], np.cumsum(n)
-                ends = [[m.end() for m in CHUNK.finditer(t)] for t in texts]
-                counts = [np.cumsum(lens[b - k : b]).tolist() for b, k in zip(at, n, strict=True)]
-                cols = [batch.column(0).slice(first, len(texts)), pa.array(ends, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
+            for first, texts in text_slices(batch.column(1)):
+                x = c.code(texts)
+                ends = [[m.end() for m in CHUNK.finditer(t.encode())] for t in texts.to_pylist()]
+                own = np.split(x.index, np.cumsum(x.n)[:-1])
+                counts = [np.cumsum(x.lens[i[i != x.blank]]).tolist() for i in own]
+                cols = [batch.column(0).slice(first, len(texts)), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
-
