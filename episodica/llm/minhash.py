@@ -8,7 +8,7 @@ confirmed on the full sets of 64-bit shingle hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ MINIMA, WORDS = BANDS * ROWS, -(-BANDS * ROWS * BITS // 64)
 SIGMAS = 6.0
 #: Slots of the broadcast filter that leaves out texts without a candidate: 2 ** 18 longs at most.
 FILTER_SLOTS = 1 << 18
+#: Nodes on a side of a cell in which nodes of different components are compared.
+BLOCK = 256
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 400_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -159,16 +161,18 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (mismatches(a, b) <= MINIMA - least_matches(percent))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets' similarity is at least percent / 100.
-
-    Texts without a pair are left out by a broadcast set of at most FILTER_SLOTS hash slots, before their sets are made.
-    """
+def _sets_of(nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """node and set of these nodes, and of a few others: texts are left out by a broadcast set of at most FILTER_SLOTS hash slots."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS))
-    wanted = F.broadcast(pairs.select(F.explode(F.array(slot(F.col("a")), slot(F.col("b")))).alias("slot")).distinct())
-    key = F.col(id_col).cast("long")
-    some = docs.select(key.alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null").withColumn("slot", slot(F.col("__id"))).join(wanted, "slot", "left_semi")
-    sets = durable(shingle_sets(some, size, "__id", "__text"), "near-sets")
+    wanted = F.broadcast(nodes.select(slot(F.col("node")).alias("slot")).distinct())
+    some = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null")
+    some = some.withColumn("slot", slot(F.col("__id"))).join(wanted, "slot", "left_semi")
+    return durable(shingle_sets(some, size, "__id", "__text"), "near-sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets' similarity is at least percent / 100."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, size, id_col, text_col)
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(one, "a").join(two, "b")
@@ -176,13 +180,96 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col:
     return both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
 
 
+def _in_cells(rows: DataFrame, details: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """function over the cells of rows (low, node, component, home), with details by node.
+
+    The rows of a low are dealt into blocks: those away (of another component than low) and those at home, which need not meet each other. A
+    cell is a block of away rows and one of any. Columns added: block, row and column of the cell.
+    """
+    blocks = lambda flag: F.ceil(F.count_if(flag) / F.lit(float(BLOCK))).cast("int")
+    sizes = durable(rows.groupBy("low").agg(blocks(~F.col("home")).alias("away_n"), blocks(F.col("home")).alias("home_n")), "near-cells")
+    dealt = rows.join(sizes, "low").filter("away_n > 0")
+    h = F.xxhash64("node")
+    block = F.when(F.col("home"), F.col("away_n") + F.pmod(h, F.greatest("home_n", F.lit(1)))).otherwise(F.pmod(h, "away_n")).cast("int")
+    k, cell = F.col("block"), lambda i, j: F.struct(i.cast("int").alias("row"), j.cast("int").alias("column"))
+    above = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.least(k, F.col("away_n")) - 1), lambda i: cell(i, k))).otherwise(F.array().cast("array<struct<row:int,column:int>>"))
+    right = F.when(F.col("home"), F.array().cast("array<struct<row:int,column:int>>")).otherwise(F.transform(F.sequence(k, F.col("away_n") + F.col("home_n") - 1), lambda j: cell(k, j)))
+    dealt = dealt.withColumn("block", block).withColumn("cell", F.explode(F.concat(above, right)))
+    dealt = dealt.select("low", "node", "component", "home", "block", "cell.row", "cell.column")
+    return dealt.join(details, "node").groupBy("low", "row", "column").applyInArrow(function, schema)
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the cell's rows on its two sides, and of all rows: component and set size."""
+    block = t.column("block").to_numpy()
+    return np.flatnonzero(block == t.column("row")[0].as_py()), np.flatnonzero(block == t.column("column")[0].as_py()), t.column("component").to_numpy(), t.column("n").to_numpy()
+
+
+def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two sides, and which pairs of them may be links between components."""
+    x, y, component, n = _sides(t)
+    bits = np.column_stack([t.column(f"s{i}").to_numpy() for i in range(WORDS)]).view(np.uint64)
+    differ = np.zeros((len(x), len(y)), np.int64)
+    for i in range(WORDS):
+        d = bits[x, i][:, None] ^ bits[y, i]
+        differ += np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    nx, ny = n[x][:, None], n[y]
+    may = (component[x][:, None] != component[y]) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
+    return x, y, may & (differ <= MINIMA - least_matches(percent))
+
+
+def _likely_nodes(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def run(t: pa.Table) -> pa.Table:
+        x, y, may = _likely(t, percent)
+        return t.select(["low", "node", "component", "home"]).take(pa.array(np.union1d(x[may.any(axis=1)], y[may.any(axis=0)])))
+
+    return run
+
+
+def _cell_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def run(t: pa.Table) -> pa.Table:
+        x, y, may = _likely(t, percent)
+        component, node = t.column("component").to_numpy(), t.column("node").to_numpy()
+        lists = t.column("set").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        at_y = np.concatenate([np.arange(starts[j], starts[j] + sizes[j]) for j in y]) if len(y) else np.zeros(0, np.int64)
+        ids_y, cuts = ids[at_y], np.cumsum(sizes[y]) - sizes[y]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        a, b = [], []
+        held = np.zeros(len(distinct), np.int64)
+        for i in np.flatnonzero(may.any(axis=1)):
+            own = ids[starts[x[i]] : starts[x[i]] + sizes[x[i]]]
+            held[own] = 1
+            common = np.add.reduceat(held[ids_y], cuts)
+            held[own] = 0
+            for j in np.flatnonzero(may[i] & (common * 100 >= (sizes[x[i]] + sizes[y] - common) * percent)):
+                p, q = root(int(component[x[i]])), root(int(component[y[j]]))
+                if p != q:  # else a link here has joined them
+                    parent[max(p, q)] = min(p, q)
+                    a.append(node[x[i]])
+                    b.append(node[y[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept (id is component_id) of every row.
 
     Rows are linked if 100 * shared shingles >= percent * all shingles of both; component_id is the smallest id that can be reached. Texts
     with equal sets form a class that goes on as its smallest id. In each bucket of a band, members are first compared with the smallest
-    one (a star, so a bucket of n gives n - 1 pairs); then only members still in different components are compared with one another. Every
-    candidate is thus confirmed, ruled out, or already connected.
+    one (a star, so a bucket of n gives n - 1 pairs). Then the members of buckets that still hold several components are compared with one
+    another across components, in cells of at most about BLOCK by BLOCK nodes: first by estimate, which leaves the nodes that may have a link,
+    then on full sets. A cell gives nodes, or links that join components, never pairs. Every candidate is thus confirmed, ruled out, or
+    already connected.
 
     A text without words, or null, is linked with nothing. Rows of one id are one node, linked by any of their texts; a row with a null id
     is linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
@@ -203,15 +290,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     links = durable(confirm(likely, docs, size, percent, id_col, text_col), "near-links")
     nodes = components(links)
 
-    placed = members.join(nodes, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = durable(placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("band"), "near-mixed")
-    rest = durable(placed.join(mixed, "band").join(light, "node"), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    crossing = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & _possible("x", "y", percent))
-    crossing = crossing.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    crossing = durable(crossing.join(likely, ["a", "b"], "left_anti"), "near-crossing")  # the stars' pairs have been tried
-    if not crossing.isEmpty():
-        more = durable(confirm(crossing, docs, size, percent, id_col, text_col), "near-links")
+    rest = placed.join(mixed, "band").select("low", "node", "component").distinct()
+    low_of = nodes.select(F.col("node").alias("low"), F.col("component").alias("of_low"))
+    rest = durable(rest.join(low_of, "low", "left").withColumn("home", F.col("component") == F.coalesce("of_low", "low")).drop("of_low"), "near-rest")
+    likely = durable(_in_cells(rest, light, _likely_nodes(percent), "low long, node long, component long, home boolean").distinct(), "near-likely")
+    if not likely.isEmpty():
+        with_sets = light.join(_sets_of(likely.select("node"), docs, size, id_col, text_col), "node")
+        more = durable(_in_cells(likely, with_sets, _cell_links(percent), "a long, b long").distinct(), "near-links")
         if not more.isEmpty():
             nodes = components(links.unionByName(more))
 
