@@ -78,8 +78,8 @@ def lenient_stats(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     """A JSON array, or objects separated by commas, or objects on lines with bad ones dropped: the first that parses."""
     text = spark.read.option("wholetext", "true").text(path)
     kind = T.ArrayType(schema)
-    tries = F.coalesce(*(F.from_json(s, kind, {"mode": "PERMISSIVE"}) for s in (F.col("value"), F.concat(F.lit("["), F.col("value"), F.lit("]")))))
-    good = F.filter(tries, lambda x: x.isNotNull())
+    array = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    good = F.filter(F.from_json(array, kind, {"mode": "PERMISSIVE"}), lambda x: x.isNotNull())
     whole = text.select(F.explode(good).alias("x")).select("x.*")
     return whole if not whole.isEmpty() else lenient_json(spark, path, schema)
 
