@@ -309,13 +309,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one for each group; of several rows of a kept id the one with the least hash of its text."""
-    found = near_duplicates(docs, size, percent, id_col, text_col)
-    kept = durable(found.filter("kept").groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__n")), "near-kept")
-    out = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"))
-    repeated = out.filter("__n > 1")
-    one = repeated.withColumn("__h", F.xxhash64(*docs.columns)).dropDuplicates([id_col]) if not kept.filter("__n > 1 and __kept is not null").isEmpty() else None
-    rows = out.filter("__n = 1").select(*docs.columns)
-    if one is not None:
-        rows = rows.unionByName(one.select(*docs.columns))
-    return rows.unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows of docs that near_duplicates keeps, one for each group; of several rows of a kept id the one with the least hash of its columns.
+
+    Rows whose id falls into no slot of an id that goes, or that is repeated, stay where they are read: a broadcast set of at most
+    FILTER_SLOTS slots tells. Only the others are joined with those ids. A row with a null id is kept.
+    """
+    found = near_duplicates(docs, size, percent, id_col, text_col).select(F.col(id_col).alias("__id"), "kept").filter("__id is not null")
+    odd = durable(found.groupBy("__id").agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__n")).filter("not __kept or __n > 1"), "near-odd")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS))
+    slots_ = F.broadcast(odd.select(slot(F.col("__id")).alias("__slot")).distinct())
+    key = F.col(id_col).cast("long")
+    marked = docs.withColumn("__slot", slot(key))
+    joined = marked.filter(key.isNotNull()).join(slots_, "__slot", "left_semi").join(odd, key == F.col("__id"), "left")
+    joined = joined.filter("__kept is null or __kept")
+    rows = marked.filter(key.isNotNull()).join(slots_, "__slot", "left_anti").select(*docs.columns)
+    rows = rows.unionByName(docs.filter(key.isNull())).unionByName(joined.filter("__n is null or __n = 1").select(*docs.columns))
+    if not odd.filter("__n > 1").isEmpty():
+        one = joined.filter("__n > 1").withColumn("__h", F.xxhash64(*docs.columns))
+        first = one.groupBy("__id").agg(F.min("__h").alias("__h"))
+        rows = rows.unionByName(one.join(first, ["__id", "__h"]).dropDuplicates(["__id"]).select(*docs.columns))
+    return rows
