@@ -41,7 +41,7 @@ def _boundaries(drawn: list[tuple[Key, int]], n: int) -> list[Key]:
     drawn = sorted(drawn)
     total, seen, out = sum(w for _, w in drawn), 0, []
     for key, w in drawn:
-        if seen * n // total != (seen + w) * n // total and seen and (not out or out[-1] != key):
+        if seen and seen + w < total and seen * n // total != (seen + w) * n // total and (not out or out[-1] != key):
             out.append(key)
         seen += w
     return out

@@ -29,6 +29,8 @@ VOCABULARY = "word_bpe_49k.json"
 CODED_BYTES, SLICE_BYTES = 24_000_000, 4_000_000
 #: Marks that make a piece of their own after letters.
 MARKS = ".,"
+#: A word of Latin letters and a mark. Left out is the dotted capital I, which in lower case ends in an accent that joins the mark.
+MARKED = "^[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+[.,]$"
 #: Words joined for one call of the library.
 JOINED = 1000
 #: The contractions that the pre-tokenizer splits off.
@@ -130,7 +132,7 @@ class ChunkCoder:
         index = chunks.indices.to_numpy(zero_copy_only=False)
 
         alone = pc.utf8_is_alpha(distinct).to_numpy(zero_copy_only=False)
-        marked = pc.match_substring_regex(distinct, r"^\pL+[.,]$").to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(distinct, MARKED).to_numpy(zero_copy_only=False)
         odd = ~alone & ~marked
         take = lambda mask: distinct.filter(pa.array(mask))
         words = pa.concat_arrays([take(alone), pc.utf8_slice_codeunits(take(marked), 0, -1)]).dictionary_encode()
