@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from episodica.llm import licenses
 from episodica.llm.common import table
@@ -44,7 +45,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shuffled(mix(table(spark, sf_dir, "documents")))
+    """Sources by the square roots of their sizes, as many rows as there are, in random order."""
+    return shuffled(mix(table(spark, sf_dir, "documents"))).withColumn("rate", F.round("rate", 9))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +74,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tokens": op10_tokens,
 }
 
-ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql()}
+OP6_SQL = """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q from embeddings
+               where embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+    s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
+    select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20"""
+
+OP7_SQL = """
+    with s as (select source, count(*) as n from documents group by 1),
+    r as (select source, sqrt(n) * (select sum(n) from s) / (select sum(sqrt(n)) from s) / n as rate from s),
+    p as (select source, rate, greatest(1, ceil(rate / 16))::int as parts from r),
+    t as (select source, rate, parts, k, sum(exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1))) over (partition by source order by k) as c
+          from p cross join (select unnest(range(64)) as k)),
+    f as (select source, any_value(rate) as rate, any_value(parts) as parts, list(c order by k) as c from t group by 1),
+    u as (select d.*, f.rate, f.c, unnest(range(1, f.parts + 1)) as part from documents d join f on d.source is not distinct from f.source),
+    m as (select doc_id, sum(len(list_filter(c, lambda x: x <= ('0x' || substr(md5('mix0|' || doc_id || '|' || part), 1, 13))::bigint / 4503599627370496.0::double)))::int as n_copies
+          from u group by 1),
+    e as (select d.*, m.n_copies, round(f.rate, 9) as rate, unnest(range(1, m.n_copies + 1))::int as copy
+          from documents d join m using (doc_id) join f on d.source is not distinct from f.source)
+    select *, ('0x' || substr(md5('order0|' || doc_id || '|' || copy), 1, 15))::bigint as mix_key from e"""
+
+OP8_SQL = """
+    with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as s from w where w is not null),
+    n as (select doc_id, count(*) as n from s group by 1),
+    c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+    l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+    e as (select x, y from l union all select y, x from l),
+    t as (select doc_id as x, doc_id as y from documents union select t.x, e.y from t join e on e.x = t.y),
+    m as (select x as doc_id, min(y) as component_id from t group by 1)
+    select m.doc_id, coalesce(n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n using (doc_id)"""
+
+#: The other operators are trained, sampled by hashes SQL engines don't share, or encode text; the tests compare them with brute force.
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle_sql(), "op6_topk": OP6_SQL, "op7_mixing": OP7_SQL, "op8_minhash": OP8_SQL}
