@@ -128,3 +128,13 @@ def matching_index(name: Column, patterns: Sequence[str]) -> Column:
     for i in reversed(range(len(patterns))):
         out = F.when(name.rlike(wildcard(patterns[i])), F.lit(i)).otherwise(out)
     return out
+
+
+def resize_plan(height: Column, width: Column, to_height: int, to_width: int, centred: bool = False) -> Column:
+    """struct(height, width, top, left) of an image scaled to fit, its ratio kept, and where padding puts it: at the end, or centred."""
+    ratio = F.greatest(width / F.lit(float(to_width)), height / F.lit(float(to_height)))
+    h, w = F.floor(height / ratio).cast("int"), F.floor(width / ratio).cast("int")
+    top, left = F.lit(to_height) - h, F.lit(to_width) - w
+    if centred:
+        top, left = F.floor(top / 2).cast("int"), F.floor(left / 2).cast("int")
+    return F.struct(h.alias("height"), w.alias("width"), top.alias("top"), left.alias("left"))

@@ -87,6 +87,30 @@ class FeatureMap:
         return df.select(*(F.col(c) for c in ALWAYS_KEPT if c in df.columns), *cols)
 
 
+def from_config(rows: Sequence[Mapping[str, object]]) -> tuple[FeatureMap, dict[str, bool]]:
+    """A feature map and which targets are relative, from rows of target, origin, start, end, position, subtract_state.
+
+    Rows of one target are its pieces in the order of position; a row without start is the whole origin. Targets keep the order in which they
+    first appear; an origin may be used any number of times.
+    """
+    pieces: dict[str, list[Mapping[str, object]]] = {}
+    for r in rows:
+        pieces.setdefault(str(r["target"]), []).append(r)
+    features, relative = [], {}
+    for target, own in pieces.items():
+        own = sorted(own, key=lambda r: int(r.get("position") or 0))  # type: ignore[call-overload]
+        flags = {bool(r.get("subtract_state")) for r in own}
+        if len(flags) > 1:
+            raise ValueError(f"{target} is relative in part")
+        relative[target] = flags.pop()
+        whole = own[0].get("start") is None
+        if whole and len(own) > 1:
+            raise ValueError(f"{target} has a whole origin among pieces")
+        source = str(own[0]["origin"]) if whole else tuple(Piece(str(r["origin"]), int(r["start"]), int(r["end"])) for r in own)  # type: ignore[call-overload]
+        features.append(Feature(target, source, "state" if relative[target] else None))
+    return FeatureMap(tuple(features)), relative
+
+
 def to_delta(chunk: Column, state: Column) -> Column:
     """Each action of a chunk less the state."""
     return F.transform(chunk, lambda a: V.subtract(a, state))

@@ -126,3 +126,10 @@ def sequence_shards(rows: DataFrame, ids: str, labels: str, n_ranks: int) -> Dat
     df = rows.withColumn("__i", V.multiple_padded(F.col(ids), n_ranks, F.lit(0))).withColumn("__l", V.multiple_padded(shifted(F.col(labels)), n_ranks, F.lit(IGNORED)))
     df = df.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(n_ranks - 1))))
     return df.withColumn(ids, V.shard_of(F.col("__i"), F.col("rank"), n_ranks)).withColumn(labels, V.shard_of(F.col("__l"), F.col("rank"), n_ranks)).drop("__i", "__l")
+
+
+def stacked(samples: DataFrame, batch: str, order: str, columns: Sequence[str]) -> DataFrame:
+    """A row for each batch with the samples' columns as arrays, in order; a sample's null is null in its place."""
+    rows = samples.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *columns))).alias("__s"), F.count("*").alias("samples"))
+    of = lambda c: F.transform("__s", lambda s: s[c]).alias(c)
+    return rows.select(batch, "samples", *map(of, columns))

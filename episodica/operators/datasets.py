@@ -119,3 +119,29 @@ def partition_check(whole: DataFrame, parts: dict[str, DataFrame], key: str) ->
 
 def task_prompt(label: Column, up: str, down: str, otherwise: Column) -> Column:
     return F.when(label, F.lit(up)).when(~label, F.lit(down)).otherwise(otherwise)
+
+
+def quarantined(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
+    """Good rows and the others: nothing is replaced at random, and nothing is lost. null is not good."""
+    flag = F.coalesce(good, F.lit(False))
+    return df.filter(flag), df.filter(~flag)
+
+
+def merged(sources: dict[str, tuple[DataFrame, DataFrame]], key: str, frame: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """(episodes, frames) of several sources as one dataset: schemas are checked, episodes get contiguous numbers and offsets in the order of the
+    sources' names and their own keys, frames follow. Stats and tasks are merged by weighted_stats and merged_tasks.
+    """
+    from pyspark.sql import Window
+
+    names = sorted(sources)
+    same_schema(*(sources[n][0] for n in names))
+    same_schema(*(sources[n][1] for n in names))
+    episodes = frames = None
+    for n in names:
+        e, f = (x.withColumn("source", F.lit(n)) for x in sources[n])
+        episodes, frames = (e, f) if episodes is None else (episodes.unionByName(e), frames.unionByName(f))
+    numbered = episodes.withColumn("__key", F.row_number().over(Window.orderBy("source", key)))  # a row for each episode
+    numbered = reindexed(numbered, "__key", size).drop("__key")
+    m = numbered.select("source", F.col(key).alias("__k"), "new_index", "from_index")
+    out = frames.join(m, (frames["source"] == m["source"]) & (frames[key] == m["__k"])).drop(m["source"]).drop("__k")
+    return numbered, out.withColumn("episode_index", F.col("new_index")).withColumn("index", F.col("from_index") + F.col(frame)).drop("new_index", "from_index")

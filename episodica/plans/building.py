@@ -362,3 +362,34 @@ def lightweight_view(spark, d):
 
     view_of(table(spark, d, "documents"), table(spark, d, "labels").filter("quality = 1"), "doc_id", "good_documents")
     return spark.sql("select count(*) as n from good_documents")
+
+
+@query("merged_dataset", f"with {FR}, x as (select 'a' as source, * from fr where episode % 2 = 0 union all select 'b', * from fr where episode % 2 = 1), e as (select source, episode, count(*) as n from x group by 1, 2), o as (select source, episode, row_number() over (order by source, episode) - 1 as i, (sum(n) over (order by source, episode) - n)::bigint as f from e) select event_id, o.i as episode_index, f + frame as index from x join o on x.source = o.source and x.episode = o.episode")
+def merged_dataset(spark, d):
+    """Two sources merged: contiguous episodes and indexes."""
+    fr, ep = event_frames(spark, d).select("episode", "frame", "event_id"), lengths(spark, d)
+    part = lambda k: (ep.filter(F.col("episode") % 2 == k), fr.filter(F.col("episode") % 2 == k))
+    return D.merged({"a": part(0), "b": part(1)}, "episode", "frame", "length")[1].select("event_id", "episode_index", "index")
+
+
+@query("quarantine", "select case when value between 10 and 100 then 'good' else 'bad' end as side, count(*) as n from events group by 1")
+def quarantine(spark, d):
+    good, bad = D.quarantined(table(spark, d, "events"), F.col("value").between(10, 100))
+    one = lambda df, side: df.agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
+    return one(good, "good").unionByName(one(bad, "bad"))
+
+
+@query("global_index_check", "select count(*) as rows, 0::bigint as misplaced from events")
+def global_index_check(spark, d):
+    """Rows sorted by index stand at their index: ranks come from ranges, not from one task."""
+    e = table(spark, d, "events").select("event_id").withColumn("one", F.lit(1))
+    out = W.running_offsets(e, "event_id", "one")
+    return out.agg(F.count("*").alias("rows"), F.count_if(F.col("new_index") != F.col("event_id")).alias("misplaced"))
+
+
+@query("hash_shuffle", f"select o_orderkey, row_number() over (order by {HASH.format('o_orderkey', 9)}, o_orderkey) as place from orders where o_orderkey <= 500")
+def hash_shuffle(spark, d):
+    from pyspark.sql import Window
+
+    few = table(spark, d, "orders").filter("o_orderkey <= 500").select("o_orderkey")
+    return P.hash_shuffle(few, "o_orderkey", 9).withColumn("place", F.row_number().over(Window.orderBy(P.hash_order(F.col("o_orderkey"), 9), "o_orderkey")))

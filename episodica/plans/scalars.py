@@ -191,3 +191,31 @@ def batch_arithmetic(spark, d):
     tokens, micro = C.batch_plan(4, 2048, 256, 8)
     n = table(spark, d, "documents").count()
     return spark.createDataFrame([(tokens, micro, C.train_steps(n, 256, 3))], "token_micro_batch long, micro_batches long, steps long")
+
+
+@query("token_fixed_length", "select conv_id, turn, 72::bigint as size, least(72, strlen(text)) as real from conversations")
+def token_fixed_length(spark, d):
+    from episodica.functions.text import byte_ids
+
+    df = table(spark, d, "conversations").withColumn("ids", byte_ids(F.col("text")))
+    mask = V.real_mask(F.size("ids"), 72)
+    return df.select("conv_id", "turn", F.size(V.fixed_length(F.col("ids"), 72, F.lit(0))).alias("size"), F.size(F.filter(mask, lambda m: m)).alias("real"))
+
+
+@query("resize_plan", "with s as (select p_partkey, 100 + p_size * 7 as h, 80 + p_size * 11 as w from part), r as (select *, greatest(w / 224.0::double, h / 224.0::double) as r from s) select p_partkey, floor(h / r)::bigint as height, floor(w / r)::bigint as width, 224 - floor(h / r)::bigint as top, 224 - floor(w / r)::bigint as \"left\" from r")
+def resize_plan(spark, d):
+    df = table(spark, d, "part").select("p_partkey", C.resize_plan(100 + F.col("p_size") * 7, 80 + F.col("p_size") * 11, 224, 224).alias("s"))
+    return df.select("p_partkey", *(F.col(f"s.{c}").cast("long").alias(c) for c in ("height", "width", "top", "left")))
+
+
+CONFIG = [
+    {"target": "arm", "origin": "state", "start": 0, "end": 2, "position": 0, "subtract_state": True},
+    {"target": "grip", "origin": "state", "start": 2, "end": 3, "position": 0},
+    {"target": "arm", "origin": "state", "start": 3, "end": 4, "position": 1, "subtract_state": True},
+]
+
+
+@query("mapping_compile", _sql("arm:0:l_quantity; arm:1:l_extendedprice; arm:2:l_tax; grip:0:l_discount"))
+def mapping_compile(spark, d):
+    plan, _ = M.from_config([*CONFIG, {"target": "flag", "origin": "flag"}])
+    return _sums(plan.forward(item_vectors(spark, d).withColumnRenamed("v", "state")), "arm", "grip")

@@ -313,3 +313,32 @@ def bootstrap_interval(spark, d):
 @query("permutation_p", "with un as (select user_id, user_id % 2 = 0 as u, avg(value) as m from events group by 1, 2), s as (select avg(m) filter (where u) - avg(m) filter (where not u) as o, count(*) filter (where u) as k from un), r as (select rep, m, row_number() over (partition by rep order by md5('3|' || rep || '|' || user_id), user_id) as r from un cross join (select unnest(range(1, 100)) as rep)), n as (select rep, avg(m) filter (where r <= k) - avg(m) filter (where r > k) as d from r cross join s group by 1) select round(o, 6) as observed, round((1 + count(*) filter (where abs(d) >= abs(o) - 1e-12)) / 100.0::double, 6) as p from n cross join s group by o")
 def permutation_p(spark, d):
     return rounded(S.permutation_test(_units(spark, d), "user_id", "u", "m", 99, 3))
+
+
+@query("stats_sketch", "select unnest([0::bigint, 1, 2, 3]) as dim, true as close, (select count(*) from lineitem) as count")
+def stats_sketch(spark, d):
+    """Quantiles from a sketch are within a thousandth of the range of the exact ones' ranks: here, within 2% of the values' range."""
+    rows = item_values(spark, d)
+    x, y = A.exact_stats(rows, ["dim"]).alias("x"), A.sketched_stats(rows, ["dim"]).alias("y")
+    near = F.lit(True)
+    for q in A.QUANTILES:
+        near = near & (F.abs(F.col(f"x.{q}") - F.col(f"y.{q}")) <= 0.02 * (F.col("x.max") - F.col("x.min")))
+    return x.join(y, "dim").select("dim", near.alias("close"), F.col("x.count").alias("count"))
+
+
+@query("rank_by_peak", "select user_id, round(most, 6) as peak, row_number() over (order by most desc, user_id) as place from (select user_id, max(abs(value - 40)) as most from events group by 1)")
+def rank_by_peak(spark, d):
+    from pyspark.sql import Window
+
+    per = table(spark, d, "events").groupBy("user_id").agg(F.max(F.abs(F.col("value") - 40)).alias("most"))
+    return per.select("user_id", r6(F.col("most")).alias("peak"), F.row_number().over(Window.orderBy(F.desc("most"), "user_id")).alias("place"))
+
+
+@query("paired_bootstrap", "select true as contains_mean, count(distinct user_id) as units from events")
+def paired_bootstrap(spark, d):
+    """The interval of the mean change between two conditions of the same unit holds the mean change."""
+    e = table(spark, d, "events")
+    per = e.groupBy("user_id").agg((F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))) - F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value")))).alias("change"))
+    ci = S.bootstrap_interval(S.bootstrap_means(per, "user_id", "change", 100, 11))
+    seen = per.agg(F.avg("change").alias("m"), F.count("*").alias("units"))
+    return seen.crossJoin(F.broadcast(ci)).select(((F.col("m") >= F.col("low")) & (F.col("m") <= F.col("high"))).alias("contains_mean"), "units")  # one row each

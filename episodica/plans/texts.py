@@ -100,6 +100,13 @@ def pack_collate(spark, d):
     return df.select("batch", F.size("ids").alias("tokens"), F.size("cu_seqlens").alias("cu"), F.size(F.filter("labels", lambda x: x == X.IGNORED)).alias("ignored"), positions.alias("positions"))
 
 
+@query("stack_collate", "select conv_id // 4 as batch, count(*) as samples, list_sum(list(strlen(text) order by conv_id, turn))::bigint as bytes, list(role order by conv_id, turn)[1] as first_role from conversations group by 1")
+def stack_collate(spark, d):
+    c = table(spark, d, "conversations").select(F.floor(F.col("conv_id") / 4).alias("batch"), (F.col("conv_id") * 100 + F.col("turn")).alias("o"), F.octet_length("text").alias("n"), "role")
+    out = B.stacked(c, "batch", "o", ["n", "role"])
+    return out.select("batch", "samples", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes"), F.get("role", F.lit(0)).alias("first_role"))
+
+
 @query("micro_batches", f"with {PACK} select batch, (row_number() over (partition by batch order by o) - 1) // 3 as micro_batch, o from c")
 def micro_batches(spark, d):
     return B.micro_batches(_samples(spark, d), ["batch"], ["o"], 3).select("batch", "micro_batch", "o")
