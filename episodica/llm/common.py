@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica import shipping
+
+ARROW_BYTES, _ARROW = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
@@ -33,17 +36,19 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run; once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_episodica_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="episodica-zip-"), "episodica_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(path)
-    sc._episodica_shipped = True
+    """As the library's; and Arrow batches of at most ARROW_BYTES where the session has Spark's default, for both sides hold one whole."""
+    shipping.ship_package(spark)
+    if spark.conf.get(_ARROW, "64m") in ("64m", "67108864b"):
+        spark.conf.set(_ARROW, ARROW_BYTES)
+
+
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the machine: idle workers stay alive next to the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def md5_long(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.llm.common import ship_package
+from episodica.llm.common import ship_package, tidy
 from episodica.llm.tokens import slices
 
 #: Elements nested deeper than this are put into the one at that depth, so that no text is lost and no stack overflows.
@@ -296,5 +296,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
                 texts = [None if no else render(s.decode("utf-8", "replace")) for s, no in zip(sources, null, strict=True)]
                 cols = [batch.column(0).slice(first, len(sources)), pa.array(texts, pa.string()), pa.array([len(t or "") for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            tidy()
 
     return pages.select(id_col, F.col(html_col).cast("string")).mapInArrow(run, schema)

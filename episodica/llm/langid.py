@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.llm.common import ship_package
+from episodica.llm.common import ship_package, tidy
 from episodica.llm.tokens import slices
 
 UNKNOWN = "und"
@@ -243,6 +243,7 @@ def identify(docs: DataFrame, net: ByteNet | None = None, id_col: str = "doc_id"
                 pred, score = predict(net, pairs, texts)
                 cols = [batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(pred, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            tidy()
 
     return marked.mapInArrow(run, schema)
 
@@ -261,5 +262,6 @@ def keep_identified(docs: DataFrame, least: float = 0.3, net: ByteNet | None = N
             for first, texts in slices(batch.column(at), SLICE):
                 pred, score = predict(net, pairs, texts)
                 yield batch.slice(first, len(texts)).filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+            tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.llm.common import durable, ship_package
+from episodica.llm.common import durable, ship_package, tidy
 from episodica.llm.components import components
 from episodica.llm.tokens import slices
 
@@ -30,7 +30,7 @@ FILTER_SLOTS = 1 << 18
 #: Nodes on a side of a cell in which nodes of different components are compared.
 BLOCK = 256
 #: Words whose hashes a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -116,6 +116,8 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 cols = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), bands, *(pa.array(bits[:, i]) for i in range(WORDS))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            tidy()
+        _HASHES.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -131,6 +133,8 @@ def shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> Data
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 cols = [batch.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            tidy()
+        _HASHES.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 

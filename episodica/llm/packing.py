@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.llm.common import durable, ship_package
+from episodica.llm.common import durable, ship_package, tidy
 from episodica.llm.tokens import VOCABULARY, coder, text_slices
 
 CAPACITY, END_ID = 2048, 0
@@ -109,6 +109,7 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, i
                     seen[size] += 1
                 cols = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc)), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            tidy()
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 

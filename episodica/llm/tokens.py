@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.llm.common import ship_package
+from episodica.llm.common import ship_package, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text taken at once: by a coder (more texts share more chunks), and by those who keep texts as Python objects.
-CODED_BYTES, SLICE_BYTES = 24_000_000, 4_000_000
+CODED_BYTES, SLICE_BYTES = 8_000_000, 4_000_000
 #: Marks that make a piece of their own after letters.
 MARKS = ".,"
 #: A word of Latin letters and a mark. Left out is the dotted capital I, which in lower case ends in an accent that joins the mark.
@@ -320,6 +320,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULAR
                     fits[i] = fit(c, texts[i].as_py(), np.cumsum(x.lens[own[own != x.blank]]), limit)
                 cols = [batch.column(0).slice(first, len(texts)), pa.array(bytes_), pa.array(counts), pa.array(counts > limit), pa.array(fits)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            tidy()
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -343,5 +344,6 @@ def prefix_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "
                 counts = [np.cumsum(x.lens[i[i != x.blank]]).tolist() for i in own]
                 cols = [batch.column(0).slice(first, len(texts)), pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            tidy()
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
