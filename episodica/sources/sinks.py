@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodica.operators.windows import running_offsets
 from episodica.sources.scans import exists
 
 
@@ -76,9 +77,7 @@ def view_of(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
 
 def thinned(series: DataFrame, order: str, most: int = 500) -> DataFrame:
     """Every max(1, n // most)-th row of a series, and the last, for a chart."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(order)  # a series of a log
-    rows = series.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy()))
-    stride = F.greatest(F.lit(1), F.floor(F.col("__n") / most))
-    return rows.filter((F.pmod("__i", stride) == 0) | (F.col("__i") == F.col("__n") - 1)).drop("__i", "__n")
+    ranked = running_offsets(series.withColumn("__one", F.lit(1)), order, "__one").drop("__one", "offset")
+    n = ranked.count()
+    stride = max(1, n // most)
+    return ranked.filter((F.pmod("new_index", F.lit(stride)) == 0) | (F.col("new_index") == n - 1)).drop("new_index")

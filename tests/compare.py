@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,7 @@ def rows(pdf):
     pdf = pdf[sorted(pdf.columns)]
 
     def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "~"
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
