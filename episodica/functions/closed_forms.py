@@ -16,7 +16,7 @@ def axis_angle(x: Column, y: Column, z: Column, w: Column) -> Column:
     """array(3) of a quaternion's rotation; zeros where the rotation is none."""
     w = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), w))
     den = F.sqrt(1 - w * w)
-    scale = F.when(den < 1e-8, F.lit(0.0)).otherwise(F.try_divide(2 * F.acos(w), den))
+    scale = F.when(den == 0, F.lit(0.0)).otherwise(F.try_divide(2 * F.acos(w), den))
     return F.array(x * scale, y * scale, z * scale)
 
 
@@ -45,9 +45,10 @@ def truth(s: Column) -> Column:
 
 
 def typed(s: Column) -> Column:
-    """struct(as_long, as_double, as_text): digits are whole numbers, digits with one dot decimals, others text."""
+    """struct(as_bool, as_long, as_double, as_text): true and false in any case, digits, digits with one dot; others are text."""
     whole, dotted = s.rlike("^[0-9]+$"), s.rlike("^(?:[0-9]+[.][0-9]*|[.][0-9]+)$")
-    return F.struct(F.when(whole, s.try_cast("long")).alias("as_long"), F.when(dotted, s.try_cast("double")).alias("as_double"), F.when(~whole & ~dotted, s).alias("as_text"))
+    flag = F.lower(s).isin("true", "false")
+    return F.struct(F.when(flag, F.lower(s) == "true").alias("as_bool"), F.when(whole, s.try_cast("long")).alias("as_long"), F.when(dotted, s.try_cast("double")).alias("as_double"), F.when(~flag & ~whole & ~dotted, s).alias("as_text"))
 
 
 def html_escaped(s: Column) -> Column:
@@ -57,7 +58,7 @@ def html_escaped(s: Column) -> Column:
 
 
 def slug(s: Column) -> Column:
-    return F.substring(F.regexp_replace(F.lower(s), r"[ \n.,/\\:]", "_"), 1, 50)
+    return F.substring(F.regexp_replace(F.lower(s), r"[ \n.]", "_"), 1, 50)
 
 
 def shifted_sigma(sigma: Column, shift: float) -> Column:
@@ -66,7 +67,8 @@ def shifted_sigma(sigma: Column, shift: float) -> Column:
 
 def prefix_weight(i: Column, start: int, end: int, total: int, schedule: str = "exp") -> Column:
     """Weight of place i of a chunk of total places: 1 before start, falling to 0 at end."""
-    start = min(start, end)
+    end = max(0, min(end, total))
+    start = min(max(0, start), end)
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (start - 1 - i) / F.lit(float(end - start + 1)) + 1))
     kinds = {
         "zeros": F.when(i < start, 1.0).otherwise(0.0),
@@ -76,20 +78,27 @@ def prefix_weight(i: Column, start: int, end: int, total: int, schedule: str = "
     }
     if schedule not in kinds:
         raise ValueError(f"unknown schedule {schedule}")
-    return F.when(i >= min(end, total), F.lit(0.0)).otherwise(kinds[schedule])
+    return F.when(i >= end, F.lit(0.0)).otherwise(kinds[schedule])
 
 
 def guidance(tau: Column, most: float) -> Column:
-    """min(most, (1 - tau) / tau * ((1 - tau)^2 + tau^2) / (1 - tau)^2); most at 0 and 1."""
+    """min(most, (1 - tau) / tau * ((1 - tau)^2 + tau^2) / (1 - tau)^2); most at 0, and 0 at 1, where the first factor is 0."""
     q = (1 - tau) * (1 - tau)
-    return F.least(F.lit(most), F.coalesce(F.try_divide((1 - tau), tau) * F.try_divide(q + tau * tau, q), F.lit(most)))
-
-
-def learning_rate(step: Column, kind: str, peak: float, warmup: int, total: int, floor: float = 0.0) -> Column:
-    """Linear warm-up, then constant, linear or cosine."""
-    up = peak * step / F.lit(float(max(warmup, 1)))
-    frac = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / F.lit(float(max(total - warmup, 1)))))
-    down = {"constant": F.lit(peak), "linear": peak - (peak - floor) * frac, "cosine": floor + (peak - floor) * 0.5 * (1 + F.cos(frac * math.pi))}
+    return F.when(tau == 1, F.lit(0.0)).otherwise(F.least(F.lit(most), F.coalesce(F.try_divide((1 - tau), tau) * F.try_divide(q + tau * tau, q), F.lit(most))))
+
+
+def learning_rate(step: Column, kind: str, peak: float, warmup: int, total: int, floor: float = 1e-7, start: float = 0.0, drop: float = 0.2) -> Column:
+    """Linear warm-up from start to peak, then: constant; linear to 0 at total, but not below floor; half a cosine to floor at total, floor after
+    it; or two stages, peak and from total on drop * peak.
+    """
+    up = start + (peak - start) * step / F.lit(float(max(warmup, 1)))
+    frac = (step - warmup) / F.lit(float(max(total - warmup, 1)))
+    down = {
+        "constant": F.lit(peak),
+        "linear": F.greatest(F.lit(floor), peak * (total - step) / F.lit(float(max(total - warmup, 1)))),
+        "cosine": F.when(step > total, F.lit(floor)).otherwise(floor + (peak - floor) * 0.5 * (1 + F.cos(frac * math.pi))),
+        "two_stage": F.when(step >= total, F.lit(drop * peak)).otherwise(F.lit(peak)),
+    }
     if kind not in down:
         raise ValueError(f"unknown schedule {kind}")
     return F.when(step < warmup, up).otherwise(down[kind])

@@ -44,7 +44,7 @@ def instructed(role: Column, content: Column, eos: str = EOS, bos: str = "<s>")
         "system": F.concat(F.lit("<<SYS>>\n"), c, F.lit("\n<</SYS>>\n\n")),
         "user": F.concat(F.lit(f"{bos}[INST] "), c, F.lit(" [/INST]")),
         "assistant": F.concat(F.lit(" "), c, F.lit(f" {eos}")),
-        "tool": F.concat(F.lit("[TOOL] "), c, F.lit(" [/TOOL]")),
+        "tool": F.concat(F.lit(f"{bos}[TOOL] "), c, F.lit(" [/TOOL]")),
     }
     out = F.when(F.lit(False), "")
     for r, text in known.items():
@@ -53,13 +53,27 @@ def instructed(role: Column, content: Column, eos: str = EOS, bos: str = "<s>")
 
 
 def chatml(role: Column, content: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), content, F.lit("<|im_end|>\n"))
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), stripped(content), F.lit("<|im_end|>\n"))
 
 
-def two_party(role: Column, content: Column, user: str = "<|User|>", assistant: str = "<|Assistant|>", seps: tuple[str, str] = ("\n\n", "<|end|>")) -> Column:
-    """Roles by what their names contain; user and system turns end with the first separator, assistant turns with the second."""
-    c, low = stripped(content), F.lower(role)
-    return F.when(low.contains("assistant"), F.concat(F.lit(f"{assistant}: "), c, F.lit(seps[1]))).when(low.contains("user"), F.concat(F.lit(f"{user}: "), c, F.lit(seps[0]))).otherwise(F.concat(c, F.lit(seps[0])))
+#: The separators of two-party chats, and the request that a tutorial task adds to its system message.
+SEPARATORS = ("\n\n", "<｜end▁of▁sentence｜>")
+TUTORIAL = "Please generate a step-by-step tutorial with images for the following question."
+
+
+def two_party(role: Column, content: Column, task: str = "", first_answer: Column | None = None, is_last: Column | None = None) -> Column:
+    """Roles by what their names contain. User and system turns end with the first separator, answers with the second.
+
+    An empty message is the role and a colon. In generation tasks only the first answer names the assistant, and only the last message ends
+    with the second separator; first_answer and is_last tell which they are.
+    """
+    c, tutorial = stripped(content), "wikihow_generation" in task
+    answer = F.concat(F.lit("Assistant: "), c, F.lit(SEPARATORS[1]))
+    if tutorial or "interleave_generation" in task:
+        answer = F.concat(F.when(first_answer, F.lit("Assistant: ")).otherwise(F.lit("")), c, F.when(is_last, F.lit(SEPARATORS[1])).otherwise(F.lit(SEPARATORS[0])))
+    system = F.concat(c, F.lit(SEPARATORS[0] + (TUTORIAL + SEPARATORS[0] if tutorial else "")))
+    out = F.when(content == "", F.concat(role, F.lit(":"))).when(role.contains("assistant"), answer).when(role.contains("user"), F.concat(F.lit("User: "), c, F.lit(SEPARATORS[0])))
+    return out.when(role.contains("system"), system)
 
 
 TEMPLATES: dict[str, Callable[[Column, Column], Column]] = {"default": plain, "llama2": instructed, "chatml": chatml, "Janus": two_party}

@@ -119,13 +119,21 @@ def packed(samples: DataFrame, batch: str, order: str, ids: str, labels: str) ->
     )
 
 
-def sequence_shards(rows: DataFrame, ids: str, labels: str, n_ranks: int) -> DataFrame:
-    """A row for each rank: its slice of ids and of labels moved left by one, both padded to a multiple of the ranks."""
+def sequence_shards(rows: DataFrame, ids: str, labels: str, n_ranks: int, cu_seqlens: str | None = None, positions: str | None = None) -> DataFrame:
+    """A row for each rank: its slices of ids, of labels moved left by one, and of positions, padded to a multiple of the ranks.
+
+    With cumulative lengths, the label at the end of each sequence is ignored: it would be the next sequence's first.
+    """
     from episodica.functions.text import shifted
 
-    df = rows.withColumn("__i", V.multiple_padded(F.col(ids), n_ranks, F.lit(0))).withColumn("__l", V.multiple_padded(shifted(F.col(labels)), n_ranks, F.lit(IGNORED)))
+    ends = None if cu_seqlens is None else F.transform(F.col(cu_seqlens), lambda c: (c - 1).cast("int"))
+    df = rows.withColumn("__i", V.multiple_padded(F.col(ids), n_ranks, F.lit(0))).withColumn("__l", V.multiple_padded(shifted(F.col(labels), ends), n_ranks, F.lit(IGNORED)))
+    if positions:
+        df = df.withColumn("__p", V.multiple_padded(F.col(positions), n_ranks, F.lit(0)))
     df = df.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(n_ranks - 1))))
-    return df.withColumn(ids, V.shard_of(F.col("__i"), F.col("rank"), n_ranks)).withColumn(labels, V.shard_of(F.col("__l"), F.col("rank"), n_ranks)).drop("__i", "__l")
+    for name, full in ((ids, "__i"), (labels, "__l"), *([(positions, "__p")] if positions else [])):
+        df = df.withColumn(name, V.shard_of(F.col(full), F.col("rank"), n_ranks)).drop(full)
+    return df
 
 
 def stacked(samples: DataFrame, batch: str, order: str, columns: Sequence[str]) -> DataFrame:

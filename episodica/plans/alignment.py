@@ -91,7 +91,7 @@ def rtc_weights(spark, d):
     return out
 
 
-@query("rtc_guidance", "select k, round(case when k = 0 or k = 20 then 5 else least(5.0, (1 - k / 20.0::double) / (k / 20.0::double) * ((1 - k / 20.0::double) * (1 - k / 20.0::double) + (k / 20.0::double) * (k / 20.0::double)) / ((1 - k / 20.0::double) * (1 - k / 20.0::double))) end, 6) as g from (select unnest(range(21)) as k)")
+@query("rtc_guidance", "select k, round(case when k = 0 then 5 when k = 20 then 0 else least(5.0, (1 - k / 20.0::double) / (k / 20.0::double) * ((1 - k / 20.0::double) * (1 - k / 20.0::double) + (k / 20.0::double) * (k / 20.0::double)) / ((1 - k / 20.0::double) * (1 - k / 20.0::double))) end, 6) as g from (select unnest(range(21)) as k)")
 def rtc_guidance(spark, d):
     return spark.range(21).select(F.col("id").alias("k"), r6(C.guidance(F.col("id") / 20.0, 5.0)).alias("g"))
 
@@ -117,8 +117,9 @@ def segment_rebase(spark, d):
 
 LR = {
     "constant": "1e-4",
-    "linear": "1e-4 - (1e-4 - 1e-6) * greatest(0.0, least(1.0, (s - 10) / 90.0::double))",
-    "cosine": "1e-6 + (1e-4 - 1e-6) * 0.5 * (1 + cos(pi() * greatest(0.0, least(1.0, (s - 10) / 90.0::double))))",
+    "linear": "greatest(1e-6, 1e-4 * (100 - s) / 90.0::double)",
+    "cosine": "case when s > 100 then 1e-6 else 1e-6 + (1e-4 - 1e-6) * 0.5 * (1 + cos(pi() * (s - 10) / 90.0::double)) end",
+    "two_stage": "case when s >= 100 then 2e-5 else 1e-4 end",
 }
 
 

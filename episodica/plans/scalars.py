@@ -156,11 +156,11 @@ def multiple_of_8(spark, d):
     return table(spark, d, "part").groupBy("p_size", V.next_multiple(F.col("p_size")).alias("padded")).agg(F.count("*").alias("n"))
 
 
-@query("typed_settings", "select k, case when lower(s) in ('yes', 'true', 't', 'y', '1') then 'true' when lower(s) in ('no', 'false', 'f', 'n', '0') then 'false' else 'none' end as flag, case when regexp_full_match(s, '[0-9]+') then 'long' when regexp_full_match(s, '[0-9]+[.][0-9]*|[.][0-9]+') then 'double' else 'text' end as kind from (select unnest(range(9)) as k, unnest(['Yes', 'n', '1', '0', '12', '1.5', 'abc', 'TRUE', '.5']) as s)")
+@query("typed_settings", "select k, case when lower(s) in ('yes', 'true', 't', 'y', '1') then 'true' when lower(s) in ('no', 'false', 'f', 'n', '0') then 'false' else 'none' end as flag, case when regexp_full_match(s, '[0-9]+') then 'long' when regexp_full_match(s, '[0-9]+[.][0-9]*|[.][0-9]+') then 'double' when lower(s) in ('true', 'false') then 'bool' else 'text' end as kind from (select unnest(range(9)) as k, unnest(['Yes', 'n', '1', '0', '12', '1.5', 'abc', 'TRUE', '.5']) as s)")
 def typed_settings(spark, d):
     df = spark.createDataFrame(list(enumerate(["Yes", "n", "1", "0", "12", "1.5", "abc", "TRUE", ".5"])), "k long, s string")
     t = C.typed(F.col("s"))
-    kind = F.when(t["as_long"].isNotNull(), "long").when(t["as_double"].isNotNull(), "double").otherwise("text")
+    kind = F.when(t["as_bool"].isNotNull(), "bool").when(t["as_long"].isNotNull(), "long").when(t["as_double"].isNotNull(), "double").otherwise("text")
     return df.select("k", F.coalesce(C.truth(F.col("s")).cast("string"), F.lit("none")).alias("flag"), kind.alias("kind"))
 
 
@@ -169,7 +169,7 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", C.html_escaped(F.col("html")).alias("escaped"))
 
 
-@query("slugs", "select p_partkey, substr(regexp_replace(lower(p_name), '[ \\n.,/\\\\:]', '_', 'g'), 1, 50) as slug from part")
+@query("slugs", "select p_partkey, substr(regexp_replace(lower(p_name), '[ \\n.]', '_', 'g'), 1, 50) as slug from part")
 def slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", C.slug(F.col("p_name")).alias("slug"))
 

@@ -34,22 +34,31 @@ def chat_default(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.template("default")(F.col("role"), F.col("text")).alias("rendered"))
 
 
-@query("chat_llama2", f"select conv_id, turn, case role when 'system' then '<<SYS>>' || chr(10) || {STRIP} || chr(10) || '<</SYS>>' || chr(10) || chr(10) when 'user' then '<s>[INST] ' || {STRIP} || ' [/INST]' when 'assistant' then ' ' || {STRIP} || ' </s>' when 'tool' then '[TOOL] ' || {STRIP} || ' [/TOOL]' end as rendered from conversations")
+@query("chat_llama2", f"select conv_id, turn, case role when 'system' then '<<SYS>>' || chr(10) || {STRIP} || chr(10) || '<</SYS>>' || chr(10) || chr(10) when 'user' then '<s>[INST] ' || {STRIP} || ' [/INST]' when 'assistant' then ' ' || {STRIP} || ' </s>' when 'tool' then '<s>[TOOL] ' || {STRIP} || ' [/TOOL]' end as rendered from conversations")
 def chat_llama2(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.template("llama2")(F.col("role"), F.col("text")).alias("rendered"))
 
 
-@query("chat_chatml", "select conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn) as rendered from conversations group by 1")
+@query("chat_chatml", f"select conv_id, string_agg('<|im_start|>' || role || chr(10) || {STRIP} || '<|im_end|>' || chr(10), '' order by turn) as rendered from conversations group by 1")
 def chat_chatml(spark, d):
     df = table(spark, d, "conversations").withColumn("r", X.template("chatml")(F.col("role"), F.col("text")))
     return df.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "r"))), lambda s: s["r"]), "").alias("rendered"))
 
 
-@query("chat_two_party", f"select conv_id, turn, case when contains(lower(role), 'assistant') then '<|Assistant|>: ' || {STRIP} || '<|end|>' when contains(lower(role), 'user') then '<|User|>: ' || {STRIP} || chr(10) || chr(10) else {STRIP} || chr(10) || chr(10) end as rendered from conversations")
+@query("chat_two_party", f"select conv_id, turn, case when text = '' then role || ':' when contains(role, 'assistant') then 'Assistant: ' || {STRIP} || '<｜end▁of▁sentence｜>' when contains(role, 'user') then 'User: ' || {STRIP} || chr(10) || chr(10) when contains(role, 'system') then {STRIP} || chr(10) || chr(10) end as rendered from conversations")
 def chat_two_party(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.template("Janus")(F.col("role"), F.col("text")).alias("rendered"))
 
 
+@query("chat_generation", f"with c as (select *, row_number() over (partition by conv_id, contains(role, 'assistant') order by turn) = 1 as f, turn = max(turn) over (partition by conv_id) as l from conversations) select conv_id, turn, case when text = '' then role || ':' when contains(role, 'assistant') then case when f then 'Assistant: ' else '' end || {STRIP} || case when l then '<｜end▁of▁sentence｜>' else chr(10) || chr(10) end when contains(role, 'user') then 'User: ' || {STRIP} || chr(10) || chr(10) else {STRIP} || chr(10) || chr(10) end as rendered from c")
+def chat_generation(spark, d):
+    from pyspark.sql import Window
+
+    c = table(spark, d, "conversations").withColumn("f", F.row_number().over(Window.partitionBy("conv_id", F.col("role").contains("assistant")).orderBy("turn")) == 1)
+    c = c.withColumn("l", F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id")))
+    return c.select("conv_id", "turn", X.two_party(F.col("role"), F.col("text"), "interleave_generation", F.col("f"), F.col("l")).alias("rendered"))
+
+
 @query("loss_masks", "select conv_id, sum(strlen(text))::bigint as tokens, sum(case when role = 'assistant' then strlen(text) else 0 end)::bigint as counted from conversations group by 1")
 def loss_masks(spark, d):
     c = table(spark, d, "conversations").withColumn("ids", X.byte_ids(F.col("text"))).withColumn("labels", X.labels(F.col("ids"), (F.col("role") == "assistant").cast("int")))
@@ -114,10 +123,18 @@ def micro_batches(spark, d):
 
 @query("sequence_shards", f"with {PACK}, t as (select batch, sum(n)::bigint as n from c group by 1) select batch, r as rank, (n + (4 - n % 4) % 4) // 4 as size from t cross join (select unnest(range(4)) as r)")
 def sequence_shards(spark, d):
-    df = B.sequence_shards(B.packed(_samples(spark, d), "batch", "o", "ids", "labels"), "ids", "labels", 4)
+    df = B.sequence_shards(B.packed(_samples(spark, d), "batch", "o", "ids", "labels"), "ids", "labels", 4, "cu_seqlens", "position_ids")
     return df.select("batch", "rank", F.size("ids").alias("size"))
 
 
+@query("sequence_shard_labels", f"with {PACK} select batch, sum(n)::bigint as tokens, count(*)::bigint as ignored from c group by 1")
+def sequence_shard_labels(spark, d):
+    """Over all ranks, as many labels as tokens; ignored are the last one of each sequence, and padding."""
+    df = B.sequence_shards(B.packed(_samples(spark, d), "batch", "o", "ids", "labels"), "ids", "labels", 4, "cu_seqlens", "position_ids")
+    per = df.select("batch", F.element_at("cu_seqlens", -1).alias("n"), F.size("labels").alias("k"), F.size(F.filter("labels", lambda x: x == X.IGNORED)).alias("i"))
+    return per.groupBy("batch").agg(F.max("n").alias("tokens"), (F.sum("i") - (F.sum("k") - F.max("n"))).alias("ignored"))
+
+
 @query("shifted_labels", f"with {PACK}, t as (select batch, o, n from c) select batch, o, n as size, 1::bigint as ignored from t")
 def shifted_labels(spark, d):
     df = _samples(spark, d).withColumn("s", X.shifted(F.col("labels")))
