@@ -26,7 +26,7 @@ from episodica.llm.common import ship_package, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text taken at once: by a coder (more texts share more chunks), and by those who keep texts as Python objects.
-CODED_BYTES, SLICE_BYTES = 8_000_000, 4_000_000
+CODED_BYTES, SLICE_BYTES = 8_000_000, 2_000_000
 #: Marks that make a piece of their own after letters.
 MARKS = ".,"
 #: A word of Latin letters and a mark. Left out is the dotted capital I, which in lower case ends in an accent that joins the mark.
@@ -68,11 +68,15 @@ class Coded:
 def gathered(ids: np.ndarray, starts: np.ndarray, lens: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
     """The runs of ids one after the other, each followed by one of then."""
     if then is None:
-        return ids[np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)]
-    before = np.cumsum(lens + 1) - lens - 1
+        at = np.repeat((starts - (np.cumsum(lens) - lens)).astype(np.int32), lens)  # a slice has fewer than 2 ** 31 ids
+        at += np.arange(len(at), dtype=np.int32)
+        return ids[at]
+    after = np.cumsum(lens + 1) - 1
     out = np.empty(int(lens.sum()) + len(lens), ids.dtype)
-    out[np.arange(int(lens.sum())) + np.repeat(np.arange(len(lens)), lens)] = gathered(ids, starts, lens)
-    out[before + lens] = then
+    own = np.ones(len(out), bool)
+    own[after] = False
+    out[own] = gathered(ids, starts, lens)
+    out[after] = then
     return out
 
 
