@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,19 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/episodica/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext.__dict__.setdefault("_episodica_tables", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the tables that durable() has written in this session; results that read them are lost. Gives their number."""
+    paths = spark.sparkContext.__dict__.pop("_episodica_tables", [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def ship_package(spark: SparkSession) -> None:
     """As the library's; and Arrow batches of at most ARROW_BYTES where the session has Spark's default, for both sides hold one whole."""
     shipping.ship_package(spark)
@@ -65,13 +76,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def range_of(splitters: list[int], key: Column) -> Column:
-    """How many of the sorted whole numbers are at most key: a search in two levels of about the square root of their number each."""
-    if not splitters:
+def longs(xs: Sequence[int]) -> Column:
+    """A literal array: one expression however long (an array of literals is one for each)."""
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+
+
+def range_of(n: int, at_most: Callable[[Column], Column]) -> Column:
+    """How many of n sorted splitters are at most a key, at_most(i) being whether the i-th is: a search in two levels of about sqrt(n) steps."""
+    if not n:
         return F.lit(0)
-    step = max(1, round(len(splitters) ** 0.5))
-    blocks = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    lits = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    block = F.size(F.filter(lits([b[0] for b in blocks]), lambda s: s <= key))
-    fine = F.size(F.filter(F.element_at(F.array(*map(lits, blocks)), F.greatest(block, F.lit(1))), lambda s: s <= key))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + fine)
+    step = max(1, round(n**0.5))
+    block = F.size(F.filter(longs(range(0, n, step)), at_most))
+    start = F.greatest(block - 1, F.lit(0)) * step
+    fine = F.size(F.filter(F.sequence(start, F.least(start + step, F.lit(n)) - 1), at_most))
+    return F.when(block == 0, 0).otherwise(start + fine)

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.common import range_of
+from episodica.llm.common import longs, range_of
 
 #: Samples of a fingerprint; bits kept of a sample's identity (four fit a long).
 SAMPLES, ID_BITS = 64, 16
@@ -127,13 +127,14 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     qs = [i / n_ranges for i in range(1, n_ranges)]
     cuts = base.agg(F.percentile_approx("o", qs, 10 * n_ranges)).first()[0] or []
     splitters = sorted(set(cuts))
-    ranged = base.withColumn("range", range_of(splitters, F.col("o")))
+    cuts_ = longs(splitters)
+    ranged = base.withColumn("range", range_of(len(splitters), lambda i: F.get(cuts_, i.cast("int")) <= F.col("o")))
     heads = sorted((r["range"], r["head"]) for r in ranged.groupBy("range").agg(F.min("o").alias("head")).collect())
     size = len(splitters) + 1
-    head_of, before = [None] * size, [0] * size
+    head_of, before = [0] * size, [0] * size  # of ranges without rows: never looked at
     for i, (k, head) in enumerate(heads):
         head_of[k], before[k] = head, heads[i - 1][0]
-    lit = lambda xs: F.element_at(F.array(*(F.lit(x).cast("long") for x in xs)), F.col("range") + 1)
+    lit = lambda xs: F.element_at(longs(xs), F.col("range") + 1)
     real, ghost = F.struct(F.col("range").cast("long").alias("part"), F.lit(0).alias("ghost")), F.struct(lit(before).alias("part"), F.lit(1).alias("ghost"))
     spread = ranged.withColumn("__to", F.explode(F.when(F.col("o") == lit(head_of), F.array(real, ghost)).otherwise(F.array(real))))
     spread = spread.select("id", "o", "text", F.col("__to.part").alias("part"), F.col("__to.ghost").alias("ghost"), F.xxhash64("text").alias("tie"))

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.common import durable, md5_unit
+from episodica.llm.common import durable, longs, md5_unit
 
 #: A larger mean is the sum of equal parts of at most this: Poisson variables add, and exp(-mean) stays far from underflow.
 MOST_MEAN = 16.0
@@ -108,5 +108,5 @@ def with_positions(mixed: DataFrame, tie_cols: list[str], slice_bits: int = 10)
         before.append(seen)
         seen += n.get(k, 0)
     rank = F.row_number().over(Window.partitionBy("__slice").orderBy("mix_key", *tie_cols))
-    shift = F.element_at(F.array(*(F.lit(x).cast("long") for x in before)), F.col("__slice") + 1)
+    shift = F.element_at(longs(before), F.col("__slice") + 1)
     return sliced.withColumn("position", shift + rank - 1).drop("__slice")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.common import durable, md5_long
+from episodica.llm.common import durable, longs, md5_long, range_of
 
 #: Ranges for each shard, keys drawn for each range, and the multiple of the mean from which a range counts as overfull.
 RANGES_PER_SHARD, KEYS_PER_RANGE, OVERFULL, ROUNDS = 8, 32, 1.5, 3
@@ -19,21 +19,15 @@ ROWS_PER_RANGE, MOST_RANGES = 2_000_000, 16_384
 Key = tuple[int, int, int]
 
 
-def _struct_lit(k: Key) -> Column:
-    return F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(k, "abc", strict=True)))
+def _range_of(splitters: list[Key]) -> Column:
+    """How many splitters are at most the key (a, b, c)."""
+    parts = [longs([k[i] for k in splitters]) for i in range(3)]
 
+    def at_most(i: Column) -> Column:
+        x, y, z = (F.get(p, i.cast("int")) for p in parts)
+        return (x < F.col("a")) | ((x == F.col("a")) & ((y < F.col("b")) | ((y == F.col("b")) & (z <= F.col("c")))))
 
-def _range_of(splitters: list[Key], key: Column) -> Column:
-    """How many splitters are at most key: a search in two levels of about the square root of their number each."""
-    if not splitters:
-        return F.lit(0)
-    step = max(1, round(len(splitters) ** 0.5))
-    blocks = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    heads = F.array(*(_struct_lit(b[0]) for b in blocks))
-    lists = F.array(*(F.array(*map(_struct_lit, b)) for b in blocks))
-    block = F.size(F.filter(heads, lambda s: s <= key))
-    fine = F.size(F.filter(F.element_at(lists, F.greatest(block, F.lit(1))), lambda s: s <= key))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + fine)
+    return range_of(len(splitters), at_most)
 
 
 def _boundaries(drawn: list[tuple[Key, int]], n: int) -> list[Key]:
@@ -78,13 +72,12 @@ def shard_by_size(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
         "shard-light",
     )
     total, rows = light.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    key = F.struct("a", "b", "c")
     splitters: list[Key] = []
     n_ranges = min(MOST_RANGES, max(n_shards * RANGES_PER_SHARD, -(-rows // ROWS_PER_RANGE)))
     if rows:
         splitters = _boundaries(_draw(light, n_ranges * KEYS_PER_RANGE / total, 0), n_ranges)
     for attempt in range(ROUNDS):
-        ranged = light.withColumn("range", _range_of(splitters, key).cast("int"))
+        ranged = light.withColumn("range", _range_of(splitters).cast("int"))
         sums = {r.range: (r.bytes, r.rows) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
         over = [k for k, (b, n) in sums.items() if n > 1 and b > OVERFULL * total / n_ranges]
         if not over or attempt == ROUNDS - 1:
@@ -105,7 +98,7 @@ def shard_by_size(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
         before_b.append(b)
         before_n.append(n)
         b, n = b + sums.get(k, (0, 0))[0], n + sums.get(k, (0, 0))[1]
-    at = lambda xs: F.element_at(F.array(*(F.lit(x).cast("long") for x in xs)), F.col("range") + 1)
+    at = lambda xs: F.element_at(longs(xs), F.col("range") + 1)
     w = Window.partitionBy("range").orderBy("a", "b", "c")
     start = at(before_b) + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = ranged.select("id", "size", "crc", (at(before_n) + F.row_number().over(w) - 1).alias("rank"), start.alias("start"))
