@@ -51,3 +51,18 @@ def test_queries_like_their_sql(spark, data):
 
 def test_names():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from episodica.llm.common import drop_tables, durable, longs, range_of
+    from pyspark.sql import functions as F
+
+    path = durable(spark.range(3), "x").inputFiles()[0]
+    assert drop_tables(spark) > 0
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    cuts = [3, 7, 7, 20, 30, 41]
+    for n in range(len(cuts) + 1):
+        at = longs(cuts[:n])
+        got = spark.range(45).select("id", range_of(n, lambda i: F.get(at, i.cast("int")) <= F.col("id")).alias("r")).collect()
+        assert all(r.r == sum(c <= r.id for c in cuts[:n]) for r in got)
