@@ -23,8 +23,8 @@ def stripped(s: Column) -> Column:
 
 def byte_ids(text: Column) -> Column:
     """The tokenizer by default: a text's UTF-8 bytes as ids."""
-    h = F.hex(F.encode(text, "utf-8"))
-    return F.transform(V.indices(F.octet_length(text)), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    letters = F.split(F.decode(F.encode(text, "utf-8"), "ISO-8859-1"), "")  # a character for each byte
+    return F.transform(F.filter(letters, lambda c: c != ""), lambda c: F.ascii(c))
 
 
 def word_ids(buckets: int = 32_000) -> Tokenizer:
