@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from episodica import shipping
 
-ARROW_BYTES, _ARROW = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES, _ARROW = "6m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:

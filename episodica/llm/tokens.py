@@ -26,7 +26,7 @@ from episodica.llm.common import ship_package, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text taken at once: by a coder (more texts share more chunks), and by those who keep texts as Python objects.
-CODED_BYTES, SLICE_BYTES = 8_000_000, 2_000_000
+CODED_BYTES, SLICE_BYTES = 6_000_000, 2_000_000
 #: Marks that make a piece of their own after letters.
 MARKS = ".,"
 #: A word of Latin letters and a mark. Left out is the dotted capital I, which in lower case ends in an accent that joins the mark.
