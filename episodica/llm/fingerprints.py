@@ -17,15 +17,15 @@ from episodica.llm.common import longs, range_of
 
 #: Samples of a fingerprint; bits kept of a sample's identity (four fit a long).
 SAMPLES, ID_BITS = 64, 16
-#: Quantiles of Gamma(2, 1) and of its logarithm that stand for the distribution.
-QUANTILE_BITS = 9
+#: Bits of the first uniform number, which decides how small a can be; bits of a below 1.
+FIRST_BITS, A_BITS = 36, 41
 WHITE = r"[\x20\x09-\x0D]+"
 #: Ranges of ids for each shuffle partition, and ranges at most; the driver holds one id for each.
 RANGES_PER_PARTITION, MOST_RANGES = 4, 16_384
 
 
 def gamma2_quantiles(n: int) -> list[float]:
-    """The (i + 1/2) / n quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by Newton's method on its log tail."""
+    """The (i + 1/2) / n quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by Newton's method on its log tail: for tests."""
     out, x = [], 0.05
     for i in range(n):
         target = math.log1p(-(i + 0.5) / n)
@@ -62,21 +62,26 @@ def _counted(hashes: Column) -> Column:
 
 
 def sample_columns(h: Column, lw: Column, n: int = SAMPLES) -> list[Column]:
-    """For each sample a long whose order is that of ln a, with the sample's identity in the low 24 bits."""
-    qs = gamma2_quantiles(1 << QUANTILE_BITS)
-    lits = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>")  # noqa: E731  folded into one literal
-    gamma, log_gamma = lits(qs), lits([math.log(q) for q in qs])
-    mask = (1 << QUANTILE_BITS) - 1
+    """For each sample a long whose order is that of a, with the sample's identity in the low ID_BITS bits.
+
+    With uniforms u1 to u4, r = -ln(u1 u2) and b = 1 + ln(u1) / r are Gamma(2, 1) and uniform and independent, for a sum of two exponential
+    numbers is independent of its parts' shares. Then r (t - b + 1) = r t - ln u1, so a = -ln(u3 u4) u1 exp(-r t): one logarithm if t = 0,
+    as it is for all words that occur once. a is below 2^6 and kept in units of 2^-41; a text of W words has its least a near 1 / W.
+    """
+    uniform = lambda x, bits: (x.cast("double") + F.lit(0.5)) * F.lit(2.0**-bits)
+    low = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1))
     out = []
     for k in range(n):
         u = F.xxhash64(h, F.lit(k))
-        r = F.get(gamma, u.bitwiseAND(F.lit(mask)).cast("int"))
-        log_c = F.get(log_gamma, F.shiftright(u, QUANTILE_BITS).bitwiseAND(F.lit(mask)).cast("int"))
-        b = F.shiftrightunsigned(u, 24).cast("double") * F.lit(2.0**-40)
-        t = F.when(lw == 0, F.lit(0).cast("long")).otherwise(F.floor(lw / r + b))
-        log_a = log_c - r * (t - b + 1)
-        ident = F.shiftrightunsigned(u, 40).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFF))
-        out.append(F.shiftleft((log_a * F.lit(float(1 << 24))).cast("long"), 24).bitwiseOR(ident))
+        v = F.xxhash64(u)
+        u1, u2 = uniform(F.shiftrightunsigned(u, 64 - FIRST_BITS), FIRST_BITS), uniform(low(u, 64 - FIRST_BITS), 64 - FIRST_BITS)
+        u3, u4 = uniform(F.shiftrightunsigned(v, 32), 32), uniform(low(v, 32), 32)
+        r = -F.log(u1 * u2)
+        t = F.floor(F.lit(1.0) + (lw + F.log(u1)) / r)
+        a = -F.log(u3 * u4) * u1 * F.when(lw == 0, F.lit(1.0)).otherwise(F.exp(-r * t))
+        steps = (a * F.lit(2.0**A_BITS)).cast("long")
+        ident = F.shiftright(h, k % (64 - ID_BITS)).bitwiseXOR(steps)  # a term's a is another for each t
+        out.append(F.shiftleft(steps, ID_BITS).bitwiseOR(low(ident, ID_BITS)))
     return out
 
 

@@ -58,3 +58,28 @@ def test_odd_rows(odd_docs, no_docs, spark):
     one = P.compare_with_edits(spark.createDataFrame([(5, "abcd ef")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcdabc").hexdigest()
     assert P.fingerprint_documents(odd_docs).count() == odd_docs.count()
+
+
+def test_long_texts_of_skewed_counts(spark):
+    """Half of 30,000 words are 50 frequent ones, the rest occur once: pairs that share only these, or only those."""
+    n, pairs = 15_000, 12
+    common = lambda s: [f"c{s}_{i % 50}" for i in range(n)]
+    rare = lambda s: [f"r{s}_{i}" for i in range(n)]
+    rows = []
+    for p in range(pairs):
+        for kind, (a, b) in {"common": ((p, p), (p, -p - 1)), "rare": ((p, p), (-p - 1, p))}.items():
+            for side, (c, r) in enumerate((a, b)):
+                rows.append((f"{kind} {p} {side}", " ".join(common(f"{kind}{c}") + rare(f"{kind}{r}"))))
+    got = {r.doc_id: np.array(r.samples) for r in P.fingerprint_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for kind in ("common", "rare"):
+        same = [np.mean(got[f"{kind} {p} 0"] == got[f"{kind} {p} 1"]) for p in range(pairs)]
+        assert abs(np.mean(same) - 1 / 3) < 0.07, (kind, same)  # 768 samples: a deviation of 0.017
+
+
+def test_draws_are_gamma(spark):
+    """A single word's a is exponential with its count as rate, as far out as 20,000 draws reach."""
+    for w in (1, 7, 1000):
+        rows = spark.range(20_000).selectExpr("xxhash64(id) as h", f"ln({w}D) as lw")
+        a = np.sort([(r[0] >> P.ID_BITS) * 2.0**-P.A_BITS for r in rows.select(P.sample_columns(rows.h, rows.lw, 1)[0]).collect()]) * w
+        assert abs(a.mean() - 1) < 0.03 and np.abs(1 - np.exp(-a) - (np.arange(len(a)) + 0.5) / len(a)).max() < 0.012
+        assert a[0] < 1e-3 and a[-1] > 8
