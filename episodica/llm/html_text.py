@@ -16,14 +16,23 @@ from episodica.llm.tokens import slices
 
 #: Elements nested deeper than this are put into the one at that depth, so that no text is lost and no stack overflows.
 MOST_DEPTH = 200
-#: Cells are padded to at most this width, columns repeated by colspan at most this often.
-WIDEST_PAD, MOST_SPAN = 40, 100
+#: Columns repeated by colspan at most this often, and rows by rowspan (HTML's bound).
+MOST_SPAN, MOST_ROWS = 100, 65_534
+#: Bounds on the blanks of one table: beyond the first, cells are padded to WIDEST_PAD at most; beyond the second, rowspans are no more carried.
+MOST_PADDING, WIDEST_PAD, MOST_CARRIED = 4_000_000, 40, 1_000_000
 #: HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object svg math audio video canvas select".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas".split())
+#: What drawings and formulas hold without showing it, and the elements of these that hold HTML.
+FOREIGN_UNSEEN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+HTML_POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: HTML that ends a drawing or formula it begins in.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu".split())
 BLOCK = SPACED | frozenset("html body div article section nav aside header footer main address form li dt dd tr td th thead tbody tfoot caption figcaption details summary center legend dir hgroup search".split())
+#: Lines of their own that end no paragraph.
+LINES = frozenset("option optgroup".split())
 #: An open element of the second set, or of the last, is closed by the first's start; search goes up to an element of the third set.
 CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -36,6 +45,7 @@ CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "tbody": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
 #: A paragraph ends where one of these begins, and nothing ends it from outside these.
@@ -43,18 +53,43 @@ P_SCOPE = frozenset(["td", "th", "caption", "table", "button", "html"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEAD_ONLY = frozenset("meta link base title style script template noscript".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_INPUT = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
-_ATTR = {n: re.compile(rf"(?:^|\s){n}\s*=\s*[\"']?\s*(-?\d+)", re.I) for n in ("start", "value", "colspan")}
+_NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_VALUE = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"{0}[^\"]*+{1}(?:\"|\Z)|'{0}[^']*+{1}(?:'|\Z)|{0}[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+{1})?+"
+#: By HTML's rules a quote opens a string only where a value begins; possessive, so that no tag is read twice.
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{_NAME}(?:{_VALUE.format('', '')})?+)*+)(?:>|\Z)", re.S)
+_PAIR = re.compile(rf"({_NAME})(?:{_VALUE.format('(', ')')})?+")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_INTEGER = re.compile(r"[ \t\n\f\r]*([+-]?\d{1,9})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "depth", "kids", "tag")
+    __slots__ = ("attrs", "depth", "foreign", "kids", "tag", "unseen")
 
-    def __init__(self, tag: str, attrs: str = "", depth: int = 0):
-        self.tag, self.attrs, self.kids, self.depth = tag, attrs, [], depth
+    def __init__(self, tag: str, attrs: str = "", depth: int = 0, foreign: bool = False):
+        self.tag, self.attrs, self.kids, self.depth, self.foreign = tag, attributes(attrs), [], depth, foreign
+        self.unseen = tag in UNSEEN or (foreign and tag in FOREIGN_UNSEEN) or "hidden" in self.attrs or _no_display(self.attrs.get("style", ""))
+
+
+def attributes(source: str) -> dict[str, str]:
+    """Names, in lower case, and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    if source:
+        for m in _PAIR.finditer(source):
+            value = m.group(2) or m.group(3) or m.group(4) or ""
+            out.setdefault(m.group(1).lower(), html.unescape(value) if "&" in value else value)
+    return out
+
+
+def _no_display(style: str) -> bool:
+    """Whether declarations, of which the last important or else the last counts, take an element away."""
+    own: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub("", style).lower().split(";") if style else ():
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        if bool(mark) >= own.get(name.strip(), (False, ""))[0]:
+            own[name.strip()] = (bool(mark), value.strip())
+    return own.get("display", (False, ""))[1] == "none" or own.get("visibility", (False, ""))[1] in ("hidden", "collapse")
 
 
 def parse(source: str) -> Node:
@@ -86,6 +121,10 @@ def parse(source: str) -> Node:
         text(source[at : m.start()])
         at = m.end()
         if not m.group(2):
+            if stack[-1].foreign and source.startswith("<![CDATA[", m.start()):
+                end = source.find("]]>", m.start())
+                stack[-1].kids.append(source[m.start() + 9 : end if end >= 0 else n])
+                at = end + 3 if end >= 0 else n
             continue
         tag = m.group(2).lower()
         if m.group(1):
@@ -101,6 +140,15 @@ def parse(source: str) -> Node:
             continue
         if tag == "html":
             continue
+        if stack[-1].foreign and stack[-1].tag not in HTML_POINTS:
+            if tag not in BREAKOUT:
+                closed = m.group(3).endswith("/") and max((p.end() for p in _PAIR.finditer(m.group(3))), default=0) < len(m.group(3))
+                node = _open(stack, tag, m.group(3), True)
+                if not closed:
+                    stack.append(node)
+                continue
+            while stack[-1].foreign and stack[-1].tag not in HTML_POINTS:
+                stack.pop()
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             stack.pop()
         if tag in BLOCK and tag not in ("html", "body"):
@@ -116,7 +164,10 @@ def parse(source: str) -> Node:
             close(*CLOSES[tag])
             if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 stack.append(_open(stack, "tr", ""))
-        node = _open(stack, tag, m.group(3))
+        foreign = tag in ("svg", "math")
+        node = _open(stack, tag, m.group(3), foreign)
+        if foreign and m.group(3).endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
             body = source[at : end.start() if end else n]
@@ -127,10 +178,10 @@ def parse(source: str) -> Node:
     return root
 
 
-def _open(stack: list[Node], tag: str, attrs: str) -> Node:
+def _open(stack: list[Node], tag: str, attrs: str, foreign: bool = False) -> Node:
     while stack[-1].depth >= MOST_DEPTH:
         stack.pop()
-    node = Node(tag, attrs, stack[-1].depth + 1)
+    node = Node(tag, attrs, stack[-1].depth + 1, foreign)
     stack[-1].kids.append(node)
     return node
 
@@ -170,21 +221,21 @@ class Page:
         self.gap = max(self.gap, gap)
 
 
-def _number(name: str, attrs: str, default: int) -> int:
-    m = _ATTR[name].search(attrs) if attrs else None
-    return int(m.group(1)[:9]) if m else default
+def _number(name: str, attrs: dict[str, str], default: int) -> int:
+    m = _INTEGER.match(attrs[name]) if name in attrs else None
+    return int(m.group(1)) if m else default
 
 
 def _render(node: Node, page: Page, ordinal: list[int]) -> None:
     tag = node.tag
-    if tag in UNSEEN or (node.attrs and _HIDDEN.search(node.attrs)) or (tag == "input" and _INPUT.search(node.attrs)):
+    if node.unseen:
         return
     if tag == "br":
         page.run.append("\n")
         return
     if tag == "wbr":
         return
-    gap = 2 if tag in SPACED else 1 if tag in BLOCK else 0
+    gap = 2 if tag in SPACED else 1 if tag in BLOCK or tag in LINES or (node.foreign and tag == "text") else 0
     if tag in ("ul", "ol", "menu") and page.indent:
         gap = 1  # a list in a list stays close
     if gap:
@@ -229,7 +280,7 @@ def _children(node: Node, page: Page, ordinal: list[int]) -> None:
 
 
 def _plain(node: Node) -> str:
-    if node.tag in UNSEEN or (node.attrs and _HIDDEN.search(node.attrs)):
+    if node.unseen:
         return ""
     return "\n" if node.tag == "br" else "".join(k if isinstance(k, str) else _plain(k) for k in node.kids)
 
@@ -237,27 +288,44 @@ def _plain(node: Node) -> str:
 def _table(table: Node, page: Page) -> None:
     """Rows of cells under one another; what stands in a table outside its cells comes before it."""
     rows: list[list[list[str]]] = []
-    todo = list(reversed(table.kids))
+    held: dict[int, int] = {}  # rows that a cell from above still takes of a column
+    carried = 0
+    todo: list = list(reversed(table.kids))
     while todo:
         kid = todo.pop()
-        if isinstance(kid, str):
+        if kid is None:  # no cell reaches beyond its group of rows
+            held = {}
+        elif isinstance(kid, str):
             page.text(kid)
-        elif kid.tag in UNSEEN or (kid.attrs and _HIDDEN.search(kid.attrs)):
+        elif kid.unseen:
             continue
         elif kid.tag in ("thead", "tbody", "tfoot"):
+            held = {}
+            todo.append(None)
             todo += reversed(kid.kids)
         elif kid.tag == "tr":
             row: list[list[str]] = []
+            above, held = held, {c: k - 1 for c, k in held.items() if k > 1}
+
+            def place(lines: list[str], across: int = 1, down: int = 1) -> None:
+                nonlocal carried
+                while len(row) in above and carried < MOST_CARRIED:
+                    row.append([""])
+                    carried += 1
+                if down > 1:
+                    held.update((c, down - 1) for c in range(len(row), len(row) + across))
+                row.extend([lines] + [[""]] * (across - 1))
+
             for cell in kid.kids:
                 if isinstance(cell, str):
                     if not cell.isspace():
-                        row.append([_SPACE.sub(" ", cell).strip()])
-                elif cell.tag not in UNSEEN and not (cell.attrs and _HIDDEN.search(cell.attrs)):
+                        place([_SPACE.sub(" ", cell).strip()])
+                elif not cell.unseen:
                     own = Page()
                     _children(cell, own, []) if cell.tag in ("td", "th") else _render(cell, own, [])
                     own.flush()
-                    row.append(own.lines or [""])
-                    row += [[""]] * (min(MOST_SPAN, _number("colspan", cell.attrs, 1)) - 1)
+                    down = _number("rowspan", cell.attrs, 1)
+                    place(own.lines or [""], max(1, min(MOST_SPAN, _number("colspan", cell.attrs, 1))), MOST_ROWS if down == 0 else min(MOST_ROWS, down))
             if any(any(c) for c in row):
                 rows.append(row)
         else:
@@ -266,10 +334,12 @@ def _table(table: Node, page: Page) -> None:
     widths = [0] * max(map(len, rows), default=0)
     for row in rows:
         for i, cell in enumerate(row):
-            widths[i] = min(WIDEST_PAD, max(widths[i], *map(len, cell)))
+            widths[i] = max(widths[i], *map(len, cell))
+    if sum(max(map(len, row)) * sum(widths[: len(row) - 1]) for row in rows) > MOST_PADDING:
+        widths = [min(WIDEST_PAD, w) for w in widths]
     for row in rows:
         for k in range(max(map(len, row))):
-            page.put(["  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)).rstrip()])
+            page.put(["  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, [*widths[: len(row) - 1], 0], strict=True)).rstrip()])
 
 
 def render(source: str) -> str:

@@ -60,3 +60,31 @@ def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, "t"), (None, "<p>x", "t"), (2, "", "t"), (2, "", "t")], "page_id long, html string, text string")
     assert sorted(map(tuple, extract(df).collect()), key=repr) == sorted([(1, None, 0), (None, "x", 1), (2, "", 0), (2, "", 0)], key=repr)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_attributes_by_name():
+    for source in ('<p title="The hidden valley">see</p>', '<p alt="a hidden path" data-hidden>see</p>', "<p data-style='display:none'>see</p>", '<p style="backface-visibility: hidden">see</p>', '<p style="display:none; display:block">see</p>', "<p title='hidden'>see</p>"):
+        assert render(source) == "see"
+    for source in ("<p HIDDEN>no</p>", "<p hidden=''>no", "<p style=display:none>no</p>", "<p a=b/ hidden>no", '<p style="color: red; VISIBILITY : hidden !important">no'):
+        assert render(source) == ""
+    assert render("<p title=don't>visible one</p><p>visible two</p>") == "visible one\n\nvisible two"
+    assert render("<p title=a\"b>one</p><a href = 'x>y' b=\">\">two</a>") == "one\n\ntwo"
+    assert render("<!-->a<!--->b<!-- x --!>c") == "abc"
+    assert render("<p " + "a='" * 20_000) == "" and render("<p " + "a=b" * 20_000 + ">x") == "x"
+
+
+def test_formulas_drawings_and_options():
+    assert render("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><semantics><annotation>tex</annotation></semantics></math> holds") == "so x=1 holds"
+    assert render("<svg><title>t</title><defs><text>no</text></defs><path d='M0'/><style/><text>one</text><text>two <![CDATA[<3]]></text></svg>end") == "one\ntwo <3\nend"
+    assert render("<svg><g><p>out</p>side") == "out\n\nside"
+    assert render("<svg><foreignObject><p>in</p></foreignObject></svg>x") == "in\n\nx"
+    assert render("Pick <select><option>red<option selected>green<optgroup><option>blue</select> now") == "Pick\nred\ngreen\nblue\nnow"
+
+
+def test_rowspans_and_wide_cells():
+    assert render("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>") == "a  b  c\n   d  e\nf  g  h"
+    assert render("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>") == "a  b    c\nd       e\nf  g"
+    wide = "w" * 60
+    assert render(f"<table><tr><td>{wide}<td>x<tr><td>a<td>y</table>") == f"{wide}  x\n{'a'.ljust(60)}  y"
+    many = "<tr><td>" + "z" * 90 + "<td>x"
+    assert "x" in render("<table><tr>" + "<td rowspan=0 colspan=100>" * 200 + many * 300 + "</table>")
