@@ -127,9 +127,10 @@ class ChunkCoder:
     def code(self, texts: pa.Array) -> Coded:
         """texts: strings without null."""
         lowered = pc.ascii_lower(texts)
-        accents = pc.match_substring_regex(texts, "[\u0300-\u036f]")  # which lower-casing first might join to a letter
-        if pc.any(accents).as_py():
-            lowered = pc.if_else(accents, texts, lowered)
+        # accents, which lower-casing first might join to a letter, and special strings, which the library looks for in the text as it is
+        as_is = pc.match_substring_regex(texts, "[\u0300-\u036f]|<\\|")
+        if pc.any(as_is).as_py():
+            lowered = pc.if_else(as_is, texts, lowered)
         lists = pc.ascii_split_whitespace(lowered)
         chunks = lists.flatten().dictionary_encode()
         n, distinct = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), chunks.dictionary

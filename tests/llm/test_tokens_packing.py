@@ -49,6 +49,18 @@ def test_counts_and_fits(coder, docs):
                 assert r.fit_bytes == len(raw)
 
 
+def test_special_strings_in_mixed_case(spark, coder):
+    marks = ["<|EndOfText|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endoftext|>", "<|startoftext|>"]
+    texts = [f"{a}{m}{b}" for m in marks for a, b in (("", ""), ("Some WORDS ", " More, Words"), ("aB", "Cd."))] + ["No Mark", "a <| B |> C", " ".join(marks)]
+    x = coder.code(pa.array(texts))
+    ids, to, ends = x.all_ids(), np.concatenate([[0], np.cumsum(x.lens[x.index])]), np.cumsum(x.n)
+    assert [ids[to[e - k] : to[e]].tolist() for e, k in zip(ends, x.n)] == coder.encode(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in tokens.count_tokens(df, 3).collect():
+        n = len(coder.encode([texts[r.doc_id]])[0])
+        assert (r.n_tokens, r.over_limit) == (n, n > 3)
+
+
 def test_prefix_tables(coder, docs):
     for r in tokens.prefix_counts(docs.limit(5)).join(docs, "doc_id").collect():
         raw = r.text.encode()
