@@ -30,7 +30,7 @@ def _range_of(splitters: list[Key]) -> Column:
     return range_of(len(splitters), at_most)
 
 
-def _boundaries(drawn: list[tuple[Key, int]], n: int) -> list[Key]:
+def boundaries(drawn: list[tuple[Key, int]], n: int) -> list[Key]:
     """n - 1 keys that cut the drawn weight into n parts, fewer if keys repeat."""
     drawn = sorted(drawn)
     total, seen, out = sum(w for _, w in drawn), 0, []
@@ -41,7 +41,7 @@ def _boundaries(drawn: list[tuple[Key, int]], n: int) -> list[Key]:
     return out
 
 
-def _draw(rows: DataFrame, rate: float, salt: int) -> list[tuple[Key, int]]:
+def draw(rows: DataFrame, rate: float, salt: int) -> list[tuple[Key, int]]:
     """A key comes floor(size * rate + u) times, u uniform by hash: sum(size) * rate times in all, so the driver gets a bounded list."""
     u = F.pmod(F.xxhash64("a", "b", "c", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     hits = F.floor(F.col("size") * F.lit(rate) + u).cast("long")
@@ -75,20 +75,20 @@ def shard_by_size(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     splitters: list[Key] = []
     n_ranges = min(MOST_RANGES, max(n_shards * RANGES_PER_SHARD, -(-rows // ROWS_PER_RANGE)))
     if rows:
-        splitters = _boundaries(_draw(light, n_ranges * KEYS_PER_RANGE / total, 0), n_ranges)
+        splitters = boundaries(draw(light, n_ranges * KEYS_PER_RANGE / total, 0), n_ranges)
     for attempt in range(ROUNDS):
         ranged = light.withColumn("range", _range_of(splitters).cast("int"))
         sums = {r.range: (r.bytes, r.rows) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
         over = [k for k, (b, n) in sums.items() if n > 1 and b > OVERFULL * total / n_ranges]
         if not over or attempt == ROUNDS - 1:
             break
-        drawn = _draw(ranged.filter(F.col("range").isin(over)), n_ranges * KEYS_PER_RANGE * 4 / total, attempt + 1)
+        drawn = draw(ranged.filter(F.col("range").isin(over)), n_ranges * KEYS_PER_RANGE * 4 / total, attempt + 1)
         more = set(splitters)
         for k in over:
             lo, hi = splitters[k - 1] if k else None, splitters[k] if k < len(splitters) else None
             own = [(x, w) for x, w in drawn if (lo is None or x >= lo) and (hi is None or x < hi)]
             if own:
-                more.update(_boundaries(own, -(-int(sums[k][0] * n_ranges) // total) + 1))
+                more.update(boundaries(own, -(-int(sums[k][0] * n_ranges) // total) + 1))
         if len(more) == len(splitters):
             break
         splitters = sorted(more)

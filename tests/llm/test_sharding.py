@@ -52,5 +52,5 @@ def test_equal_rows_all_stay(spark):
 
 def test_boundaries_cut_the_weight():
     keys = [((i, 0, 0), 1 + i % 3) for i in range(100)]
-    cuts = sharding._boundaries(keys, 10)
+    cuts = sharding.boundaries(keys, 10)
     assert cuts == sorted(set(cuts)) and 7 <= len(cuts) <= 9
