@@ -53,7 +53,13 @@ def _vector(x: Column, s: Scaling, one: Callable[[str, Column, Column, Column],
         return x
     low, high = (s.stats["mean"], s.stats["std"]) if s.kind == "meanstd" else s.bounds()
     lits = lambda v: F.array(*(F.lit(float(i)) for i in v))
-    return F.transform(F.arrays_zip(x.alias("x"), lits(low).alias("a"), lits(high).alias("b")), lambda z: one(s.kind, z["x"], z["a"], z["b"]))
+    # vectors of the expected width stay in generated code
+    plain = F.array(*(one(s.kind, F.get(x, F.lit(i)), F.lit(float(a)), F.lit(float(b))) for i, (a, b) in enumerate(zip(low, high, strict=True))))
+    return F.when(F.size(x) == len(low), plain).otherwise(_zipped(x, s, one, lits(low), lits(high)))
+
+
+def _zipped(x: Column, s: Scaling, one: Callable[[str, Column, Column, Column], Column], low: Column, high: Column) -> Column:
+    return F.transform(F.arrays_zip(x.alias("x"), low.alias("a"), high.alias("b")), lambda z: one(s.kind, z["x"], z["a"], z["b"]))
 
 
 def normalized(x: Column, s: Scaling) -> Column:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.durable import durable
+from episodica.operators.ranks import with_group_table
+
 #: The quantiles kept in statistics.
 QUANTILES = {"q01": 0.01, "q99": 0.99, "q02": 0.02, "q98": 0.98}
+#: A sketch's ranks are off by at most one part in so many.
+ACCURACY = 10_000
+SMALL = 2 * ACCURACY
 
 
 def long_form(df: DataFrame, vectors: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -17,12 +23,61 @@ def long_form(df: DataFrame, vectors: Sequence[str], keep: Sequence[str] = ()) -
     return df.select(*keep, rows.alias("__f")).select(*keep, "__f.feature", F.posexplode("__f.__v").alias("dim", "value"))
 
 
+def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float], others: Sequence[Column] = ()) -> DataFrame:
+    """by, a column for each quantile (exact, linear between neighbours) and the other aggregates, named, of each group.
+
+    A first pass aggregates, and brackets each quantile by a sketch of bounded size, whose ranks are off by less than one part in ACCURACY (in
+    a group of fewer than SMALL values, where that may be less than a rank, by the least and greatest value). The second counts what lies below a bracket (above it for upper quantiles, whose values change sign for that) and selects within it: of a
+    group of n values, a task sees some n / 2,500 distinct ones. A value that repeats is counted before the shuffle. Nulls don't count; a
+    group without values has null quantiles.
+    """
+    x, slack = F.col(value).cast("double"), 2.0 / ACCURACY
+    ends = [min(1.0, max(0.0, q + d)) for q in quantiles.values() for d in (-slack, slack)]
+    first = rows.groupBy(*by).agg(F.count(x).alias("__n"), F.percentile_approx(x, ends, ACCURACY).alias("__b"), F.min(x).alias("__least"), F.max(x).alias("__most"), *others)
+    first = durable(first, "brackets")
+    signs = [-1.0 if q > 0.5 else 1.0 for q in quantiles.values()]
+    small = F.col("__n") < SMALL
+    found = lambda i, k: F.when(small, F.col("__most" if k else "__least")).otherwise(F.get("__b", F.lit(2 * i + k)))
+    end = lambda i, k, s: found(i, k if s > 0 else 1 - k) * s
+    spans = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("sign"), end(i, 0, s).alias("low"), end(i, 1, s).alias("high")) for i, s in enumerate(signs)))
+    named = rows.select(*by, x.alias("__x")).filter("__x is not null")
+    near = with_group_table(named, first.select(*by, spans.alias("__s")), by)
+    # below a bracket only the number counts, so all such values are one
+    hit = F.filter("__s", lambda s: F.col("__x") * s["sign"] <= s["high"])
+    placed = F.transform(hit, lambda s: F.struct(s["i"].alias("i"), F.when(F.col("__x") * s["sign"] >= s["low"], F.col("__x") * s["sign"]).alias("v")))
+    counted = near.select(*by, F.explode(placed).alias("__p")).groupBy(*by, F.col("__p.i").alias("__i"), F.col("__p.v").alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*by, "__i").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("__to", F.sum("__c").over(w))
+    sizes = first.select(*(F.col(c).alias(f"__h{i}") for i, c in enumerate(by)), "__n")
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__h{i}"))
+    counted = counted.join(sizes, on)
+    q = F.element_at(F.array(*(F.lit(float(v)) for v in quantiles.values())), F.col("__i") + 1)
+    sign, rank = F.when(q > 0.5, -1.0).otherwise(1.0), q * (F.col("__n") - 1)
+    rank = F.when(q > 0.5, F.col("__n") - 1 - rank).otherwise(rank)
+    at = lambda r: F.min(F.when(F.col("__to") > r, F.col("__v")))
+    ends_ = counted.groupBy(*by, "__i").agg(at(F.floor(rank)).alias("__floor"), at(F.ceil(rank)).alias("__ceil"), F.first(rank - F.floor(rank)).alias("__f"), F.first(sign).alias("__sign"))
+    between = ends_.withColumn("__q", F.when(F.col("__floor") == F.col("__ceil"), F.col("__floor")).otherwise(F.col("__floor") + (F.col("__ceil") - F.col("__floor")) * F.col("__f")))
+    wide = between.groupBy(*by).agg(*(F.max(F.when(F.col("__i") == i, F.col("__q") * F.col("__sign"))).alias(n) for i, n in enumerate(quantiles)))
+    wide = wide.select(*(F.col(c).alias(f"__h{i}") for i, c in enumerate(by)), *quantiles)
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & first[c].eqNullSafe(F.col(f"__h{i}"))
+    return first.join(wide, on, "left").drop("__n", "__b", "__least", "__most", *(f"__h{i}" for i in range(len(by))))
+
+
 def exact_stats(rows: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """mean, std (population), min, max, exact quantiles with linear interpolation, count."""
+    """mean, std (population), min, max, exact quantiles with linear interpolation, count; of groups of any size."""
     x = F.col(value).cast("double")
-    qs = F.percentile(x, F.array(*map(F.lit, QUANTILES.values())))
-    out = rows.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), qs.alias("__q"), F.count(x).alias("count"))
-    return out.select(*by, "mean", "std", "min", "max", *(F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)), "count")
+    plain = [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("count")]
+    return exact_quantiles(rows, by, value, QUANTILES, plain).select(*by, "mean", "std", "min", "max", *QUANTILES, "count")
+
+
+def plain_stats(rows: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """mean, std (population), min, max, count: one pass, without quantiles."""
+    x = F.col(value).cast("double")
+    return rows.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("count"))
 
 
 def sketched_stats(rows: DataFrame, by: Sequence[str], value: str = "value", accuracy: int = 10_000) -> DataFrame:
@@ -79,14 +134,18 @@ def in_bins(rows: DataFrame, value: Column, bins: Sequence[tuple[str, float, flo
 
 def joint_errors(rows: DataFrame, by: Sequence[str], error: Column) -> DataFrame:
     """mae, rmse and the 95th percentile of the absolute error, in degrees."""
-    e = F.degrees(error.cast("double"))
-    return rows.groupBy(*by).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(F.abs(e), F.lit(0.95)).alias("p95"))
+    e = F.abs(F.degrees(error.cast("double")))
+    rows = rows.select(*by, e.alias("__e"))
+    e = F.col("__e")
+    return exact_quantiles(rows, by, "__e", {"p95": 0.95}, [F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")]).select(*by, "mae", "rmse", "p95")
 
 
 def summary(rows: DataFrame, by: Sequence[str], value: str, above: float = 1.0) -> DataFrame:
     """count, mean, median, std (population), p95, max and how many are above a bound."""
     x = F.col(value).cast("double")
-    return rows.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.percentile(x, F.lit(0.95)).alias("p95"), F.max(x).alias("max"), F.count_if(x > above).alias("above"))
+    plain = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.max(x).alias("max"), F.count_if(x > above).alias("above")]
+    out = exact_quantiles(rows, by, value, {"median": 0.5, "p95": 0.95}, plain)
+    return out.select(*by, "count", "mean", "median", "std", "p95", "max", "above")
 
 
 def step_bins(rows: DataFrame, step: str, value: str, size: int) -> DataFrame:
@@ -95,10 +154,9 @@ def step_bins(rows: DataFrame, step: str, value: str, size: int) -> DataFrame:
 
 
 def argmax(rows: DataFrame, by: Sequence[str], value: Column, place: Sequence[str]) -> DataFrame:
-    """The greatest absolute value of a group and the first place, in the order of place, that has it."""
-    peak = rows.groupBy(*by).agg(F.max(F.abs(value)).alias("peak"))
-    at = rows.join(peak, list(by)).filter(F.abs(value) == F.col("peak"))
-    return at.groupBy(*by).agg(F.first("peak").alias("peak"), F.min(F.struct(*place)).alias("__p")).select(*by, "peak", *(F.col(f"__p.{p}").alias(p) for p in place))
+    """The greatest absolute value of a group and the first place, in the order of place, that has it; nulls count only where there is nothing else."""
+    best = F.min(F.struct(F.coalesce(-F.abs(value), F.lit(float("inf"))).alias("least"), F.abs(value).alias("peak"), *place)).alias("__p")
+    return rows.groupBy(*by).agg(best).select(*by, F.col("__p.peak").alias("peak"), *(F.col(f"__p.{p}").alias(p) for p in place))
 
 
 def two_level_mean(rows: DataFrame, outer: Sequence[str], inner: Sequence[str], value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.operators.ranks import numbered
 from episodica.operators.windows import running_offsets
 
 
@@ -31,14 +32,8 @@ def rates_differ(info: DataFrame, fps: str = "fps") -> DataFrame:
 def merged_tasks(tasks: DataFrame, source: str, index: str, text: str) -> DataFrame:
     """source, index and new_index: tasks of one text share an index, in the order of first (source, index)."""
     first = tasks.groupBy(text).agg(F.min(F.struct(source, index)).alias("__first"))
-    numbered = running_offsets(first.withColumn("__key", F.dense_rank().over(_by("__first"))).withColumn("__one", F.lit(1)), "__key", "__one")
-    return tasks.join(numbered.select(text, F.col("new_index")), text)
-
-
-def _by(col: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(col)  # tasks are a dimension: thousands of texts
+    ranked = numbered(first, ["__first"], "new_index").select(text, (F.col("new_index") - 1).alias("new_index"))
+    return tasks.join(ranked, text)
 
 
 def reindexed(episodes: DataFrame, key: str, size: str, order_cols: Sequence[str] = ()) -> DataFrame:
@@ -131,8 +126,6 @@ def merged(sources: dict[str, tuple[DataFrame, DataFrame]], key: str, frame: str
     """(episodes, frames) of several sources as one dataset: schemas are checked, episodes get contiguous numbers and offsets in the order of the
     sources' names and their own keys, frames follow. Stats and tasks are merged by weighted_stats and merged_tasks.
     """
-    from pyspark.sql import Window
-
     names = sorted(sources)
     same_schema(*(sources[n][0] for n in names))
     same_schema(*(sources[n][1] for n in names))
@@ -140,8 +133,7 @@ def merged(sources: dict[str, tuple[DataFrame, DataFrame]], key: str, frame: str
     for n in names:
         e, f = (x.withColumn("source", F.lit(n)) for x in sources[n])
         episodes, frames = (e, f) if episodes is None else (episodes.unionByName(e), frames.unionByName(f))
-    numbered = episodes.withColumn("__key", F.row_number().over(Window.orderBy("source", key)))  # a row for each episode
-    numbered = reindexed(numbered, "__key", size).drop("__key")
-    m = numbered.select("source", F.col(key).alias("__k"), "new_index", "from_index")
+    placed = reindexed(numbered(episodes, ["source", key], "__key"), "__key", size).drop("__key")
+    m = placed.select("source", F.col(key).alias("__k"), "new_index", "from_index")
     out = frames.join(m, (frames["source"] == m["source"]) & (frames[key] == m["__k"])).drop(m["source"]).drop("__k")
-    return numbered, out.withColumn("episode_index", F.col("new_index")).withColumn("index", F.col("from_index") + F.col(frame)).drop("new_index", "from_index")
+    return placed, out.withColumn("episode_index", F.col("new_index")).withColumn("index", F.col("from_index") + F.col(frame)).drop("new_index", "from_index")

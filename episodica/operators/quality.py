@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.functions.vectors import all_finite
+from episodica.operators.ranks import numbered
 
 
 def integrity(frames: DataFrame, episodes: DataFrame, key: str, frame: str, size: str, vectors: Sequence[str] = (), width: int | None = None) -> DataFrame:
@@ -26,8 +27,10 @@ def integrity(frames: DataFrame, episodes: DataFrame, key: str, frame: str, size
 
 def offset_violations(episodes: DataFrame, key: str, low: str, high: str) -> DataFrame:
     """Episodes that do not begin where the one before ends; the first must begin at 0."""
-    before = F.lag(high, 1, 0).over(Window.orderBy(key))  # one row for each episode
-    return episodes.withColumn("expected", before).filter(F.col(low) != F.col("expected"))
+    placed = numbered(episodes, [key], "__place")
+    ends = placed.select((F.col("__place") + 1).alias("__place"), F.col(high).alias("expected"))
+    both = placed.join(ends, "__place", "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
+    return both.filter(F.col(low) != F.col("expected")).drop("__place")
 
 
 def clock_violations(frames: DataFrame, frame: str, ts: str, fps: float, tolerance: float = 1e-4) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.operators.ranks import borders, first_by_hash, mark_by_hash, numbered
+
 
 def hash_order(id_: Column, seed: int) -> Column:
     """md5 of id|seed: sorts rows at random, alike in every engine."""
@@ -14,10 +16,10 @@ def hash_order(id_: Column, seed: int) -> Column:
 
 
 def split(df: DataFrame, id_col: str, group: Sequence[str], share: float, seed: int, out: str = "is_test") -> DataFrame:
-    """A share of each group, rounded half to even, is test."""
-    w = Window.partitionBy(*group)
-    rank = F.row_number().over(w.orderBy(hash_order(F.col(id_col), seed), id_col))
-    return df.withColumn(out, rank <= F.bround(F.count("*").over(w) * F.lit(share)))
+    """A share of each group, rounded half to even, is test. A group of any size is split where it is read, but for a slice of its hashes."""
+    h = hash_order(F.col(id_col), seed)
+    groups = borders(df, h, group, F.bround(F.col("n") * F.lit(share)).cast("long"))
+    return mark_by_hash(df, h, id_col, group, groups, out)
 
 
 def quotas(df: DataFrame, group: Sequence[str], total: Column) -> DataFrame:
@@ -31,24 +33,27 @@ def quotas(df: DataFrame, group: Sequence[str], total: Column) -> DataFrame:
     return base.withColumn("quota", (F.col("__base") + F.when(rank <= left, 1).otherwise(0)).cast("long")).select(*group, "n", "quota")
 
 
+def _asked(df: DataFrame, group: Sequence[str], total: Column) -> DataFrame:
+    return quotas(df, group, total).select(*group, F.col("quota").alias("wanted"))
+
+
 def stratified_split(df: DataFrame, id_col: str, group: Sequence[str], share: float, seed: int, out: str = "is_test") -> DataFrame:
     """round(all * share) rows are test, dealt to the groups by largest remainders."""
-    q = quotas(df, group, F.bround(F.col("__all") * F.lit(share)))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(hash_order(F.col(id_col), seed), id_col))
-    return df.join(F.broadcast(q), list(group)).withColumn(out, rank <= F.col("quota")).drop("n", "quota")
+    h = hash_order(F.col(id_col), seed)
+    groups = borders(df, h, group, _asked(df, group, F.bround(F.col("__all") * F.lit(share))))
+    return mark_by_hash(df, h, id_col, group, groups, out)
 
 
 def stratified_sample(df: DataFrame, id_col: str, group: Sequence[str], size: int, seed: int) -> DataFrame:
     """size rows, dealt to the groups by largest remainders."""
-    q = quotas(df, group, F.lit(size))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(hash_order(F.col(id_col), seed), id_col))
-    return df.join(F.broadcast(q), list(group)).withColumn("__r", rank).filter("__r <= quota").drop("n", "quota", "__r")
+    h = hash_order(F.col(id_col), seed)
+    return first_by_hash(df, h, id_col, group, borders(df, h, group, _asked(df, group, F.lit(size))), "__r").drop("__r")
 
 
 def balanced_sample(df: DataFrame, id_col: str, group: Sequence[str], k: int, seed: int, out: str = "rank") -> DataFrame:
     """k rows of each group, numbered."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(hash_order(F.col(id_col), seed), id_col))
-    return df.withColumn(out, rank).filter(F.col(out) <= k)
+    h = hash_order(F.col(id_col), seed)
+    return first_by_hash(df, h, id_col, group, borders(df, h, group, F.lit(k).cast("long")), out)
 
 
 def interleaved(ranked: DataFrame, rank: str, group: str) -> DataFrame:
@@ -57,9 +62,9 @@ def interleaved(ranked: DataFrame, rank: str, group: str) -> DataFrame:
 
 
 def batches(df: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
-    """Rows in hash order, numbered, in batches of `size`. Ranks over the whole table: for job lists, not for data."""
-    n = F.row_number().over(Window.orderBy(hash_order(F.col(id_col), seed), id_col)) - 1
-    return df.withColumn("position", n.cast("long")).withColumn("batch", F.floor(F.col("position") / size).cast("long"))
+    """Rows in hash order, numbered from 0, in batches of `size`."""
+    out = numbered(df, [hash_order(F.col(id_col), seed), id_col], "position").withColumn("position", F.col("position") - 1)
+    return out.withColumn("batch", F.floor(F.col("position") / size).cast("long"))
 
 
 def without_batches_of(batched: DataFrame, bad: Column) -> DataFrame:
@@ -73,6 +78,6 @@ def shard(df: DataFrame, id_col: str, rank: int, n_ranks: int) -> DataFrame:
     return df.filter(F.pmod(F.col(id_col) * F.lit(2654435761) + 42, F.lit(4294967296)) % n_ranks == rank)
 
 
-def hash_shuffle(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """All rows in hash order."""
-    return df.orderBy(hash_order(F.col(id_col), seed), id_col)
+def hash_shuffle(df: DataFrame, id_col: str, seed: int, out: str = "place") -> DataFrame:
+    """All rows with their place, from 1, in hash order."""
+    return numbered(df, [hash_order(F.col(id_col), seed), id_col], out)

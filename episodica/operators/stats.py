@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodica.operators.ranks import suffix_least
+
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The continued fraction of the incomplete beta function, by Lentz's method, on arrays."""
@@ -86,8 +88,14 @@ def cohen_d(tested: DataFrame, out: str = "d") -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, order: Sequence[str], out: str = "q", family: Sequence[str] = ()) -> DataFrame:
-    """q = min over p's not below of p m / rank, at most 1; p that are null or not finite count as 1. A family is one task: it is a table of tests."""
+    """q = min over p's not below of p m / rank, at most 1; p that are null or not finite count as 1.
+
+    Without a family the whole table is one, of any size: ranks and minima are found by ranges. A family given by columns is one task.
+    """
     df = df.withColumn("__p", F.when(F.col(p).isNull() | F.isnan(p) | (F.abs(F.col(p)) == float("inf")), 1.0).otherwise(F.col(p)))
+    if not family:
+        least = suffix_least(df, F.col("__p") * F.col("__rows") / F.col("__rank"), ["__p", *order], out)
+        return least.withColumn(out, F.least(F.lit(1.0), F.col(out))).drop("__p")
     w = Window.partitionBy(*family)
     df = df.withColumn("__r", F.row_number().over(w.orderBy("__p", *order))).withColumn("__m", F.count("*").over(w))
     q = F.min(F.col("__p") * F.col("__m") / F.col("__r")).over(w.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0))

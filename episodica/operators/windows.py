@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from episodica.operators.ranks import numbered
+
 
 def episode(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -142,18 +144,25 @@ def top_k(df: DataFrame, k: int, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def slots(df: DataFrame, group: str, order: Sequence[str], out: str = "slot") -> DataFrame:
-    """Where a row stands if groups are laid one after the other: its group's start plus its rank in the group."""
-    starts = df.groupBy(group).count().withColumn("__start", F.sum("count").over(Window.orderBy(group)) - F.col("count")).drop("count")
-    df = df.join(F.broadcast(starts), group) if starts.count() <= 100_000 else df.join(starts, group)
-    return df.withColumn(out, F.col("__start") + F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).drop("__start")
+    """Where a row stands, from 0, if groups are laid one after the other in their order: ranks by ranges, so a group may be of any size."""
+    return numbered(df, [group, *order], out).withColumn(out, F.col(out) - 1)
 
 
 def block_mask(df: DataFrame, keys: Sequence[str], position: str, starts_block: Column, valid: Column) -> DataFrame:
-    """query, key pairs of positions that may attend: the key's block number is at most the query's, and both are valid."""
+    """For each valid position (query): until, the last position it may attend to, and allowed, how many valid ones that are.
+
+    A key is allowed if its block's number is at most the query's, and both are valid. Blocks are numbered along the sequence, so what a query
+    may see is what is valid up to its block's end: the mask is a row for each query, not for each pair. mask_row() writes one out.
+    """
     df = df.withColumn("__b", F.sum(starts_block.cast("int")).over(episode(keys, [position]))).filter(valid)
-    q = df.select(*keys, F.col(position).alias("query"), F.col("__b").alias("__qb"))
-    k = df.select(*keys, F.col(position).alias("key"), F.col("__b").alias("__kb"))
-    return q.join(k, list(keys)).filter(F.col("__kb") <= F.col("__qb")).select(*keys, "query", "key")
+    block = Window.partitionBy(*keys, "__b")
+    ranked = df.withColumn("__r", F.row_number().over(episode(keys, [position])))
+    return ranked.select(*keys, F.col(position).alias("query"), F.max(position).over(block).alias("until"), F.max("__r").over(block).cast("long").alias("allowed"))
+
+
+def mask_row(positions: Column, until: Column) -> Column:
+    """Whether each of an array of valid positions may be attended to."""
+    return F.transform(positions, lambda k: k <= until)
 
 
 def previous(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], out: str = "previous") -> DataFrame:
