@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,12 +19,14 @@ class BudgetBuffer:
 
     def __init__(self, items: list[tuple[int, int]] | None = None):
         self.items = items or []
+        self.total = sum(n for _, n in self.items)
 
     def add(self, id_: int, length: int) -> None:
         self.items.append((id_, length))
+        self.total += length
 
     def tokens(self) -> int:
-        return sum(n for _, n in self.items)
+        return self.total
 
     def take(self, budget: int, force: bool = True) -> list[tuple[int, int]]:
         """An empty buffer, or one with nothing that fits, gives an empty batch."""
@@ -38,6 +41,7 @@ class BudgetBuffer:
             else:
                 left.append((id_, n))
         self.items = left
+        self.total -= used
         return taken
 
     def ready(self, buffer_size: int, budget: int) -> bool:
@@ -49,49 +53,146 @@ def usable(samples: DataFrame, ids: str) -> DataFrame:
     return samples.filter((F.size(ids) != 1) & F.exists(ids, lambda x: x != 0))
 
 
-def packed_by_budget(samples: DataFrame, id_col: str, length: str, shard: str, budget: int, buffer_size: int) -> DataFrame:
+def _in_order(samples: DataFrame, keys: Sequence[str], id_col: str, size: str) -> DataFrame:
+    """Keys, ids and sizes, each key in one partition and in the order of ids."""
+    light = samples.select(*keys, F.col(id_col).cast("long").alias(id_col), F.col(size).cast("long").alias(size))
+    return light.repartition(*keys).sortWithinPartitions(*keys, id_col)
+
+
+class BatchingStrategy(Protocol):
+    """What decides which samples make a batch. BudgetBuffer is one; packed_by_budget takes any."""
+
+    items: list[tuple[int, int]]
+
+    def add(self, id_: int, length: int) -> None: ...
+
+    def take(self, budget: int) -> list[tuple[int, int]]: ...
+
+    def ready(self, buffer_size: int, budget: int) -> bool: ...
+
+
+def packed_by_budget(
+    samples: DataFrame, id_col: str, length: str, shard: str, budget: int, buffer_size: int, strategy: Callable[[], BatchingStrategy] = BudgetBuffer
+) -> DataFrame:
     """shard, batch, place, id, length: greedy batches of at most `budget` tokens from a buffer of buffer_size samples, in id order by shard.
 
     Which sample is next depends on all before it, so a shard is one sequential task; shards are the caller's and as many as wanted. The
-    rest of a shard is flushed at its end. The pandas frame holds ids and lengths alone.
+    rest of a shard is flushed at its end. A task streams over its sorted ids and lengths and holds the buffer alone.
     """
     schema = T.StructType([samples.schema[shard], T.StructField("batch", T.LongType()), T.StructField("place", T.LongType()), T.StructField(id_col, T.LongType()), T.StructField(length, T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from episodica.operators.batching import BudgetBuffer
-
-        buffer, out, batch = BudgetBuffer(), [], 0
-        key = pdf[shard].iloc[0]
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buffer, batch, key, begun, out = strategy(), 0, None, False, []
 
         def emit() -> None:
             nonlocal batch
-            for k, (i, n) in enumerate(buffer.take(budget)):
-                out.append((key, batch, k, i, n))
+            out.extend((key, batch, k, i, n) for k, (i, n) in enumerate(buffer.take(budget)))
             batch += 1
 
-        for i, n in pdf.sort_values(id_col)[[id_col, length]].itertuples(index=False):
-            buffer.add(int(i), int(n))
-            while buffer.ready(buffer_size, budget):
-                emit()
+        for pdf in frames:
+            for own, i, n in zip(pdf[shard].tolist(), pdf[id_col].tolist(), pdf[length].tolist(), strict=True):
+                if begun and not _same(own, key):
+                    while buffer.items:
+                        emit()
+                    batch = 0
+                key, begun = own, True
+                buffer.add(i, n)
+                while buffer.ready(buffer_size, budget):
+                    emit()
+            yield pd.DataFrame(out, columns=schema.names)
+            out.clear()
         while buffer.items:
             emit()
-        return pd.DataFrame(out, columns=schema.names)
+        yield pd.DataFrame(out, columns=schema.names)
 
-    return samples.select(shard, F.col(id_col).cast("long").alias(id_col), F.col(length).cast("long").alias(length)).groupBy(shard).applyInPandas(run, schema)
+    return _in_order(samples, [shard], id_col, length).mapInPandas(run, schema)
 
 
-def next_fit(samples: DataFrame, id_col: str, size: str, keys: Sequence[str], limit: int) -> DataFrame:
-    """Sequential bins without skipping: a new one where the sum would pass the limit and is not 0. An ordered fold of ids and sizes by key."""
-    state = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,bin:bigint>>").alias("out"))
+def dynamic_batches(
+    samples: DataFrame, id_col: str, length: str, shard: str, budget: int, buffer_size: int, micro_batches: int, steps: int, drop_last: bool = False
+) -> DataFrame:
+    """shard, step, micro_batch, place, id, length, padding_flag: `steps` steps of `micro_batches` greedy batches each, by shard.
 
-    def step(acc, x):
-        new = (acc["used"] != 0) & (acc["used"] + x["s"] > limit)
-        bin_ = acc["bin"] + new.cast("long")
-        return F.struct(bin_.alias("bin"), F.when(new, x["s"]).otherwise(acc["used"] + x["s"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("id"), bin_.alias("bin")))).alias("out"))
+    A shard that ends before has its samples again, the buffer going on. With no steps asked for (0), what is in the buffer at the end is flushed
+    unless drop_last, and a last step is filled up with copies of the last batch, which carry the padding flag. A task holds the ids and
+    lengths of one shard, which are the caller's and as many as wanted.
+    """
+    schema = T.StructType([
+        samples.schema[shard], T.StructField("step", T.LongType()), T.StructField("micro_batch", T.LongType()), T.StructField("place", T.LongType()),
+        T.StructField(id_col, T.LongType()), T.StructField(length, T.LongType()), T.StructField("padding_flag", T.BooleanType()),
+    ])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from episodica.operators.batching import planned_steps
+
+        pdf = pdf.sort_values([id_col, length])
+        items = list(zip(pdf[id_col].tolist(), pdf[length].tolist(), strict=True))
+        rows = [(pdf[shard].iloc[0], *r) for r in planned_steps(items, budget, buffer_size, micro_batches, steps, drop_last)]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    light = samples.select(shard, F.col(id_col).cast("long").alias(id_col), F.col(length).cast("long").alias(length))
+    return light.groupBy(shard).applyInPandas(run, schema)
+
+
+def planned_steps(items: list[tuple[int, int]], budget: int, buffer_size: int, micro_batches: int, steps: int, drop_last: bool) -> Iterator[tuple]:
+    """(step, micro_batch, place, id, length, padding_flag) of one shard's samples in order."""
+    buffer, made, step, latest = BudgetBuffer(), [], 0, []
+
+    def take() -> Iterator[tuple]:
+        nonlocal latest
+        latest = buffer.take(budget)
+        made.append(latest)
+        if len(made) == micro_batches:
+            yield from finished()
+
+    def finished() -> Iterator[tuple]:
+        nonlocal made, step
+        for m in range(micro_batches):
+            batch = made[m] if m < len(made) else latest
+            yield from ((step, m, k, i, n, m >= len(made)) for k, (i, n) in enumerate(batch))
+        made, step = [], step + 1
+
+    while items:
+        for item in [*items, None]:  # a batch is looked for before each sample, and before the end is seen
+            if buffer.ready(buffer_size, budget):
+                yield from take()
+                if steps and step >= steps:
+                    return
+            if item:
+                buffer.add(*item)
+        if step >= steps:
+            break
+    if buffer.items and not drop_last:
+        while buffer.items:
+            yield from take()
+        yield from finished()
+
+
+def _same(a, b) -> bool:
+    return a == b or (pd.isna(a) and pd.isna(b))
+
+
+def next_fit(samples: DataFrame, id_col: str, size: str, keys: Sequence[str], limit: int) -> DataFrame:
+    """Sequential bins without skipping: a new one where the sum would pass the limit and is not 0. A stream over the sorted ids and sizes of a key."""
+    schema = T.StructType([*(samples.schema[k] for k in keys), T.StructField(id_col, T.LongType()), T.StructField("bin", T.LongType())])
+    keys = list(keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from episodica.operators.batching import _same
+
+        key, used, place = None, 0, 0
+        for pdf in frames:
+            bins = []
+            for *own, n in zip(*(pdf[k].tolist() for k in keys), pdf[size].tolist(), strict=True):
+                if key is None or not all(map(_same, own, key)):
+                    key, used, place = own, 0, 0
+                if used and used + n > limit:
+                    used, place = 0, place + 1
+                used += n
+                bins.append(place)
+            yield pdf[[*keys, id_col]].assign(bin=bins)
 
-    listed = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).cast("long").alias("i"), F.col(size).cast("long").alias("s")))).alias("__x"))
-    folded = listed.withColumn("__o", F.aggregate("__x", state, step, lambda acc: acc["out"]))
-    return folded.select(*keys, F.explode("__o").alias("__e")).select(*keys, F.col("__e.id").alias(id_col), F.col("__e.bin").alias("bin"))
+    return _in_order(samples, keys, id_col, size).mapInPandas(run, schema)
 
 
 def micro_batches(samples: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, out: str = "micro_batch") -> DataFrame:

@@ -165,3 +165,58 @@ def content_digest(files: DataFrame) -> DataFrame:
 def nested(name: str, default: Column | None = None) -> Column:
     """A nested field by its dotted name, with a default where it is null."""
     return F.col(name) if default is None else F.coalesce(F.col(name), default)
+
+
+def read_npz(spark: SparkSession, path: str | Sequence[str], batch: int = 65_536) -> DataFrame:
+    """Cells of the numeric arrays in .npz files: path, name, index (one number for each axis), value. One task for each file, one array at a time."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("index", T.ArrayType(T.LongType())), T.StructField("value", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import numpy as np
+
+        for b in batches:
+            for where, content in zip(b.column(0), b.column(1), strict=True):
+                with np.load(io.BytesIO(content.as_buffer()), allow_pickle=False) as found:
+                    for name in found.files:
+                        a = found[name]
+                        flat = a.ravel()
+                        for at in range(0, a.size, batch):
+                            some = np.arange(at, min(a.size, at + batch))
+                            index = np.stack(np.unravel_index(some, a.shape), axis=1) if a.ndim else np.zeros((1, 0), np.int64)
+                            ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * a.ndim)
+                            lists = pa.ListArray.from_arrays(ends, pa.array(index.ravel().astype(np.int64)))
+                            text = lambda s, n=len(some): pa.array([s] * n, pa.string())
+                            yield pa.RecordBatch.from_arrays([text(where.as_py()), text(name), lists, pa.array(flat[some].astype(np.float64))], names=schema.names)
+
+    return spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", "content").mapInArrow(run, schema)
+
+
+def layered(*documents: dict) -> dict:
+    """Nested settings, later documents over earlier ones, field by field."""
+    out: dict = {}
+    for doc in documents:
+        for k, v in doc.items():
+            out[k] = layered(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def dotted(document: dict, prefix: str = "") -> dict[str, Any]:
+    """Settings by dotted names, sorted."""
+    out: dict[str, Any] = {}
+    for k, v in sorted(document.items()):
+        out |= dotted(v, f"{prefix}{k}.") if isinstance(v, dict) else {f"{prefix}{k}": v}
+    return out
+
+
+def from_dotted(values: dict[str, Any]) -> dict:
+    """The inverse of dotted(): what a command line's overrides say."""
+    out: dict = {}
+    for name, v in values.items():
+        at = out
+        *parents, last = name.split(".")
+        for p in parents:
+            at = at.setdefault(p, {})
+        at[last] = v
+    return out

@@ -43,3 +43,13 @@ def run_to_end(df: DataFrame, checkpoint: str, out: str, mode: str = "append") -
     """Runs a stream over what is there now, into Parquet, then stops; a second call goes on from the checkpoint."""
     q = df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_whole(df: DataFrame, checkpoint: str, out: str) -> None:
+    """Runs an aggregating stream over what is there now; out holds all of its result as of the last batch, as Parquet."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    q = df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
