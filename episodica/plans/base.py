@@ -20,6 +20,15 @@ LI = "li as (select l_orderkey as episode, row_number() over (partition by l_ord
 LONG = "lo as (select episode, frame, flag, 0 as dim, v0 as value from li union all select episode, frame, flag, 1, v1 from li union all select episode, frame, flag, 2, v2 from li union all select episode, frame, flag, 3, v3 from li)"
 EP, FRAME = ["episode"], ["frame"]
 
+#: SQL: a string's UTF-8 bytes, and the checksum of a list.
+BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: ('0x' || h)::bigint)"
+PRINT = "md5(array_to_string({}, ','))"
+STRIP = "regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+', ''), '[ \\t\\n\\r\\f\\v]+$', '')"
+
+#: SQL of messages packed four conversations to a batch, and of what four ranks get of it.
+PACKED = f"c as (select conv_id // 4 as batch, conv_id * 100 + turn as o, strlen(text) as n, {BYTES.format('text')} as ids from conversations where strlen(text) > 0), b as (select batch, flatten(list(ids order by o)) as ids, flatten(list(list_concat([-100::bigint], ids[2:]) order by o)) as rest, flatten(list(range(n) order by o)) as positions, list(n order by o) as ns, first(n order by o) as n1 from c group by 1), p as (select batch, ids, list_concat(ids[1:1], rest[2:]) as labels, positions, list_transform(range(len(ns) + 1), lambda i: coalesce(list_sum(ns[1:i]), 0)::bigint) as cu, (4 - len(ids) % 4) % 4 as pad from b)"
+RANKS = "s as (select *, (len(ids) + pad) // 4 as w, list_concat(ids, list_transform(range(pad), lambda i: 0::bigint)) as i2, list_concat(labels[2:], [-100::bigint], list_transform(range(pad), lambda i: -100::bigint)) as l2, list_concat(positions, list_transform(range(pad), lambda i: 0::bigint)) as p2, list_concat(list_transform(ids, lambda i: 1), list_transform(range(pad), lambda i: 1)) as m2, list_concat(cu, list_transform(range(pad), lambda i: cu[-1] + pad)) as c2 from p)"
+
 
 def steady(sql: str) -> str:
     """sql with each round(x, k) as floor(x * 10^k + 0.5001) / 10^k: halves, which sums in another order miss by a bit, are not borders."""
@@ -96,3 +105,8 @@ def r6(x: Column, digits: int = 6) -> Column:
 def micros(c: str) -> Column:
     """Microseconds since 1970 of a time without a zone, whatever the session's zone is."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
+
+
+def printed(ids):
+    """The checksum of an array's values."""
+    return F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","))

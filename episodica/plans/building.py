@@ -11,6 +11,7 @@ from episodica.operators import datasets as D
 from episodica.operators import quality as Q
 from episodica.operators import sampling as P
 from episodica.operators import windows as W
+from episodica.operators.ranks import numbered
 from episodica.plans.base import EP, FR, FRAME, event_frames, lengths, query, r6, rounded, table
 
 HASH = "md5({} || '|{}')"
@@ -39,9 +40,9 @@ def deny_list(spark, d):
     return D.denied(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").filter("toxic = 1"), "doc_id")
 
 
-@query("join_unmatched_kept", "select c_custkey, coalesce(n, -1) as n, n is null as unmatched from customer left join (select o_custkey, count(*) as n from orders where o_custkey % 3 > 0 group by 1) on c_custkey = o_custkey")
+@query("join_unmatched_kept", "select c_custkey, coalesce(n, -1) as n, n is null as unmatched from customer left join (select o_custkey, count(*) as n from orders group by 1) on c_custkey = o_custkey")
 def join_unmatched_kept(spark, d):
-    per = table(spark, d, "orders").filter("o_custkey % 3 > 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     return D.with_unmatched(table(spark, d, "customer").select("c_custkey"), per, "c_custkey", "n").select("c_custkey", F.coalesce("n", F.lit(-1)).alias("n"), "unmatched")
 
 
@@ -53,9 +54,9 @@ def remap_frames(spark, d):
     return D.remap_frames(fr.select("episode", "frame", "event_id"), ep, "episode", "frame").select("event_id", "episode_index", "index")
 
 
-@query("merged_tasks", "with t as (select p_size % 3 as source, p_partkey as idx, p_type as task from part where p_partkey < 400), f as (select task, row_number() over (order by min(source * 1000000 + idx)) - 1 as new_index from t group by 1) select source::bigint as source, idx as \"index\", new_index from t join f using (task)")
+@query("merged_tasks", "with t as (select p_size % 3 as source, p_partkey as idx, p_type as task from part), f as (select task, row_number() over (order by min(source * 1000000 + idx)) - 1 as new_index from t group by 1) select source::bigint as source, idx as \"index\", new_index from t join f using (task)")
 def merged_tasks(spark, d):
-    t = table(spark, d, "part").filter("p_partkey < 400").select((F.col("p_size") % 3).alias("source"), F.col("p_partkey").alias("index"), F.col("p_type").alias("task"))
+    t = table(spark, d, "part").select((F.col("p_size") % 3).alias("source"), F.col("p_partkey").alias("index"), F.col("p_type").alias("task"))
     return D.merged_tasks(t, "source", "index", "task").select("source", "index", "new_index")
 
 
@@ -82,10 +83,11 @@ def paired_join(spark, d):
     return e.join(b, ["event_id", "user_id", "event_type"]).select("event_id", r6(F.col("value") - F.col("other")).alias("difference"))
 
 
-@query("manifest_equality", "select 'left' as side, o_orderkey from orders where o_orderkey % 100 = 0 and o_orderkey % 300 <> 0 union all select 'right', o_orderkey from orders where o_orderkey % 150 = 0 and o_orderkey % 300 <> 0")
+@query("manifest_equality", "with a as (select o_custkey as k from orders), b as (select c_custkey as k from customer) select 'left' as side, k as custkey from (select k from a except all select k from b) union all select 'right', k from (select k from b except all select k from a)")
 def manifest_equality(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey")
-    return D.symmetric_difference(o.filter("o_orderkey % 100 = 0"), o.filter("o_orderkey % 150 = 0"))
+    """Jobs that one list has more often than the other: customers by their orders, and as listed."""
+    a, b = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey")), table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"))
+    return D.symmetric_difference(a, b).select("side", "custkey")
 
 
 @query("interval_overlap", "with a as (select s_suppkey as i, s_nationkey as k, s_suppkey % 50 as lo, s_suppkey % 50 + 10 as hi from supplier) select x.i, y.i as j, least(x.hi, y.hi) - greatest(x.lo, y.lo) as overlap from a x join a y on x.k = y.k and greatest(x.lo, y.lo) < least(x.hi, y.hi) and x.i < y.i")
@@ -95,11 +97,12 @@ def interval_overlap(spark, d):
     return L.overlaps(s, t, ["k"], ("lo", "hi"), ("lo2", "hi2")).filter("i < j").select("i", "j", "overlap")
 
 
-@query("split_plan", "with a as (select s_suppkey as i, s_nationkey % 4 as src, s_suppkey * 7 as lo, s_suppkey * 7 + 7 as hi from supplier), r as (select unnest(range(4)) as dst) select src::bigint as src, dst, sum(least(hi, (dst + 1) * 200) - greatest(lo, dst * 200))::bigint as tokens from a join r on greatest(lo, dst * 200) < least(hi, (dst + 1) * 200) group by 1, 2")
+@query("split_plan", "with a as (select s_suppkey as i, s_nationkey % 4 as src, s_suppkey * 7 as lo, s_suppkey * 7 + 7 as hi from supplier), t as (select (max(hi) + 3) // 4 as w from a), r as (select dst, dst * w as lo2, (dst + 1) * w as hi2 from (select unnest(range(4)) as dst), t) select src::bigint as src, dst, sum(least(hi, hi2) - greatest(lo, lo2))::bigint as tokens from a join r on greatest(lo, lo2) < least(hi, hi2) group by 1, 2")
 def split_plan(spark, d):
-    """How much of each source's spans each destination's range gets."""
+    """How much of each source's spans each destination gets: four equal ranges of all that there is."""
     spans = table(spark, d, "supplier").select((F.col("s_nationkey") % 4).alias("src"), (F.col("s_suppkey") * 7).alias("lo"), (F.col("s_suppkey") * 7 + 7).alias("hi"), F.lit(1).alias("k"))
-    ranks = spark.range(4).select(F.col("id").alias("dst"), (F.col("id") * 200).alias("lo2"), ((F.col("id") + 1) * 200).alias("hi2"), F.lit(1).alias("k"))
+    width = (spans.agg(F.max("hi")).first()[0] or 0) + 3 >> 2
+    ranks = spark.range(4).select(F.col("id").alias("dst"), (F.col("id") * width).alias("lo2"), ((F.col("id") + 1) * width).alias("hi2"), F.lit(1).alias("k"))
     return L.overlaps(spans, F.broadcast(ranks), ["k"], ("lo", "hi"), ("lo2", "hi2")).groupBy("src", "dst").agg(F.sum("overlap").alias("tokens"))
 
 
@@ -136,10 +139,10 @@ def annotation_blockers(spark, d):
     return df.select("doc_id", F.array_join("blockers", ",").alias("blockers"), "eligible")
 
 
-@query("boundary_guard", f"with {FR}, n as (select episode, count(*) as n from fr group by 1) select episode, frame from fr join n using (episode) where frame + 25 >= n and frame % 7 = 0")
+@query("boundary_guard", f"with {FR}, n as (select episode, count(*) as n from fr group by 1) select episode, frame from fr join n using (episode) where frame + 25 >= n")
 def boundary_guard(spark, d):
     """Requests for a later frame that leave their episode."""
-    fr = event_frames(spark, d).filter("frame % 7 = 0").withColumn("wanted", F.col("frame") + 25)
+    fr = event_frames(spark, d).withColumn("wanted", F.col("frame") + 25)
     spans = lengths(spark, d).select("episode", F.lit(0).alias("lo"), F.col("length").alias("hi"))
     return Q.crossing(fr, "episode", "wanted", spans, "lo", "hi").select("episode", "frame")
 
@@ -186,10 +189,8 @@ def balanced_sample(spark, d):
 
 @query("interleave", f"select o_orderkey, row_number() over (order by rank, o_orderstatus) as place from (select o_orderkey, o_orderstatus, row_number() over (partition by o_orderstatus order by {HASH.format('o_orderkey', 4)}, o_orderkey) as rank from orders) where rank <= 20")
 def interleave(spark, d):
-    from pyspark.sql import Window
-
     some = P.balanced_sample(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", ["o_orderstatus"], 20, 4)
-    return P.interleaved(some, "rank", "o_orderstatus").select("o_orderkey", F.row_number().over(Window.orderBy("rank", "o_orderstatus")).alias("place"))
+    return numbered(some, ["rank", "o_orderstatus"]).select("o_orderkey", "place")
 
 
 @query("batch_exclusion", f"with b as (select o_orderkey, o_custkey, (row_number() over (order by {HASH.format('o_orderkey', 5)}, o_orderkey) - 1) // 16 as batch from orders) select batch, count(*) as n, sum(o_orderkey)::bigint as print from b where batch not in (select batch from b where o_custkey in (7, 11, 13)) group by 1")
@@ -210,9 +211,7 @@ def worst_ten(spark, d):
 
 @query("sorted_episodes", "select user_id, length, row_number() over (order by length, user_id) as place from (select user_id, count(*) as length from events group by 1)")
 def sorted_episodes(spark, d):
-    from pyspark.sql import Window
-
-    return lengths(spark, d).select(F.col("episode").alias("user_id"), "length", F.row_number().over(Window.orderBy("length", "episode")).alias("place"))
+    return numbered(lengths(spark, d), ["length", "episode"]).select(F.col("episode").alias("user_id"), "length", "place")
 
 
 @query("set_difference", "select doc_id from documents except select doc_id from labels")
@@ -226,9 +225,9 @@ def set_checks(spark, d):
     return D.partition_check(table(spark, d, "customer"), {"train": parts.filter("not is_test"), "test": parts.filter("is_test")}, "c_custkey")
 
 
-@query("key_mismatches", "with a as (select doc_id, 'documents' as t from documents where doc_id % 7 <> 0 union select doc_id, 'labels' from labels) select doc_id, string_agg(t, ',' order by t) as present from a group by 1 having count(*) < 2")
+@query("key_mismatches", "with a as (select doc_id, 'documents' as t from documents union select doc_id, 'labels' from labels) select doc_id, string_agg(t, ',' order by t) as present from a group by 1 having count(*) < 2")
 def key_mismatches(spark, d):
-    return D.key_mismatches({"documents": table(spark, d, "documents").filter("doc_id % 7 <> 0"), "labels": table(spark, d, "labels")}, "doc_id")
+    return D.key_mismatches({"documents": table(spark, d, "documents"), "labels": table(spark, d, "labels")}, "doc_id")
 
 
 @query("schema_differences", "select 'documents' as a, 'labels' as b, 'lang,n_chars,source,text' as missing, 'quality,toxic' as extra, '' as changed")
@@ -289,12 +288,13 @@ def shard_plan_next_fit(spark, d):
     return B.next_fit(table(spark, d, "documents"), "doc_id", "n_chars", ["source"], 8000)
 
 
-@query("row_access", "select index as idx, event_id, value from (select event_id * 37 % 1000 as index from events where event_id < 300) j join events e on e.event_id = j.index")
+@query("row_access", "select index as idx, event_id, value from (select event_id * 37 % (select count(*) from events) as index from events) j join events e on e.event_id = j.index")
 def row_access(spark, d):
     from episodica.sources.scans import rows_at
 
-    jobs = table(spark, d, "events").filter("event_id < 300").select((F.col("event_id") * 37 % 1000).alias("index"))
-    return rows_at(table(spark, d, "events").select("event_id", "value", F.col("event_id").alias("index")), "index", jobs, "index").select(F.col("index").alias("idx"), "event_id", "value")
+    e = table(spark, d, "events")
+    jobs = e.select((F.col("event_id") * 37 % max(1, e.count())).alias("index"))
+    return rows_at(e.select("event_id", "value", F.col("event_id").alias("index")), "index", jobs, "index").select(F.col("index").alias("idx"), "event_id", "value")
 
 
 @query("last_row_per_step", "select step, value, event_id from (select event_id // 3 as step, value, event_id, row_number() over (partition by event_id // 3 order by event_id desc) as r from events) where r = 1")
@@ -387,9 +387,6 @@ def global_index_check(spark, d):
     return out.agg(F.count("*").alias("rows"), F.count_if(F.col("new_index") != F.col("event_id")).alias("misplaced"))
 
 
-@query("hash_shuffle", f"select o_orderkey, row_number() over (order by {HASH.format('o_orderkey', 9)}, o_orderkey) as place from orders where o_orderkey <= 500")
+@query("hash_shuffle", f"select o_orderkey, row_number() over (order by {HASH.format('o_orderkey', 9)}, o_orderkey) as place from orders")
 def hash_shuffle(spark, d):
-    from pyspark.sql import Window
-
-    few = table(spark, d, "orders").filter("o_orderkey <= 500").select("o_orderkey")
-    return P.hash_shuffle(few, "o_orderkey", 9).withColumn("place", F.row_number().over(Window.orderBy(P.hash_order(F.col("o_orderkey"), 9), "o_orderkey")))
+    return P.hash_shuffle(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 9)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.plans import alignment, building, scalars, sequences, statistics, texts  # noqa: F401
+from episodica.plans import alignment, building, roundtrips, scalars, sequences, statistics, texts  # noqa: F401
 from episodica.plans.base import ORACLES, QUERIES
 
 

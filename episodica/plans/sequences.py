@@ -148,11 +148,9 @@ def expert_slots(spark, d):
     return W.slots(table(spark, d, "events").select("event_id", "event_type"), "event_type", ["event_id"])
 
 
-@query("block_mask", f"with {FR}, b as (select episode, frame, sum(cast(event_type = 'purchase' as int)) over (partition by episode order by frame) as b from fr where frame < 20 qualify true), v as (select * from b where frame % 5 <> 4) select q.episode, count(*) as pairs, cast(sum(q.frame * 31 + k.frame) as bigint) as print from v q join v k on q.episode = k.episode and k.b <= q.b group by 1")
+@query("block_mask", f"with {FR}, b as (select episode, frame, sum(cast(event_type = 'purchase' as int)) over (partition by episode order by frame) as b from fr), v as (select * from b where frame % 5 <> 4) select q.episode, q.frame as query, max(k.frame) as until, count(*) as allowed from v q join v k on q.episode = k.episode and k.b <= q.b group by 1, 2")
 def block_mask(spark, d):
-    fr = event_frames(spark, d).filter("frame < 20")
-    df = W.block_mask(fr, EP, "frame", F.col("event_type") == "purchase", F.col("frame") % 5 != 4)
-    return df.groupBy("episode").agg(F.count("*").alias("pairs"), F.sum(F.col("query") * 31 + F.col("key")).alias("print"))
+    return W.block_mask(event_frames(spark, d), EP, "frame", F.col("event_type") == "purchase", F.col("frame") % 5 != 4)
 
 
 @query("latency_lag", f"with {FR} select episode, frame, coalesce(lag(value) over (partition by episode order by frame), -1) as previous from fr")

@@ -9,6 +9,7 @@ from episodica.functions import normalize as N
 from episodica.operators import aggregates as A
 from episodica.operators import stats as S
 from episodica.operators import windows as W
+from episodica.operators.ranks import numbered
 from episodica.plans.base import EP, FR, FRAME, LI, LONG, event_frames, item_values, item_vectors, query, r6, rounded, table
 from episodica.shipping import ship_package
 
@@ -41,9 +42,18 @@ def first_action_stats(spark, d):
     return rounded(A.exact_stats(rows.withColumn("__a", F.lit(1)), ["__a"]).drop("__a"))
 
 
-def _stats_lists(spark, d):
-    rows = A.exact_stats(item_values(spark, d), ["dim"]).orderBy("dim").collect()  # four rows
-    return {k: [r[k] for r in rows] for k in ("mean", "std", "min", "max", "q01", "q99")}
+def _stats_lists(spark, d, kind):
+    """The statistics a normalization needs, as its caller would have them from a file: lists by dimension."""
+    values = item_values(spark, d)
+    found = A.exact_quantiles(values, ["dim"], "value", {"q01": 0.01, "q99": 0.99}) if kind == "bounds_99" else A.plain_stats(values, ["dim"])
+    rows = sorted(found.collect(), key=lambda r: r["dim"])  # four rows
+    return {k: [r[k] for r in rows] for k in found.columns if k != "dim"}
+
+
+def _by_dim(rows, by, vector, width):
+    """mean, min and max of each component: vectors are combined as they are, and only the results are taken apart."""
+    parts = [F.struct(F.lit(i).alias("dim"), *(f(F.get(vector, F.lit(i))).alias(n) for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max)))).alias(f"d{i}") for i in range(width)]
+    return rows.groupBy(*by).agg(*parts).select(*by, F.inline(F.array(*(f"d{i}" for i in range(width)))))
 
 
 KIND_SQL = {"meanstd": "(value - mean) / (std + 1e-6)", "bounds_99": "(value - q01) / (q99 - q01 + 1e-6) * 2 - 1", "minmax": "(value - low) / (high - low + 1e-6) * 2 - 1"}
@@ -51,18 +61,18 @@ for _kind, _sql in KIND_SQL.items():
 
     @query(f"norm_apply_{_kind}", f"with {VALUES}, st as (select dim, {RAW} from lo group by dim) select dim, flag, round(avg(x), 6) as mean, round(min(x), 6) as min, round(max(x), 6) as max from (select lo.dim, flag, {_sql} as x from lo join st using (dim)) group by 1, 2")
     def norm_apply(spark, d, kind=_kind):
-        s = N.Scaling(kind, _stats_lists(spark, d))
-        rows = item_vectors(spark, d).select("flag", F.posexplode(N.normalized(F.col("v"), s)).alias("dim", "x"))
-        return rounded(rows.groupBy("dim", "flag").agg(F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")))
+        s = N.Scaling(kind, _stats_lists(spark, d, kind))
+        return rounded(_by_dim(item_vectors(spark, d).select("flag", N.normalized(F.col("v"), s).alias("x")), ["flag"], "x", 4))
 
 
-@query("norm_roundtrip", "select unnest(['meanstd', 'bounds_99', 'minmax', 'identity']) as kind, 0.0::double as worst, (select count(*) from lineitem) as rows")
+@query("norm_roundtrip", f"with {VALUES}, k as (select unnest(['meanstd', 'bounds_99', 'minmax', 'identity']) as kind) select kind, dim, round(avg(value), 4) as mean, round(min(value), 4) as min, round(max(value), 4) as max from lo cross join k group by 1, 2")
 def norm_roundtrip(spark, d):
-    stats, out = _stats_lists(spark, d), None
+    """What comes back from each kind is what went in."""
+    out = None
     for kind in ("meanstd", "bounds_99", "minmax", "identity"):
-        s = N.Scaling(kind, stats)
-        back = F.zip_with(F.col("v"), N.unnormalized(N.normalized(F.col("v"), s), s), lambda a, b: F.abs(a - b))
-        one = item_vectors(spark, d).agg(r6(F.max(F.array_max(back)), 4).alias("worst"), F.count("*").alias("rows")).withColumn("kind", F.lit(kind))
+        s = N.Scaling(kind, _stats_lists(spark, d, kind))
+        back = item_vectors(spark, d).select(F.lit(kind).alias("kind"), N.unnormalized(N.normalized(F.col("v"), s), s).alias("x"))
+        one = rounded(_by_dim(back, ["kind"], "x", 4), 4)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -72,12 +82,12 @@ PARTIAL = f"{VALUES}, pa as (select flag, dim, avg(value) as mean, stddev_pop(va
 
 @query("stats_merge", f"with {PARTIAL} select dim, round(sum(mean * count) / sum(count), 6) as mean, round(sqrt(sum(std * std * count) / sum(count)), 6) as std, min(min) as min, max(max) as max, cast(sum(count) as bigint) as count from pa group by 1")
 def stats_merge(spark, d):
-    return rounded(A.weighted_stats(A.exact_stats(item_values(spark, d), ["flag", "dim"]).select("dim", "mean", "std", "min", "max", "count"), ["dim"]))
+    return rounded(A.weighted_stats(A.plain_stats(item_values(spark, d), ["flag", "dim"]).drop("flag"), ["dim"]))
 
 
 @query("stats_merge_unweighted", f"with {PARTIAL} select dim, round(avg(mean), 6) as mean, round(avg(std), 6) as std from pa group by 1")
 def stats_merge_unweighted(spark, d):
-    parts = A.exact_stats(item_values(spark, d), ["flag", "dim"]).withColumn("count", F.when(F.col("flag") != "A", F.col("count")))
+    parts = A.plain_stats(item_values(spark, d), ["flag", "dim"]).withColumn("count", F.when(F.col("flag") != "A", F.col("count")))
     return rounded(A.weighted_stats(parts, ["dim"]).select("dim", "mean", "std"))
 
 
@@ -170,9 +180,9 @@ def two_level_mean(spark, d):
     return rounded(A.two_level_mean(table(spark, d, "events"), ["event_type"], ["user_id"], "value"))
 
 
-@query("group_contrast", f"with {FR}, c as (select frame, avg(value) filter (where event_type = 'purchase') as u, avg(value) filter (where event_type <> 'purchase') as v from fr where frame < 40 group by 1) select round(avg(abs(u - v)), 6) as mean_abs, round(sqrt(avg((u - v) * (u - v))), 6) as rms, round(max(u - v), 6) as most from c")
+@query("group_contrast", f"with {FR}, c as (select frame, avg(value) filter (where event_type = 'purchase') as u, avg(value) filter (where event_type <> 'purchase') as v from fr group by 1) select round(avg(abs(u - v)), 6) as mean_abs, round(sqrt(avg((u - v) * (u - v))), 6) as rms, round(max(u - v), 6) as most from c")
 def group_contrast(spark, d):
-    fr = event_frames(spark, d).filter("frame < 40").withColumn("up", F.col("event_type") == "purchase")
+    fr = event_frames(spark, d).withColumn("up", F.col("event_type") == "purchase")
     c = A.contrast(fr, ["frame"], "up", "value")
     return c.agg(r6(F.avg(F.abs("difference"))).alias("mean_abs"), r6(F.sqrt(F.avg(F.col("difference") * F.col("difference")))).alias("rms"), r6(F.max("difference")).alias("most"))
 
@@ -250,15 +260,15 @@ def overlap_count(spark, d):
     return df.groupBy("quality").agg(F.count("*").alias("selected"), F.count_if("t").alias("in_train"))
 
 
-WELCH = f"with {FR}, g as (select frame, avg(value) filter (where u) as m1, avg(value) filter (where not u) as m2, var_samp(value) filter (where u) as v1, var_samp(value) filter (where not u) as v2, count(*) filter (where u) as n1, count(*) filter (where not u) as n2 from (select *, episode % 2 = 0 as u from fr where frame < 40) group by 1)"
+WELCH = f"with {FR}, g as (select frame, avg(value) filter (where u) as m1, avg(value) filter (where not u) as m2, var_samp(value) filter (where u) as v1, var_samp(value) filter (where not u) as v2, count(*) filter (where u) as n1, count(*) filter (where not u) as n2 from (select *, episode % 2 = 0 as u from fr) group by 1)"
 
 
 def _tested(spark, d):
-    fr = event_frames(spark, d).filter("frame < 40").withColumn("u", F.col("episode") % 2 == 0)
+    fr = event_frames(spark, d).withColumn("u", F.col("episode") % 2 == 0)
     return S.welch(fr, ["frame"], "u", "value")
 
 
-@query("welch_t", f"{WELCH} select frame, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) as t, round((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / (v1 / n1 * v1 / n1 / (n1 - 1) + v2 / n2 * v2 / n2 / (n2 - 1)), 6) as df from g")
+@query("welch_t", f"{WELCH} select frame, round((m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0), 6) as t, round((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / nullif(v1 / n1 * v1 / n1 / nullif(n1 - 1, 0) + v2 / n2 * v2 / n2 / nullif(n2 - 1, 0), 0), 6) as df from g")
 def welch_t(spark, d):
     return rounded(_tested(spark, d).select("frame", "t", "df"))
 
@@ -276,14 +286,14 @@ def cohen_d(spark, d):
     return rounded(S.cohen_d(_tested(spark, d)).select("frame", "d"))
 
 
-@query("one_sample_t", f"with {FR} select frame, round((avg(value) - 50) / (stddev_samp(value) / sqrt(count(*))), 6) as t, count(*) - 1 as df from fr where frame < 40 group by 1")
+@query("one_sample_t", f"with {FR} select frame, round((avg(value) - 50) / nullif(stddev_samp(value) / sqrt(count(*)), 0), 6) as t, count(*) - 1 as df from fr group by 1")
 def one_sample_t(spark, d):
-    return rounded(S.one_sample(event_frames(spark, d).filter("frame < 40"), ["frame"], "value", 50.0).select("frame", "t", "df"))
+    return rounded(S.one_sample(event_frames(spark, d), ["frame"], "value", 50.0).select("frame", "t", "df"))
 
 
-@query("bh_fdr", "with p as (select event_id, value / 500 as p from events where event_id < 500), r as (select *, row_number() over (order by p, event_id) as r, count(*) over () as m from p) select event_id, round(least(1.0, min(p * m / r) over (order by r desc)), 6) as q from r")
+@query("bh_fdr", "with p as (select event_id, value / 500 as p from events), r as (select *, row_number() over (order by p, event_id) as r, count(*) over () as m from p) select event_id, round(least(1.0, min(p * m / r) over (order by r desc)), 6) as q from r")
 def bh_fdr(spark, d):
-    df = table(spark, d, "events").filter("event_id < 500").select("event_id", (F.col("value") / 500).alias("p"))
+    df = table(spark, d, "events").select("event_id", (F.col("value") / 500).alias("p"))
     return rounded(S.benjamini_hochberg(df, "p", ["event_id"]).select("event_id", "q"))
 
 
@@ -305,17 +315,17 @@ for _k in range(1, 13):
     _acc += _p
 
 
-@query("bootstrap_interval", f"with un as (select user_id, avg(value) as m from events group by 1), r as (select rep, m, {UNIT.format("'7|' || rep || '|' || user_id")} as x from un cross join (select unnest(range(1, 201)) as rep)), w as (select rep, m, {' + '.join(f'cast(x >= {c!r} as int)' for c in _CDF)} as w from r), b as (select rep, sum(m * w) / sum(w) as mean from w group by 1) select round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from b")
+@query("bootstrap_interval", f"with un as (select user_id, avg(value) as m from events group by 1), r as (select rep, m, {UNIT.format("'7|' || rep || '|' || user_id")} as x from un cross join (select unnest(range(1, 2001)) as rep)), w as (select rep, m, {' + '.join(f'cast(x >= {c!r} as int)' for c in _CDF)} as w from r), b as (select rep, sum(m * w) / sum(w) as mean from w group by 1) select round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from b")
 def bootstrap_interval(spark, d):
-    return rounded(S.bootstrap_interval(S.bootstrap_means(_units(spark, d), "user_id", "m", 200, 7)))
+    return rounded(S.bootstrap_interval(S.bootstrap_means(_units(spark, d), "user_id", "m", 2000, 7)))
 
 
-@query("permutation_p", "with un as (select user_id, user_id % 2 = 0 as u, avg(value) as m from events group by 1, 2), s as (select avg(m) filter (where u) - avg(m) filter (where not u) as o, count(*) filter (where u) as k from un), r as (select rep, m, row_number() over (partition by rep order by md5('3|' || rep || '|' || user_id), user_id) as r from un cross join (select unnest(range(1, 100)) as rep)), n as (select rep, avg(m) filter (where r <= k) - avg(m) filter (where r > k) as d from r cross join s group by 1) select round(o, 6) as observed, round((1 + count(*) filter (where abs(d) >= abs(o) - 1e-12)) / 100.0::double, 6) as p from n cross join s group by o")
+@query("permutation_p", "with un as (select user_id, user_id % 2 = 0 as u, avg(value) as m from events group by 1, 2), s as (select avg(m) filter (where u) - avg(m) filter (where not u) as o, count(*) filter (where u) as k from un), r as (select rep, m, row_number() over (partition by rep order by md5('3|' || rep || '|' || user_id), user_id) as r from un cross join (select unnest(range(1, 2000)) as rep)), n as (select rep, avg(m) filter (where r <= k) - avg(m) filter (where r > k) as d from r cross join s group by 1) select round(o, 6) as observed, round((1 + count(*) filter (where abs(d) >= abs(o) - 1e-12)) / 2000.0::double, 6) as p from n cross join s group by o")
 def permutation_p(spark, d):
-    return rounded(S.permutation_test(_units(spark, d), "user_id", "u", "m", 99, 3))
+    return rounded(S.permutation_test(_units(spark, d), "user_id", "u", "m", 1999, 3))
 
 
-@query("stats_sketch", "select unnest([0::bigint, 1, 2, 3]) as dim, true as close, (select count(*) from lineitem) as count")
+@query("stats_sketch", f"with {VALUES} select dim, true as close, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, min(value) as min, max(value) as max, count(*) as count from lo group by dim")
 def stats_sketch(spark, d):
     """Quantiles from a sketch are within a thousandth of the range of the exact ones' ranks: here, within 2% of the values' range."""
     rows = item_values(spark, d)
@@ -323,22 +333,23 @@ def stats_sketch(spark, d):
     near = F.lit(True)
     for q in A.QUANTILES:
         near = near & (F.abs(F.col(f"x.{q}") - F.col(f"y.{q}")) <= 0.02 * (F.col("x.max") - F.col("x.min")))
-    return x.join(y, "dim").select("dim", near.alias("close"), F.col("x.count").alias("count"))
+    return x.join(y, "dim").select("dim", near.alias("close"), r6(F.col("y.mean")).alias("mean"), r6(F.col("y.std")).alias("std"), "y.min", "y.max", "y.count")
 
 
 @query("rank_by_peak", "select user_id, round(most, 6) as peak, row_number() over (order by most desc, user_id) as place from (select user_id, max(abs(value - 40)) as most from events group by 1)")
 def rank_by_peak(spark, d):
-    from pyspark.sql import Window
-
     per = table(spark, d, "events").groupBy("user_id").agg(F.max(F.abs(F.col("value") - 40)).alias("most"))
-    return per.select("user_id", r6(F.col("most")).alias("peak"), F.row_number().over(Window.orderBy(F.desc("most"), "user_id")).alias("place"))
+    return numbered(per, [-F.col("most"), "user_id"]).select("user_id", r6(F.col("most")).alias("peak"), "place")
+
+
+PAIRED = "(select user_id, avg(value) filter (where event_id % 2 = 0) - avg(value) filter (where event_id % 2 = 1) as m from events group by 1)"
 
 
-@query("paired_bootstrap", "select true as contains_mean, count(distinct user_id) as units from events")
+@query("paired_bootstrap", f"with un as {PAIRED}, r as (select rep, m, {UNIT.format("'11|' || rep || '|' || user_id")} as x from un cross join (select unnest(range(1, 4001)) as rep)), w as (select rep, m, {' + '.join(f'cast(x >= {c!r} as int)' for c in _CDF)} as w from r), b as (select rep, sum(m * w) / nullif(sum(w) filter (where m is not null), 0) as mean from w group by 1), s as (select avg(m) as mean, count(*) as units from un) select round(s.mean, 6) as mean, round(quantile_cont(b.mean, 0.025), 6) as low, round(quantile_cont(b.mean, 0.975), 6) as high, units from b, s group by s.mean, units")
 def paired_bootstrap(spark, d):
-    """The interval of the mean change between two conditions of the same unit holds the mean change."""
+    """The mean change between two conditions of the same unit, and its interval."""
     e = table(spark, d, "events")
     per = e.groupBy("user_id").agg((F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))) - F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value")))).alias("change"))
-    ci = S.bootstrap_interval(S.bootstrap_means(per, "user_id", "change", 100, 11))
-    seen = per.agg(F.avg("change").alias("m"), F.count("*").alias("units"))
-    return seen.crossJoin(F.broadcast(ci)).select(((F.col("m") >= F.col("low")) & (F.col("m") <= F.col("high"))).alias("contains_mean"), "units")  # one row each
+    ci = S.bootstrap_interval(S.bootstrap_means(per.filter("change is not null"), "user_id", "change", 4000, 11))
+    seen = per.agg(F.avg("change").alias("mean"), F.count("*").alias("units"))
+    return rounded(seen.crossJoin(F.broadcast(ci)).select("mean", "low", "high", "units"))  # one row each

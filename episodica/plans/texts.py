@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from episodica.durable import new_path
 from episodica.functions import text as X
 from episodica.functions import vectors as V
 from episodica.operators import batching as B
-from episodica.plans.base import micros, query, r6, rounded, table
+from episodica.plans.base import BYTES, PACKED, PRINT, RANKS, STRIP, micros, printed, query, r6, rounded, table
 from episodica.shipping import ship_package
 from episodica.streaming import monitor as Mo
 
-STRIP = "regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+', ''), '[ \\t\\n\\r\\f\\v]+$', '')"
-
 
 @query("text_chunks", "select doc_id, i as chunk, least(512, strlen(text) + 1 - i * 512) as n from (select doc_id, text, unnest(range((strlen(text) + 512) // 512)) as i from documents)")
 def text_chunks(spark, d):
@@ -86,7 +83,7 @@ def budget_packing(spark, d):
     return B.packed_by_budget(table(spark, d, "documents"), "doc_id", "n_chars", "source", 4000, 20)
 
 
-PACK = "c as (select conv_id // 4 as batch, conv_id * 100 + turn as o, strlen(text) as n from conversations where strlen(text) > 0)"
+PACK = f"c as (select conv_id // 4 as batch, conv_id * 100 + turn as o, strlen(text) as n, {BYTES.format('text')} as ids from conversations where strlen(text) > 0)"
 
 
 def _samples(spark, d):
@@ -95,11 +92,10 @@ def _samples(spark, d):
     return c.select(F.floor(F.col("conv_id") / 4).alias("batch"), (F.col("conv_id") * 100 + F.col("turn")).alias("o"), ids.alias("ids"), ids.alias("labels"))
 
 
-@query("pad_collate", f"with {PACK}, m as (select batch, max(n) as m from c group by 1) select batch, o, m as size, n as real, m - n as ignored from c join m using (batch)")
+@query("pad_collate", f"with {PACK}, m as (select batch, max(n) as m from c group by 1) select batch, o, {PRINT.format('list_concat(ids, list_transform(range(m - n), lambda i: 0::bigint))')} as ids, {PRINT.format('list_concat(ids, list_transform(range(m - n), lambda i: -100::bigint))')} as labels, {PRINT.format('list_concat(list_transform(ids, lambda i: 1), list_transform(range(m - n), lambda i: 0))')} as mask from c join m using (batch)")
 def pad_collate(spark, d):
     df = B.pad_collated(_samples(spark, d), "batch", "ids", "labels")
-    ones = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    return df.select("batch", "o", F.size("ids").alias("size"), ones.alias("real"), F.size(F.filter("labels", lambda x: x == X.IGNORED)).alias("ignored"))
+    return df.select("batch", "o", printed("ids").alias("ids"), printed("labels").alias("labels"), printed("attention_mask").alias("mask"))
 
 
 @query("pack_collate", f"with {PACK} select batch, sum(n)::bigint as tokens, count(*) + 1 as cu, count(*) - 1 as ignored, sum(n * (n - 1) // 2)::bigint as positions from c group by 1")
@@ -121,10 +117,10 @@ def micro_batches(spark, d):
     return B.micro_batches(_samples(spark, d), ["batch"], ["o"], 3).select("batch", "micro_batch", "o")
 
 
-@query("sequence_shards", f"with {PACK}, t as (select batch, sum(n)::bigint as n from c group by 1) select batch, r as rank, (n + (4 - n % 4) % 4) // 4 as size from t cross join (select unnest(range(4)) as r)")
+@query("sequence_shards", f"with {PACKED}, {RANKS} select batch, r as rank, {PRINT.format('i2[r * w + 1:r * w + w]')} as ids, {PRINT.format('l2[r * w + 1:r * w + w]')} as labels, {PRINT.format('p2[r * w + 1:r * w + w]')} as positions from s cross join (select unnest(range(4)) as r)")
 def sequence_shards(spark, d):
     df = B.sequence_shards(B.packed(_samples(spark, d), "batch", "o", "ids", "labels"), "ids", "labels", 4, "cu_seqlens", "position_ids")
-    return df.select("batch", "rank", F.size("ids").alias("size"))
+    return df.select("batch", "rank", printed("ids").alias("ids"), printed("labels").alias("labels"), printed("position_ids").alias("positions"))
 
 
 @query("sequence_shard_labels", f"with {PACK} select batch, sum(n)::bigint as tokens, count(*)::bigint as ignored from c group by 1")
@@ -135,10 +131,9 @@ def sequence_shard_labels(spark, d):
     return per.groupBy("batch").agg(F.max("n").alias("tokens"), (F.sum("i") - (F.sum("k") - F.max("n"))).alias("ignored"))
 
 
-@query("shifted_labels", f"with {PACK}, t as (select batch, o, n from c) select batch, o, n as size, 1::bigint as ignored from t")
+@query("shifted_labels", f"with {PACK} select batch, o, {PRINT.format('list_concat(ids[2:], [-100::bigint])')} as labels from c")
 def shifted_labels(spark, d):
-    df = _samples(spark, d).withColumn("s", X.shifted(F.col("labels")))
-    return df.select("batch", "o", F.size("s").alias("size"), F.size(F.filter("s", lambda x: x == X.IGNORED)).alias("ignored"))
+    return _samples(spark, d).select("batch", "o", printed(X.shifted(F.col("labels"))).alias("labels"))
 
 
 @query("masked_cross_entropy", "select event_type, round(avg(-ln(value / 500)) filter (where event_id % 3 <> 0), 6) as loss from events group by 1")
@@ -147,10 +142,10 @@ def masked_cross_entropy(spark, d):
     return df.groupBy("event_type").agg(r6(F.avg(F.when(F.col("label") != X.IGNORED, -F.log(F.col("value") / 500)))).alias("loss"))
 
 
-@query("sequence_lengths", f"with {PACK} select batch, list_sum(list(n order by o))::bigint as tokens, max(n) as longest, count(*) as sequences from c group by 1")
+@query("sequence_lengths", f"with {PACK} select batch, array_to_string(list(n order by o), ',') as lengths, max(n) as longest, count(*) as sequences from c group by 1")
 def sequence_lengths(spark, d):
     df = B.packed(_samples(spark, d), "batch", "o", "ids", "labels").withColumn("lens", V.lengths_from_cumulative(F.col("cu_seqlens")))
-    return df.select("batch", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"), F.array_max("lens").alias("longest"), F.size("lens").alias("sequences"))
+    return df.select("batch", F.array_join(F.transform("lens", lambda n: n.cast("string")), ",").alias("lengths"), F.array_max("lens").alias("longest"), F.size("lens").alias("sequences"))
 
 
 @query("event_windows", "select epoch_us(time_bucket(interval '1 hour', ts)) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
@@ -163,11 +158,9 @@ def event_windows_stream(spark, d):
     """The same as a stream over the table's files, with a watermark, run to the end of what is there."""
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet" if not _is_dir(spark, f"{d}/events.parquet") else "*.parquet").parquet(d if not _is_dir(spark, f"{d}/events.parquet") else f"{d}/events.parquet")
-    name = f"ew_{abs(hash(d)) % 10**8}"
-    agg = Mo.tumbling_counts(stream, "ts", ["event_type"], "value", "1 hour")
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rounded(spark.table(name).withColumn("start", micros("start")), 4)
+    agg, path = Mo.tumbling_counts(stream, "ts", ["event_type"], "value", "1 hour"), new_path(spark, "windows")
+    Mo.run_whole(agg, f"{path}/checkpoint", f"{path}/out")
+    return rounded(spark.read.schema(agg.schema).parquet(f"{path}/out").withColumn("start", micros("start")), 4)
 
 
 @query("user_sessions", "with g as (select user_id, ts, case when ts - lag(ts) over w < interval '12 hours' then 0 else 1 end as new from events window w as (partition by user_id order by ts)), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as s from g) select user_id, epoch_us(min(ts)) as start, epoch_us(max(ts)) + 43200000000 as \"end\", count(*) as n from s group by user_id, s")
@@ -186,14 +179,6 @@ def finished_runs(spark, d):
     return Mo.finished(table(spark, d, "events"), ["user_id"], "event_id", 9900)
 
 
-def _checkpoint(spark) -> str:
-    """A new folder for a query's checkpoint, in the shared folder where there is one."""
-    import uuid
-
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}" if top else tempfile.mkdtemp(prefix="episodica-stream-")
-
-
 def _is_dir(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
