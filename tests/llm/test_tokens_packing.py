@@ -1,4 +1,6 @@
 import random
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -61,11 +63,58 @@ def test_special_strings_in_mixed_case(spark, coder):
         assert (r.n_tokens, r.over_limit) == (n, n > 3)
 
 
+def library_counts(coder, text):
+    return [len(x) for x in coder.encode([text[:k] for k in range(len(text) + 1)])]
+
+
 def test_prefix_tables(coder, docs):
     for r in tokens.prefix_counts(docs.limit(5)).join(docs, "doc_id").collect():
-        raw = r.text.encode()
-        for k in range(0, len(r.ends), 97):
-            assert len(coder.encode([raw[: r.ends[k]].decode()])[0]) == r.counts[k]
+        assert len(r.counts) == len(r.text) + 1 and r.counts[-1] == len(coder.encode([r.text])[0])
+        assert r.counts[:400] == library_counts(coder, r.text[:399])
+        for k in range(0, len(r.counts), 997):
+            assert len(coder.encode([r.text[:k]])[0]) == r.counts[k]
+
+
+#: First and last code points of scripts whose letters, marks, cases and compositions differ.
+SCRIPTS = [
+    (0x20, 0x7F), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x45F), (0x5D0, 0x5EA), (0x600, 0x6FF), (0x900, 0x9FF), (0xB80, 0xBFF), (0xC80, 0xCFF), (0xE00, 0xE5B),
+    (0x1000, 0x109F), (0x1100, 0x11FF), (0x1E00, 0x1FFF), (0x2000, 0x206F), (0x2100, 0x21FF), (0x3040, 0x30FF), (0x4E00, 0x4EFF), (0xAC00, 0xACFF), (0xFB00, 0xFB4F), (0xFF00, 0xFF5F),
+    (0x1D400, 0x1D4FF), (0x1F600, 0x1F64F), (0x0, 0x1F),
+]
+
+
+def test_counts_at_every_code_point_in_many_scripts(coder):
+    rnd = random.Random(8)
+    for n in range(1200):
+        some = [rnd.choice(SCRIPTS) for _ in range(rnd.randint(1, 3))]
+        text = "".join(chr(rnd.randint(*rnd.choice(some))) for _ in range(rnd.randint(1, 24)))
+        if n % 3 == 0:
+            text = unicodedata.normalize("NFD", text)
+        if n % 5 == 0:
+            text = text[:5] + rnd.choice(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|endof<|endoftext|>", "'Ll've"]) + text[5:]
+        assert tokens.text_counts(coder.prefixes, text).tolist() == library_counts(coder, text), ascii(text)
+
+
+def test_last_counts_are_those_of_the_chunks(coder, strange, docs):
+    for texts in (strange, [r.text for r in docs.limit(50).collect()]):
+        index, n, distinct = tokens.chunked(pa.array(texts))
+        assert tokens.PrefixCounter(coder.path).totals(distinct.to_pylist()).tolist() == [len(x) for x in coder.encode(distinct.to_pylist())]
+
+
+@pytest.mark.parametrize(("name", "unit"), [("thai", "ที่นี่ภาษาไทยเป็นภาษาที่สวยงาม"), ("devanagari", "किताबेंहिन्दीमेंहैं"), ("han", "他们说汉语很难学但是很有意思"), ("hangul", "각나다라마바사아자차카타파하"), ("latin", "abcdefghij"), ("marks", "!?#$%&*")])
+def test_long_texts_without_spaces(spark, coder, name, unit):
+    """100,000 code points in one chunk, composed and decomposed: work grows with the length, and not with its square."""
+    for form in ("NFC", "NFD"):
+        text = unicodedata.normalize(form, unit * (100_000 // len(unit) + 1))[:100_000]
+        begun = time.monotonic()
+        counts = tokens.text_counts(coder.prefixes, text)
+        assert time.monotonic() - begun < 40
+        for k in (1, 2, 3, 777, 4_321, 100_000):
+            assert counts[k] == len(coder.encode([text[:k]])[0])
+        r = tokens.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), 500).first()
+        assert r.n_tokens == counts[-1] and r.over_limit
+        kept = text.encode()[: r.fit_bytes].decode()
+        assert len(coder.encode([kept])[0]) <= 500 and (counts[len(kept) + 1 :] > 500).all()
 
 
 def test_odd_counts(odd_docs, no_docs, coder):
