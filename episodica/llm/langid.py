@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,13 +23,16 @@ from episodica.llm.tokens import slices
 UNKNOWN = "und"
 #: Bytes of a window; widths of the filters and their number for each width.
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 24
-#: Bounds of the training sample: rows for each language (by hash of the id), languages, characters of a row's excerpt, windows in all.
-ROWS_PER_LANGUAGE, MOST_LANGUAGES, EXCERPT, MOST_WINDOWS = 1000, 64, 512, 24_000
+#: Bounds of the training sample: rows for each language (by hash of the text), rows in all (one for each language at least), characters of a
+#: row's excerpt, windows in all.
+ROWS_PER_LANGUAGE, MOST_ROWS, EXCERPT, MOST_WINDOWS = 1000, 64_000, 512, 24_000
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 7
 #: No window counts against a language by more than this log-probability, so a passage in another language weighs by its length.
 LEAST_LOG = -4.0
 #: Windows and bytes of text taken at once by a worker.
 ROWS_AT_ONCE, SLICE = 64, 1_000_000
+#: Letters that a window has at least to be learned from.
+LEAST_LETTERS = 16
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 #: Classes of bytes: 0 padding, 1 white space, 2 digits, 3 other ASCII, 4-29 letters of either case, 30-61 continuation bytes by their low five
 #: bits (which joins the cases of Latin-1), 62-68 lead bytes by block.
@@ -170,21 +173,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, str]]:
     """Excerpts of EXCERPT characters, from a place set by hash, of about ROWS_PER_LANGUAGE rows a language that are not held out.
 
-    A row comes by the hash of its text, so the sample's size is bounded whatever the table's, and rows of one text come together: copies of a
-    text count once. Languages beyond the MOST_LANGUAGES largest are not learned.
+    Every label is learned; of more than MOST_ROWS / ROWS_PER_LANGUAGE labels each has a smaller share of MOST_ROWS. A row comes by the hash of
+    its text, at a rate set by the number of different texts of its label, so the sample is bounded whatever the table's size, copies of a
+    text count once, and a label of which most rows are copies is drawn like any other.
     """
     rows = docs.filter(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(label_col).cast("string").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return []
     h = F.xxhash64(text_col, F.lit(SEED))
-    part = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.element_at(F.create_map(*(x for r in sizes for x in (F.lit(r["label"]), F.lit(min(1.0, ROWS_PER_LANGUAGE / r["n"]))))), F.col("label"))
-    place = (F.pmod(F.shiftright(h, 32), F.greatest(F.length(text_col) - EXCERPT, F.lit(0)) + 1)).cast("int") + 1
-    some = rows.withColumn("label", F.col(label_col).cast("string")).filter(F.col("label").isin([r["label"] for r in sizes])).filter(part < share)
-    got = some.select("label", h.alias("h"), F.substring(F.col(text_col), place, F.lit(EXCERPT)).alias("s")).dropDuplicates(["label", "h"])
-    got = got.orderBy("h", "label").limit(2 * ROWS_PER_LANGUAGE * len(sizes)).collect()
-    return [(r["label"], r["s"]) for r in got]
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), h.alias("h"), F.col(text_col).cast("string").alias("text"))
+    texts = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row for each language
+    if not texts:
+        return []
+    each = max(1, min(ROWS_PER_LANGUAGE, MOST_ROWS // len(texts)))
+    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, 1.1 * each / max(1, r["n"]))) for r in texts], "label string, share double")
+    part = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    place = (F.pmod(F.shiftright("h", 24), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1)).cast("int") + 1
+    small = F.broadcast(shares) if len(texts) <= 50_000 else shares  # a row for each language
+    drawn = rows.join(small, "label").filter(part < F.col("share"))
+    some = drawn.groupBy("label", "h").agg(F.min(F.substring(F.col("text"), place, F.lit(EXCERPT))).alias("s"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))  # about `each` rows of a label
+    got = some.withColumn("r", rank).filter(F.col("r") <= each).collect()
+    return sorted((r["label"], r["s"]) for r in got)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteNet | None:
@@ -195,9 +203,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         return None
     x, row = windows_of([s.encode() for _, s in sample])
     y = np.array([labels.index(label) for label, _ in sample])[row]
-    good = ((x >= 4) & (x != 3)).sum(axis=1) >= 16
+    letters = (x >= 4).sum(axis=1)
+    good = letters >= LEAST_LETTERS
+    some = np.bincount(y[good], minlength=len(labels)) > 0
+    good |= ~some[y] & (letters > 0)  # a language of short texts alone is learned from these
     x, y = x[good], y[good]
-    pick = np.random.default_rng(SEED).permutation(len(y))[:MOST_WINDOWS]
+    order = np.random.default_rng(SEED).permutation(len(y))
+    nth = np.empty(len(y), np.int64)  # within the language, in random order
+    for k in range(len(labels)):
+        own = order[y[order] == k]
+        nth[own] = np.arange(len(own))
+    pick = order[np.argsort(nth[order], kind="stable")][:MOST_WINDOWS]  # languages by turns, so that none is crowded out
     return train(x[pick], y[pick], labels) if len(pick) else None
 
 
@@ -249,10 +265,13 @@ def identify(docs: DataFrame, net: ByteNet | None = None, id_col: str = "doc_id"
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, net: ByteNet | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known with a score of at least `least`; `und` goes."""
+    """The rows of docs, with all their columns, whose language is known with a score of at least `least`; `und` goes.
+
+    Where nothing can be learned, for no row has a label, nothing is known against any document, and all stay.
+    """
     net = net or fit(docs, id_col, text_col, label_col)
     if net is None:
-        return docs.limit(0)
+        return docs
     ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)
 
