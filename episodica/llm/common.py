@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -12,40 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica import shipping
+from episodica.durable import drop, drop_tables, durable, new_path, scratch_dir  # noqa: F401
 
 ARROW_BYTES, _ARROW = "6m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark.sparkContext, "_episodica_scratch", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="episodica-")
-            spark.sparkContext._episodica_scratch = found
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends there, and any executor can read it again."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/episodica/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext.__dict__.setdefault("_episodica_tables", []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession) -> int:
-    """Deletes the tables that durable() has written in this session; results that read them are lost. Gives their number."""
-    paths = spark.sparkContext.__dict__.pop("_episodica_tables", [])
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return len(paths)
-
-
 def ship_package(spark: SparkSession) -> None:
     """As the library's; and Arrow batches of at most ARROW_BYTES where the session has Spark's default, for both sides hold one whole."""
     shipping.ship_package(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import durable
+from episodica.durable import drop, durable
 
 #: Each round at least halves what is left of a path; more rounds than this mean a fault.
 MOST_ROUNDS = 60
@@ -27,11 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-large")
-        e = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e = durable(e, "cc-edges")
-        least = durable(e.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
-        down = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = durable(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-edges")
+        drop(e, least)
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
+        down = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        drop(large, least)
         now = _print(e)
         if now == seen:
             break
@@ -39,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return durable(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "cc-nodes")
+    nodes = durable(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "cc-nodes")
+    drop(e)
+    return nodes

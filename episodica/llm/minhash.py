@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.llm.common import durable, ship_package, tidy
+from episodica.durable import drop, durable
+from episodica.llm.common import ship_package, tidy
 from episodica.llm.components import components
 from episodica.llm.tokens import slices
 
@@ -25,8 +26,10 @@ BANDS, ROWS, BITS = 36, 5, 2
 MINIMA, WORDS = BANDS * ROWS, -(-BANDS * ROWS * BITS // 64)
 #: Standard deviations by which an estimate may fall short of the threshold: a pair at it is lost with probability 1e-9.
 SIGMAS = 6.0
-#: Slots of the broadcast filter that leaves out texts without a candidate: 2 ** 18 longs at most.
-FILTER_SLOTS = 1 << 18
+#: Bits for each id, and bits at most, of the broadcast filter that leaves out texts without a candidate: 32 MB. More ids than that allows are joined.
+FILTER_BITS, MOST_BITS, BITMAP = 8, 1 << 28, 1 << 15
+#: Parts that the comparisons with one node are dealt into.
+SALTS = 16
 #: Nodes on a side of a cell in which nodes of different components are compared.
 BLOCK = 256
 #: Words whose hashes a worker remembers.
@@ -154,34 +157,76 @@ def mismatches(a: str, b: str) -> Column:
     return out
 
 
-def estimate(differ: Column) -> Column:
-    """Similarity from the number of differing values, corrected for values that agree by chance."""
+def estimate(differ):
+    """Similarity from the number of differing values (a column or an array), corrected for values that agree by chance."""
     chance = 2.0**-BITS
-    return ((1 - differ / F.lit(float(MINIMA))) - chance) / (1 - chance)
+    return ((1.0 - differ / float(MINIMA)) - chance) / (1.0 - chance)
+
+
+def least_estimate(percent: int) -> float:
+    """The estimate that a pair at the threshold reaches, but for chance beyond SIGMAS."""
+    return estimate(MINIMA - least_matches(percent)) - 1e-9
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (mismatches(a, b) <= MINIMA - least_matches(percent))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (estimate(mismatches(a, b)) >= least_estimate(percent))
+
+
+def _filtered(df: DataFrame, id_col: str, ids: DataFrame, most_bits: int) -> DataFrame | None:
+    """df with __maybe: whether a row's id, a long, may be among the ids (one column, durable); false for seven eighths of the others at least.
+
+    The filter's hashed bits, FILTER_BITS for each id, are broadcast; None if they would be more than most_bits.
+    """
+    name, n = ids.columns[0], ids.count()
+    if n * FILTER_BITS > most_bits:
+        return None
+    bits = max(BITMAP, 1 << (n * FILTER_BITS - 1).bit_length() if n else 0)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    part, place = lambda s: F.shiftright(s, 15).cast("int"), lambda s: s.bitwiseAND(F.lit(BITMAP - 1))
+    one = ids.select(slot(F.col(name)).alias("s")).distinct()
+    maps = one.groupBy(part(F.col("s")).alias("__part")).agg(F.bitmap_construct_agg(place(F.col("s"))).alias("__map"))  # bits / 8 bytes in all
+    own = df.withColumn("__slot", slot(F.col(id_col))).withColumn("__at", place(F.col("__slot")).cast("int"))
+    near = own.join(F.broadcast(maps), part(F.col("__slot")) == F.col("__part"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("__map"), F.shiftright("__at", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return near.select(*df.columns, F.coalesce(F.call_function("getbit", byte, F.col("__at").bitwiseAND(F.lit(7))) == 1, F.lit(False)).alias("__maybe"))
+
+
+def maybe_in(df: DataFrame, id_col: str, ids: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of df whose id is among the ids, and a few others: they stay where they are read, but if the ids are too many for a filter."""
+    marked = _filtered(df, id_col, ids, most_bits)
+    if marked is None:
+        return df.join(ids.select(F.col(ids.columns[0]).alias("__in")).distinct(), F.col(id_col) == F.col("__in"), "left_semi")
+    return marked.filter("__maybe").drop("__maybe")
+
+
+def split_by(df: DataFrame, id_col: str, ids: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose id may be among the ids, and those whose id is surely not."""
+    marked = _filtered(df, id_col, ids, most_bits)
+    if marked is None:
+        return df, df.limit(0)
+    return marked.filter("__maybe").drop("__maybe"), marked.filter("not __maybe").drop("__maybe")
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """node and set of these nodes, and of a few others: texts are left out by a broadcast set of at most FILTER_SLOTS hash slots."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS))
-    wanted = F.broadcast(nodes.select(slot(F.col("node")).alias("slot")).distinct())
+    """node and set of these nodes (durable), and of a few others."""
     some = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null")
-    some = some.withColumn("slot", slot(F.col("__id"))).join(wanted, "slot", "left_semi")
-    return durable(shingle_sets(some, size, "__id", "__text"), "near-sets")
+    return durable(shingle_sets(maybe_in(some, "__id", nodes), size, "__id", "__text"), "near-sets")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets' similarity is at least percent / 100."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, size, id_col, text_col)
+    nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-asked")
+    sets = _sets_of(nodes, docs, size, id_col, text_col)
+    drop(nodes)
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
+    found = both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
+    found = durable(found, "near-links")
+    drop(sets)
+    return found
 
 
 def _in_cells(rows: DataFrame, details: DataFrame, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -219,7 +264,7 @@ def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         differ += np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555))
     nx, ny = n[x][:, None], n[y]
     may = (component[x][:, None] != component[y]) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
-    return x, y, may & (differ <= MINIMA - least_matches(percent))
+    return x, y, may & (estimate(differ) >= least_estimate(percent))
 
 
 def _likely_nodes(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -288,10 +333,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     members = durable(buckets.join(shared, "band"), "near-members")
 
     stars = members.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    x, y = light.alias("x"), light.alias("y")
-    likely = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(_possible("x", "y", percent)).select("a", "b").distinct()
-    likely = durable(likely, "near-stars")
-    links = durable(confirm(likely, docs, size, percent, id_col, text_col), "near-links")
+    stars = stars.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    lows = light.join(shared.select(F.col("low").alias("node")).distinct(), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x, y = light.alias("x"), lows.alias("y")
+    pairs = stars.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & (stars["salt"] == F.col("y.salt")))
+    likely = durable(pairs.filter(_possible("x", "y", percent)).select("a", "b").distinct(), "near-stars")
+    drop(shared)
+    links = confirm(likely, docs, size, percent, id_col, text_col)
+    drop(likely)
     nodes = components(links)
 
     placed = members.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -299,12 +348,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     rest = placed.join(mixed, "band").select("low", "node", "component").distinct()
     low_of = nodes.select(F.col("node").alias("low"), F.col("component").alias("of_low"))
     rest = durable(rest.join(low_of, "low", "left").withColumn("home", F.col("component") == F.coalesce("of_low", "low")).drop("of_low"), "near-rest")
+    drop(members, mixed)
     likely = durable(_in_cells(rest, light, _likely_nodes(percent), "low long, node long, component long, home boolean").distinct(), "near-likely")
+    drop(rest)
     if not likely.isEmpty():
-        with_sets = light.join(_sets_of(likely.select("node"), docs, size, id_col, text_col), "node")
-        more = durable(_in_cells(likely, with_sets, _cell_links(percent), "a long, b long").distinct(), "near-links")
+        asked = durable(likely.select("node").distinct(), "near-asked")
+        sets = _sets_of(asked, docs, size, id_col, text_col)
+        more = durable(_in_cells(likely, light.join(sets, "node"), _cell_links(percent), "a long, b long").distinct(), "near-links")
+        drop(asked, sets)
         if not more.isEmpty():
-            nodes = components(links.unionByName(more))
+            old, nodes = nodes, components(links.unionByName(more))
+            drop(old)
+        drop(more)
+    drop(likely, reps, links)
 
     whole = sigs.select("id", "n", "digest").join(classes, "digest", "left").join(nodes, "node", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("id"))
@@ -315,19 +371,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each group; of several rows of a kept id the one with the least hash of its columns.
 
-    Rows whose id falls into no slot of an id that goes, or that is repeated, stay where they are read: a broadcast set of at most
-    FILTER_SLOTS slots tells. Only the others are joined with those ids. A row with a null id is kept.
+    Rows whose id is surely none that goes, or that is repeated, stay where they are read: a broadcast filter tells. Only the others are
+    joined with those ids; where there are too many for a filter, all rows are. A row with a null id is kept.
     """
     found = near_duplicates(docs, size, percent, id_col, text_col).select(F.col(id_col).alias("__id"), "kept").filter("__id is not null")
     odd = durable(found.groupBy("__id").agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__n")).filter("not __kept or __n > 1"), "near-odd")
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS))
-    slots_ = F.broadcast(odd.select(slot(F.col("__id")).alias("__slot")).distinct())
     key = F.col(id_col).cast("long")
-    marked = docs.withColumn("__slot", slot(key))
-    joined = marked.filter(key.isNotNull()).join(slots_, "__slot", "left_semi").join(odd, key == F.col("__id"), "left")
-    joined = joined.filter("__kept is null or __kept")
-    rows = marked.filter(key.isNotNull()).join(slots_, "__slot", "left_anti").select(*docs.columns)
-    rows = rows.unionByName(docs.filter(key.isNull())).unionByName(joined.filter("__n is null or __n = 1").select(*docs.columns))
+    marked = docs.withColumn("__key", key).filter("__key is not null")
+    near, sure = split_by(marked, "__key", odd.select("__id"))
+    joined = near.join(odd, F.col("__key") == F.col("__id"), "left").filter("__kept is null or __kept")
+    rows = sure.select(*docs.columns).unionByName(docs.filter(key.isNull())).unionByName(joined.filter("__n is null or __n = 1").select(*docs.columns))
     if not odd.filter("__n > 1").isEmpty():
         one = joined.filter("__n > 1").withColumn("__h", F.xxhash64(*docs.columns))
         first = one.groupBy("__id").agg(F.min("__h").alias("__h"))

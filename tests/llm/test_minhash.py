@@ -92,3 +92,44 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[3] == 1 and got[5] == 4 and got[13] == 9 and 7 not in got and all(got[100 + i] == 100 for i in range(41))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_filters_of_any_size_lose_nothing(spark):
+    """Ids asked for are always among what is left; a filter too small for them gives way to a join."""
+    from episodica.durable import durable
+
+    docs = spark.range(20_000).selectExpr("id * 977 - 5000 as k", "id as slot", "'x' as size")
+    for n in (0, 1, 700, 9000):
+        ids = durable(spark.range(n).selectExpr("(id * 3) * 977 - 5000 as node"), "ids")
+        wanted = {i * 3 * 977 - 5000 for i in range(n) if i * 3 < 20_000}
+        for most in (M.MOST_BITS, 1 << 10):
+            got = [r.k for r in M.maybe_in(docs, "k", ids, most).collect()]
+            assert wanted <= set(got) and len(got) == len(set(got)) and len(got) - len(wanted) <= (20_000 - len(wanted)) / 6
+            near, sure = M.split_by(docs, "k", ids, most)
+            a, b = [r.k for r in near.collect()], [r.k for r in sure.collect()]
+            assert wanted <= set(a) and sorted(a + b) == sorted(r.k for r in docs.collect()) and near.columns == docs.columns
+
+
+def test_joins_in_place_of_filters_give_the_same(docs, monkeypatch):
+    a = sorted((r.doc_id, r.component_id) for r in M.near_duplicates(docs, 2, 80).collect())
+    kept = sorted(r.doc_id for r in M.keep_one(docs).collect())
+    monkeypatch.setattr(M, "maybe_in", lambda df, c, ids, most=0, f=M.maybe_in: f(df, c, ids, 0))
+    monkeypatch.setattr(M, "split_by", lambda df, c, ids, most=0, f=M.split_by: f(df, c, ids, 0))
+    assert a == sorted((r.doc_id, r.component_id) for r in M.near_duplicates(docs, 2, 80).collect())
+    assert kept == sorted(r.doc_id for r in M.keep_one(docs).collect())
+
+
+def test_estimates_are_corrected_for_chance():
+    """Sets of known similarity: the mean estimate is that similarity."""
+    rng = np.random.default_rng(9)
+    for share in (0.2, 0.5, 0.8):
+        found = []
+        for _ in range(40):
+            x = rng.integers(0, 1 << 63, 3000, np.uint64)
+            n = int(2000 * share / (1 + share) * 1.5)
+            a, b = np.unique(x[:1500]), np.unique(np.concatenate([x[:n], x[1500 : 3000 - n]]))
+            bits = M.packed_bits(np.stack([M.minima(a), M.minima(b)])).view(np.uint64)
+            d = bits[0] ^ bits[1]
+            found.append(M.estimate(int(np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum())))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs(np.mean(found) - true) < 0.03, (share, np.mean(found), true)
