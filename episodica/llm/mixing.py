@@ -91,9 +91,14 @@ def mix(
 
 
 def shuffled(mixed: DataFrame, n_partitions: int | None = None) -> DataFrame:
-    """mixed in the order of mix_key over all partitions. The key is uniform, so equal slices of its range hold about equally many rows."""
+    """mixed in the order of mix_key over all partitions.
+
+    The key is uniform in 60 bits, so equal slices of its range hold about equally many rows, and a row's partition is known without a sample
+    of the table.
+    """
     n = n_partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "mix_key").sortWithinPartitions("mix_key")
+    part = F.least(F.floor(F.col("mix_key") / F.lit(2.0**60) * n).cast("int"), F.lit(n - 1))
+    return mixed.repartitionById(n, part).sortWithinPartitions("mix_key")
 
 
 def with_positions(mixed: DataFrame, tie_cols: list[str], slice_bits: int = 10) -> DataFrame:
