@@ -62,6 +62,13 @@ def reasons(df: DataFrame, rules: Sequence[tuple[str, Column]], out: str = "reas
     return df.withColumn(out, expr)
 
 
+def split_eligible(df: DataFrame, rules: Sequence[tuple[str, Column]], train: DataFrame, key: str, out: str = "reason") -> DataFrame:
+    """As reasons, with `train_episode` first for rows whose key is among the training ones: these may not be evaluated."""
+    flags = train.select(F.col(key).alias("__k"), F.lit(True).alias("__train")).distinct()
+    marked = df.join(flags, F.col(key) == F.col("__k"), "left")
+    return reasons(marked, [("train_episode", F.col("__train")), *rules], out).drop("__k", "__train")
+
+
 def blockers(df: DataFrame, rules: Sequence[tuple[str, Column]], out: str = "blockers") -> DataFrame:
     """All rules that a row breaks, and eligible: whether there are none."""
     hits = F.array_compact(F.array(*(F.when(F.coalesce(b, F.lit(False)), F.lit(n)) for n, b in rules)))

@@ -135,8 +135,14 @@ def running_offsets(sizes: DataFrame, key: str, size: str, ranges: int = 64) ->
 
 
 def strata(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = (), out: str = "stratum") -> DataFrame:
-    """Strata of equal counts by order, the first ones larger, from 1. Without keys, of a table that one task can sort."""
-    return df.withColumn(out, F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)))
+    """Strata of equal counts by order, the first ones larger, from 1. Without keys, of a table of any size, by its ranks."""
+    if keys:
+        return df.withColumn(out, F.ntile(n).over(Window.partitionBy(*keys).orderBy(*order)))
+    ranked, rows = numbered(df, order, "__r"), df.count()
+    size, more = rows // n, rows % n  # the first `more` strata hold one row more
+    first = F.floor((F.col("__r") - 1) / (size + 1)) + 1
+    rest = F.lit(more) + F.floor((F.col("__r") - 1 - more * (size + 1)) / max(1, size)) + 1
+    return ranked.withColumn(out, F.when(F.col("__r") <= more * (size + 1), first).otherwise(rest).cast("int")).drop("__r")
 
 
 def top_k(df: DataFrame, k: int, keys: Sequence[str], order: Sequence[str | Column], out: str = "rank") -> DataFrame:

@@ -133,6 +133,14 @@ def eligibility_reasons(spark, d):
     return df.groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query("held_out_reasons", f"with {ANN}, r as (select doc_id, case when doc_id in (select item_id from benchmark) then 'train_episode' when coalesce(regrasp, 0) <> 0 then 'regrasp' when quality = 0 then 'quality' end as reason from an) select doc_id, coalesce(reason, 'eligible') as reason from r")
+def held_out_reasons(spark, d):
+    """The two-valued variant: a missing flag is no fault, and what training has seen is excluded."""
+    train = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
+    rules = [("regrasp", F.coalesce("regrasp", F.lit(0)) != 0), ("quality", F.col("quality") == 0)]
+    return D.split_eligible(_annotated(spark, d), rules, train, "doc_id").select("doc_id", F.coalesce("reason", F.lit("eligible")).alias("reason"))
+
+
 @query("annotation_blockers", f"with {ANN} select doc_id, concat_ws(',', case when lang <> 'en' then 'lang' end, case when quality is null then 'label' end, case when toxic = 1 then 'toxic' end) as blockers, lang = 'en' and quality is not null and coalesce(toxic, 0) <> 1 as eligible from an")
 def annotation_blockers(spark, d):
     df = D.blockers(_annotated(spark, d), [("lang", F.col("lang") != "en"), ("label", F.col("quality").isNull()), ("toxic", F.col("toxic") == 1)])

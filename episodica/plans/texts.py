@@ -179,6 +179,14 @@ def finished_runs(spark, d):
     return Mo.finished(table(spark, d, "events"), ["user_id"], "event_id", 9900)
 
 
+@query("completed_runs", "with s as (select user_id, max(event_id) as step from events group by 1), f as (select c_custkey as user_id, 1 + (c_nationkey % 2) as n from customer) select s.user_id, step, step >= 100 and coalesce(n, 0) = 2 as complete, (2 - coalesce(n, 0))::bigint as missing from s left join f using (user_id)")
+def completed_runs(spark, d):
+    """Runs whose last step is there, and both files that they should leave."""
+    names = F.when(F.col("c_nationkey") % 2 == 1, F.array(F.lit("model.bin"), F.lit("optim.bin"))).otherwise(F.array(F.lit("model.bin")))
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.explode(names).alias("name"))
+    return Mo.completed(table(spark, d, "events"), files, ["user_id"], "event_id", 100, "name", ["model.bin", "optim.bin"])
+
+
 def _is_dir(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

@@ -84,14 +84,27 @@ def lenient_stats(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return whole if not whole.isEmpty() else lenient_json(spark, path, schema)
 
 
+#: Bytes of a document that the driver takes at most.
+MOST_DOCUMENT = 64 << 20
+
+
+def _body(spark: SparkSession, path: str) -> str:
+    """The text of a small file; raises for a large one before it is read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    n = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    if n > MOST_DOCUMENT:
+        raise ValueError(f"{path} has {n} bytes, more than a document may have")
+    return "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+
+
 def read_document(spark: SparkSession, path: str) -> Any:
     """One JSON document (settings, dataset info) as Python values."""
-    return json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect()))
+    return json.loads(_body(spark, path))
 
 
 def read_settings(spark: SparkSession, path: str) -> Any:
     """YAML where a parser is installed, else JSON."""
-    body = "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+    body = _body(spark, path)
     try:
         import yaml
     except ImportError:

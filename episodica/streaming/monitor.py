@@ -39,6 +39,14 @@ def finished(log: DataFrame, keys: Sequence[str], step: str, last: int) -> DataF
     return log.groupBy(*keys).agg(F.max(step).alias("step")).withColumn("complete", F.col("step") >= last)
 
 
+def completed(log: DataFrame, files: DataFrame, keys: Sequence[str], step: str, last: int, name: str, required: Sequence[str]) -> DataFrame:
+    """As finished(); a run is complete only if all required files are there too. missing: how many are not."""
+    have = files.filter(F.col(name).isin(list(required))).groupBy(*keys).agg(F.countDistinct(name).alias("__have"))
+    both = finished(log, keys, step, last).join(have, list(keys), "left")
+    both = both.withColumn("missing", F.lit(len(set(required))) - F.coalesce("__have", F.lit(0)))
+    return both.withColumn("complete", F.col("complete") & (F.col("missing") == 0)).drop("__have")
+
+
 def run_to_end(df: DataFrame, checkpoint: str, out: str, mode: str = "append") -> None:
     """Runs a stream over what is there now, into Parquet, then stops; a second call goes on from the checkpoint."""
     q = df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()

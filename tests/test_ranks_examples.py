@@ -212,3 +212,18 @@ def test_tables_are_dropped(spark):
     durable.drop(df)
     assert not scans.exists(spark, path)
     durable.drop(df)
+
+
+def test_large_documents_are_not_collected(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.json").write_text('{"a": 1}')
+    assert scans.read_document(spark, str(tmp_path / "x.json")) == {"a": 1}
+    monkeypatch.setattr(scans, "MOST_DOCUMENT", 4)
+    with pytest.raises(ValueError, match="more than a document"):
+        scans.read_document(spark, str(tmp_path / "x.json"))
+
+
+def test_strata_without_keys_are_ntiles(spark):
+    for rows, n in ((23, 10), (5, 10), (40, 4), (1, 3)):
+        df = spark.range(rows).withColumn("k", F.col("id") % 7)
+        got = [r.stratum for r in W.strata(df, n, ["k", "id"]).orderBy("k", "id").collect()]
+        assert got == [i + 1 for i, part in enumerate(np.array_split(np.arange(rows), n)) for _ in part]
