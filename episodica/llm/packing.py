@@ -79,6 +79,35 @@ def take_slots(plan: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[
     return first + j // q, offset + (j % q) * length
 
 
+def cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of these sizes cut into pieces of capacity: each piece's row, number in the row, start and length."""
+    n = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = piece * capacity
+    return row, piece, start, np.minimum(sizes[row] - start, capacity)
+
+
+def with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids of rows that end at these places, end_id after each row's, as little-endian 32-bit numbers."""
+    out = np.empty(len(ids) + len(ends) - 1, "<u4")
+    after = ends[1:] + np.arange(len(ends) - 1)
+    own = np.ones(len(out), bool)
+    own[after] = False
+    out[own], out[after] = ids, end_id
+    return out
+
+
+def ranks(values: np.ndarray) -> np.ndarray:
+    """How many of the same value stand before each value."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.searchsorted(ordered, ordered, side="left")
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - first
+    return out
+
+
 def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
     """Pieces of every row's ids, numbered within (part, length): part is the task that made them."""
     ship_package(docs.sparkSession)
@@ -93,21 +122,13 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, i
                 x = c.code(texts)
                 ends = np.concatenate([[0], np.cumsum(x.lens[x.index])])[np.concatenate([[0], np.cumsum(x.n)])]
                 ids = x.all_ids()
-                row, piece, start, length, crc = [], [], [], [], []
-                for i in range(len(texts)):
-                    own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(own), capacity)):
-                        cut = own[at : at + capacity]
-                        row.append(first + i)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(len(cut))
-                        crc.append(zlib.crc32(cut.tobytes()))
-                nth = []
-                for size in length:
-                    nth.append(seen[size])
-                    seen[size] += 1
-                cols = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc)), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())]
+                row, piece, start, length = cuts(np.diff(ends) + 1, capacity)
+                flat = with_ends(ids, ends, end_id)
+                at = (ends[:-1] + np.arange(len(texts)))[row] + start  # each row before adds its end_id
+                crc = [zlib.crc32(flat[a : a + n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                nth = seen[length] + ranks(length)
+                seen += np.bincount(length, minlength=capacity + 1)
+                cols = [batch.column(0).take(pa.array(first + row)), pa.array(piece.astype(np.int32)), *(pa.array(v, pa.int64()) for v in (start, length, crc)), pa.array(np.full(len(row), part, np.int32)), pa.array(nth)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
             tidy()
 

@@ -41,6 +41,8 @@ CHUNK, WORD = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(r"[^\x20\x09-\x0D]+"
 COMMON = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+\\Z")
 #: Pieces and pairs of tokens that a worker remembers.
 MOST_PIECES, MOST_PAIRS = 400_000, 2_000_000
+#: Chunks that a worker remembers, some 30 bytes each.
+MOST_CHUNKS = 400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -97,6 +99,27 @@ def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return chunks.indices.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), chunks.dictionary
 
 
+class Remembered:
+    """Chunks that a worker has seen, in one array, which new ones are looked up in at once."""
+
+    def __init__(self) -> None:
+        self.known = pa.array([], pa.string())
+
+    def places(self, distinct: pa.Array) -> tuple[np.ndarray, pa.Array, bool]:
+        """Where each chunk will stand, those that are new, and whether what was known is forgotten first: more than MOST_CHUNKS are not kept."""
+        distinct = distinct.cast(pa.string())
+        at = pc.index_in(distinct, value_set=self.known)
+        fresh = len(self.known) + at.null_count > MOST_CHUNKS
+        if fresh:
+            self.known, at = pa.array([], pa.string()), pa.nulls(len(distinct), pa.int32())
+        is_new = at.is_null()
+        new = distinct.filter(is_new)
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[is_new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        return place, new, fresh
+
+
 class ChunkCoder:
     """Ids of texts by way of the library's ids of their distinct chunks."""
 
@@ -114,6 +137,8 @@ class ChunkCoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.marks = {m: vocab[f"{m}</w>"] for m in MARKS}
         self.path = path
+        self.seen = Remembered()
+        self.ids, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @property
     def prefixes(self) -> PrefixCounter:
@@ -141,6 +166,16 @@ class ChunkCoder:
     def code(self, texts: pa.Array) -> Coded:
         """texts: strings without null."""
         index, n, distinct = chunked(texts)
+        place, new, fresh = self.seen.places(distinct)
+        if fresh:
+            self.ids, self.starts, self.lens = self.ids[:0], self.starts[:0], self.lens[:0]
+        ids, starts, lens = self.encoded(new)
+        self.starts, self.lens = np.concatenate([self.starts, starts + len(self.ids)]), np.concatenate([self.lens, lens])
+        self.ids = np.concatenate([self.ids, ids])
+        return Coded(index, n, self.ids, self.starts[place], self.lens[place], pc.index(distinct, "").as_py())
+
+    def encoded(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, and where in them each chunk's begin and how many they are."""
         alone = pc.utf8_is_alpha(distinct).to_numpy(zero_copy_only=False)
         marked = pc.match_substring_regex(distinct, MARKED).to_numpy(zero_copy_only=False)
         odd = ~alone & ~marked
@@ -163,8 +198,7 @@ class ChunkCoder:
         out_starts[alone], out_lens[alone] = starts[of[:n_alone]], lens[of[:n_alone]]
         out_starts[marked], out_lens[marked] = len(ids) + np.cumsum(lens_m) - lens_m, lens_m
         out_starts[odd], out_lens[odd] = len(ids) + len(ids_m) + np.cumsum(lens_o) - lens_o, lens_o
-        blank = pc.index(distinct, "").as_py()
-        return Coded(index, n, np.concatenate([ids, ids_m, ids_o]), out_starts, out_lens, blank)
+        return np.concatenate([ids, ids_m, ids_o]), out_starts, out_lens
 
 
 class PrefixCounter:
@@ -201,6 +235,7 @@ class PrefixCounter:
         self.kinds = {k: regex.compile(p) for k, p in (("L", r"\p{L}"), ("N", r"\p{N}"), (" ", r"\p{White_Space}"))}
         self.letter = _byte_letters()
         self.memo: dict[str, array] = {}
+        self.seen, self.seen_totals = Remembered(), np.zeros(0, np.int64)
         self._sound: dict[str, bool] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         self._kind: dict[str, str] = {}
@@ -381,6 +416,13 @@ class PrefixCounter:
             out[k] = (self._walk(chunks[k])[-1] if own is None else sum(self.memo[p][-1] for p in own)) if chunks[k] else 0
         return out
 
+    def remembered_totals(self, distinct: pa.Array) -> np.ndarray:
+        """As totals; chunks seen before are looked up."""
+        place, new, fresh = self.seen.places(distinct)
+        known = self.seen_totals[:0] if fresh else self.seen_totals
+        self.seen_totals = np.concatenate([known, self.totals(new.to_pylist())])
+        return self.seen_totals[place]
+
     def of_chunk(self, chunk: str) -> list[int]:
         """Counts of the first 1, 2, ... code points of a chunk."""
         s = self.plain(chunk)
@@ -573,7 +615,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, vocabulary: str = VOCABULAR
         for batch in batches:
             for first, texts in text_slices(batch.column(1)):
                 index, n, distinct = chunked(texts)
-                totals = c.totals(distinct.to_pylist())
+                totals = c.remembered_totals(distinct)
                 running = np.concatenate([[0], np.cumsum(totals[index])])  # prefix counts at chunk ends, over all texts of the slice
                 to = np.cumsum(n)
                 counts = running[to] - running[to - n]
