@@ -221,7 +221,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col:
     drop(nodes)
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
+    # a node that many are compared with has its set in as many parts as there are, SALTS at most
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    parts = salted.select("b", "salt").distinct().join(two, "b")
+    both = salted.join(one, "a").join(parts, ["b", "salt"])
     common = F.size(F.array_intersect("sa", "sb"))
     found = both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
     found = durable(found, "near-links")
