@@ -1,5 +1,71 @@
+import os
+import random
+import re
+import textwrap
+
+import pytest
+
 from episodica.llm import licenses as L
 
+FOLDER = "/usr/share/common-licenses"
+FILES = {
+    "apache-2.0": "Apache-2.0", "artistic-1.0": "Artistic", "cc0-1.0": "CC0-1.0", "gpl-1.0": "GPL-1", "gpl-2.0": "GPL-2", "gpl-3.0": "GPL-3", "lgpl-2.0": "LGPL-2", "lgpl-2.1": "LGPL-2.1",
+    "lgpl-3.0": "LGPL-3", "mpl-1.1": "MPL-1.1", "mpl-2.0": "MPL-2.0",
+}
+
+
+def wrapped(text, width):
+    """Paragraphs anew; the head, which has lines of its own, as it is."""
+    paragraphs = re.split(r"\n\s*\n", text)
+    own = lambda p: len(p) < 200 or re.search(r"(?im)^ *(copyright|version)\b.*[0-9]", p)
+    return "\n\n".join(p if own(p) else textwrap.fill(" ".join(p.split()), width) for p in paragraphs)
+
+
+def respelt(text):
+    """Other spellings that guidelines take for the same."""
+    for a, b in (("license", "licence"), ("organization", "organisation"), ("noncommercial", "non-commercial"), ("copyright holder", "copyright owner"), ("http:", "https:"), ("favor", "favour")):
+        text = text.replace(a, b)
+    return text
+
+
+def test_every_known_text_in_other_dress(spark):
+    """Wrapped at any width, in capitals, with other quotes, under a title, copyright and rights lines."""
+    rnd, rows = random.Random(1), []
+    for name, text in L.LICENSES.items():
+        if name not in L.NOTICES:
+            title = rnd.choice(["The MIT License (MIT)", "BSD 3-Clause License", "ISC License", "zlib License", "Boost Software License - Version 1.0 - August 17th, 2003", "MIT No Attribution"][:4])
+            for width in range(40, 121, 4):
+                rows += [(name, wrapped(text, width)), (name, f"{title}\n\nCopyright (c) 2019-2024 Jane Doe <jane@example.org>\nAll rights reserved.\n\n{wrapped(text, width).upper()}")]
+            rows += [(name, "  " + respelt(text).replace('"', "''")), (name, f"© 2001 The Regents\r\nPortions copyright John Roe\r\n\r\n{text}".replace("\n", "\r\n"))]
+    got = L.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    wrong = [(r.doc_id, r.license_id) for r in got if r.license_id != r.doc_id]
+    assert not wrong, wrong[:10]
+
+
+def test_named_owners(spark):
+    text = L.LICENSES["bsd-3-clause"].replace("the copyright holder nor", "Example Corp. nor").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "EXAMPLE CORP. AND CONTRIBUTORS")
+    rows = [("bsd-3-clause", text), (None, text.replace("prior written permission", "prior permission")), (None, text + " And more.")]
+    got = L.scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")).collect()
+    assert [r.license_id for r in sorted(got)] == [k for k, _ in rows]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no license texts on this machine")
+def test_digests_of_long_texts(spark):
+    rows = []
+    for name, file in FILES.items():
+        text = open(f"{FOLDER}/{file}", encoding="utf-8", errors="replace").read()
+        rows += [(name, text), *((name, wrapped(text, w)) for w in (40, 57, 80, 88, 120)), (name, respelt(text).upper())]
+    got = L.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    wrong = [(r.doc_id, r.license_id) for r in got if r.license_id != r.doc_id]
+    assert not wrong, wrong[:10]
+
+
+def test_sentences_that_begin_with_copyright_stay(spark):
+    lines = ["copyright notice must stay", "Copyright holders be liable", "COPYRIGHT LAW applies", "copyright", "Copyright 2020 X", "Copyright Jane Doe", "(c) 2020 X", "(c) You must keep", "copyrighted material"]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    got = {r.i: r.c for r in df.select("i", L.joined(L.canonical(df.t)).alias("c")).collect()}
+    assert [bool(got[i]) for i in range(9)] == [True, True, True, True, False, False, False, True, True]
+
 
 def test_spellings_meet(spark):
     mit = L.LICENSES["mit"]
