@@ -1,24 +1,24 @@
 """Exact top-k by inner product, columnar with branch and bound.
 
-Vectors of whole numbers are dealt in a grid of query blocks and candidate blocks. Within a cell, candidates lie dimension by dimension;
+Vectors of whole numbers are dealt in a grid of query blocks and candidate slices. Within a cell, candidates lie dimension by dimension;
 scores are accumulated over blocks of dimensions, and after each block a candidate stays with a query only if its score so far plus the most
 that the rest of both vectors could add (the product of their remaining norms) reaches the query's k-th best score so far.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from episodica.llm.common import durable, ship_package
 
 K, SCALE = 20, 64
-#: Rows of a cell's blocks on average, rows of candidates taken at once in it, and dimensions of a step.
-QUERY_ROWS, CANDIDATE_ROWS, TILE, STEP = 512, 16_384, 2048, 16
+#: Queries of a block on average, rows of candidates taken at once, dimensions of a step, and tasks at most.
+QUERY_ROWS, TILE, STEP, MOST_TASKS = 512, 2048, 16, 1 << 18
 #: Below this share of surviving pairs, pairs are compacted into lists.
 DENSE = 0.2
 
@@ -34,67 +34,130 @@ def whole_numbers(df: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
 def _tails(m: np.ndarray) -> np.ndarray:
     """Norms of what is left from each step on (rows: steps); a little more than exact, so that rounding never rules a candidate out."""
     steps = range(0, m.shape[0], STEP)
-    sums = np.array([(m[i : i + STEP].astype(np.float64) ** 2).sum(axis=0) for i in steps])
+    sums = np.array([(m[i : i + STEP].astype(np.float64) ** 2).sum(axis=0) for i in steps]).reshape(-1, m.shape[1])
     return np.sqrt(np.concatenate([np.cumsum(sums[::-1], axis=0)[::-1], np.zeros((1, m.shape[1]))])) * (1 + 1e-9)
 
 
-def best_of_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) of each query's k best candidates here; q and c are vertical (dimensions by rows), of long."""
-    most = (int(np.abs(q).max(initial=0)) + 1) * (int(np.abs(c).max(initial=0)) + 1) * max(1, q.shape[0])
-    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # sums are exact in each of them
-    q, c = np.ascontiguousarray(q.astype(kind)), np.ascontiguousarray(c.astype(kind))
-    tq, tc, n = _tails(q), _tails(c), q.shape[1]
-    order = np.argsort(-tc[0], kind="stable") if len(c_ids) else np.zeros(0, int)  # long vectors first: the bounds bite sooner
-    best = [(np.zeros(0, kind), np.zeros(0, np.int64)) for _ in range(n)]
-    bar = np.full(n, -np.inf)
-    for at in range(0, len(order), TILE):
-        tile = order[at : at + TILE]
-        alive_q, alive_c = np.divmod(np.arange(n * len(tile)), len(tile)) if not q.shape[0] else (None, None)
-        block, score = tile, None
-        if alive_q is None:
-            acc = np.zeros((n, len(tile)), kind)
-            for s, d in enumerate(range(0, q.shape[0], STEP), 1):
-                if alive_q is None:
-                    acc += q[d : d + STEP].T @ c[d : d + STEP, block]
-                    keep = acc + tq[s][:, None] * tc[s][block] >= bar[:, None]
-                    if keep.mean() < DENSE:
-                        alive_q, alive_c = np.nonzero(keep)
-                        score = acc[alive_q, alive_c]
-                    else:  # candidates that no query here still needs go
-                        some = keep.any(axis=0)
-                        if not some.all():
-                            block, acc = block[some], acc[:, some]
-                else:
-                    score = score + np.einsum("ij,ij->j", q[d : d + STEP, alive_q], c[d : d + STEP, block[alive_c]])
-                    keep = score + tq[s][alive_q] * tc[s][block[alive_c]] >= bar[alive_q]
-                    alive_q, alive_c, score = alive_q[keep], alive_c[keep], score[keep]
+class Cell:
+    """The k best candidates so far of a block of queries. Queries and candidates are vertical (dimensions by rows), of long."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = q_ids, q, k
+        self.most, self.tails, self.kinds = int(np.abs(q).max(initial=0)), _tails(q), {}
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
+        self.bar = np.full(len(q_ids), -np.inf)
+
+    def feed(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        """A tile of candidates, those of great norm first: the bounds bite sooner."""
+        n, k, dims = len(self.ids), self.k, self.q.shape[0]
+        most = (self.most + 1) * (int(np.abs(c).max(initial=0)) + 1) * max(1, dims)
+        if most >= 1 << 63:
+            raise OverflowError("inner products of these vectors may not fit a long")
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # sums are exact in each of them
+        q = self.kinds.get(kind)
+        if q is None:
+            q = self.kinds[kind] = np.ascontiguousarray(self.q.astype(kind))
+        c, tq, tc, bar = np.ascontiguousarray(c.astype(kind)), self.tails, _tails(c), self.bar
+        block, acc, score = np.arange(len(c_ids)), np.zeros((n, len(c_ids)), kind), None
+        alive_q = alive_c = None
+        for s, d in enumerate(range(0, dims, STEP), 1):
             if alive_q is None:
-                alive_q, alive_c = np.nonzero(acc >= bar[:, None])
-                score = acc[alive_q, alive_c]
-        else:
-            score = np.zeros(len(alive_q), kind)
-        ids = c_ids[block[alive_c]]
-        own = ids != q_ids[alive_q]
+                acc += q[d : d + STEP].T @ c[d : d + STEP, block]
+                keep = acc + tq[s][:, None] * tc[s][block] >= bar[:, None]
+                if keep.mean() < DENSE:
+                    alive_q, alive_c = np.nonzero(keep)
+                    score = acc[alive_q, alive_c]
+                else:  # candidates that no query here still needs go
+                    some = keep.any(axis=0)
+                    if not some.all():
+                        block, acc = block[some], acc[:, some]
+            else:
+                score = score + np.einsum("ij,ij->j", q[d : d + STEP, alive_q], c[d : d + STEP, block[alive_c]])
+                keep = score + tq[s][alive_q] * tc[s][block[alive_c]] >= bar[alive_q]
+                alive_q, alive_c, score = alive_q[keep], alive_c[keep], score[keep]
+        if alive_q is None:
+            alive_q, alive_c = np.nonzero(acc >= bar[:, None])
+            score = acc[alive_q, alive_c]
+        ids, score = c_ids[block[alive_c]], score.astype(np.int64)
+        own = ids != self.ids[alive_q]
         alive_q, ids, score = alive_q[own], ids[own], score[own]
         cuts = np.searchsorted(alive_q, np.arange(n + 1))
         for i in np.flatnonzero(np.diff(cuts)):
-            s, x = np.concatenate([best[i][0], score[cuts[i] : cuts[i + 1]]]), np.concatenate([best[i][1], ids[cuts[i] : cuts[i + 1]]])
+            s, x = np.concatenate([self.best[i][0], score[cuts[i] : cuts[i + 1]]]), np.concatenate([self.best[i][1], ids[cuts[i] : cuts[i + 1]]])
             if len(s) > 4 * k:  # ties of the k-th stay for the exact order
                 part = s >= np.partition(s, len(s) - k)[len(s) - k]
                 s, x = s[part], x[part]
             top = np.lexsort((x, -s))[:k]
-            best[i] = (s[top], x[top])
+            self.best[i] = (s[top], x[top])
             if len(top) == k:
-                bar[i] = best[i][0][-1]
-    sizes = [len(s) for s, _ in best]
-    return np.repeat(q_ids, sizes), np.concatenate([x for _, x in best] or [np.zeros(0, np.int64)]), np.concatenate([s for s, _ in best] or [np.zeros(0, kind)]).astype(np.int64)
+                self.bar[i] = self.best[i][0][-1]
 
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, score) of each query's k best."""
+        none = [np.zeros(0, np.int64)]
+        return np.repeat(self.ids, [len(s) for s, _ in self.best]), np.concatenate([x for _, x in self.best] or none), np.concatenate([s for s, _ in self.best] or none)
 
-def _vertical(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = t.column("id").to_numpy()
-    lists = t.column("q").combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    return ids, lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).T if len(ids) else np.zeros((0, 0), np.int64)
+
+def best_of_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of each query's k best of these candidates."""
+    cell = Cell(q_ids, q, k)
+    order = np.argsort(-_tails(c)[0], kind="stable") if len(c_ids) else np.zeros(0, int)
+    for at in range(0, len(order), TILE):
+        cell.feed(c_ids[order[at : at + TILE]], c[:, order[at : at + TILE]])
+    return cell.result()
+
+
+def _vertical(lists: list[pa.Array], dims: int) -> np.ndarray:
+    return np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists]).reshape(sum(map(len, lists)), dims).T
+
+
+def _cells(k: int):
+    """A function over rows (gq, gc, dims, kind, id, q) in that order: of each cell the queries (kind 0) first, then candidates, taken by tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell, queries, waiting, rows = None, None, [], [], 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal cell, queries, waiting, rows
+            if queries and (waiting or last) and cell is None:
+                cell = Cell(np.concatenate([i for i, _ in queries]), _vertical([v for _, v in queries], key[2]), k)
+                queries = []
+            if cell is not None and waiting:
+                cell.feed(np.concatenate([i for i, _ in waiting]), _vertical([v for _, v in waiting], key[2]))
+            waiting, rows = [], 0
+            if last:
+                if cell is not None and len(cell.ids):
+                    out = cell.result()
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+                cell, queries = None, []
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                own, kind = tuple(keys[lo, :3].tolist()), int(keys[lo, 3])
+                if own != key:
+                    if key is not None:
+                        yield from flush(True)
+                    key = own
+                ids, lists = b.column(4).slice(lo, hi - lo).to_numpy(zero_copy_only=False), b.column(5).slice(lo, hi - lo)
+                if kind == 0:
+                    queries.append((ids, lists))
+                    continue
+                if not queries and cell is None:
+                    continue  # candidates without a query here
+                for at in range(0, len(ids), TILE):
+                    part = slice(at, min(len(ids), at + TILE))
+                    waiting.append((ids[part], lists.slice(part.start, part.stop - part.start)))
+                    rows += part.stop - part.start
+                    if rows >= TILE:
+                        yield from flush(False)
+        if key is not None:
+            yield from flush(True)
+
+    return run
 
 
 def top_k(df: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -103,27 +166,26 @@ def top_k(df: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, id_col
     Scores are inner products of floor(scale * component); ties go to the smaller id; a query with fewer candidates has them all. Null ids and
     vectors that are null, or hold a null, NaN or infinity, take no part; vectors of another length than the query's are not compared with
     it. Rows that repeat an id are candidates each, but a query meets no row of its own id, and repeated queries are one. An empty table
-    gives no rows. Each row is dealt to a cell of a grid by hash; a cell holds about QUERY_ROWS by CANDIDATE_ROWS rows however large the table.
+    gives no rows; components so large that a score may not fit a long raise. Rows are dealt to a grid of blocks of about QUERY_ROWS queries by
+    slices of the candidates, as many as it takes to keep all cores busy; a cell streams over its slice, those of great norm first, so it holds
+    its queries and one tile, and only the best of each slice are ranked again.
     """
     spark = df.sparkSession
     ship_package(spark)
     rows = durable(whole_numbers(df, id_col, vector_col, scale).withColumn("dims", F.size("q")), "top-vectors")
     asked = rows.filter(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "dims"])
     n, n_asked = rows.count(), asked.count()
-    g_q, g_c = max(1, -(-n_asked // QUERY_ROWS)), max(1, -(-n // CANDIDATE_ROWS), min(32, -(-n // TILE)))
+    wanted = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    g_q = max(1, -(-n_asked // QUERY_ROWS))
+    g_c = max(1, min(-(-wanted // g_q), -(-n // TILE)))
     deal = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    left = asked.withColumn("gq", deal(g_q, 1)).withColumn("gc", F.explode(F.sequence(F.lit(0), F.lit(g_c - 1))))
+    left = asked.withColumn("gq", deal(g_q, 1)).withColumn("gc", F.explode(F.sequence(F.lit(0), F.lit(g_c - 1)))).withColumn("kind", F.lit(0))
     right = rows.withColumn("gc", F.pmod(F.xxhash64("id", F.xxhash64("q"), F.monotonically_increasing_id()), F.lit(g_c)).cast("int"))
-    right = right.withColumn("gq", F.explode(F.sequence(F.lit(0), F.lit(g_q - 1))))
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("query_id", "vec_id", "score")])
-
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 3
-        if a.num_rows and b.num_rows:
-            out = best_of_cell(*_vertical(a), *_vertical(b), k)
-        return pa.table([pa.array(x, pa.int64()) for x in out], names=schema.names)
-
-    keys = ["gq", "gc", "dims"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # k rows from each of g_c cells
+    right = right.withColumn("gq", F.explode(F.sequence(F.lit(0), F.lit(g_q - 1)))).withColumn("kind", F.lit(1))
+    keys = ["gq", "gc", "dims", "kind"]
+    square = F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    both = left.select(*keys, "id", "q").unionByName(right.select(*keys, "id", "q")).withColumn("norm", square)
+    dealt = both.repartitionById(min(g_q * g_c, MOST_TASKS), F.col("gq") * g_c + F.col("gc")).sortWithinPartitions(*keys, F.desc("norm")).drop("norm")
+    best = dealt.mapInArrow(_cells(k), "query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # k rows from each of g_c slices
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

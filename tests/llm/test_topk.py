@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from episodica.llm import topk
 
@@ -34,7 +35,7 @@ def test_ties_nulls_and_few(spark):
 
 def test_cells_prune_but_stay_exact():
     rng = np.random.default_rng(3)
-    for scale in (1, 1000, 10**9):
+    for scale in (1, 1000, 10**6):
         q, c = rng.integers(-64 * scale, 64 * scale, (64, 30)), rng.integers(-64 * scale, 64 * scale, (64, 5000))
         c[:, :40] += q[:, :1] * 3
         qi, ids = np.arange(30), np.arange(5000) + 7
@@ -44,3 +45,19 @@ def test_cells_prune_but_stay_exact():
             own = ids != i
             order = np.lexsort((ids[own], -full[i][own]))[:20]
             assert list(b[a == i]) == list(ids[own][order]) and list(s[a == i]) == list(full[i][own][order])
+
+
+def test_scores_that_fit_no_long_raise(spark):
+    df = spark.createDataFrame([(i, [1e9] * 64) for i in (0, 1)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="may not fit a long"):
+        topk.top_k(df).collect()
+
+
+def test_streams_of_many_tiles(spark, monkeypatch):
+    """Small tiles and blocks: cells begin and end within batches, queries and candidates share them, vectors of several lengths and none."""
+    monkeypatch.setattr(topk, "TILE", 7)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(0, 1, 3 if i % 4 else 0 if i % 40 == 0 else 5).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert result(topk.top_k(df, 20, 6)) == brute(rows, 20, 6)
