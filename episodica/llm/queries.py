@@ -15,6 +15,7 @@ from episodica.llm.langid import identify
 from episodica.llm.minhash import near_duplicates
 from episodica.llm.mixing import mix, shuffled
 from episodica.llm.packing import pack
+from episodica.llm.rolling import rolling_features
 from episodica.llm.sharding import shard_by_size
 from episodica.llm.tokens import count_tokens
 from episodica.llm.topk import top_k
@@ -61,6 +62,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_features(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_tokens": op10_tokens,
+    "op13_rolling": op13_rolling,
 }
 
 #: The checksum is written out, for the engine has no crc32: a table of the 256 bytes, then a fold over each text's bytes.
@@ -116,5 +122,18 @@ OP8_SQL = """
     m as (select x as doc_id, min(y) as component_id from t group by 1)
     select m.doc_id, coalesce(n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n using (doc_id)"""
 
+OP13_SQL = """
+    with t as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+                      lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+    b as (select doc_id, source, lang, length(text)::bigint as chars,
+          list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'), lambda h: ('0x' || h)::bigint)) as bytes from documents),
+    h as (select doc_id, source, lang, chars, doc_id + xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::bigint % 1000 as x from b, t),
+    d as (select doc_id, source, lang, chars, row_number() over () as r, ((x - ((x % 6) + 6) % 6) * 10)::bigint as event_s from h),
+    w as (select r, doc_id, source, event_s, unnest([1800, 86400])::bigint as window_s from d),
+    j as (select w.r, w.window_s, any_value(w.doc_id) as doc_id, any_value(w.event_s) as event_s, count(o.r) as n_events, coalesce(sum(o.chars), 0)::bigint as sum_chars,
+          count(distinct o.lang) as n_langs, count(o.chars) as m, list_sort(list(o.chars) filter (o.chars is not null)) as c
+          from w left join d o on w.source is not distinct from o.source and o.event_s >= w.event_s - w.window_s and o.event_s < w.event_s group by 1, 2)
+    select doc_id, window_s, event_s, n_events, sum_chars, n_langs, c[(m + 1) // 2] as median_chars, c[(99 * m + 99) // 100] as high_chars from j"""
+
 #: The other operators are trained, sampled by hashes SQL engines don't share, or encode text; the tests compare them with brute force.
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_licenses": licenses.oracle_sql(), "op6_topk": OP6_SQL, "op7_mixing": OP7_SQL, "op8_minhash": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op3_licenses": licenses.oracle_sql(), "op6_topk": OP6_SQL, "op7_mixing": OP7_SQL, "op8_minhash": OP8_SQL, "op13_rolling": OP13_SQL}
