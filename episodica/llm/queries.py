@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.llm import licenses
+from episodica.llm.alignment import align
 from episodica.llm.common import table
 from episodica.llm.fingerprints import compare_with_edits
 from episodica.llm.html_text import extract
@@ -62,6 +63,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def op13_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_features(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_tokens": op10_tokens,
+    "op12_alignment": op12_alignment,
     "op13_rolling": op13_rolling,
 }
 
