@@ -32,6 +32,8 @@ FILTER_BITS, MOST_BITS, BITMAP = 8, 1 << 28, 1 << 15
 SALTS = 16
 #: Nodes on a side of a cell in which nodes of different components are compared.
 BLOCK = 256
+#: Shingles on a side of a cell in which full sets are compared, 16 MB: blocks are as many as keep to it, but for single sets beyond it.
+BLOCK_SHINGLES = 2_000_000
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 150_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -236,9 +238,11 @@ def _in_cells(rows: DataFrame, details: DataFrame, function: Callable[[pa.Table]
     """function over the cells of rows (low, node, component, home), with details by node.
 
     The rows of a low are dealt into blocks: those away (of another component than low) and those at home, which need not meet each other. A
-    cell is a block of away rows and one of any. Columns added: block, row and column of the cell.
+    cell is a block of away rows and one of any. Rows with the size n of their sets, which go into the cells with them, are in more blocks if those
+    are large. Columns added: block, row and column of the cell.
     """
-    blocks = lambda flag: F.ceil(F.count_if(flag) / F.lit(float(BLOCK))).cast("int")
+    held = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0)) if "n" in rows.columns else F.lit(0)
+    blocks = lambda flag: F.greatest(F.ceil(F.count_if(flag) / F.lit(float(BLOCK))), F.ceil(held(flag) / F.lit(float(BLOCK_SHINGLES)))).cast("int")
     sizes = durable(rows.groupBy("low").agg(blocks(~F.col("home")).alias("away_n"), blocks(F.col("home")).alias("home_n")), "near-cells")
     dealt = rows.join(sizes, "low").filter("away_n > 0")
     h = F.xxhash64("node")
@@ -270,17 +274,17 @@ def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return x, y, may & (estimate(differ) >= least_estimate(percent))
 
 
-def _likely_nodes(percent: int) -> Callable[[pa.Table], pa.Table]:
+def _likely_nodes(percent: int, likely: Callable = _likely) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        x, y, may = _likely(t, percent)
-        return t.select(["low", "node", "component", "home"]).take(pa.array(np.union1d(x[may.any(axis=1)], y[may.any(axis=0)])))
+        x, y, may = likely(t, percent)
+        return t.select(["low", "node", "component", "home", "n"]).take(pa.array(np.union1d(x[may.any(axis=1)], y[may.any(axis=0)])))
 
     return run
 
 
-def _cell_links(percent: int) -> Callable[[pa.Table], pa.Table]:
+def _cell_links(percent: int, likely: Callable = _likely) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        x, y, may = _likely(t, percent)
+        x, y, may = likely(t, percent)
         component, node = t.column("component").to_numpy(), t.column("node").to_numpy()
         lists = t.column("set").combine_chunks()
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -313,61 +317,82 @@ def _cell_links(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept (id is component_id) of every row.
+def settle(members: DataFrame, light: DataFrame, possible: Callable, likely: Callable, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, more: DataFrame | None = None) -> DataFrame:
+    """node and component of the nodes that links within buckets join. members: band, node, low (a member that the others are first compared
+    with) and, where a link to low is all that a bucket can say, star_only. light: node, n and what possible (columns) and likely (a cell's
+    table) need to rule pairs out. more: further links.
 
-    Rows are linked if 100 * shared shingles >= percent * all shingles of both; component_id is the smallest id that can be reached. Texts
-    with equal sets form a class that goes on as its smallest id. In each bucket of a band, members are first compared with the smallest
-    one (a star, so a bucket of n gives n - 1 pairs). Then the members of buckets that still hold several components are compared with one
-    another across components, in cells of at most about BLOCK by BLOCK nodes: first by estimate, which leaves the nodes that may have a link,
-    then on full sets. A cell gives nodes, or links that join components, never pairs. Every candidate is thus confirmed, ruled out, or
-    already connected.
-
-    A text without words, or null, is linked with nothing. Rows of one id are one node, linked by any of their texts; a row with a null id
-    is linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
+    After the stars the members of buckets that still hold several components are compared across components, in cells of at most about
+    BLOCK by BLOCK nodes: first by what light has, which leaves the nodes that may have a link, then on full sets. A cell gives nodes, or
+    links that join components, never pairs.
     """
-    sigs = durable(signatures(docs, size, id_col, text_col), "near-signatures")
-    full = sigs.filter("n > 0 and id is not null")
-    classes = durable(full.groupBy("digest").agg(F.min("id").alias("node")), "near-classes")
-    reps = durable(full.join(classes, (full["digest"] == classes["digest"]) & (full["id"] == classes["node"])).drop("digest", "id"), "near-reps")
-    light = reps.drop("bands")
-    buckets = reps.select("node", F.explode("bands").alias("band"))
-    shared = durable(buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low"), "near-buckets")
-    members = durable(buckets.join(shared, "band"), "near-members")
-
     stars = members.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     stars = stars.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-    lows = light.join(shared.select(F.col("low").alias("node")).distinct(), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lows = light.join(members.select(F.col("low").alias("node")).distinct(), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     x, y = light.alias("x"), lows.alias("y")
     pairs = stars.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & (stars["salt"] == F.col("y.salt")))
-    likely = durable(pairs.filter(_possible("x", "y", percent)).select("a", "b").distinct(), "near-stars")
-    drop(shared)
-    links = confirm(likely, docs, size, percent, id_col, text_col)
-    drop(likely)
+    near = durable(pairs.filter(possible("x", "y", percent)).select("a", "b").distinct(), "near-stars")
+    starred = confirm(near, docs, size, percent, id_col, text_col)
+    drop(near)
+    links = starred if more is None else starred.unionByName(more)
     nodes = components(links)
 
-    placed = members.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = members.filter("not star_only") if "star_only" in members.columns else members
+    placed = whole.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = durable(placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("band"), "near-mixed")
     rest = placed.join(mixed, "band").select("low", "node", "component").distinct()
     low_of = nodes.select(F.col("node").alias("low"), F.col("component").alias("of_low"))
     rest = durable(rest.join(low_of, "low", "left").withColumn("home", F.col("component") == F.coalesce("of_low", "low")).drop("of_low"), "near-rest")
-    drop(members, mixed)
-    likely = durable(_in_cells(rest, light, _likely_nodes(percent), "low long, node long, component long, home boolean").distinct(), "near-likely")
+    drop(mixed)
+    near = _in_cells(rest, light, _likely_nodes(percent, likely), "low long, node long, component long, home boolean, n long")
+    near = durable(near.groupBy("low", "node", "component", "home").agg(F.max("n").alias("n")), "near-likely")
     drop(rest)
-    if not likely.isEmpty():
-        asked = durable(likely.select("node").distinct(), "near-asked")
+    if not near.isEmpty():
+        asked = durable(near.select("node").distinct(), "near-asked")
         sets = _sets_of(asked, docs, size, id_col, text_col)
-        more = durable(_in_cells(likely, light.join(sets, "node"), _cell_links(percent), "a long, b long").distinct(), "near-links")
+        found = durable(_in_cells(near, light.join(sets, "node"), _cell_links(percent, likely), "a long, b long").distinct(), "near-links")
         drop(asked, sets)
-        if not more.isEmpty():
-            old, nodes = nodes, components(links.unionByName(more))
+        if not found.isEmpty():
+            old, nodes = nodes, components(links.unionByName(found))
             drop(old)
-        drop(more)
-    drop(likely, reps, links)
+        drop(found)
+    drop(near, starred)
+    return nodes
+
+
+def placed_rows(rows: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
+    """id_col, n_shingles and component_id of rows (id, n, digest) by way of classes (digest, node, rows) and nodes (node, component). Only the
+    classes of several rows or of another component are looked up, and rows without a set aren't."""
+    of = classes.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node")).filter("rows > 1 or component <> node")
+    full = (F.col("n") > 0) & F.col("id").isNotNull()
+    named = rows.filter(full).join(of.select("digest", "component"), "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    whole = named.unionByName(rows.filter(~full).select("id", "n", F.col("id").alias("component")))
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
-    whole = sigs.select("id", "n", "digest").join(classes, "digest", "left").join(nodes, "node", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("id"))
-    out = whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and kept (id is component_id) of every row.
+
+    Rows are linked if 100 * shared shingles >= percent * all shingles of both; component_id is the smallest id that can be reached. Texts
+    with equal sets form a class that goes on as its smallest id. In each bucket of a band, members are first compared with the smallest
+    one (a star, so a bucket of n gives n - 1 pairs), then across components (settle). Every candidate is thus confirmed, ruled out, or
+    already connected.
+
+    A text without words, or null, is linked with nothing. Rows of one id are one node, linked by any of their texts; a row with a null id
+    is linked with nothing and kept. Other columns are ignored; an empty table gives no rows.
+    """
+    sigs = durable(signatures(docs, size, id_col, text_col), "near-signatures")
+    full = sigs.filter("n > 0 and id is not null")
+    classes = durable(full.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("rows")), "near-classes")
+    reps = durable(full.join(classes.drop("rows"), (full["digest"] == classes["digest"]) & (full["id"] == classes["node"])).drop("digest", "id"), "near-reps")
+    light = reps.drop("bands")
+    buckets = reps.select("node", F.explode("bands").alias("band"))
+    shared = durable(buckets.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low"), "near-buckets")
+    members = durable(buckets.join(shared, "band"), "near-members")
+    drop(shared)
+    nodes = settle(members, light, _possible, _likely, docs, size, percent, id_col, text_col)
+    drop(members, reps)
+    out = placed_rows(sigs.select("id", "n", "digest"), classes, nodes, id_col)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

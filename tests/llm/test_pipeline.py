@@ -50,7 +50,7 @@ def test_queries_like_their_sql(spark, data):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_scratch_tables_can_be_dropped(spark):
