@@ -10,10 +10,11 @@ counted over all slices by a shuffle of one row for each slice and link, and the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from episodica.llm.tokens import gathered, text_slices, vocabulary_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes that chunks remembered by a worker may take, a chunk counting this many besides its own.
-MOST_BYTES, CHUNK_COST = 48_000_000, 240
+MOST_BYTES, CHUNK_COST = 96_000_000, 240
+#: Bytes of chunks that are coded as one text.
+JOINED_BYTES = 20_000
 #: Where a text may be cut: at a space after other than white space, but not at its last code point.
 CUT = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 B_BITS = 32
@@ -100,9 +103,11 @@ class Aligner:
         self.a.no_truncation()
         letter, vocab = _letters(), self.a.get_vocab(with_added_tokens=True)
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        self.bytes_a = {i: t.encode() if t in special else bytes(letter[c] for c in t) for t, i in vocab.items()}
+        known = {i: t.encode() if t in special else bytes(letter[c] for c in t) for t, i in vocab.items()}
+        self.bytes_a = [known.get(i, b"") for i in range(max(known) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array([len(x) for x in parts], np.int64) for parts in (self.bytes_a, self.bytes_b))
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.forget()
 
@@ -128,48 +133,73 @@ class Aligner:
         new = list(self.number)[len(self.ok) :]
         if not new:
             return
-        self.cost += sum(map(len, new)) * 4 + CHUNK_COST * len(new)
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1)
-        ok = np.zeros(len(new), bool)
-        for k, (c, x, y) in enumerate(zip(new, ids_a, ids_b)):
-            whole = b" " + c.encode()
-            ok[k] = b"".join(map(self.bytes_a.__getitem__, x)) == whole and b"".join(map(self.bytes_b.__getitem__, y)) == whole
-            if not ok[k]:
-                ids_a[k], ids_b[k] = [], []
-        n_a, n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
-        flat_a, flat_b = np.array([i for x in ids_a for i in x], np.int64), np.array([i for x in ids_b for i in x], np.int64)
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in flat_a.tolist()], dtype=np.int64)
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in flat_b.tolist()], dtype=np.int64)
-        a, b = overlaps(ends_a, ends_b)
+        sizes = pc.binary_length(pa.array(new, pa.large_string())).to_numpy().astype(np.int64) + 1
+        self.cost += int(sizes.sum()) * 4 + CHUNK_COST * len(new)
+        (flat_a, n_a), (flat_b, n_b) = self._coded(new, sizes, self._ids_a, self.bytes_a, self.size_a), self._coded(new, sizes, self._ids_b, self.bytes_b, self.size_b)
+        ok = (n_a > 0) & (n_b > 0)
+        flat_a, flat_b = flat_a[np.repeat(ok, n_a)], flat_b[np.repeat(ok, n_b)]
+        n_a, n_b = np.where(ok, n_a, 0), np.where(ok, n_b, 0)
+        a, b = overlaps(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
         group = components(len(flat_a) + len(flat_b), a, b + len(flat_a))
-        self.groups += self._texts(n_a, n_b, flat_a.tolist(), flat_b.tolist(), group.tolist())
         chunk_of = np.repeat(np.arange(len(new)), n_a)
-        lens = np.bincount(chunk_of[a], minlength=len(new)).astype(np.int64) if len(a) else np.zeros(len(new), np.int64)
-        first = group[: len(flat_a)] == np.arange(len(flat_a))  # a group's smallest node is its first token of A
-        n_groups = np.bincount(chunk_of[first], minlength=len(new)).astype(np.int64) if len(a) else np.zeros(len(new), np.int64)
+        lens = np.bincount(chunk_of[a], minlength=len(new)).astype(np.int64)
+        first = np.flatnonzero(group[: len(flat_a)] == np.arange(len(flat_a)))  # a group's smallest node is its first token of A
+        n_groups = np.bincount(chunk_of[first], minlength=len(new)).astype(np.int64)
+        self.groups += self._texts(n_groups, flat_a, flat_b, first, group[len(flat_a) :])
         for name, x in (("ok", ok), ("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("lens", lens), ("pairs", flat_a[a] << B_BITS | flat_b[b])):
             setattr(self, name, np.concatenate([getattr(self, name), x]))
 
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    def _ids_b(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode(texts, num_threads=1)
+
+    def _coded(self, chunks: list[str], sizes: np.ndarray, ids_of: Callable, parts: Sequence[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks and how many each has: none if its tokens joined are not the space and the chunk. Runs of chunks that end in other
+        than white space are coded as one text, which is cut where they end."""
+        runs, k, joined = [], 0, [self.cuts and c != "" and not c[-1].isspace() for c in chunks]
+        room_of = sizes.tolist()
+        while k < len(chunks):
+            to, room = k, JOINED_BYTES
+            while to < len(chunks) and room > 0 and joined[to]:
+                room -= room_of[to]
+                to += 1
+            runs.append((k, max(to, k + 1)))
+            k = runs[-1][1]
+        flat, n = [np.zeros(0, np.int64)], np.zeros(len(chunks), np.int64)
+        for (k, to), ids in zip(runs, ids_of([" ".join(chunks[k:to]) for k, to in runs])):
+            whole = "".join([" " + c for c in chunks[k:to]]).encode()
+            got, to_bytes = np.array(ids, np.int64), np.cumsum(sizes[k:to])
+            ends = np.cumsum(size[got])
+            last = np.searchsorted(ends, to_bytes)
+            if b"".join(map(parts.__getitem__, ids)) == whole and np.array_equal(ends[last], to_bytes):
+                flat.append(got)
+                n[k:to] = np.diff(last, prepend=-1)
+            elif to > k + 1:
+                for j, ids in enumerate(ids_of(chunks[k:to]), k):
+                    if b"".join(map(parts.__getitem__, ids)) == b" " + chunks[j].encode():
+                        flat.append(np.array(ids, np.int64))
+                        n[j] = len(ids)
+        return np.concatenate(flat), n
+
     @staticmethod
-    def _texts(n_a: np.ndarray, n_b: np.ndarray, a: list[int], b: list[int], group: list[int]) -> list[str]:
-        out, i, j, m = [], 0, 0, len(a)
-        for x, y in zip(n_a.tolist(), n_b.tolist()):
-            parts, to_i, to_j = [], i + x, j + y
-            while i < to_i:
-                g, ones, others = group[i], [], []
-                while i < to_i and group[i] == g:
-                    ones.append(str(a[i]))
-                    i += 1
-                while j < to_j and group[m + j] == g:
-                    others.append(str(b[j]))
-                    j += 1
-                parts.append(",".join(ones) + "|" + ",".join(others))
-            out.append(";".join(parts))
-        return out
-
-
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+    def _texts(n_groups: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, group_b: np.ndarray) -> list[str]:
+        """Each chunk's groups as text. Groups follow one another on both sides; first: their first tokens of A; group_b: the group of each token of B."""
+        first_b = np.searchsorted(group_b, first)
+        to, to_b = np.append(first[1:], len(a)), np.append(first_b[1:], len(b))
+        x, y = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        one = (to - first == 1) & (to_b - first_b == 1)
+        places = zip(one.tolist(), first.tolist(), to.tolist(), first_b.tolist(), to_b.tolist())
+        texts = [x[i] + "|" + y[j] if single else ",".join(x[i:k]) + "|" + ",".join(y[j:m]) for single, i, k, j, m in places]
+        ends = np.cumsum(n_groups).tolist()
+        return [";".join(texts[k:m]) for k, m in zip([0, *ends], ends)]
+
+
+@functools.lru_cache
+def aligner_of(a: str, b: str) -> Aligner:
+    """The worker's own, kept from task to task."""
+    return Aligner(a, b)
 
 
 def _summed(of: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
@@ -213,9 +243,7 @@ def encoded(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> Data
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (a, b) not in _ALIGNERS:
-            _ALIGNERS[a, b] = Aligner(a, b)
-        aligner, number = _ALIGNERS[a, b], TaskContext.get().partitionId() << 32
+        aligner, number = aligner_of(a, b), TaskContext.get().partitionId() << 32
         for batch in batches:
             for first, texts in text_slices(batch.column(1)):
                 yield _slice_rows(aligner, number, batch.column(0).slice(first, len(texts)), texts)
