@@ -51,9 +51,13 @@ NAMES = (
 #: Whole lines that a license's text may have above it or not: its name, version and address, and the rights line below a copyright line.
 HEADS = (
     rf"(?:(?:the |)(?:{NAMES})(?: [0-9](?: [0-9]|) clause| clear|)(?: new or revised| new| revised| modified| simplified|)(?: license|)(?: mit| isc| expat| bsd [0-9] clause|)(?: universal| legal code|)"
-    rf"(?: v| version|)(?: [0-9]+(?: [0-9]+)*|)(?: (?:{MONTHS}) [0-9]+|)|version [0-9]+(?: [0-9]+)*(?: (?:{MONTHS})(?: [0-9]+|)|)|http www apache org licenses|spdx license identifier [a-z0-9 ]+"
+    rf"(?: v| version|)(?: [0-9][0-9 ]*|)(?: (?:{MONTHS}) [0-9]+|)|version [0-9][0-9 ]*(?: (?:{MONTHS})(?: [0-9]+|)|)|http www apache org licenses|spdx license identifier [a-z0-9 ]+"
     rf"|[0-9]+ (?:{MONTHS}) [0-9]+|all rights reserved)"
 )
+#: All such lines, and blank ones, at a text's start. Java takes the lines by a loop if the repetition is possessive and by recursion if not, and
+#: no end of a line leaves a choice to come back to; RE2, which never recurses, has no such repetition.
+ABOVE = rf"^(?:[ \n]+|{HEADS} ?(?:\n|$))+"
+ABOVE_JAVA = ABOVE + "+"
 #: Rewritings of a text without such lines, made one line: spellings of several words, and whoever is named where a template leaves a place for it.
 PLACES: tuple[tuple[str, str], ...] = (
     ("sub license", "sublicense"),
@@ -229,7 +233,7 @@ def joined(lines: Column) -> Column:
 
 def with_digest(df: DataFrame, lines: str, out: str) -> DataFrame:
     """df with the digest of a canonical text as one line, without what may stand above a license or not; of all of it if nothing else is there."""
-    rest = _rewritten(joined(F.regexp_replace(lines, rf"^(?:[ \n]|{HEADS} ?(?:\n|$))+", "")), PLACES)
+    rest = _rewritten(joined(F.regexp_replace(lines, ABOVE_JAVA, "")), PLACES)
     df = df.withColumn("__rest", rest)  # a column of its own, so that it is found once
     return df.withColumn(out, F.sha2(F.when(F.col("__rest") == "", joined(F.col(lines))).otherwise(F.col("__rest")), 256)).drop("__rest")
 
@@ -287,7 +291,7 @@ def oracle_sql(known: Mapping[str, str] | None = None, notices: Mapping[str, str
     one = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"
 
     def rest(x: str) -> str:
-        x = one(replaced(x, rf"^(?:[ \n]|{HEADS} ?(?:\n|$))+", ""))
+        x = one(replaced(x, ABOVE, ""))
         for pattern, to in PLACES:
             x = replaced(x, pattern, to)
         return x

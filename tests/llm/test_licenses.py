@@ -85,3 +85,14 @@ def test_own_list_and_odd_rows(spark, odd_docs, no_docs):
     got = L.scan(odd_docs, known={"z": "One!", "b": "one", "empty": "..."}, notices={})
     assert got.count() == odd_docs.count() and {(r.doc_id, r.license_id) for r in got.filter("license_id is not null").collect()} == {(9, "b")}
     assert L.scan(no_docs).count() == 0
+
+
+def test_texts_of_very_many_lines(spark):
+    """No pattern recurses with the text: blank lines, lines that may stand above a license, numbers, copyright lines, one line of any length."""
+    mit, n = L.LICENSES["mit"], 1_000_000
+    heads = ["mit license", "The MIT License (MIT)", "  all rights reserved ", "Version 2.0, January 2004", "", "SPDX-License-Identifier: MIT", "5 may 2019"]
+    above = ["\n" * n, " \n" * n, "mit license\n" * 100_000, "\n".join(heads[i % len(heads)] for i in range(100_000)) + "\n", "mit" + " 1" * 100_000 + "\n", "version" + " 2" * 100_000 + "\n"]
+    above += ["Copyright 2020 X\n" * 100_000, "x" * n + "\n", "mit license x\n" * 100_000, "copyright law\n" * 100_000]
+    df = spark.createDataFrame([(i, a + mit) for i, a in enumerate(above)] + [(20 + i, a) for i, a in enumerate(above)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in L.scan(df).collect()}
+    assert [got[i] for i in range(len(above))] == ["mit"] * 7 + [None] * 3 and not any(got[20 + i] for i in range(len(above)))
