@@ -251,7 +251,7 @@ def _in_cells(rows: DataFrame, details: DataFrame, function: Callable[[pa.Table]
     above = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.least(k, F.col("away_n")) - 1), lambda i: cell(i, k))).otherwise(F.array().cast("array<struct<row:int,column:int>>"))
     right = F.when(F.col("home"), F.array().cast("array<struct<row:int,column:int>>")).otherwise(F.transform(F.sequence(k, F.col("away_n") + F.col("home_n") - 1), lambda j: cell(k, j)))
     dealt = dealt.withColumn("block", block).withColumn("cell", F.explode(F.concat(above, right)))
-    dealt = dealt.select("low", "node", "component", "home", "block", "cell.row", "cell.column")
+    dealt = dealt.select("low", "node", "component", "home", "block", "cell.row", "cell.column", *(c for c in ("reach",) if c in rows.columns))
     return dealt.join(details, "node").groupBy("low", "row", "column").applyInArrow(function, schema)
 
 
@@ -277,7 +277,7 @@ def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def _likely_nodes(percent: int, likely: Callable = _likely) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         x, y, may = likely(t, percent)
-        return t.select(["low", "node", "component", "home", "n"]).take(pa.array(np.union1d(x[may.any(axis=1)], y[may.any(axis=0)])))
+        return t.select([c for c in (*"low node component home n".split(), "reach") if c in t.column_names]).take(pa.array(np.union1d(x[may.any(axis=1)], y[may.any(axis=0)])))
 
     return run
 
@@ -319,7 +319,7 @@ def _cell_links(percent: int, likely: Callable = _likely) -> Callable[[pa.Table]
 
 def settle(members: DataFrame, light: DataFrame, possible: Callable, likely: Callable, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, more: DataFrame | None = None) -> DataFrame:
     """node and component of the nodes that links within buckets join. members: band, node, low (a member that the others are first compared
-    with) and, where a link to low is all that a bucket can say, star_only. light: node, n and what possible (columns) and likely (a cell's
+    with) and perhaps star_only, where a link to low is all that a bucket can say, and reach, which likely may use. light: node, n and what possible (columns) and likely (a cell's
     table) need to rule pairs out. more: further links.
 
     After the stars the members of buckets that still hold several components are compared across components, in cells of at most about
@@ -340,12 +340,13 @@ def settle(members: DataFrame, light: DataFrame, possible: Callable, likely: Cal
     whole = members.filter("not star_only") if "star_only" in members.columns else members
     placed = whole.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = durable(placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("band"), "near-mixed")
-    rest = placed.join(mixed, "band").select("low", "node", "component").distinct()
+    reach = [F.max(c).alias(c) for c in ("reach",) if c in members.columns]
+    rest = placed.join(mixed, "band").groupBy("low", "node", "component").agg(F.lit(1).alias("__one"), *reach).drop("__one")
     low_of = nodes.select(F.col("node").alias("low"), F.col("component").alias("of_low"))
     rest = durable(rest.join(low_of, "low", "left").withColumn("home", F.col("component") == F.coalesce("of_low", "low")).drop("of_low"), "near-rest")
     drop(mixed)
-    near = _in_cells(rest, light, _likely_nodes(percent, likely), "low long, node long, component long, home boolean, n long")
-    near = durable(near.groupBy("low", "node", "component", "home").agg(F.max("n").alias("n")), "near-likely")
+    near = _in_cells(rest, light, _likely_nodes(percent, likely), "low long, node long, component long, home boolean, n long" + ", reach long" * bool(reach))
+    near = durable(near.groupBy("low", "node", "component", "home").agg(F.max("n").alias("n"), *reach), "near-likely")
     drop(rest)
     if not near.isEmpty():
         asked = durable(near.select("node").distinct(), "near-asked")

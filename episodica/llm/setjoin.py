@@ -42,7 +42,7 @@ PROFILE = T.StructType(
     [T.StructField("kind", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
     + [T.StructField(p, T.LongType()) for p in PARITIES] + [T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())]
 )
-POSTED = T.StructType([T.StructField("band", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("star_only", T.BooleanType())])
+POSTED = T.StructType([T.StructField("band", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("star_only", T.BooleanType()), T.StructField("reach", T.LongType()), T.StructField("weight", T.LongType())])
 
 
 def need(n: int, m: int, percent: int) -> int:
@@ -64,6 +64,11 @@ def listed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def reaches(n: int, percent: int) -> np.ndarray:
+    """For each of its lists the largest partner of a set of n that may first meet it there: its members from there on must hold the overlap."""
+    return (n - np.arange(listed(n, percent))) * (100 + percent) // percent - n
+
+
 def boundary(sizes: dict[int, int], length: float, percent: int) -> int:
     """The size up to which sets list subsets: least total of subsets listed and of list entries scanned, lists having this length."""
     def cost(x: int) -> float:
@@ -165,34 +170,37 @@ def list_length(counts: np.ndarray) -> float:
 
 
 def postings(docs: DataFrame, size: int, percent: int, small: int, counts: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """band, node, n, star_only: the subsets that small sets list (star_only), and the lists that larger ones, and partners of such, are in."""
+    """band, node, n, star_only, reach, weight: the subsets that small sets list (star_only), and the lists that larger ones, and partners of such,
+    are in, with reaches() and the mean logarithm, in thousandths, of how frequent the set's listed n-grams are."""
     spark = docs.sparkSession
     ship_package(spark)
     table = spark.sparkContext.broadcast(counts)  # 16 MB, however many documents
 
-    def posted(s: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+    def posted(s: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, bool, np.ndarray, int]]:
         n, out = len(s), []
         if n <= small:
-            out += [(subset_keys(s, c), True) for c in subset_sizes(n, small, percent)]
+            out += [(k, True, np.zeros(len(k), np.int64), 0) for k in (subset_keys(s, c) for c in subset_sizes(n, small, percent))]
         if n > small or 100 * n >= percent * (small + 1):
-            out.append((s[np.lexsort((s, counts[slot_of(s)]))[: listed(n, percent)]], False))
+            own = counts[slot_of(s)]
+            at = np.lexsort((s, own))[: listed(n, percent)]
+            out.append((s[at], False, reaches(n, percent), int(1000 * np.log(own[at].astype(np.float64)).mean())))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
         for batch in batches:
             for first, texts in slices(batch.column(1)):
-                keys, at, sizes, stars = [np.zeros(0, np.uint64)], [], [], []
+                keys, reach, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
                 for i, t in enumerate(texts):
                     s = shingle_set(t, size)
-                    for k, star in posted(s, counts) if len(s) else ():
+                    for k, star, r, weight in posted(s, counts) if len(s) else ():
                         keys.append(k)
-                        at.append(np.full(len(k), i))
-                        sizes.append(np.full(len(k), len(s)))
-                        stars.append(np.full(len(k), star))
+                        reach.append(r)
+                        rows.append((len(k), i, len(s), star, weight))
                 ids = batch.column(0).slice(first, len(texts))
-                whole = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
-                cols = [pa.array(np.concatenate(keys).view(np.int64)), ids.take(pa.array(whole(at, np.int64))), pa.array(whole(sizes, np.int64)), pa.array(whole(stars, bool))]
+                each = np.array(rows, np.int64).reshape(-1, 5)
+                of, n, star, weight = (np.repeat(each[:, c], each[:, 0]) for c in range(1, 5))
+                cols = [pa.array(np.concatenate(keys).view(np.int64)), ids.take(pa.array(of)), pa.array(n), pa.array(star.astype(bool)), pa.array(np.concatenate(reach)), pa.array(weight)]
                 yield pa.RecordBatch.from_arrays(cols, names=POSTED.names)
             tidy()
         forget_words()
@@ -220,8 +228,8 @@ def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     for p in PARITIES:
         bits = t.column(p).to_numpy().view(np.uint64)
         differ += np.bitwise_count(bits[x][:, None] ^ bits[y])
-    nx, ny = n[x][:, None], n[y]
-    may = (component[x][:, None] != component[y]) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
+    nx, ny, reach = n[x][:, None], n[y], t.column("reach").to_numpy()
+    may = (component[x][:, None] != component[y]) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & (ny <= reach[x][:, None]) & (nx <= reach[y])
     return x, y, may & (differ <= most_apart(nx, ny, percent))
 
 
@@ -248,12 +256,16 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     some = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null")
     ids = durable(nodes, "join-nodes")
     posted = durable(postings(maybe_in(some, "__id", ids), size, percent, small, counts, "__id", "__text"), "join-postings")
-    met = posted.groupBy("band", "star_only").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("band", "star_only")
-    several = posted.join(met, ["band", "star_only"]).join(ids, "node").distinct()  # a few rows that are no class's passed the filter
-    several = durable(several, "join-several")
-    low = several.groupBy("band", "star_only").agg(F.min(F.struct("n", "node")).alias("__low"), F.count("*").alias("__m")).filter("__m > 1")
-    members = durable(several.join(low, ["band", "star_only"]).select("band", "node", F.col("__low.node").alias("low"), "star_only"), "join-members")
-    drop(posted, several, ids)
+    lists = ["band", "star_only"]
+    met = posted.groupBy(*lists).agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select(*lists)
+    several = durable(posted.join(met, lists).join(ids, "node").distinct(), "join-several")  # a few rows that are no class's passed the filter
+    drop(posted)
+    least = several.groupBy(*lists).agg(F.min("n").alias("__n"))
+    kept = durable(several.join(least, lists).filter("star_only or reach >= __n").drop("__n"), "join-kept")
+    low = F.when(F.col("star_only"), F.min(F.struct("n", "node"))["node"]).otherwise(F.max(F.struct("weight", (-F.col("node")).alias("m"), "node"))["node"])
+    lows = kept.groupBy(*lists).agg(low.alias("low"), F.count("*").alias("__m")).filter("__m > 1")
+    members = durable(kept.join(lows, lists).select("band", "node", "low", "star_only", "reach"), "join-members")
+    drop(several, kept, ids)
 
     # an id with several texts is one document: its texts' classes are linked
     twice = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("id")
