@@ -39,10 +39,10 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 CHUNK, WORD = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(r"[^\x20\x09-\x0D]+")
 #: Latin letters and signs without the dotted capital I: alike in all versions of Unicode, normalized, and one code point each in lower case.
 COMMON = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+\\Z")
-#: Pieces and pairs of tokens that a worker remembers.
-MOST_PIECES, MOST_PAIRS = 400_000, 2_000_000
-#: Chunks that a worker remembers, some 30 bytes each.
-MOST_CHUNKS = 400_000
+#: Pairs of tokens that a worker remembers.
+MOST_PAIRS = 2_000_000
+#: Bytes of pieces with their counts, PIECE_COST each besides its own, and of chunks that a worker remembers; a slice of texts may pass them.
+MOST_PIECE_BYTES, PIECE_COST, MOST_CHUNK_BYTES = 80_000_000, 200, 16_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -103,15 +103,15 @@ class Remembered:
     """Chunks that a worker has seen, in one array, which new ones are looked up in at once."""
 
     def __init__(self) -> None:
-        self.known = pa.array([], pa.string())
+        self.known = pa.array([], pa.large_string())
 
     def places(self, distinct: pa.Array) -> tuple[np.ndarray, pa.Array, bool]:
-        """Where each chunk will stand, those that are new, and whether what was known is forgotten first: more than MOST_CHUNKS are not kept."""
-        distinct = distinct.cast(pa.string())
-        at = pc.index_in(distinct, value_set=self.known)
-        fresh = len(self.known) + at.null_count > MOST_CHUNKS
+        """Where each chunk will stand, those that are new, and whether what was known is forgotten first: when it takes more than MOST_CHUNK_BYTES."""
+        distinct = distinct.cast(pa.large_string())
+        fresh = self.known.nbytes > MOST_CHUNK_BYTES
         if fresh:
-            self.known, at = pa.array([], pa.string()), pa.nulls(len(distinct), pa.int32())
+            self.known = pa.array([], pa.large_string())
+        at = pc.index_in(distinct, value_set=self.known)
         is_new = at.is_null()
         new = distinct.filter(is_new)
         place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -234,7 +234,7 @@ class PrefixCounter:
         self.piece = regex.compile("|".join(CONTRACTIONS) + r"|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.kinds = {k: regex.compile(p) for k, p in (("L", r"\p{L}"), ("N", r"\p{N}"), (" ", r"\p{White_Space}"))}
         self.letter = _byte_letters()
-        self.memo: dict[str, array] = {}
+        self.memo, self.memo_bytes = {}, 0
         self.seen, self.seen_totals = Remembered(), np.zeros(0, np.int64)
         self._sound: dict[str, bool] = {}
         self._fits: dict[tuple[str, str], bool] = {}
@@ -344,18 +344,26 @@ class PrefixCounter:
             before = s
             if ascii_:
                 self.memo[piece] = array("I", final[1:])
+                self.memo_bytes += PIECE_COST + 5 * len(piece)
             else:
                 ends, at = [], 0
                 for c in piece:
                     at += len(c.encode())
                     ends.append(final[at])
                 self.memo[piece] = array("I", ends)
+                self.memo_bytes += PIECE_COST + 8 * len(piece)
+
+    def forget(self) -> bool:
+        """Forgets the pieces if they take more than MOST_PIECE_BYTES, and says whether it did."""
+        if self.memo_bytes <= MOST_PIECE_BYTES:
+            return False
+        self.memo, self.memo_bytes = {}, 0
+        return True
 
     def of_pieces(self, pieces: list[str]) -> list[array]:
         missing = [p for p in pieces if p not in self.memo]
         if missing:
-            if len(self.memo) > MOST_PIECES:
-                self.memo.clear()
+            if self.forget():
                 missing = pieces
             self.learn(missing)
         return [self.memo[p] for p in pieces]
@@ -409,11 +417,10 @@ class PrefixCounter:
             else:
                 s = self.plain(c)
                 pieces.append(None if s is None else self.piece.findall(s))
-        if len(self.memo) > MOST_PIECES:
-            self.memo.clear()
+        self.forget()
         self.learn(p for own in pieces if own for p in own if p not in self.memo)
         for k, own in enumerate(pieces):
-            out[k] = (self._walk(chunks[k])[-1] if own is None else sum(self.memo[p][-1] for p in own)) if chunks[k] else 0
+            out[k] = (self._walk(chunks[k], every=False)[-1] if own is None else sum(self.memo[p][-1] for p in own)) if chunks[k] else 0
         return out
 
     def remembered_totals(self, distinct: pa.Array) -> np.ndarray:
@@ -454,9 +461,9 @@ class PrefixCounter:
             self._joins |= {"\U000110BA", "\U00011127", "\U0001133E", "\U00011357", "\U000114B0", "\U000114BA", "\U000114BD", "\U000115AF", "\U00011930"}
         return unicodedata.combining(c) != 0 or c in self._joins
 
-    def _walk(self, chunk: str) -> list[int]:
-        """As of_chunk, for any chunk: special strings are looked for in the text as it is, what stands between them is normalized by itself,
-        and a prefix that ends within a group of code points that normalization joins is tried out and taken back."""
+    def _walk(self, chunk: str, every: bool = True) -> list[int]:
+        """As of_chunk, for any chunk, or without every its last count alone: special strings are looked for in the text as it is, what stands
+        between them is normalized by itself, and a group of code points that normalization joins grows within the run."""
         out: list[int] = []
         done, at = 0, 0  # tokens and code points up to the last special string
         while at <= len(chunk):
@@ -467,17 +474,15 @@ class PrefixCounter:
                 e = k + 1
                 while e < stop and self.joins(chunk[e]):
                     e += 1
-                for part in range(k + 1, e):
-                    mark = run.mark()
-                    run.push_all(chunk[k:part])
+                if every and e > k + 1:
+                    out += [done + n for n in self._group(run, chunk[k:e])]
+                else:
+                    run.push_all(chunk[k:e])
                     out.append(done + run.count())
-                    run.back(mark)
-                run.push_all(chunk[k:e])
-                out.append(done + run.count())
                 k = e
             if not token:
                 break
-            for part in range(1, len(token)):
+            for part in range(1, len(token) if every else 1):
                 mark = run.mark()
                 run.push_all(token[:part])
                 out.append(done + run.count())
@@ -487,6 +492,30 @@ class PrefixCounter:
             at = stop + len(token)
         return out
 
+    def _group(self, run: _Run, group: str) -> list[int]:
+        """Counts at each code point of a group, which the run then has taken up whole. A mark that comes after one of its own class stays where it
+        is, and nothing before it changes: it is added. For any other what has come since the last letter that stands by itself is normalized
+        anew; what changes is taken back and added. So only marks of falling classes by turns cost more than their number."""
+        out, known, marks = [], [], []  # the group so far as normalized, and the run before each of its code points
+        since, at = 0, 0  # where that letter is in the group, and in known
+        for part, c in enumerate(group, 1):
+            own, tail = unicodedata.combining(c), self.lowered(c)
+            if not (own and known and all(unicodedata.combining(x) == unicodedata.combining(known[-1]) == own for x in tail)):
+                now, before = self.lowered(group[since:part]), known[at:]
+                keep = next((i for i, (x, y) in enumerate(zip(now, before)) if x != y), min(len(now), len(before)))  # noqa: B905
+                if keep == len(before) and not own:
+                    since, at = part - 1, len(known)
+                elif keep < len(before):
+                    run.back(marks[len(known) - len(before) + keep])
+                    del marks[len(known) - len(before) + keep :], known[len(known) - len(before) + keep :]
+                tail = now[keep:]
+            for x in tail:
+                marks.append(run.mark())
+                run.push(x)
+                known.append(x)
+            out.append(run.count())
+        return out
+
 
 class _Run:
     """The pieces of a text that grows by code points, with the counts of the piece at its end; mark() and back() take growth back."""

@@ -192,3 +192,40 @@ def test_plan_of_many_is_small():
     assert len(plan) < 100_000
     with pytest.raises(ValueError):
         packing.plan_slots({3000: 1})
+
+
+def test_long_runs_of_marks_take_time_in_proportion(coder):
+    """Marks that pile up on a letter, letters that may join the one before, classes by turns: counts as the library's, at the end and at prefixes."""
+    c, rnd = coder.prefixes, random.Random(8)
+    units = ["\u0301", "\u0316", "\u0323\u0301", "\u0301\u0301\u0307", "\u1161", "\u1100\u1161\u11a8", "\u0345", "\u0344", "\u093c"]
+    start = time.process_time()
+    for unit in units:
+        for base in ("a", "\u1100"):
+            text = base + unit * (100_000 // len(unit))
+            assert c.totals([text])[0] == len(coder.encode([text])[0]), unit
+            if len(set(map(unicodedata.combining, unit))) == 1:
+                short = text[:5000]
+                every = c._walk(short)
+                ends = [1, 2, 3, 50, 1001, 4999, 5000]
+                assert len(every) == 5000 and [every[n - 1] for n in ends] == [len(x) for x in coder.encode([short[:n] for n in ends])], unit
+    assert time.process_time() - start < 120
+    for _ in range(400):  # classes in any order
+        text = "".join(rnd.choice(["a", "J", "\u030c", "\u0301", "\u0323", "\u0316", "\u0345", "\u0344", "\u0130", "\u1100", "\u1161", "\u11a8", "e", "\u0338", "="]) for _ in range(rnd.randint(1, 14)))
+        if text.split() == [text]:
+            assert c.of_chunk(text) == [len(x) for x in coder.encode([text[: n + 1] for n in range(len(text))])], ascii(text)
+
+
+def test_what_is_remembered_is_bounded_by_bytes(coder, monkeypatch):
+    """Chunks of paragraphs: known ones and counts are forgotten by what they take, and results stay."""
+    T = tokens
+    monkeypatch.setattr(T, "MOST_CHUNK_BYTES", 400_000)
+    monkeypatch.setattr(T, "MOST_PIECE_BYTES", 400_000)
+    c, rnd = T.PrefixCounter(coder.path), random.Random(2)
+    own = T.ChunkCoder(coder.path)
+    for _ in range(12):
+        texts = ["".join(chr(rnd.randrange(0x4E00, 0x4F00)) for _ in range(3000)) for _ in range(20)]
+        index, n, distinct = T.chunked(pa.array(texts))
+        assert c.remembered_totals(distinct)[index].tolist() == [len(x) for x in coder.encode(texts)]
+        coded = own.code(pa.array(texts))
+        assert coded.all_ids().tolist() == [i for x in coder.encode(texts) for i in x]
+        assert c.seen.known.nbytes < 800_000 and c.memo_bytes < 1_000_000 and own.seen.known.nbytes < 800_000
