@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodica.durable import durable
 from episodica.functions import vectors as V
 from episodica.functions.text import IGNORED
+from episodica.operators.ranks import parted
+from episodica.shipping import ship_package
 
 
 class BudgetBuffer:
@@ -172,27 +177,102 @@ def _same(a, b) -> bool:
     return a == b or (pd.isna(a) and pd.isna(b))
 
 
+def next_starts(upto: np.ndarray, limit: int) -> np.ndarray:
+    """upto: running sums of sizes, from 0. For each item, if a bin starts with it, the item that starts the next one; the number of items if none."""
+    m = len(upto) - 1
+    k = np.searchsorted(upto, upto[:m] + limit, side="right") - 1  # items up to k - 1 fit
+    return np.minimum(np.where(upto[k] > upto[:m], k, k + 1), m)  # a bin of nothing but zeros takes whatever comes
+
+
+def _entries(upto: np.ndarray, limit: int) -> tuple[list[int], list[int], list[int]]:
+    """What a run of items makes of the bin in use before it, by where the first bin of its own starts: runs of starts with one outcome, as their
+    first starts, the number of bins, and what the last one holds. Only starts that a bin in use can lead to are listed."""
+    m = len(upto) - 1
+    hop = next_starts(upto, limit)
+    at = np.where(hop < m, hop, np.arange(m))  # the last start stays
+    more = (hop < m).astype(np.int64)
+    while not np.array_equal(at[at], at):
+        more, at = more + more[at], at[at]
+    most = min(m, int(np.searchsorted(upto, limit, side="right")) + 1)
+    bins, rest = more[:most] + 1, upto[m] - upto[at[:most]]
+    new = np.flatnonzero(np.append(True, (np.diff(bins) != 0) | (np.diff(rest) != 0))[:most])
+    return new.tolist(), bins[new].tolist(), rest[new].tolist()
+
+
 def next_fit(samples: DataFrame, id_col: str, size: str, keys: Sequence[str], limit: int) -> DataFrame:
-    """Sequential bins without skipping: a new one where the sum would pass the limit and is not 0. A stream over the sorted ids and sizes of a key."""
-    schema = T.StructType([*(samples.schema[k] for k in keys), T.StructField(id_col, T.LongType()), T.StructField("bin", T.LongType())])
+    """keys, id and bin: sequential bins by id without skipping, a new one where the sum would pass the limit and is not 0. Null sizes count as 0.
+
+    Rows are dealt by ranges of (keys, id), so a key may be of any length. Where a bin ends is known from where it starts, by the running sums; so
+    a range that begins within a key is summed up as what it makes of each bin that may be in use before it, by doubling these pointers.
+    The driver follows the bin in use over those ranges, one summary at a time, and each range then deals out its bins by itself: a task
+    streams over its rows. No keys: the table is one sequence.
+    """
+    ship_package(samples.sparkSession)
     keys = list(keys)
+    light = samples.select(*keys, id_col, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"))
+    kept, _ = parted(light, [*keys, id_col, "__size"])
+    counts = kept.groupBy(*keys, "__part").agg(F.sum("__size").alias("__total"))
+    several = F.count("*").over(Window.partitionBy(*keys)) if keys else F.count("*").over(Window.partitionBy(F.lit(1)))
+    spanning = durable(counts.withColumn("__c", several).filter("__c > 1").drop("__c", "__total"), "next-fit")  # at most two rows to a part
+    named = spanning.select(F.col("__part").alias("__p"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    same = lambda other: functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)], F.col("__part") == other["__p"])
+    lists = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("upto", "bins", "rest")]
+    schema = T.StructType([*(T.StructField(f"__k{i}", kept.schema[k].dataType) for i, k in enumerate(keys)), T.StructField("__p", T.IntegerType()), *lists, T.StructField("total", T.LongType())])
+    columns = [*keys, "__part", id_col, "__size"]
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        from episodica.operators.batching import _entries
+
+        pdf = pdf.sort_values([id_col, "__size"])
+        upto = np.concatenate([[0], np.cumsum(pdf["__size"].to_numpy(np.int64))])
+        starts, bins, rest = _entries(upto, limit)
+        own = [pdf[k].iloc[0] for k in keys]
+        return pd.DataFrame([[*own, int(pdf["__part"].iloc[0]), upto[starts].tolist(), bins, rest, int(upto[-1])]], columns=schema.names)
+
+    within = kept.join(F.broadcast(named), same(named), "left_semi").select(*columns)
+    summaries = durable(within.groupBy(*keys, "__part").applyInPandas(summary, schema), "next-fit")
+    entries, at, used, bins = [], None, None, 0
+    for r in summaries.orderBy(*(f"__k{i}" for i in range(len(keys))), "__p").toLocalIterator():
+        own = [r[f"__k{i}"] for i in range(len(keys))]
+        if at is None or not all(map(_same, own, at)):
+            at, used, bins = own, None, 0
+        entries.append((*own, r["__p"], used, bins))
+        found = _follow(r["upto"], r["bins"], r["rest"], r["total"], used, limit)
+        used, bins = found[0], bins + found[1]
+    fields = [*schema.fields[: len(keys) + 1], T.StructField("__used", T.LongType()), T.StructField("__bins", T.LongType())]
+    begun = samples.sparkSession.createDataFrame(entries, T.StructType(fields))
+    rows = kept.join(F.broadcast(begun), same(begun), "left").select(*columns, "__used", F.coalesce("__bins", F.lit(0)).alias("__bins"))
+    out = T.StructType([*(samples.schema[k] for k in keys), T.StructField(id_col, samples.schema[id_col].dataType), T.StructField("bin", T.LongType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from episodica.operators.batching import _same
 
         key, used, place = None, 0, 0
         for pdf in frames:
-            bins = []
-            for *own, n in zip(*(pdf[k].tolist() for k in keys), pdf[size].tolist(), strict=True):
+            places = []
+            for *own, n, before, bins in zip(*(pdf[k].tolist() for k in [*keys, "__part"]), pdf["__size"].tolist(), pdf["__used"].tolist(), pdf["__bins"].tolist(), strict=True):
                 if key is None or not all(map(_same, own, key)):
-                    key, used, place = own, 0, 0
+                    key, used, place = own, 0 if pd.isna(before) else before, bins - (0 if pd.isna(before) else 1)
                 if used and used + n > limit:
                     used, place = 0, place + 1
                 used += n
-                bins.append(place)
-            yield pdf[[*keys, id_col]].assign(bin=bins)
-
-    return _in_order(samples, keys, id_col, size).mapInPandas(run, schema)
+                places.append(int(place))
+            yield pdf[[*keys, id_col]].assign(bin=places)
+
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "__part", *keys).sortWithinPartitions("__part", *keys, id_col, "__size")
+    return dealt.mapInPandas(run, out)
+
+
+def _follow(upto: list[int], bins: list[int], rest: list[int], total: int, used: int | None, limit: int) -> tuple[int, int]:
+    """What the bin in use holds after a run of items, and how many bins the run starts, from its summary. One in use that holds 0 goes on as a
+    new one would; none in use (None) begins with the run."""
+    if not used:
+        return rest[0], bins[0] - (used is not None)
+    if used + total <= limit:
+        return used + total, 0
+    k = max(0, int(np.searchsorted(upto, limit - used, side="right")) - 1)
+    return rest[k], bins[k]
 
 
 def micro_batches(samples: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, out: str = "micro_batch") -> DataFrame:

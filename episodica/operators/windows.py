@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from episodica.operators.ranks import numbered
+from episodica.operators.ranks import array_of, before, numbered, parted
 
 
 def episode(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -82,7 +82,16 @@ def difference(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[s
 
 
 def trailing_mean(df: DataFrame, value: str, size: int, keys: Sequence[str], order: Sequence[str], full_only: bool = False, out: str = "smooth") -> DataFrame:
-    """Mean of this row and the size - 1 before it, of fewer at the start. full_only: full windows alone, or the raw values if there is none."""
+    """Mean of this row and the size - 1 before it, of fewer at the start. full_only: full windows alone, or the raw values if there is none.
+
+    Without keys the table is one sequence of any length: see over_ranges.
+    """
+    if not keys:
+        rows, n = over_ranges(df, order, size - 1)
+        rows = rows.withColumn(out, F.avg(value).over(Window.partitionBy("__to").orderBy("__place").rowsBetween(1 - size, 0))).filter("__to = __part")
+        if full_only:
+            rows = rows.withColumn(out, F.col(value).cast("double")) if n < size else rows.filter(F.col("__place") >= size - 1)
+        return rows.drop("__to", "__part", "__place")
     w = episode(keys, order)
     df = df.withColumn(out, F.avg(value).over(w.rowsBetween(1 - size, 0)))
     if full_only:
@@ -91,6 +100,19 @@ def trailing_mean(df: DataFrame, value: str, size: int, keys: Sequence[str], ord
     return df
 
 
+def over_ranges(df: DataFrame, order: Sequence[str], back: int) -> tuple[DataFrame, int]:
+    """df dealt by ranges of a total order, each range (__to) with the `back` rows before it as well, and the number of rows. __place counts from 0;
+    where __part is not __to the row is there for others' windows alone."""
+    kept, sizes = parted(df, order)
+    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    place = before(sizes) + F.col("__nth")
+    rows = kept.withColumn("__place", place).drop("__nth")
+    following = F.element_at(array_of([*starts[1:], sum(sizes) + back + 1]), F.col("__part") + 1)
+    last = F.size(F.filter(array_of(starts), lambda x: x <= F.col("__place") + back)) - 1
+    to = F.when(F.col("__place") + back >= following, last).otherwise(F.col("__part"))  # only the last rows of a range are looked up
+    return rows.withColumn("__to", F.explode(F.sequence(F.col("__part"), F.greatest(to, F.col("__part"))))), sum(sizes)
+
+
 def tumbling(df: DataFrame, frame: str, size: int, out: str = "window") -> DataFrame:
     """Number of the fixed window of `size` frames."""
     return df.withColumn(out, F.floor(F.col(frame) / size).cast("long"))

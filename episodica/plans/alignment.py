@@ -41,9 +41,8 @@ def nearest_sample(spark, d):
 def stream_fusion(spark, d):
     """One stream interpolated and one held, on the clock of a third."""
     clock, samples = _streams(spark, d)
-    joint = L.interpolate(clock, samples, EP, "t", ["value"]).withColumnRenamed("value", "joint")
-    grip = L.zero_order_hold(clock, samples, EP, "t", ["value"]).withColumnRenamed("value", "gripper")
-    return rounded(joint.join(grip, ["episode", "t"]), 5).withColumn("gripper", F.col("gripper"))
+    joint, grip = (samples.withColumnRenamed("value", name) for name in ("joint", "gripper"))
+    return rounded(L.fused(clock, [L.Stream(joint, ["joint"]), L.Stream(grip, ["gripper"], "hold")], EP, "t"), 5)
 
 
 @query("stream_order_faults", "select user_id as episode, count(*) as faults from (select user_id, ts, lag(ts) over (partition by user_id order by value, event_id) as p from events) where ts <= p group by 1")
