@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.operators.ranks import suffix_least
+from episodica.durable import durable
+from episodica.operators.ranks import SLICE_DIGITS, suffix_least
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -34,9 +35,10 @@ _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
 
 def two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(|T| >= |t|) for Student's t with df degrees: the regularized incomplete beta function at df / (df + t^2)."""
+    """P(|T| >= |t|) for Student's t with df degrees: the regularized incomplete beta function at df / (df + t^2). Without a degree there is none."""
     t, df = np.asarray(t, float), np.asarray(df, float)
-    a, b, x = df / 2, np.full_like(df, 0.5), df / (df + t * t)
+    df = np.where(df > 0, df, np.nan)
+    a, b, x = np.nan_to_num(df, nan=2.0) / 2, np.full_like(df, 0.5), df / (df + t * t)
     x = np.clip(np.nan_to_num(x, nan=0.5), 1e-300, 1 - 1e-16)
     front = np.exp(_LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b) + a * np.log(x) + b * np.log1p(-x))
     low = x < (a + 1) / (a + b + 2)
@@ -74,6 +76,11 @@ def welch(rows: DataFrame, by: Sequence[str], label: str, value: str) -> DataFra
     return out.withColumn("t", F.when(~flat, t)).withColumn("df", F.when(~flat, df)).withColumn("constant_p", F.when(flat, F.when(F.col("mean1") == F.col("mean2"), 1.0).otherwise(0.0)))
 
 
+def welch_p() -> Column:
+    """p of welch()'s rows: of cells without any variance what their means say, else Student's."""
+    return F.coalesce("constant_p", p_value(F.col("t"), F.col("df")))
+
+
 def one_sample(rows: DataFrame, by: Sequence[str], value: str, mean: float = 0.0) -> DataFrame:
     """t and df of the test that the mean is `mean`."""
     x = F.col(value).cast("double")
@@ -138,13 +145,26 @@ def bootstrap_interval(means: DataFrame, low: float = 0.025, high: float = 0.975
 def permutation_test(units: DataFrame, id_col: str, label: str, value: str, reps: int, seed: int) -> DataFrame:
     """observed difference of means, and p = (1 + how many of `reps` relabellings reach it) / (reps + 1).
 
-    In each relabelling the units of the first label are those of the smallest hashes, so the groups keep their sizes.
+    In each relabelling the units of the first label are those of the smallest hashes, so the groups keep their sizes. Counts and sums by slices of
+    the hashes, SLICE_DIGITS hex digits each, combine before the shuffle: it grows with the relabellings, not with the units. Only the units of
+    the slice in which the border lies, one in 16 ** SLICE_DIGITS, are ranked.
     """
     x = F.col(value).cast("double")
     base = units.select(F.col(id_col).alias("__i"), F.col(label).alias("__l"), x.alias("__x"))
-    seen = base.agg(F.avg(F.when(F.col("__l"), F.col("__x"))).alias("a"), F.avg(F.when(~F.col("__l"), F.col("__x"))).alias("b"), F.count_if("__l").alias("k"))
+    seen = base.agg(F.avg(F.when(F.col("__l"), F.col("__x"))).alias("a"), F.avg(F.when(~F.col("__l"), F.col("__x"))).alias("b"), F.count_if("__l").alias("k"), F.sum("__x").alias("sum"), F.count("__x").alias("count"))
     rows = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__u", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("__i").cast("string")).cast("binary")))
-    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy("__u", "__i"))).crossJoin(F.broadcast(seen.select("k")))
-    null = rows.groupBy("rep").agg((F.avg(F.when(F.col("__r") <= F.col("k"), F.col("__x"))) - F.avg(F.when(F.col("__r") > F.col("k"), F.col("__x")))).alias("d"))
-    both = null.crossJoin(F.broadcast(seen.select((F.col("a") - F.col("b")).alias("observed"))))
-    return both.groupBy("observed").agg(((1 + F.count_if(F.abs(F.col("d")) >= F.abs(F.col("observed")) - 1e-12)) / F.lit(float(reps + 1))).alias("p"))
+    rows = rows.withColumn("__slice", F.substring("__u", 1, SLICE_DIGITS))
+    slices = rows.groupBy("rep", "__slice").agg(F.count("*").alias("__n"), F.sum("__x").alias("__sum"), F.count("__x").alias("__count"))
+    upto = F.sum("__n").over(Window.partitionBy("rep").orderBy("__slice"))  # at most 16 ** SLICE_DIGITS rows
+    slices = slices.withColumn("__upto", upto).crossJoin(F.broadcast(seen.select("k")))
+    below = F.col("__upto") <= F.col("k")
+    at = F.when(~below & (F.col("__upto") - F.col("__n") < F.col("k")), F.struct("__slice", (F.col("k") - F.col("__upto") + F.col("__n")).alias("left")))
+    known = slices.groupBy("rep").agg(F.coalesce(F.sum(F.when(below, F.col("__sum"))), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.when(below, F.col("__count"))), F.lit(0)).alias("c"), F.max(at).alias("at"))
+    known = durable(known, "permutation")
+    edge = rows.join(F.broadcast(known.select("rep", F.col("at.__slice").alias("__slice"), F.col("at.left").alias("__left"))), ["rep", "__slice"])  # a row for each relabelling
+    edge = edge.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy("__u", "__i"))).filter("__r <= __left")
+    edge = edge.groupBy("rep").agg(F.sum("__x").alias("es"), F.count("__x").alias("ec"))
+    both = known.join(edge, "rep", "left").crossJoin(F.broadcast(seen))
+    one, n1 = F.col("s") + F.coalesce("es", F.lit(0.0)), F.col("c") + F.coalesce("ec", F.lit(0))
+    null = both.select((F.col("a") - F.col("b")).alias("observed"), (F.try_divide(one, n1) - F.try_divide(F.col("sum") - one, F.col("count") - n1)).alias("d"))
+    return null.groupBy("observed").agg(((1 + F.count_if(F.abs(F.col("d")) >= F.abs(F.col("observed")) - 1e-12)) / F.lit(float(reps + 1))).alias("p"))

@@ -140,20 +140,14 @@ def hold(df: DataFrame, value: str, size: int, keys: Sequence[str], order: Seque
     return df.withColumn(out, F.first(value).over(Window.partitionBy(*keys, "__window").orderBy(*order))).drop("__window")
 
 
-def running_offsets(sizes: DataFrame, key: str, size: str, ranges: int = 64) -> DataFrame:
-    """new_index (rank by key) and offset (sum of the sizes before), without one task that sees all rows.
-
-    Keys are cut into ranges by approximate quantiles; sums run within ranges and are shifted by the ranges' totals.
-    """
-    cuts = sorted(set(sizes.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
-    ranged = sizes.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0))
-    per = ranged.groupBy("__range").agg(F.sum(size).alias("__b"), F.count("*").alias("__n"))
-    w = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    shift = per.select("__range", F.coalesce(F.sum("__b").over(w), F.lit(0)).alias("__b"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__n"))
-    within = Window.partitionBy("__range").orderBy(key)
-    out = ranged.withColumn("__i", F.row_number().over(within)).withColumn("__o", F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size))
-    out = out.join(F.broadcast(shift), "__range")
-    return out.withColumn("new_index", (F.col("__i") - 1 + F.col("__n")).cast("long")).withColumn("offset", (F.col("__o") + F.col("__b")).cast("long")).drop("__range", "__i", "__o", "__b", "__n")
+def running_offsets(sizes: DataFrame, key: str, size: str) -> DataFrame:
+    """new_index (rank by key) and offset (sum of the sizes before), without one task that sees all rows: sums run within ranges of keys, as many as
+    there are shuffle partitions, and are shifted by what the ranges before hold."""
+    kept, rows = parted(sizes, [key])
+    held = {r[0]: r[1] for r in kept.groupBy("__part").agg(F.coalesce(F.sum(size), F.lit(0))).collect()}  # a row for each range
+    upto = F.sum(size).over(Window.partitionBy("__part").orderBy("__nth").rowsBetween(Window.unboundedPreceding, 0))
+    offset = before([held.get(k, 0) for k in range(len(rows))]) + upto - F.col(size)
+    return kept.withColumn("new_index", (before(rows) + F.col("__nth")).cast("long")).withColumn("offset", offset.cast("long")).drop("__part", "__nth")
 
 
 def strata(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = (), out: str = "stratum") -> DataFrame:

@@ -9,6 +9,7 @@ from episodica.functions import closed_forms as C
 from episodica.operators import align as L
 from episodica.operators import windows as W
 from episodica.plans.base import EP, FR, FRAME, event_frames, micros, query, r6, rounded, table
+from episodica.plans.sequences import EDGE
 
 SEC = "sm as (select user_id as episode, epoch_us(ts) as t, value from events where event_type <> 'view'), ck as (select user_id as episode, epoch_us(ts) as t from events where event_type = 'view')"
 SIDES = f"{SEC}, s as (select ck.episode, ck.t, (select max(sm.t) from sm where sm.episode = ck.episode and sm.t <= ck.t) as t0, (select min(sm.t) from sm where sm.episode = ck.episode and sm.t >= ck.t) as t1 from ck), v as (select s.*, a.value as v0, b.value as v1 from s left join sm a on a.episode = s.episode and a.t = t0 left join sm b on b.episode = s.episode and b.t = t1)"
@@ -45,6 +46,13 @@ def stream_fusion(spark, d):
     return rounded(L.fused(clock, [L.Stream(joint, ["joint"]), L.Stream(grip, ["gripper"], "hold")], EP, "t"), 5)
 
 
+@query("stream_faults", "with e as (select user_id % 50 as k, epoch_us(ts) // 3600000000 as hour, event_type from events), s as (select k, hour from e where event_type = 'error') select k, 'repeated' as fault from s group by 1, hour having count(*) > 1 union select k, 'empty' from e where event_type = 'view' and k not in (select k from s)")
+def stream_faults(spark, d):
+    """Streams by hour that cannot be put on a clock."""
+    e = table(spark, d, "events").select((F.col("user_id") % 50).alias("k"), F.floor(micros("ts") / 3600000000).alias("hour"), "event_type")
+    return L.stream_faults(e.filter("event_type = 'view'").select("k", "hour"), e.filter("event_type = 'error'").select("k", "hour"), ["k"], "hour")
+
+
 @query("stream_order_faults", "select user_id as episode, count(*) as faults from (select user_id, ts, lag(ts) over (partition by user_id order by value, event_id) as p from events) where ts <= p group by 1")
 def stream_order_faults(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("episode"), "ts", "value", "event_id")
@@ -59,9 +67,14 @@ def resample_n(spark, d):
     return rounded(L.resample(event_frames(spark, d).select("episode", "frame", "value"), "value", 20, EP, FRAME), 5)
 
 
-@query("resample_phase", f"with {FR.replace('fr as', 'f0 as')}, fr as (select episode, frame - 10 as frame, value from f0 where frame between 10 and 30), {RES} select p.episode, k, round(a.value + (coalesce(b.value, a.value) - a.value) * (p - i), 5) as value from p join fr a on a.episode = p.episode and a.frame = i left join fr b on b.episode = p.episode and b.frame = i + 1")
+@query("resample_phase", f"with {FR.replace('fr as', 'f0 as')}, ed1 as (select episode, frame, value, frame > 5 and frame < 5 + episode % 40 as closed from f0), ed as (select *, closed and not lag(closed) over w as closes, not closed and lag(closed) over w as opens from ed1 window w as (partition by episode order by frame)), ph as (select episode, min(case when closes then frame end) as c, min(case when opens then frame end) as o from ed group by 1 having not first(closed order by frame) and not last(closed order by frame) and sum(cast(closes as int)) = 1 and sum(cast(opens as int)) = 1 and min(case when opens then frame end) - min(case when closes then frame end) >= 15), fr as (select f0.episode, frame - c as frame, value from f0 join ph using (episode) where frame between c and o), {RES} select p.episode, k, round(a.value + (coalesce(b.value, a.value) - a.value) * (p - i), 5) as value from p join fr a on a.episode = p.episode and a.frame = i left join fr b on b.episode = p.episode and b.frame = i + 1")
 def resample_phase(spark, d):
-    return rounded(L.resample(event_frames(spark, d).filter("frame between 10 and 30").select("episode", "frame", "value"), "value", 20, EP, FRAME), 5)
+    """The one closed phase of an episode, its ends included, at equal steps of its progress: episodes without such a phase have none."""
+    fr = event_frames(spark, d)
+    closed = ((F.col("frame") > 5) & (F.col("frame") < 5 + F.col("episode") % 40)).cast("double")
+    phases = W.single_phase(W.rising_edges(fr.withColumn("x", closed), F.col("x"), EP, FRAME), EP, 15)
+    within = fr.join(phases, "episode").filter("frame between close and open").select("episode", "frame", "value")
+    return rounded(L.resample(within, "value", 20, EP, FRAME), 5)
 
 
 @query("sigma_schedule", "select i, round(3.0 * (1 - i / 50.0::double) / (1 + 2.0 * (1 - i / 50.0::double)), 6) as sigma from (select unnest(range(50)) as i)")
@@ -107,11 +120,14 @@ def overlap_metrics(spark, d):
     )
 
 
-@query("segment_rebase", f"with {FR} select episode, round(min(t), 6) as start, round(max(t), 6) as finish from (select episode, frame / 30.0::double - min(frame / 30.0::double) over (partition by episode) as t from fr where frame >= 12) group by 1")
+@query("segment_rebase", f"{EDGE}, cl as (select episode, coalesce(case when not first(closed order by frame) then min(case when closes then frame end) end, 0) as cut from ed group by 1) select episode, count(*) as frames, round(min(t), 6) as start, round(max(t), 6) as finish from (select episode, frame / 30.0::double - min(frame / 30.0::double) over (partition by episode) as t from fr join cl using (episode) where frame >= cut) group by 1")
 def segment_rebase(spark, d):
-    df = event_frames(spark, d).filter("frame >= 12").withColumn("t", F.col("frame") / 30.0)
+    """What is left of each episode from its first closing on, or all of it, with times from 0."""
+    fr = event_frames(spark, d)
+    cuts = W.first_closure(W.rising_edges(fr, F.col("value"), EP, FRAME, 300.0), EP).select("episode", F.coalesce("closure", F.lit(0)).alias("cut"))
+    df = fr.join(cuts, "episode").filter("frame >= cut").withColumn("t", F.col("frame") / 30.0)
     df = df.withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy("episode")))
-    return df.groupBy("episode").agg(r6(F.min("t")).alias("start"), r6(F.max("t")).alias("finish"))
+    return df.groupBy("episode").agg(F.count("*").alias("frames"), r6(F.min("t")).alias("start"), r6(F.max("t")).alias("finish"))
 
 
 LR = {

@@ -104,10 +104,13 @@ def apply_unapply(spark, d):
     return df.groupBy("flag").agg(F.count("*").alias("rows"), F.bool_and(close).alias("close"))
 
 
-@query("column_rewrite", "select event_id, 7::bigint as episode_index, 1000 + row_number() over (order by event_id) - 1 as index from events where user_id = 7")
+@query("column_rewrite", "select event_id, user_id + 100 as episode_index, 1000 + row_number() over (order by user_id, event_id) - 1 as index from events")
 def column_rewrite(spark, d):
-    df = W.frame_numbers(table(spark, d, "events").filter("user_id = 7"), ["user_id"], ["event_id"])
-    return df.select("event_id", F.lit(7).alias("episode_index"), (F.col("frame") + 1000).alias("index"))
+    """Episodes appended to a set of 100 episodes and 1,000 frames: each row's episode and place in it are written anew."""
+    e = table(spark, d, "events").select("user_id", "event_id")
+    offsets = W.running_offsets(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "n").select("user_id", "offset")
+    df = W.frame_numbers(e, ["user_id"], ["event_id"]).join(offsets, "user_id")
+    return df.select("event_id", (F.col("user_id") + 100).alias("episode_index"), (F.col("frame") + F.col("offset") + 1000).alias("index"))
 
 
 @query("prompt_framing", "select conv_id, turn, (case when starts_with(text, '<bos>') then text else '<bos>' || text end) || case when ends_with(text, chr(10)) then '' else chr(10) end as prompt from conversations")

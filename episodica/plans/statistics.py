@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from episodica.functions import closed_forms as C
 from episodica.functions import normalize as N
 from episodica.operators import aggregates as A
+from episodica.operators import histograms as H
 from episodica.operators import stats as S
 from episodica.operators import windows as W
 from episodica.operators.ranks import numbered
@@ -33,12 +34,10 @@ def norm_stats_by_group(spark, d):
     return rounded(A.exact_stats(item_values(spark, d), ["flag", "dim"]))
 
 
-@query("first_action_stats", f"with {LI}, lo as (select v1 as value from li where frame = 0) select {STATS} from lo")
+@query("first_action_stats", f"with {LI}, lo as (select v1 as value from li) select {STATS} from lo")
 def first_action_stats(spark, d):
-    """Chunk statistics of an action that is not relative: each row's own."""
-    from episodica.plans.base import item_frames
-
-    rows = item_frames(spark, d).filter("frame = 0").select(F.get("v", F.lit(1)).alias("value"))
+    """Chunk statistics of an action that is not relative: the first action of every frame's chunk, which is the frame's own."""
+    rows = item_vectors(spark, d).select(F.get("v", F.lit(1)).alias("value"))
     return rounded(A.exact_stats(rows.withColumn("__a", F.lit(1)), ["__a"]).drop("__a"))
 
 
@@ -277,10 +276,19 @@ def welch_t(spark, d):
 def welch_p(spark, d):
     """p values and their false discovery rates; Student's tail is not SQL."""
     ship_package(spark)
-    t = _tested(spark, d).withColumn("p", S.p_value(F.col("t"), F.col("df")))
+    t = _tested(spark, d).withColumn("p", S.welch_p())
     return rounded(S.benjamini_hochberg(t, "p", ["frame"]).select("frame", "p", "q"))
 
 
+@query("constant_cells", f"{WELCH.replace('select *, episode', 'select episode, frame, floor(frame / 10) + case when frame % 3 = 0 and episode % 2 = 0 then 1 else 0 end as value, episode')} select frame, case when v1 = 0 and v2 = 0 then case when m1 = m2 then 1.0::double else 0.0::double end end as p from g")
+def constant_cells(spark, d):
+    """Cells in which both groups are constant: p is 1 where they are equal and 0 where they differ, without a test."""
+    ship_package(spark)
+    fr = event_frames(spark, d).withColumn("u", F.col("episode") % 2 == 0)
+    fr = fr.withColumn("value", F.floor(F.col("frame") / 10) + F.when((F.col("frame") % 3 == 0) & F.col("u"), 1).otherwise(0))
+    return S.welch(fr, ["frame"], "u", "value").select("frame", S.welch_p().alias("p"))
+
+
 @query("cohen_d", f"{WELCH} select frame, round(case when v1 + v2 > 0 then (m1 - m2) / sqrt((v1 + v2) / 2) else 0 end, 6) as d from g")
 def cohen_d(spark, d):
     return rounded(S.cohen_d(_tested(spark, d)).select("frame", "d"))
@@ -291,6 +299,14 @@ def one_sample_t(spark, d):
     return rounded(S.one_sample(event_frames(spark, d), ["frame"], "value", 50.0).select("frame", "t", "df"))
 
 
+@query("one_sample_p")
+def one_sample_p(spark, d):
+    """p values of the mean's test and their false discovery rates; Student's tail is not SQL."""
+    ship_package(spark)
+    t = S.one_sample(event_frames(spark, d), ["frame"], "value", 50.0).withColumn("p", S.p_value(F.col("t"), F.col("df")))
+    return rounded(S.benjamini_hochberg(t, "p", ["frame"]).select("frame", "p", "q"))
+
+
 @query("bh_fdr", "with p as (select event_id, value / 500 as p from events), r as (select *, row_number() over (order by p, event_id) as r, count(*) over () as m from p) select event_id, round(least(1.0, min(p * m / r) over (order by r desc)), 6) as q from r")
 def bh_fdr(spark, d):
     df = table(spark, d, "events").select("event_id", (F.col("value") / 500).alias("p"))
@@ -336,6 +352,26 @@ def stats_sketch(spark, d):
     return x.join(y, "dim").select("dim", near.alias("close"), r6(F.col("y.mean")).alias("mean"), r6(F.col("y.std")).alias("std"), "y.min", "y.max", "y.count")
 
 
+_BIN = "case when high <= low then 0 else least(4999, greatest(0, floor((x - low) / (high - low) * 5000)))::int end"
+
+
+@query("histogram_stats", f"with {VALUES}, r as (select flag, dim, min(value) as low, max(value) as high, count(*) as n from lo group by 1, 2), b as (select flag, dim, {_BIN.replace('x -', 'value -')} as bin, count(*) as c from lo join r using (flag, dim) group by 1, 2, 3), u as (select flag, dim, bin, sum(c) over (partition by flag, dim order by bin) as upto from b), q as (select flag, dim, any_value(low) as low, any_value(high) as high, any_value(n) as n, {', '.join(f'min(bin) filter (where upto >= {q} * n) as {name}' for name, q in A.QUANTILES.items())} from u join r using (flag, dim) group by 1, 2), m as (select flag, dim, avg(value) as mean, stddev_pop(value) as std from lo group by 1, 2) select flag, dim, n, round(mean, 5) as mean, round(std, 5) as std, low, high, {', '.join(f'round(low + (high - low) * {name} / 5000.0::double, 5) as {name}' for name in A.QUANTILES)} from q join m using (flag, dim)")
+def histogram_stats(spark, d):
+    """Statistics by a histogram of 5,000 bins over the range of each group's dimension; quantiles are left edges of bins."""
+    h = H.histogram(item_values(spark, d), "value", ["flag", "dim"])
+    out = rounded(H.statistics(h, A.QUANTILES), 5)
+    return out
+
+
+@query("histogram_merged", f"with {VALUES}, s as (select flag, dim, min(value) as l0, max(value) as h0 from lo group by 1, 2), r as (select dim, min(l0) as low, max(h0) as high from s group by 1), b as (select flag, dim, {_BIN.replace('x -', 'value -').replace('low', 'l0').replace('high', 'h0')} as bin, count(*) as c from lo join s using (flag, dim) group by 1, 2, 3), e as (select b.dim, b.bin, b.c, l0, h0, low, high, l0 + (h0 - l0) * b.bin / 5000.0::double as x from b join s using (flag, dim) join r using (dim)), m as (select dim, case when l0 = low and h0 = high then bin else {_BIN} end as bin, sum(c) as c from e group by 1, 2) select dim, bin // 50 as slice, sum(c)::bigint as n from m group by 1, 2")
+def histogram_merged(spark, d):
+    """The states of the flags, each over a range of its own, as one: counts by slices of 50 bins."""
+    values = item_values(spark, d)
+    flags = [r[0] for r in values.select("flag").distinct().collect()]  # three
+    one = H.merged([H.histogram(values.filter(F.col("flag") == f), "value", ["dim"]) for f in flags])
+    return one.counts.groupBy("dim", F.floor(F.col("bin") / 50).alias("slice")).agg(F.sum("count").alias("n"))
+
+
 @query("rank_by_peak", "select user_id, round(most, 6) as peak, row_number() over (order by most desc, user_id) as place from (select user_id, max(abs(value - 40)) as most from events group by 1)")
 def rank_by_peak(spark, d):
     per = table(spark, d, "events").groupBy("user_id").agg(F.max(F.abs(F.col("value") - 40)).alias("most"))

@@ -189,3 +189,40 @@ def test_overlaps_of_spans_of_any_length(spark, longest):
     got = sorted((r.k, r.i, r.j, r.overlap) for r in L.overlaps(a, b, ["k"], ("lo", "hi"), ("lo2", "hi2")).collect())
     want = sorted((p[0], p[1], q[1], min(p[3], q[3]) - max(p[2], q[2])) for p in x for q in y if p[0] is not None and p[0] == q[0] and max(p[2], q[2]) < min(p[3], q[3]))
     assert got == want
+
+
+def test_p_of_cells_without_variance_or_degrees(spark):
+    """Constant cells: 1 where means are equal, 0 where not, and so they count in the rates of false discovery; one value has no test."""
+    from episodica.operators import stats as S
+    from episodica.shipping import ship_package
+
+    ship_package(spark)
+    rows = [(1, u, 5.0) for u in (True, False)] * 3 + [(2, u, 5.0 + u) for u in (True, False)] * 3 + [(3, u, float(i % 5 + u)) for i in range(8) for u in (True, False)]
+    t = S.welch(spark.createDataFrame(rows, "c int, u boolean, x double"), ["c"], "u", "x").withColumn("p", S.welch_p())
+    got = {r.c: (r.p, r.q) for r in S.benjamini_hochberg(t, "p", ["c"]).collect()}
+    assert got[1] == (1.0, 1.0) and got[2] == (0.0, 0.0) and 0.1 < got[3][0] < 0.4 and math.isclose(got[3][1], got[3][0] * 1.5)
+    one = S.one_sample(spark.createDataFrame([(1, 3.0), (2, 1.0), (2, 2.0), (2, 4.5)], "c int, x double"), ["c"], "x", 1.0)
+    got = {r.c: r.p for r in one.select("c", S.p_value(one.t, one.df).alias("p")).collect()}
+    assert got[1] is None and math.isclose(got[2], 0.2754, abs_tol=2e-3)
+
+
+def test_relabellings_by_slices_like_whole_ranks(spark, monkeypatch):
+    """Slices of any width and units with null values: the same p as ranking all units in each relabelling."""
+    import hashlib
+
+    from episodica.operators import stats as S
+
+    rnd = random.Random(5)
+    units = [(i, i % 3 == 0, None if i % 11 == 0 else rnd.random() + 0.1 * (i % 3 == 0)) for i in range(120)]
+    mean = lambda xs: sum(xs) / len(xs)
+    some = lambda ids: [x for i, _, x in units if i in ids and x is not None]
+    own = {i for i, u, _ in units if u}
+    observed, hits = mean(some(own)) - mean(some({i for i, u, _ in units if not u})), 0
+    for rep in range(1, 200):
+        order = sorted((hashlib.md5(f"3|{rep}|{i}".encode()).hexdigest(), i) for i, _, _ in units)
+        ids = {i for _, i in order[: len(own)]}
+        hits += abs(mean(some(ids)) - mean(some({i for i, _, _ in units} - ids))) >= abs(observed) - 1e-12
+    for digits in (1, 3):
+        monkeypatch.setattr(S, "SLICE_DIGITS", digits)
+        r = S.permutation_test(spark.createDataFrame(units, "i long, u boolean, x double"), "i", "u", "x", 199, 3).first()
+        assert math.isclose(r.observed, observed) and math.isclose(r.p, (1 + hits) / 200)
