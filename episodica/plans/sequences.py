@@ -8,6 +8,7 @@ from episodica.functions import closed_forms as C
 from episodica.functions import mapping as M
 from episodica.functions import vectors as V
 from episodica.operators import aggregates as A
+from episodica.operators import routing as Ro
 from episodica.operators import windows as W
 from episodica.plans.base import EP, FR, FRAME, LI, event_frames, item_frames, lengths, query, r6, rounded, table
 
@@ -148,6 +149,31 @@ def expert_slots(spark, d):
     return W.slots(table(spark, d, "events").select("event_id", "event_type"), "event_type", ["event_id"])
 
 
+_ROUTED = "e as (select vec_id, embedding as v, unnest(range(8)) as expert from embeddings where embedding is not null), s as (select vec_id, v, expert, v[expert + 1]::double as s from e), r as (select *, row_number() over (partition by vec_id order by s desc, expert) as r, exp(s - max(s) over (partition by vec_id)) as x from s where s is not null), c as (select *, x / sum(x) over (partition by vec_id) as w from r where r <= 2)"
+
+
+def _routed(spark, d):
+    v = table(spark, d, "embeddings").filter("embedding is not null").select("vec_id", F.slice("embedding", 1, 8).alias("scores"), F.slice("embedding", 9, 4).alias("x"))
+    return v, Ro.routes(v, "vec_id", "scores", 2)
+
+
+@query("expert_routing", f"with {_ROUTED} select vec_id, {', '.join(f'round(sum(w * (expert + 1) * v[{9 + i}]::double), 5) as y{i}' for i in range(4))} from c group by 1")
+def expert_routing(spark, d):
+    """Two experts a token by its first eight numbers; an expert multiplies the next four by its number. Gathered, worked on, and added up again."""
+    tokens, routed = _routed(spark, d)
+    rows = Ro.gathered(Ro.placed(routed, "vec_id"), tokens, "vec_id", ["x"])
+    done = rows.withColumn("x", F.transform("x", lambda x: x.cast("double") * (F.col("expert") + 1)))
+    out = Ro.combined(done, "vec_id", "x", 4)
+    return rounded(out.select("vec_id", *(F.get("x", F.lit(i)).alias(f"y{i}") for i in range(4))), 5)
+
+
+@query("expert_places", f"with {_ROUTED}, p as (select vec_id, r - 1 as choice, expert, row_number() over (order by expert, vec_id, r) - 1 as place from c), o as (select expert, min(place) as first, count(*) as n from p group by 1) select p.*, first, n from p join o using (expert)")
+def expert_places(spark, d):
+    """Where each route's row stands, experts one after the other, and each expert's first place and rows."""
+    routed = _routed(spark, d)[1]
+    return Ro.placed(routed, "vec_id").join(F.broadcast(Ro.offsets(routed, 8)), "expert").select("vec_id", "choice", "expert", "place", "first", "n")  # eight rows
+
+
 @query("block_mask", f"with {FR}, b as (select episode, frame, sum(cast(event_type = 'purchase' as int)) over (partition by episode order by frame) as b from fr), v as (select * from b where frame % 5 <> 4) select q.episode, q.frame as query, max(k.frame) as until, count(*) as allowed from v q join v k on q.episode = k.episode and k.b <= q.b group by 1, 2")
 def block_mask(spark, d):
     return W.block_mask(event_frames(spark, d), EP, "frame", F.col("event_type") == "purchase", F.col("frame") % 5 != 4)

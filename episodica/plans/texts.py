@@ -8,6 +8,7 @@ from episodica.durable import new_path
 from episodica.functions import text as X
 from episodica.functions import vectors as V
 from episodica.operators import batching as B
+from episodica.operators import table_functions
 from episodica.plans.base import BYTES, PACKED, PRINT, RANKS, STRIP, micros, printed, query, r6, rounded, table
 from episodica.shipping import ship_package
 from episodica.streaming import monitor as Mo
@@ -20,6 +21,22 @@ def text_chunks(spark, d):
     return df.select("doc_id", F.posexplode(V.chunks(ids, 512)).alias("chunk", "ids")).select("doc_id", "chunk", F.size("ids").alias("n"))
 
 
+@query("text_pieces_lateral", "select doc_id, i as chunk, least(512, strlen(text) + 1 - i * 512) as n from (select doc_id, text, unnest(range((strlen(text) + 512) // 512)) as i from documents)")
+def text_pieces_lateral(spark, d):
+    """The same by a table function in SQL."""
+    table_functions.register(spark)
+    table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("n")).createOrReplaceTempView("__pieces_of")
+    return spark.sql("select doc_id, c.chunk, c.n from __pieces_of, lateral text_pieces(__pieces_of.n, 512) as c")
+
+
+@query("pack_lateral")
+def pack_lateral(spark, d):
+    """Greedy batches by source as a table function over ordered partitions; a test compares it with the same packer run sample by sample."""
+    table_functions.register(spark)
+    table(spark, d, "documents").select("source", "doc_id", "n_chars").createOrReplaceTempView("__packed_of")
+    return spark.sql("select key as source, batch, place, id as doc_id, length as n_chars from pack_by_budget(table(__packed_of) partition by (source) order by (doc_id), 4000, 20)")
+
+
 @query("pretrain_examples", "with b as (select conv_id, turn, text, unnest(range((strlen(text) + 64) // 64)) as i from conversations) select conv_id, turn, i as chunk, least(64, strlen(text) + 1 - i * 64) as n, i = strlen(text) // 64 as has_end from b")
 def pretrain_examples(spark, d):
     df = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.pretrain_chunks(F.col("text"), X.byte_ids, 256, 64)).alias("chunk", "ids"))
