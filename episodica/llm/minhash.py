@@ -252,7 +252,35 @@ def _in_cells(rows: DataFrame, details: DataFrame, function: Callable[[pa.Table]
     right = F.when(F.col("home"), F.array().cast("array<struct<row:int,column:int>>")).otherwise(F.transform(F.sequence(k, F.col("away_n") + F.col("home_n") - 1), lambda j: cell(k, j)))
     dealt = dealt.withColumn("block", block).withColumn("cell", F.explode(F.concat(above, right)))
     dealt = dealt.select("low", "node", "component", "home", "block", "cell.row", "cell.column", *(c for c in ("reach",) if c in rows.columns))
-    return dealt.join(details, "node").groupBy("low", "row", "column").applyInArrow(function, schema)
+    parts, cell = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["low", "row", "column"]
+    ordered = dealt.join(details, "node").repartition(parts, *cell).sortWithinPartitions(*cell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells one after the other as they come, many small ones in a batch: one whole cell is held at most besides it."""
+        held: list[pa.Table] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                out = function(pa.concat_tables(held).combine_chunks())
+                held.clear()
+                if len(out):
+                    yield from out.combine_chunks().to_batches()
+
+        last = None
+        for batch in batches:
+            t, at = pa.Table.from_batches([batch]), np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cell], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+            for start, stop in zip(cuts, cuts[1:]):  # noqa: B905
+                own = tuple(at[start].tolist()) if stop > start else last
+                if own != last:
+                    yield from done()
+                held.append(t.slice(start, stop - start))
+                last = own
+            tidy()
+        yield from done()
+
+    columns = [*cell, *(c for c in ordered.columns if c not in cell)]
+    return ordered.select(*columns).mapInArrow(run, schema)
 
 
 def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -260,12 +260,18 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     met = posted.groupBy(*lists).agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select(*lists)
     several = durable(posted.join(met, lists).join(ids, "node").distinct(), "join-several")  # a few rows that are no class's passed the filter
     drop(posted)
-    least = several.groupBy(*lists).agg(F.min("n").alias("__n"))
-    kept = durable(several.join(least, lists).filter("star_only or reach >= __n").drop("__n"), "join-kept")
+    # sizes of linked sets are in one level or in neighbouring ones: a set is in the part of a list for its own level and in the next one's
+    level = F.floor(F.log(F.col("n").cast("double")) / log(100 / min(percent, 99.9) + 1e-9)).cast("int")
+    levels = F.explode(F.when(F.col("star_only"), F.array(F.lit(0))).otherwise(F.array(level, level + 1))).alias("level")
+    parts = [*lists, "level"]
+    several = several.select("*", levels)
+    least = several.groupBy(*parts).agg(F.min("n").alias("__n"), F.count("*").alias("__m")).filter("__m > 1")
+    kept = durable(several.join(least, parts).filter("star_only or reach >= __n").drop("__n", "__m"), "join-kept")
     low = F.when(F.col("star_only"), F.min(F.struct("n", "node"))["node"]).otherwise(F.max(F.struct("weight", (-F.col("node")).alias("m"), "node"))["node"])
-    lows = kept.groupBy(*lists).agg(low.alias("low"), F.count("*").alias("__m")).filter("__m > 1")
-    members = durable(kept.join(lows, lists).select("band", "node", "low", "star_only", "reach"), "join-members")
-    drop(several, kept, ids)
+    lows = kept.groupBy(*parts).agg(low.alias("low"), F.count("*").alias("__m")).filter("__m > 1")
+    band = F.when(F.col("star_only"), F.col("band")).otherwise(F.xxhash64("band", "level"))
+    members = durable(kept.join(lows, parts).select(band.alias("band"), "node", "low", "star_only", "reach"), "join-members")
+    drop(kept, ids)
 
     # an id with several texts is one document: its texts' classes are linked
     twice = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("id")
