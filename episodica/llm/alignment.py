@@ -1,8 +1,8 @@
 """Alignment of two tokenizers: minimal groups of tokens over the same bytes, links of overlapping tokens, and how often a link's ids meet.
 
 Tokens of both sides are nodes and overlapping ones are joined; the components that union-find makes of this bipartite graph are the minimal
-groups, and their members' overlaps are the links. Neither vocabulary has a token that goes on across a space after other than white space,
-so both cut a text there: it is aligned by its chunks, each distinct one once, and what holds of a text is the sum over its chunks.
+groups, and their members' overlaps are the links. Neither vocabulary has a token that goes on across a space or a line's end after other than
+white space, so both cut a text there: it is aligned by its chunks, each distinct one once, and what holds of a text is the sum over its chunks.
 
 Texts are taken in slices. A slice is written as rows of its texts (which chunks, how often) and one row of its distinct links; those are
 counted over all slices by a shuffle of one row for each slice and link, and the counts return to their slices, not to texts.
@@ -30,11 +30,11 @@ from episodica.llm.tokens import gathered, text_slices, vocabulary_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes that chunks remembered by a worker may take, a chunk counting this many besides its own.
-MOST_BYTES, CHUNK_COST = 96_000_000, 240
+MOST_BYTES, CHUNK_COST = 48_000_000, 240
 #: Bytes of chunks that are coded as one text.
 JOINED_BYTES = 20_000
-#: Where a text may be cut: at a space after other than white space, but not at its last code point.
-CUT = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
+#: Where a text may be cut: before a space or a line's end after other than white space, but not at its last code point.
+CUT = re.compile(r"(?<=\S)(?=[ \n].)", re.DOTALL)
 B_BITS = 32
 ENCODED = T.StructType(
     [T.StructField("slice", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType())]
@@ -108,7 +108,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in parts], np.int64) for parts in (self.bytes_a, self.bytes_b))
-        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.cuts = not any(re.search("[^▁]▁|\n", p) for p in pieces)
         self.forget()
 
     def forget(self) -> None:
@@ -118,11 +118,8 @@ class Aligner:
         self.pairs, self.groups = np.zeros(0, np.int64), []
 
     def chunks(self, text: str) -> list[str]:
-        """The text's chunks, each without the space that it begins with (the text's own begins with one that is added)."""
-        words = text.split(" ")
-        if words == text.split():
-            return words if self.cuts else [text]
-        return [c[1:] for c in CUT.split(" " + text)] if self.cuts else [text]
+        """The chunks of the text after the space that is added: each begins with a space or a line's end."""
+        return CUT.split(" " + text) if self.cuts else [" " + text]
 
     def numbers(self, text: str) -> np.ndarray:
         found = self.chunks(text)
@@ -133,7 +130,7 @@ class Aligner:
         new = list(self.number)[len(self.ok) :]
         if not new:
             return
-        sizes = pc.binary_length(pa.array(new, pa.large_string())).to_numpy().astype(np.int64) + 1
+        sizes = pc.binary_length(pa.array(new, pa.large_string())).to_numpy().astype(np.int64)
         self.cost += int(sizes.sum()) * 4 + CHUNK_COST * len(new)
         (flat_a, n_a), (flat_b, n_b) = self._coded(new, sizes, self._ids_a, self.bytes_a, self.size_a), self._coded(new, sizes, self._ids_b, self.bytes_b, self.size_b)
         ok = (n_a > 0) & (n_b > 0)
@@ -150,15 +147,17 @@ class Aligner:
             setattr(self, name, np.concatenate([getattr(self, name), x]))
 
     def _ids_a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids_b(self, texts: list[str]) -> list[list[int]]:
-        return self.b.encode(texts, num_threads=1)
+        """B adds a space itself: it takes the place of the one that a text begins with, or is left out again."""
+        out = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        return [ids if t[0] == " " else ids[1:] for t, ids in zip(texts, out)]
 
     def _coded(self, chunks: list[str], sizes: np.ndarray, ids_of: Callable, parts: Sequence[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks and how many each has: none if its tokens joined are not the space and the chunk. Runs of chunks that end in other
+        """Ids of all chunks and how many each has: none if its tokens joined are not the chunk. Runs of chunks that end in other
         than white space are coded as one text, which is cut where they end."""
-        runs, k, joined = [], 0, [self.cuts and c != "" and not c[-1].isspace() for c in chunks]
+        runs, k, joined = [], 0, [self.cuts and not c[-1].isspace() for c in chunks]
         room_of = sizes.tolist()
         while k < len(chunks):
             to, room = k, JOINED_BYTES
@@ -168,8 +167,8 @@ class Aligner:
             runs.append((k, max(to, k + 1)))
             k = runs[-1][1]
         flat, n = [np.zeros(0, np.int64)], np.zeros(len(chunks), np.int64)
-        for (k, to), ids in zip(runs, ids_of([" ".join(chunks[k:to]) for k, to in runs])):
-            whole = "".join([" " + c for c in chunks[k:to]]).encode()
+        for (k, to), ids in zip(runs, ids_of(["".join(chunks[k:to]) for k, to in runs])):
+            whole = "".join(chunks[k:to]).encode()
             got, to_bytes = np.array(ids, np.int64), np.cumsum(sizes[k:to])
             ends = np.cumsum(size[got])
             last = np.searchsorted(ends, to_bytes)
@@ -178,7 +177,7 @@ class Aligner:
                 n[k:to] = np.diff(last, prepend=-1)
             elif to > k + 1:
                 for j, ids in enumerate(ids_of(chunks[k:to]), k):
-                    if b"".join(map(parts.__getitem__, ids)) == b" " + chunks[j].encode():
+                    if b"".join(map(parts.__getitem__, ids)) == chunks[j].encode():
                         flat.append(np.array(ids, np.int64))
                         n[j] = len(ids)
         return np.concatenate(flat), n
