@@ -13,7 +13,7 @@ from episodica.operators import examples as Ex
 from episodica.operators import windows as W
 from episodica.plans.base import BYTES, EP, FR, FRAME, PACKED, PRINT, RANKS, STRIP, event_frames, item_frames, item_values, lengths, printed, query, r6, rounded, table
 from episodica.shipping import ship_package
-from episodica.sources import scans, sinks
+from episodica.sources import arrays, scans, sinks
 from episodica.streaming.monitor import run_to_end
 from episodica.streaming.packing import packed_stream
 
@@ -240,3 +240,57 @@ def item_episode_frames(spark, d):
     """Vector frames by episode, from the frames' own scan."""
     rows = item_frames(spark, d).groupBy("episode").agg(F.count("*").alias("frames"), F.sum(F.get("v", F.lit(3))).alias("tax"))
     return rounded(rows)
+
+
+def _written(df, tag, put):
+    """A folder of files that tasks write, one for each of their batches: put(path, batch) writes one."""
+    spark, folder = df.sparkSession, new_path(df.sparkSession, tag)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, own = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(own)
+        for k, b in enumerate(batches):
+            path = f"{own}/{TaskContext.get().partitionId()}-{k}"  # a task that runs again writes the same files
+            put(store, path, b)
+            yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    ship_package(spark)
+    df.mapInArrow(run, "path string").collect()  # a path for each file
+    return folder
+
+
+@query("arrow_scan", "select event_type, count(*) as n, round(sum(value), 4) as total, min(event_id) as first, max(event_id) as last from events group by 1")
+def arrow_scan(spark, d):
+    """Events as Arrow files of small record batches, read back by a data source that gives each run of batches a task."""
+
+    def put(store, path, b):
+        import pyarrow as pa
+
+        with store.open_output_stream(path + ".arrow") as f, pa.ipc.new_file(f, b.schema) as w:
+            for k in range(0, b.num_rows, 500):
+                w.write_batch(b.slice(k, 500))
+
+    folder = _written(table(spark, d, "events").select("event_id", "event_type", "value"), "arrow", put)
+    arrays.register(spark)
+    rows = spark.read.format("arrow_batches").schema("event_id long, event_type string, value double").option("batches", 4).load(f"{folder}/*.arrow")
+    return rounded(rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("event_id").alias("first"), F.max("event_id").alias("last")), 4)
+
+
+@query("npz_scan", "with x as (select event_id, value from events) select 0::bigint as axis, count(*) as n, round(sum(event_id::double), 4) as total from x union all select 1, count(*), round(sum(value), 4) from x")
+def npz_scan(spark, d):
+    """Events as arrays of two columns in .npz files, their cells read back by slices."""
+
+    def put(store, path, b):
+        import numpy as np
+
+        with store.open_output_stream(path + ".npz") as f:
+            np.savez(f, x=np.stack([b.column(0).to_numpy().astype(np.float64), b.column(1).to_numpy()], axis=1))
+
+    folder = _written(table(spark, d, "events").select("event_id", "value"), "npz", put)
+    arrays.register(spark)
+    cells = spark.read.format("npz_slices").option("rows", 3000).load(f"{folder}/*.npz")
+    return rounded(cells.groupBy(F.col("index")[1].alias("axis")).agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)
