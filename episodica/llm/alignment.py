@@ -30,7 +30,7 @@ from episodica.llm.tokens import gathered, text_slices, vocabulary_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes that chunks remembered by a worker may take, a chunk counting this many besides its own.
-MOST_BYTES, CHUNK_COST = 48_000_000, 240
+MOST_BYTES, CHUNK_COST = 32_000_000, 240
 #: Bytes of chunks that are coded as one text.
 JOINED_BYTES = 20_000
 #: Where a text may be cut: before a space or a line's end after other than white space, but not at its last code point.
@@ -248,6 +248,8 @@ def encoded(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> Data
                 yield _slice_rows(aligner, number, batch.column(0).slice(first, len(texts)), texts)
                 number += 1
             tidy()
+        aligner.forget()  # the worker keeps the vocabularies alone from task to task
+        tidy()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ENCODED)
 
