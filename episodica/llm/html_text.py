@@ -16,10 +16,11 @@ from episodica.llm.tokens import slices
 
 #: Elements nested deeper than this are put into the one at that depth, so that no text is lost and no stack overflows.
 MOST_DEPTH = 200
-#: Columns repeated by colspan at most this often, and rows by rowspan (HTML's bound).
-MOST_SPAN, MOST_ROWS = 100, 65_534
-#: Bounds on the blanks of one table: beyond the first, cells are padded to WIDEST_PAD at most; beyond the second, rowspans are no more carried.
-MOST_PADDING, WIDEST_PAD, MOST_CARRIED = 4_000_000, 40, 1_000_000
+#: Columns that a cell takes by colspan at most, and rows by rowspan (HTML's bounds).
+MOST_SPAN, MOST_ROWS = 1_000, 65_534
+#: A table that needs more blanks than this to align is padded to WIDEST_PAD a column, without columns that hold no text; if that needs more
+#: blanks too, its cells are parted by two blanks alone.
+MOST_PADDING, WIDEST_PAD = 4_000_000, 40
 #: HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -51,6 +52,8 @@ CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 #: A paragraph ends where one of these begins, and nothing ends it from outside these.
 P_SCOPE = frozenset(["td", "th", "caption", "table", "button", "html"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Types of input that show no text of the page's.
+BLANK_INPUTS = frozenset("hidden password checkbox radio file color range image".split())
 HEAD_ONLY = frozenset("meta link base title style script template noscript".split())
 
 _NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
@@ -64,11 +67,18 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "depth", "foreign", "kids", "tag", "unseen")
+    """unseen: taken away with all it holds. veiled: its own text is not shown, but elements in it may be visible again."""
 
-    def __init__(self, tag: str, attrs: str = "", depth: int = 0, foreign: bool = False):
+    __slots__ = ("attrs", "depth", "foreign", "kids", "tag", "unseen", "veiled")
+
+    def __init__(self, tag: str, attrs: str = "", depth: int = 0, foreign: bool = False, veiled: bool = False):
         self.tag, self.attrs, self.kids, self.depth, self.foreign = tag, attributes(attrs), [], depth, foreign
-        self.unseen = tag in UNSEEN or (foreign and tag in FOREIGN_UNSEEN) or "hidden" in self.attrs or _no_display(self.attrs.get("style", ""))
+        gone, visibility = _display(self.attrs.get("style", ""))
+        self.unseen = tag in UNSEEN or (foreign and tag in FOREIGN_UNSEEN) or "hidden" in self.attrs or (tag == "dialog" and "open" not in self.attrs) or gone
+        self.veiled = VISIBILITY.get(visibility, veiled)
+
+    def shown(self) -> list:
+        return [k for k in self.kids if not isinstance(k, str)] if self.veiled else self.kids
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -81,15 +91,19 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
-def _no_display(style: str) -> bool:
-    """Whether declarations, of which the last important or else the last counts, take an element away."""
+#: What the property says of an element's own text; other values leave it as its parent's.
+VISIBILITY = {"hidden": True, "collapse": True, "visible": False, "initial": False}
+
+
+def _display(style: str) -> tuple[bool, str]:
+    """Whether declarations, of which the last important or else the last counts, take an element away, and the visibility they give."""
     own: dict[str, tuple[bool, str]] = {}
     for part in _COMMENT.sub("", style).lower().split(";") if style else ():
         name, _, value = part.partition(":")
         value, mark, _ = value.partition("!")
         if bool(mark) >= own.get(name.strip(), (False, ""))[0]:
             own[name.strip()] = (bool(mark), value.strip())
-    return own.get("display", (False, ""))[1] == "none" or own.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+    return own.get("display", (False, ""))[1] == "none", own.get("visibility", (False, ""))[1]
 
 
 def parse(source: str) -> Node:
@@ -129,7 +143,7 @@ def parse(source: str) -> Node:
         tag = m.group(2).lower()
         if m.group(1):
             if tag == "br":
-                stack[-1].kids.append(Node("br"))
+                stack[-1].kids.append(Node("br", veiled=stack[-1].veiled))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag or (tag in HEADINGS and stack[i].tag in HEADINGS):
@@ -173,6 +187,9 @@ def parse(source: str) -> Node:
             body = source[at : end.start() if end else n]
             node.kids.append(html.unescape(body) if tag == "textarea" else body)
             at = end.end() if end else n
+        elif tag == "input":
+            if node.attrs.get("type", "").strip().lower() not in BLANK_INPUTS and node.attrs.get("value"):
+                node.kids.append(f" {node.attrs['value']} ")
         elif tag not in VOID:  # a slash before the end means nothing in HTML
             stack.append(node)
     return root
@@ -181,7 +198,7 @@ def parse(source: str) -> Node:
 def _open(stack: list[Node], tag: str, attrs: str, foreign: bool = False) -> Node:
     while stack[-1].depth >= MOST_DEPTH:
         stack.pop()
-    node = Node(tag, attrs, stack[-1].depth + 1, foreign)
+    node = Node(tag, attrs, stack[-1].depth + 1, foreign, stack[-1].veiled)
     stack[-1].kids.append(node)
     return node
 
@@ -231,7 +248,7 @@ def _render(node: Node, page: Page, ordinal: list[int]) -> None:
     if node.unseen:
         return
     if tag == "br":
-        page.run.append("\n")
+        page.run += [] if node.veiled else ["\n"]
         return
     if tag == "wbr":
         return
@@ -241,7 +258,8 @@ def _render(node: Node, page: Page, ordinal: list[int]) -> None:
     if gap:
         page.block(gap)
     if tag == "hr":
-        page.put(["---"])
+        if not node.veiled:
+            page.put(["---"])
     elif tag == "pre":
         body = _plain(node)
         body = body[1:] if body.startswith("\n") else body
@@ -256,7 +274,7 @@ def _render(node: Node, page: Page, ordinal: list[int]) -> None:
             mark = f"{ordinal[0]}. "
             ordinal[0] += 1
         old = page.indent
-        page.indent, page.mark = old + " " * len(mark), mark
+        page.indent, page.mark = old + " " * len(mark), "" if node.veiled else mark
         _children(node, page, [])
         page.flush()
         page.indent, page.mark = old, ""
@@ -272,7 +290,7 @@ def _render(node: Node, page: Page, ordinal: list[int]) -> None:
 
 
 def _children(node: Node, page: Page, ordinal: list[int]) -> None:
-    for kid in node.kids:
+    for kid in node.shown():
         if isinstance(kid, str):
             page.text(kid)
         else:
@@ -282,64 +300,110 @@ def _children(node: Node, page: Page, ordinal: list[int]) -> None:
 def _plain(node: Node) -> str:
     if node.unseen:
         return ""
-    return "\n" if node.tag == "br" else "".join(k if isinstance(k, str) else _plain(k) for k in node.kids)
+    if node.tag == "br":
+        return "" if node.veiled else "\n"
+    return "".join(k if isinstance(k, str) else _plain(k) for k in node.shown())
+
+
+class Grid:
+    """Cells of a table in the making: of each row the columns that hold text, and the runs of columns that cells from above still take."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.held: list[tuple[int, int, int]] = []  # (first column, column after, row from which they are free), by first column
+        self.row = 0
+
+    def group(self) -> None:
+        """No cell reaches beyond its group of rows."""
+        self.held = []
+
+    def add(self, cells: list[tuple[list[str], int, int]]) -> None:
+        """A row: of each cell its lines, and the columns and rows that it takes."""
+        self.row += 1
+        if any(free <= self.row for _, _, free in self.held):
+            self.held = [h for h in self.held if h[2] > self.row]
+        row: list[tuple[int, list[str]]] = []
+        new: list[tuple[int, int, int]] = []
+        at = seen = 0
+        for lines, across, down in cells:
+            while seen < len(self.held) and self.held[seen][0] <= at:
+                at, seen = max(at, self.held[seen][1]), seen + 1
+            if any(lines):
+                row.append((at, lines))
+            if down > 1:
+                if new and new[-1][1:] == (at, self.row + down):
+                    new[-1] = (new[-1][0], at + across, self.row + down)
+                else:
+                    new.append((at, at + across, self.row + down))
+            at += across
+        if new:
+            self.held = sorted(self.held + new)
+        if row:
+            self.rows.append(row)
+
+    def _starts(self) -> dict[int, int]:
+        """Where each column that holds text begins."""
+        widths: dict[int, int] = {}
+        for row in self.rows:
+            for c, lines in row:
+                widths[c] = max(widths.get(c, 0), *map(len, lines))
+        for widest, empty in ((None, 2), (WIDEST_PAD, 0)):
+            starts, at, before = {}, 0, 0
+            for c in sorted(widths):
+                at += empty * (c - before)
+                starts[c], before = at, c + 1
+                at += (widths[c] if widest is None else min(widest, widths[c])) + 2
+            if sum(max(len(lines) for _, lines in row) * starts[row[-1][0]] for row in self.rows) <= MOST_PADDING:
+                return starts
+        return dict.fromkeys(widths, 0)
+
+    def lines(self) -> Iterator[str]:
+        starts = self._starts()
+        for row in self.rows:
+            for k in range(max(len(lines) for _, lines in row)):
+                parts, n = [], 0
+                for c, lines in row:
+                    if k < len(lines) and lines[k]:
+                        pad = max(starts[c], n + 2 if n else 0) - n
+                        parts += [" " * pad, lines[k]]
+                        n += pad + len(lines[k])
+                yield "".join(parts)
 
 
 def _table(table: Node, page: Page) -> None:
     """Rows of cells under one another; what stands in a table outside its cells comes before it."""
-    rows: list[list[list[str]]] = []
-    held: dict[int, int] = {}  # rows that a cell from above still takes of a column
-    carried = 0
-    todo: list = list(reversed(table.kids))
+    grid = Grid()
+    todo: list = list(reversed(table.shown()))
     while todo:
         kid = todo.pop()
-        if kid is None:  # no cell reaches beyond its group of rows
-            held = {}
+        if kid is None:
+            grid.group()
         elif isinstance(kid, str):
             page.text(kid)
         elif kid.unseen:
             continue
         elif kid.tag in ("thead", "tbody", "tfoot"):
-            held = {}
+            grid.group()
             todo.append(None)
-            todo += reversed(kid.kids)
+            todo += reversed(kid.shown())
         elif kid.tag == "tr":
-            row: list[list[str]] = []
-            above, held = held, {c: k - 1 for c, k in held.items() if k > 1}
-
-            def place(lines: list[str], across: int = 1, down: int = 1) -> None:
-                nonlocal carried
-                while len(row) in above and carried < MOST_CARRIED:
-                    row.append([""])
-                    carried += 1
-                if down > 1:
-                    held.update((c, down - 1) for c in range(len(row), len(row) + across))
-                row.extend([lines] + [[""]] * (across - 1))
-
-            for cell in kid.kids:
+            cells: list[tuple[list[str], int, int]] = []
+            for cell in kid.shown():
                 if isinstance(cell, str):
                     if not cell.isspace():
-                        place([_SPACE.sub(" ", cell).strip()])
+                        cells.append(([_SPACE.sub(" ", cell).strip()], 1, 1))
                 elif not cell.unseen:
                     own = Page()
                     _children(cell, own, []) if cell.tag in ("td", "th") else _render(cell, own, [])
                     own.flush()
                     down = _number("rowspan", cell.attrs, 1)
-                    place(own.lines or [""], max(1, min(MOST_SPAN, _number("colspan", cell.attrs, 1))), MOST_ROWS if down == 0 else min(MOST_ROWS, down))
-            if any(any(c) for c in row):
-                rows.append(row)
+                    cells.append((own.lines, max(1, min(MOST_SPAN, _number("colspan", cell.attrs, 1))), MOST_ROWS if down == 0 else min(MOST_ROWS, down)))
+            grid.add(cells)
         else:
             _render(kid, page, [])
     page.flush()
-    widths = [0] * max(map(len, rows), default=0)
-    for row in rows:
-        for i, cell in enumerate(row):
-            widths[i] = max(widths[i], *map(len, cell))
-    if sum(max(map(len, row)) * sum(widths[: len(row) - 1]) for row in rows) > MOST_PADDING:
-        widths = [min(WIDEST_PAD, w) for w in widths]
-    for row in rows:
-        for k in range(max(map(len, row))):
-            page.put(["  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, [*widths[: len(row) - 1], 0], strict=True)).rstrip()])
+    for line in grid.lines():
+        page.put([line])
 
 
 def render(source: str) -> str:

@@ -1,4 +1,5 @@
 import html.parser
+import random
 import re
 
 from episodica.llm.html_text import extract, render
@@ -95,3 +96,54 @@ def test_very_long_pages():
     cells = render("<table>" + "".join(f"<tr><td>a{i}<td>b{i}" for i in range(30_000)) + "</table>").split()
     assert cells == [x for i in range(30_000) for x in (f"a{i}", f"b{i}")]
     assert render("<div><span>" * 20_000 + "x" + "<li>y" * 20_000).replace("- ", "").split() == ["x"] + ["y"] * 20_000
+
+
+def test_visibility_is_inherited():
+    assert render("<div style='visibility:hidden'>no<p style='visibility:visible'>yes <b>too</b></p>no<hr><br>no</div>end") == "yes too\n\nend"
+    assert render("<ul style='visibility:hidden'><li>no<li style='visibility: visible'>yes</ul>") == "- yes"
+    assert render("<table><tr style='visibility:collapse'><td>no<td style='visibility:visible'>yes<tr><td>a<td>b</table>") == "   yes\na  b"
+    assert render("<pre style='visibility:hidden'>no<br><b style='visibility:visible'>yes</b></pre>") == "yes"
+    assert render("<div style='visibility:hidden'><p style='visibility:inherit'>no<p style='visibility:bogus'>no</div>") == ""
+    assert render("<div style='display:none'><p style='visibility:visible'>no</div>") == ""
+
+
+def test_inputs_and_dialogs():
+    assert render("<form>Name <input name=n value='A &amp; B'><input type=submit value='Go now'><input type=button value=Stop><input type=hidden value=no></form>") == "Name A & B Go now Stop"
+    assert render("<input type=PASSWORD value=no><input type=checkbox value=no>x") == "x"
+    assert render("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+
+
+def plain_layout(rows):
+    """Every slot of the grid, taken one by one; rows of (text, across, down)."""
+    taken, texts = set(), {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            texts[r, c] = text
+            taken |= {(r + i, c + j) for i in range(down) for j in range(across)}
+            c += across
+    widths = [max(len(t) for (_, k), t in texts.items() if k == c) if any(k == c for _, k in texts) else 0 for c in range(max((c for _, c in texts), default=0) + 1)]
+    lines = ["  ".join(texts.get((r, c), "").ljust(w) for c, w in enumerate(widths)).rstrip() for r in range(len(rows))]
+    return "\n".join(x for x in lines if x)
+
+
+def test_tables_like_a_plain_layout():
+    draw = random.Random(5)
+    for _ in range(400):
+        rows = [[(draw.choice(["", "a", "bb", "long words"]), draw.choice([1, 1, 1, 2, 3]), draw.choice([1, 1, 1, 2, 4])) for _ in range(draw.randint(1, 4))] for _ in range(draw.randint(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in row) for row in rows) + "</table>"
+        assert render(page) == plain_layout(rows).strip("\n"), page
+
+
+def test_spans_of_any_number_are_carried():
+    """Cells stay under their columns however many cells above reach down; what would need too many blanks keeps all text, in order."""
+    many = "".join(f"<td rowspan=0>h{i}" for i in range(40))
+    got = render(f"<table><tr>{many}" + "<tr><td>x<td>y" * 30_000 + "</table>").split("\n")
+    assert len(got) == 30_001 and set(got[1:]) == {got[1]} and got[1].split() == ["x", "y"]
+    high = "".join(f"<td rowspan=0>h{i}" for i in range(5_000))
+    tall = render(f"<table><tr>{high}" + "<tr><td>x<td>y" * 30_000 + "</table>").split()
+    assert tall == [f"h{i}" for i in range(5_000)] + ["x", "y"] * 30_000
+    wide = render("<table><tr>" + "<td rowspan=0 colspan=1000>" * 2_000 + "<tr><td>x<td>y" * 1_000 + "</table>")
+    assert wide == "\n".join(["x  y"] * 1_000)
