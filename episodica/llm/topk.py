@@ -2,7 +2,8 @@
 
 Vectors of whole numbers are dealt in a grid of query blocks and candidate slices. Within a cell, candidates lie dimension by dimension;
 scores are accumulated over blocks of dimensions, and after each block a candidate stays with a query only if its score so far plus the most
-that the rest of both vectors could add (the product of their remaining norms) reaches the query's k-th best score so far.
+that the rest of both vectors could add (the product of their remaining norms) reaches the query's k-th best score so far. Each cell first
+meets the table's candidates of greatest norm, so that it starts with bars of the whole table.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from episodica.llm.common import durable, ship_package
 
 K, SCALE = 20, 64
-#: Queries of a block on average, rows of candidates taken at once, dimensions of a step, and tasks at most.
-QUERY_ROWS, TILE, STEP, MOST_TASKS = 512, 2048, 16, 1 << 18
+#: Queries of a block on average, rows of candidates taken at once, those of greatest norm that each cell meets first, dimensions of a step,
+#: and tasks at most.
+QUERY_ROWS, TILE, SEEDS, STEP, MOST_TASKS = 2048, 2048, 256, 16, 1 << 18
 #: Below this share of surviving pairs, pairs are compacted into lists.
 DENSE = 0.2
 
@@ -38,19 +40,35 @@ def _tails(m: np.ndarray) -> np.ndarray:
     return np.sqrt(np.concatenate([np.cumsum(sums[::-1], axis=0)[::-1], np.zeros((1, m.shape[1]))])) * (1 + 1e-9)
 
 
+def _most(m: np.ndarray) -> int:
+    """The greatest absolute value, also where it has no positive counterpart in the type."""
+    return max(int(m.max(initial=0)), -int(m.min(initial=0)))
+
+
 class Cell:
     """The k best candidates so far of a block of queries. Queries and candidates are vertical (dimensions by rows), of long."""
 
     def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
         self.ids, self.q, self.k = q_ids, q, k
-        self.most, self.tails, self.kinds = int(np.abs(q).max(initial=0)), _tails(q), {}
+        self.most, self.tails, self.kinds = _most(q), _tails(q), {}
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
         self.bar = np.full(len(q_ids), -np.inf)
 
+    def seed(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        """Bars from candidates that come again in the slice of some cell: a query's k-th best of them is no higher than its k-th best of all."""
+        self.feed(c_ids, c)
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.ids]
+
     def feed(self, c_ids: np.ndarray, c: np.ndarray) -> None:
         """A tile of candidates, those of great norm first: the bounds bite sooner."""
+        norms = _tails(c)[0]
+        near = norms >= self._least_norm()
+        if not near.all():
+            c_ids, c = c_ids[near], c[:, near]
+        if not len(c_ids):
+            return
         n, k, dims = len(self.ids), self.k, self.q.shape[0]
-        most = (self.most + 1) * (int(np.abs(c).max(initial=0)) + 1) * max(1, dims)
+        most = (self.most + 1) * (_most(c) + 1) * max(1, dims)
         if most >= 1 << 63:
             raise OverflowError("inner products of these vectors may not fit a long")
         kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # sums are exact in each of them
@@ -90,7 +108,14 @@ class Cell:
             top = np.lexsort((x, -s))[:k]
             self.best[i] = (s[top], x[top])
             if len(top) == k:
-                self.bar[i] = self.best[i][0][-1]
+                self.bar[i] = max(self.bar[i], self.best[i][0][-1])
+
+    def _least_norm(self) -> float:
+        """A candidate of a smaller norm reaches no query's bar."""
+        norms = self.tails[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(norms > 0, self.bar / norms, np.where(self.bar <= 0, -np.inf, np.inf))
+        return need.min(initial=np.inf) * (1 - 1e-9) if need.min(initial=np.inf) > 0 else -np.inf
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, candidate, score) of each query's k best."""
@@ -112,16 +137,18 @@ def _vertical(lists: list[pa.Array], dims: int) -> np.ndarray:
 
 
 def _cells(k: int):
-    """A function over rows (gq, gc, dims, kind, id, q) in that order: of each cell the queries (kind 0) first, then candidates, taken by tiles."""
+    """A function over rows (gq, gc, dims, kind, id, q) in that order: of each cell the queries (kind 0) and seeds (1), then candidates by tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cell, queries, waiting, rows = None, None, [], [], 0
+        key, cell, queries, seeds, waiting, rows = None, None, [], [], [], 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal cell, queries, waiting, rows
+            nonlocal cell, queries, seeds, waiting, rows
             if queries and (waiting or last) and cell is None:
                 cell = Cell(np.concatenate([i for i, _ in queries]), _vertical([v for _, v in queries], key[2]), k)
                 queries = []
+                if seeds and waiting:
+                    cell.seed(np.concatenate([i for i, _ in seeds]), _vertical([v for _, v in seeds], key[2]))
             if cell is not None and waiting:
                 cell.feed(np.concatenate([i for i, _ in waiting]), _vertical([v for _, v in waiting], key[2]))
             waiting, rows = [], 0
@@ -129,7 +156,7 @@ def _cells(k: int):
                 if cell is not None and len(cell.ids):
                     out = cell.result()
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-                cell, queries = None, []
+                cell, queries, seeds = None, [], []
 
         for b in batches:
             if not b.num_rows:
@@ -148,6 +175,9 @@ def _cells(k: int):
                     continue
                 if not queries and cell is None:
                     continue  # candidates without a query here
+                if kind == 1:
+                    seeds.append((ids, lists))
+                    continue
                 for at in range(0, len(ids), TILE):
                     part = slice(at, min(len(ids), at + TILE))
                     waiting.append((ids[part], lists.slice(part.start, part.stop - part.start)))
@@ -160,6 +190,12 @@ def _cells(k: int):
     return run
 
 
+def _narrow(rows: DataFrame, most: int) -> DataFrame:
+    """q in the narrowest type that holds numbers of up to `most`: it is what the grid ships."""
+    kind = "smallint" if most < 1 << 15 else "int" if most < 1 << 31 else "bigint"
+    return rows.withColumn("q", F.col("q").cast(f"array<{kind}>"))
+
+
 def top_k(df: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of each row whose id is divisible by `every`, against all other rows.
 
@@ -168,23 +204,29 @@ def top_k(df: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, id_col
     it. Rows that repeat an id are candidates each, but a query meets no row of its own id, and repeated queries are one. An empty table
     gives no rows; components so large that a score may not fit a long raise. Rows are dealt to a grid of blocks of about QUERY_ROWS queries by
     slices of the candidates, as many as it takes to keep all cores busy; a cell streams over its slice, those of great norm first, so it holds
-    its queries and one tile, and only the best of each slice are ranked again.
+    its queries and one tile, and only the best of each slice are ranked again. Before its slice, a cell meets the SEEDS rows of greatest norm
+    in the table, which give its queries bars; a tile without a norm that reaches one is passed over.
     """
     spark = df.sparkSession
     ship_package(spark)
-    rows = durable(whole_numbers(df, id_col, vector_col, scale).withColumn("dims", F.size("q")), "top-vectors")
+    square = F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    whole = whole_numbers(df, id_col, vector_col, scale).withColumn("dims", F.size("q")).withColumn("norm", square)
+    rows = durable(whole, "top-vectors")
+    n, most = rows.agg(F.count("*"), F.max(F.array_max(F.transform("q", lambda x: F.greatest(x, F.bitwise_not(x)))))).first()
+    rows = _narrow(rows, most or 0)
     asked = rows.filter(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "dims"])
-    n, n_asked = rows.count(), asked.count()
+    n_asked = asked.count()
     wanted = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     g_q = max(1, -(-n_asked // QUERY_ROWS))
     g_c = max(1, min(-(-wanted // g_q), -(-n // TILE)))
     deal = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    left = asked.withColumn("gq", deal(g_q, 1)).withColumn("gc", F.explode(F.sequence(F.lit(0), F.lit(g_c - 1)))).withColumn("kind", F.lit(0))
+    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.withColumn("gq", deal(g_q, 1)).withColumn("gc", all_of(g_c)).withColumn("kind", F.lit(0))
     right = rows.withColumn("gc", F.pmod(F.xxhash64("id", F.xxhash64("q"), F.monotonically_increasing_id()), F.lit(g_c)).cast("int"))
-    right = right.withColumn("gq", F.explode(F.sequence(F.lit(0), F.lit(g_q - 1)))).withColumn("kind", F.lit(1))
+    right = right.withColumn("gq", all_of(g_q)).withColumn("kind", F.lit(2))
+    seeds = rows.orderBy(F.desc("norm"), "id").limit(SEEDS).withColumn("gq", all_of(g_q)).withColumn("gc", all_of(g_c)).withColumn("kind", F.lit(1))
     keys = ["gq", "gc", "dims", "kind"]
-    square = F.aggregate("q", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    both = left.select(*keys, "id", "q").unionByName(right.select(*keys, "id", "q")).withColumn("norm", square)
+    both = left.select(*keys, "id", "q", "norm").unionByName(seeds.select(*keys, "id", "q", "norm")).unionByName(right.select(*keys, "id", "q", "norm"))
     dealt = both.repartitionById(min(g_q * g_c, MOST_TASKS), F.col("gq") * g_c + F.col("gc")).sortWithinPartitions(*keys, F.desc("norm")).drop("norm")
     best = dealt.mapInArrow(_cells(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # k rows from each of g_c slices

@@ -61,3 +61,37 @@ def test_streams_of_many_tiles(spark, monkeypatch):
     rows = [(i, rng.normal(0, 1, 3 if i % 4 else 0 if i % 40 == 0 else 5).tolist()) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert result(topk.top_k(df, 20, 6)) == brute(rows, 20, 6)
+
+
+def test_norms_that_differ_widely(spark, monkeypatch):
+    """Seeds and passed-over tiles: the few great vectors are the best of nearly all queries; repeated rows count each; all scores may be negative."""
+    monkeypatch.setattr(topk, "TILE", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    monkeypatch.setattr(topk, "SEEDS", 12)
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(0, 1, 20) * (100.0 if i % 37 == 0 else 0.01 if i % 2 else 1.0)).tolist()) for i in range(700)]
+    rows += [(i, [0.0] * 20) for i in range(700, 730)] + rows[:50]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, 20, 5).collect())) == plain(rows, 20, 5)
+    below = [(i, [-1.0 - i / 7, 2.0]) if i % 20 == 0 else (i, [3.0 + i, -1.0]) for i in range(300)]
+    df = spark.createDataFrame(below, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, 20, 5).collect())) == plain(below, 20, 5)
+
+
+def plain(rows, every, k):
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    out = []
+    for i, q in {i: v for i, v in good if i % every == 0}.items():
+        scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+def test_narrow_types_hold_the_numbers(spark):
+    for top, kind in ((32_767, "smallint"), (32_768, "int"), (2**31, "bigint")):
+        q = topk._narrow(spark.createDataFrame([(1, [top, -1])], "id long, q array<long>"), top)
+        assert q.schema["q"].dataType.elementType.simpleString() == kind and q.first().q == [top, -1]
+    for edge in (511.99, -512.0, 512.0, -512.5):  # floor(64 * x) at the ends of the types
+        rows = [(i, [edge, float(i)]) for i in range(45)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, topk.top_k(df, 20, 5).collect())) == plain(rows, 20, 5)
