@@ -13,6 +13,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.durable import durable
+from episodica.operators.ranks import with_group_table
+
 BINS = 5000
 
 
@@ -44,41 +47,49 @@ def _bin(x: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = BINS) -> Histogram:
-    """The state of a table: one pass for the ranges, one for the counts, both summed before the shuffle. Nulls and values that are not finite take no part."""
+    """The state of a table: one pass for the ranges, one for the counts, both summed before the shuffle. Both are written, so that a plan
+    that meets many states reads them and holds none of their joins on the driver. Nulls and values that are not finite take no part."""
     by, x = list(by), F.col(value).cast("double")
     rows = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x") & (F.abs("__x") != float("inf")))
     ranges = rows.groupBy(*by).agg(F.min("__x").alias("low"), F.max("__x").alias("high"), F.count("*").alias("n"), F.avg("__x").alias("mean"), F.avg(F.col("__x") * F.col("__x")).alias("square"))
-    at = _with(rows, ranges, by, low="__low", high="__high")
+    ranges = durable(ranges, "ranges")
+    at = with_group_table(rows, ranges.select(*by, F.col("low").alias("__low"), F.col("high").alias("__high")), by)
     counts = at.groupBy(*by, _bin(F.col("__x"), F.col("__low"), F.col("__high"), bins).alias("bin")).agg(F.count("*").alias("count"))
-    return Histogram(ranges, counts, by, bins)
+    return Histogram(ranges, durable(counts, "counts"), by, bins)
+
+
+def _tagged(tables: Sequence[DataFrame]) -> DataFrame:
+    """All rows of the tables, with the table's place in __state."""
+    first, *others = (t.withColumn("__state", F.lit(i)) for i, t in enumerate(tables))
+    for t in others:
+        first = first.unionByName(t)
+    return first
 
 
-def rebinned(h: Histogram, ranges: DataFrame) -> DataFrame:
-    """The counts over other ranges, by group. Where the range is the same, so are the bins."""
-    old = _with(h.counts, h.ranges, h.by, low="__low0", high="__high0")
-    both = _with(old, ranges, h.by, low="__low1", high="__high1")
-    edge = F.col("__low0") + (F.col("__high0") - F.col("__low0")) * F.col("bin") / h.bins
+def rebinned(counts: DataFrame, moves: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+    """The counts over other ranges, by group. moves has a row for each group: its range (__low0, __high0) and the new one (__low1, __high1).
+    Where the range is the same, so are the bins."""
+    both = with_group_table(counts, moves, by)
+    edge = F.col("__low0") + (F.col("__high0") - F.col("__low0")) * F.col("bin") / bins
     kept = (F.col("__low0") == F.col("__low1")) & (F.col("__high0") == F.col("__high1"))
-    new = F.when(kept, F.col("bin")).otherwise(_bin(edge, F.col("__low1"), F.col("__high1"), h.bins))
-    return both.groupBy(*h.by, new.alias("bin")).agg(F.sum("count").alias("count"))
+    new = F.when(kept, F.col("bin")).otherwise(_bin(edge, F.col("__low1"), F.col("__high1"), bins))
+    return both.groupBy(*by, new.alias("bin")).agg(F.sum("count").alias("count"))
 
 
 def merged(states: Sequence[Histogram]) -> Histogram:
-    """One state of several: all are moved to the union of their ranges at once."""
+    """One state of several: all are moved to the union of their ranges at once, by one join however many they are."""
     first, by = states[0], list(states[0].by)
     if any(list(s.by) != by or s.bins != first.bins for s in states):
         raise ValueError("states of other groups or bins")
-    every = states[0].ranges
-    for s in states[1:]:
-        every = every.unionByName(s.ranges)
+    every = _tagged([s.ranges for s in states])
     n = F.sum("n")
     mean = lambda c: F.sum(F.col(c) * F.col("n")) / n
     ranges = every.groupBy(*by).agg(F.min("low").alias("low"), F.max("high").alias("high"), n.alias("n"), mean("mean").alias("mean"), mean("square").alias("square"))
-    counts = None
-    for s in states:
-        own = rebinned(s, ranges)
-        counts = own if counts is None else counts.unionByName(own)
-    return Histogram(ranges, counts.groupBy(*by, "bin").agg(F.sum("count").alias("count")), by, first.bins)
+    group = Window.partitionBy(*by)  # a row for each state
+    moves = every.select("__state", *by, F.col("low").alias("__low0"), F.col("high").alias("__high0"), F.min("low").over(group).alias("__low1"), F.max("high").over(group).alias("__high1"))
+    moved = rebinned(_tagged([s.counts for s in states]), durable(moves, "moves"), ["__state", *by], first.bins)
+    counts = moved.groupBy(*by, "bin").agg(F.sum("count").alias("count"))
+    return Histogram(durable(ranges, "ranges"), durable(counts, "counts"), by, first.bins)
 
 
 def statistics(h: Histogram, quantiles: dict[str, float]) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from episodica.operators import align as L
 from episodica.operators import batching as B
@@ -171,6 +172,14 @@ def test_histograms_merge_like_a_loop_over_batches(spark):
             assert not exact_loop or math.isclose(r[name], loop[name], abs_tol=1e-9)
 
 
+def test_states_are_met_without_their_joins(spark):
+    """What a driver holds of merged states doesn't grow with their number: no join of theirs is left in the plan."""
+    parts = [spark.range(5).select(F.lit("g").alias("g"), (F.col("id") * k).cast("double").alias("x")) for k in (1, 2, 3)]
+    one = H.merged([H.histogram(p, "x", ["g"], 10) for p in parts])
+    assert "Join" not in one.counts._jdf.queryExecution().optimizedPlan().toString()
+    assert one.counts.agg(F.sum("count")).first()[0] == 15
+
+
 def test_histograms_of_odd_values(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", float("nan")), ("a", float("inf")), ("b", 2.0), ("b", 2.0), (None, 0.0), (None, 10.0)], "g string, x double")
     got = {r.g: tuple(r)[1:] for r in H.statistics(H.histogram(df, "x", ["g"], 10), {"q50": 0.5, "q99": 0.99}).collect()}
