@@ -3,6 +3,7 @@
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,22 @@ def test_readers_and_writers(spark, tmp_path):
     assert scans.read_files(spark, at("t.arrow"), "a long").count() == 3
     digest = scans.content_digest(spark.read.format("binaryFile").load(at("a.xyz"))).first()
     assert digest.sha256 == "6b86b273ff34fce19d6b804eff5a3f5747ada4eaa22f1d49c01e52ddb7875b4b"
+
+
+def test_rounding_keeps_what_is_not_finite(spark):
+    from episodica.plans.base import r6
+
+    df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, float("-inf")), (4, 1e15), (5, 0.1234567), (6, None)], "k int, x double")
+    got = {r.k: r.y for r in df.select("k", r6(F.col("x")).alias("y")).collect()}
+    assert math.isnan(got[1]) and got[2] == math.inf and got[3] == -math.inf and got[4] == 1e15 and got[5] == 0.123457 and got[6] is None
+
+
+def test_rotation_beyond_a_unit_quaternion(spark, tmp_path):
+    """A w above 1 leaves no real vector part: the result is not a number, and not a rotation by nothing."""
+    from episodica.plans.catalog import ORACLES, QUERIES
+    from tests.compare import rows
+
+    spark.createDataFrame([(1, 560.21), (2, 100.0), (3, 0.0)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["quaternions"](spark, str(tmp_path)).toPandas()
+    want = duckdb.sql(ORACLES["quaternions"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).df()
+    assert rows(got) == rows(want) and got.set_index("event_id").x.isna()[1]
