@@ -20,6 +20,11 @@ def axis_angle(x: Column, y: Column, z: Column, w: Column) -> Column:
     return F.array(x * scale, y * scale, z * scale)
 
 
+def negative_log(p: Column) -> Column:
+    """-ln p: infinite for 0 and not a number below it, where Spark's log is null and a mean would pass over the row."""
+    return F.when(p == 0, F.lit(float("inf"))).when(p < 0, F.lit(float("nan"))).otherwise(-F.log(p))
+
+
 def gripper(x: Column, low: float = 0.0, high: float = 1.0, binary: bool = True, invert: bool = False) -> Column:
     """Rescaled from [low, high] to [-1, 1], maybe to its sign, maybe turned round."""
     out = 2 * (x - low) / (high - low) - 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from episodica.durable import new_path
+from episodica.functions import closed_forms as C
 from episodica.functions import text as X
 from episodica.functions import vectors as V
 from episodica.operators import batching as B
@@ -155,7 +156,7 @@ def shifted_labels(spark, d):
 @query("masked_cross_entropy", "select event_type, round(avg(-ln(value / 500)) filter (where event_id % 3 <> 0), 6) as loss from events group by 1")
 def masked_cross_entropy(spark, d):
     df = table(spark, d, "events").withColumn("label", F.when(F.col("event_id") % 3 == 0, X.IGNORED).otherwise(1))
-    return df.groupBy("event_type").agg(r6(F.avg(F.when(F.col("label") != X.IGNORED, -F.log(F.col("value") / 500)))).alias("loss"))
+    return df.groupBy("event_type").agg(r6(F.avg(F.when(F.col("label") != X.IGNORED, C.negative_log(F.col("value") / 500)))).alias("loss"))
 
 
 @query("sequence_lengths", f"with {PACK} select batch, array_to_string(list(n order by o), ',') as lengths, max(n) as longest, count(*) as sequences from c group by 1")

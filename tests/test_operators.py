@@ -257,6 +257,17 @@ def test_rounding_keeps_what_is_not_finite(spark):
     assert math.isnan(got[1]) and got[2] == math.inf and got[3] == -math.inf and got[4] == 1e15 and got[5] == 0.123457 and got[6] is None
 
 
+def test_loss_of_an_impossible_label(spark, tmp_path):
+    """A probability of 0 has an infinite loss, and is not passed over."""
+    from episodica.plans.catalog import ORACLES, QUERIES
+    from tests.compare import rows
+
+    spark.createDataFrame([(1, "a", 0.0), (2, "a", 250.0), (3, "b", 0.0), (4, "b", 250.0), (5, "c", -1.0), (7, "d", None)], "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["masked_cross_entropy"](spark, str(tmp_path)).toPandas()
+    want = duckdb.sql(ORACLES["masked_cross_entropy"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).df()
+    assert rows(got) == rows(want) and math.isinf(got.set_index("event_type").loss["a"])
+
+
 def test_rotation_beyond_a_unit_quaternion(spark, tmp_path):
     """A w above 1 leaves no real vector part: the result is not a number, and not a rotation by nothing."""
     from episodica.plans.catalog import ORACLES, QUERIES
