@@ -277,3 +277,19 @@ def test_rotation_beyond_a_unit_quaternion(spark, tmp_path):
     got = QUERIES["quaternions"](spark, str(tmp_path)).toPandas()
     want = duckdb.sql(ORACLES["quaternions"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).df()
     assert rows(got) == rows(want) and got.set_index("event_id").x.isna()[1]
+
+
+def test_sketch_is_near_by_ranks(spark):
+    """Where the exact quantile lies between two values far apart, the sketch has one of them: near by rank, though not by value. A wrong one is not."""
+    rows = spark.range(5000).select(F.lit(0).alias("dim"), F.when(F.col("id") < 100, 1.0).otherwise(50.0).alias("value"))
+    y = A.sketched_stats(rows, ["dim"])
+    assert A.ranks_near(rows, ["dim"], "value", y, A.QUANTILES, 0.001).first().near
+    assert not A.ranks_near(rows, ["dim"], "value", y.withColumn("q02", F.lit(49.0)).withColumn("q01", F.lit(50.0)), A.QUANTILES, 0.001).first().near
+
+
+def test_stats_sketch_of_few_values(spark, tmp_path):
+    from episodica.plans.catalog import QUERIES
+
+    rows = spark.range(5000).select(F.col("id").alias("l_orderkey"), F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), F.when(F.col("id") < 100, 1.0).otherwise(2.0).alias("l_quantity"))
+    rows.select("*", *(F.col("l_quantity").alias(c) for c in ("l_extendedprice", "l_discount", "l_tax"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert all(r.close for r in QUERIES["stats_sketch"](spark, str(tmp_path)).collect())
