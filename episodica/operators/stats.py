@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodica.durable import durable
-from episodica.operators.ranks import SLICE_DIGITS, suffix_least
+from episodica.operators.ranks import SLICE_DIGITS, array_of, suffix_least
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -142,29 +142,51 @@ def bootstrap_interval(means: DataFrame, low: float = 0.025, high: float = 0.975
     return means.agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(high)).alias("high"))
 
 
+#: How far around the share of the first label its border is looked for: standard deviations of an order statistic of uniform hashes.
+BORDER_DEVIATIONS = 6
+
+
+def _relabelled(base: DataFrame, seed: int, reps: Column, k: int, low: str, high: str) -> DataFrame:
+    """rep, s and c (sum and count of the values of the k units of the smallest hashes), and found: whether the k-th hash is in [low, high).
+
+    Units outside are counted and summed before the shuffle, those from high on as none; only those between are ranked.
+    """
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("__i").cast("string")).cast("binary"))
+    rows = base.withColumn("rep", F.explode(reps)).withColumn("__u", hashed)
+    below, x = F.col("__u") < high, F.when(F.col("__u") < high, F.col("__x"))
+    near = below & (F.col("__u") >= low)
+    some = rows.groupBy("rep", F.when(near, F.col("__u")).alias("__u"), F.when(near, F.col("__i")).alias("__i")).agg(F.count_if(below).alias("__n"), F.sum(x).alias("__sum"), F.count(x).alias("__count"))
+    order = Window.partitionBy("rep").orderBy(F.col("__u").asc_nulls_first(), "__i").rowsBetween(Window.unboundedPreceding, 0)
+    some = some.withColumn("__to", F.sum("__n").over(order))
+    kept = F.col("__to") <= k
+    found = (F.max("__to") >= k) & (F.coalesce(F.max(F.when(F.col("__u").isNull(), F.col("__n"))), F.lit(0)) <= k)
+    return some.groupBy("rep").agg(F.coalesce(F.sum(F.when(kept, F.col("__sum"))), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.when(kept, F.col("__count"))), F.lit(0)).alias("c"), found.alias("found"))
+
+
 def permutation_test(units: DataFrame, id_col: str, label: str, value: str, reps: int, seed: int) -> DataFrame:
     """observed difference of means, and p = (1 + how many of `reps` relabellings reach it) / (reps + 1).
 
-    In each relabelling the units of the first label are those of the smallest hashes, so the groups keep their sizes. Counts and sums by slices of
-    the hashes, SLICE_DIGITS hex digits each, combine before the shuffle: it grows with the relabellings, not with the units. Only the units of
-    the slice in which the border lies, one in 16 ** SLICE_DIGITS, are ranked.
+    In each relabelling the units of the first label are those of the smallest hashes, so the groups keep their sizes. Each unit is hashed once
+    for each relabelling. The k-th of n uniform hashes lies near k / n: only the units within BORDER_DEVIATIONS of it, some 3 / sqrt(n) of all
+    to either side, are ranked. A relabelling whose border isn't there is found by ranking all its units.
     """
     x = F.col(value).cast("double")
-    base = units.select(F.col(id_col).alias("__i"), F.col(label).alias("__l"), x.alias("__x"))
-    seen = base.agg(F.avg(F.when(F.col("__l"), F.col("__x"))).alias("a"), F.avg(F.when(~F.col("__l"), F.col("__x"))).alias("b"), F.count_if("__l").alias("k"), F.sum("__x").alias("sum"), F.count("__x").alias("count"))
-    rows = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__u", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("__i").cast("string")).cast("binary")))
-    rows = rows.withColumn("__slice", F.substring("__u", 1, SLICE_DIGITS))
-    slices = rows.groupBy("rep", "__slice").agg(F.count("*").alias("__n"), F.sum("__x").alias("__sum"), F.count("__x").alias("__count"))
-    upto = F.sum("__n").over(Window.partitionBy("rep").orderBy("__slice"))  # at most 16 ** SLICE_DIGITS rows
-    slices = slices.withColumn("__upto", upto).crossJoin(F.broadcast(seen.select("k")))
-    below = F.col("__upto") <= F.col("k")
-    at = F.when(~below & (F.col("__upto") - F.col("__n") < F.col("k")), F.struct("__slice", (F.col("k") - F.col("__upto") + F.col("__n")).alias("left")))
-    known = slices.groupBy("rep").agg(F.coalesce(F.sum(F.when(below, F.col("__sum"))), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.when(below, F.col("__count"))), F.lit(0)).alias("c"), F.max(at).alias("at"))
-    known = durable(known, "permutation")
-    edge = rows.join(F.broadcast(known.select("rep", F.col("at.__slice").alias("__slice"), F.col("at.left").alias("__left"))), ["rep", "__slice"])  # a row for each relabelling
-    edge = edge.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy("__u", "__i"))).filter("__r <= __left")
-    edge = edge.groupBy("rep").agg(F.sum("__x").alias("es"), F.count("__x").alias("ec"))
-    both = known.join(edge, "rep", "left").crossJoin(F.broadcast(seen))
-    one, n1 = F.col("s") + F.coalesce("es", F.lit(0.0)), F.col("c") + F.coalesce("ec", F.lit(0))
-    null = both.select((F.col("a") - F.col("b")).alias("observed"), (F.try_divide(one, n1) - F.try_divide(F.col("sum") - one, F.col("count") - n1)).alias("d"))
+    base = durable(units.select(F.col(id_col).alias("__i"), F.col(label).alias("__l"), x.alias("__x")), "units")
+    seen = base.agg(F.avg(F.when(F.col("__l"), F.col("__x"))).alias("a"), F.avg(F.when(~F.col("__l"), F.col("__x"))).alias("b"), F.count_if("__l").alias("k"), F.count("*").alias("n"), F.sum("__x").alias("sum"), F.count("__x").alias("count")).first()
+    k, n = seen["k"], max(seen["n"], 1)
+    wide = BORDER_DEVIATIONS * math.sqrt(k / n * (1 - k / n) / n) + BORDER_DEVIATIONS / n
+    slices = 16**SLICE_DIGITS  # the border's ends are whole slices of the hashes
+    low, high = math.floor((k / n - wide) * slices), math.ceil((k / n + wide) * slices)
+    at = lambda s: "" if s <= 0 else "g" if s >= slices else f"{s:0{SLICE_DIGITS}x}"
+    # a unit is small and the work on it is not, so that units are dealt by number, whatever their bytes are
+    base = base.select("__i", "__x").repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__i")
+    every = F.sequence(F.lit(1), F.lit(reps))
+    known = durable(_relabelled(base, seed, every, k, at(low), at(high)), "permutation")
+    both = known.filter("found")
+    missing = sorted(set(range(1, reps + 1)) - {r[0] for r in both.select("rep").collect()})  # a number for each relabelling
+    if missing:
+        both = both.unionByName(_relabelled(base, seed, array_of(missing).cast("array<int>"), k, "", "g"))
+    lit = lambda c: F.lit(seen[c]).cast("double")
+    one, n1 = F.col("s"), F.col("c")
+    null = both.select((lit("a") - lit("b")).alias("observed"), (F.try_divide(one, n1) - F.try_divide(lit("sum") - one, lit("count") - n1)).alias("d"))
     return null.groupBy("observed").agg(((1 + F.count_if(F.abs(F.col("d")) >= F.abs(F.col("observed")) - 1e-12)) / F.lit(float(reps + 1))).alias("p"))

@@ -236,3 +236,21 @@ def test_relabellings_by_slices_like_whole_ranks(spark, monkeypatch):
         monkeypatch.setattr(S, "SLICE_DIGITS", digits)
         r = S.permutation_test(spark.createDataFrame(units, "i long, u boolean, x double"), "i", "u", "x", 199, 3).first()
         assert math.isclose(r.observed, observed) and math.isclose(r.p, (1 + hits) / 200)
+
+
+def test_permutation_of_few_bytes_is_many_tasks(spark, monkeypatch):
+    """Units of few bytes and much work are dealt by number, and a border that isn't where it is looked for is found all the same."""
+    from episodica.operators import stats as S
+
+    units = spark.range(400).repartition(1).select(F.col("id").alias("i"), (F.col("id") % 3 == 0).alias("u"), F.sqrt(F.col("id").cast("double")).alias("x"))
+    want = S.permutation_test(units, "i", "u", "x", 49, 3).first()
+    seen, kept = [], S._relabelled
+
+    def watched(base, seed, reps, k, low, high):
+        seen.append((base.rdd.getNumPartitions(), low, high))
+        return kept(base, seed, reps, k, low, high)
+
+    monkeypatch.setattr(S, "_relabelled", watched)
+    monkeypatch.setattr(S, "BORDER_DEVIATIONS", 0.5)
+    assert S.permutation_test(units, "i", "u", "x", 49, 3).first() == want
+    assert [n for n, _, _ in seen] == [4, 4] and seen[1][1:] == ("", "g")
