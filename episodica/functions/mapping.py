@@ -6,12 +6,13 @@ actions are padded joint by joint to fixed sizes with masks of what is real.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.functions import normalize as N
 from episodica.functions import vectors as V
 from episodica.functions.normalize import Scaling, normalized, unnormalized
 
@@ -140,15 +141,44 @@ def split_joints(x: Column, mask: Column, sizes: Sequence[int]) -> list[Column]:
     return out
 
 
-def apply(state: Column, chunk: Column, scalings: Mapping[str, Scaling], greatest: int, relative: bool) -> tuple[Column, Column, Column]:
-    """State, action chunk and mask as a model takes them: relative to the state, normalized, padded with zeros."""
-    acts = to_delta(chunk, state) if relative else chunk
-    pad = lambda v: V.pad_right(v, greatest, F.lit(0.0))
-    return pad(normalized(state, scalings["state"])), F.transform(acts, lambda a: pad(normalized(a, scalings["action"]))), F.transform(F.sequence(F.lit(0), F.lit(greatest - 1)), lambda i: i < F.size(state))
+def _sized(state: Column, chunk: Column, size: int, horizon: int, at_least: bool = False) -> Column:
+    """Whether a chunk has `horizon` actions, and they and the state the size (or at least that)."""
+    enough = lambda v: F.size(v) >= size if at_least else F.size(v) == size
+    out = (F.size(chunk) == horizon) & enough(state)
+    for h in range(horizon):
+        out = out & enough(F.get(chunk, F.lit(h)))
+    return out
+
+
+def _unrolled(state: Column, chunk: Column, size: int, horizon: int, one: Callable[[list[Column], list[Column]], list[Column]]) -> Column:
+    """one(components of an action, components of the state) of each action, without a lambda."""
+    parts = lambda v: [F.get(v, F.lit(i)) for i in range(size)]
+    return F.array(*(F.array(*one(parts(F.get(chunk, F.lit(h))), parts(state))) for h in range(horizon)))
 
 
-def unapply(state: Column, acts: Column, scalings: Mapping[str, Scaling], size: int, relative: bool) -> tuple[Column, Column]:
-    """The inverse of apply."""
-    s = unnormalized(V.cut(state, 0, size), scalings["state"])
-    a = F.transform(acts, lambda v: unnormalized(V.cut(v, 0, size), scalings["action"]))
-    return s, (from_delta(a, s) if relative else a)
+def apply(state: Column, chunk: Column, scalings: Mapping[str, Scaling], greatest: int, relative: bool, horizon: int | None = None) -> tuple[Column, Column, Column]:
+    """State, action chunk and mask as a model takes them: relative to the state, normalized, padded with zeros.
+
+    Of chunks of `horizon` actions of the statistics' size the results are the same, but come from generated code.
+    """
+    s, pad = scalings["action"], lambda v: V.bound(v, lambda w: V.pad_right(w, greatest, F.lit(0.0)))
+    acts = F.transform(to_delta(chunk, state) if relative else chunk, lambda a: pad(normalized(a, s)))
+    if horizon and s.stats:
+        n = len(next(iter(s.stats.values())))
+        one = lambda a, b: N.each([x - y for x, y in zip(a, b, strict=True)] if relative else a, s) + [F.lit(0.0)] * (greatest - n)
+        acts = F.when(_sized(state, chunk, n, horizon), _unrolled(state, chunk, n, horizon, one)).otherwise(acts)
+    return pad(normalized(state, scalings["state"])), acts, F.transform(F.sequence(F.lit(0), F.lit(greatest - 1)), lambda i: i < F.size(state))
+
+
+def unapply(state: Column, acts: Column, scalings: Mapping[str, Scaling], size: int, relative: bool, horizon: int | None = None) -> tuple[Column, Column]:
+    """The inverse of apply. As there, chunks of `horizon` actions come from generated code."""
+    s = V.bound(V.cut(state, 0, size), lambda v: unnormalized(v, scalings["state"]))
+    one = lambda v: V.bound(V.cut(v, 0, size), lambda w: unnormalized(w, scalings["action"]))
+    back = V.bound(s, lambda b: F.transform(acts, lambda v: V.add(one(v), b))) if relative else F.transform(acts, one)
+    if horizon and scalings["action"].stats and size == len(next(iter(scalings["action"].stats.values()))):
+        def both(a, b):
+            a, b = N.each(a, scalings["action"], True), N.each(b, scalings["state"], True)
+            return [x + y for x, y in zip(a, b, strict=True)] if relative else a
+
+        back = F.when(_sized(state, acts, size, horizon, True), _unrolled(state, acts, size, horizon, both)).otherwise(back)
+    return s, back

@@ -98,9 +98,11 @@ def apply_unapply(spark, d):
     """The whole pipeline and its inverse: relative to the state, normalized, padded, and back to within 2e-5 of the values' scale."""
     s = {"state": N.Scaling("meanstd", STATS), "action": N.Scaling("bounds_99", STATS)}
     df = W.future_chunk(item_frames(spark, d), "v", 3, EP, FRAME)
-    state, acts, _ = M.apply(F.col("v"), F.col("chunk"), s, 8, True)
-    back_s, back_a = M.unapply(state, acts, s, 4, True)
-    close = F.forall(F.zip_with(F.concat(back_s, F.flatten(back_a)), F.concat("v", F.flatten("chunk")), lambda a, b: F.abs(a - b) <= 2e-5 * (1 + F.abs(b))), lambda x: x)
+    state, acts, _ = M.apply(F.col("v"), F.col("chunk"), s, 8, True, 3)
+    df = df.select("flag", "v", "chunk", state.alias("state"), acts.alias("acts"))
+    back_s, back_a = M.unapply(F.col("state"), F.col("acts"), s, 4, True, 3)
+    df = df.select("flag", F.concat(back_s, F.flatten(back_a)).alias("back"), F.concat("v", F.flatten("chunk")).alias("own"))
+    close = V.every(F.col("back"), F.col("own"), lambda a, b: F.abs(a - b) <= 2e-5 * (1 + F.abs(b)), 16)
     return df.groupBy("flag").agg(F.count("*").alias("rows"), F.bool_and(close).alias("close"))
 
 
