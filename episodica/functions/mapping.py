@@ -112,9 +112,12 @@ def from_config(rows: Sequence[Mapping[str, object]]) -> tuple[FeatureMap, dict[
     return FeatureMap(tuple(features)), relative
 
 
-def to_delta(chunk: Column, state: Column) -> Column:
-    """Each action of a chunk less the state."""
-    return F.transform(chunk, lambda a: V.subtract(a, state))
+def to_delta(chunk: Column, state: Column, horizon: int | None = None, size: int = 0) -> Column:
+    """Each action of a chunk less the state. Chunks of `horizon` actions of `size` components come from generated code."""
+    out = F.transform(chunk, lambda a: V.subtract(a, state))
+    if not horizon:
+        return out
+    return F.when(_sized(state, chunk, size, horizon), _unrolled(state, chunk, size, horizon, lambda a, b: [x - y for x, y in zip(a, b, strict=True)])).otherwise(out)
 
 
 def from_delta(chunk: Column, state: Column) -> Column:

@@ -31,7 +31,7 @@ select h, dim, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std, round(m
 round(quantile_cont(x, 0.99), 6) as q99, round(quantile_cont(x, 0.02), 6) as q02, round(quantile_cont(x, 0.98), 6) as q98, count(*) as count from d group by h, dim""")
 def delta_chunk_stats(spark, d):
     df = item_frames(spark, d).select("episode", "frame", F.array(F.get("v", F.lit(0)), F.get("v", F.lit(2))).alias("a"))
-    df = W.future_chunk(df, "a", 4, EP, FRAME).select(M.to_delta(F.col("chunk"), F.col("a")).alias("delta"))
+    df = W.future_chunk(df, "a", 4, EP, FRAME).select(M.to_delta(F.col("chunk"), F.col("a"), 4, 2).alias("delta"))
     rows = df.select(F.posexplode("delta").alias("h", "x")).select("h", F.posexplode("x").alias("i", "value"))
     return rounded(A.exact_stats(rows, ["h", "i"]).withColumn("dim", F.col("i") * 2).drop("i"))
 

@@ -314,3 +314,9 @@ def test_every_pair(spark):
     df = spark.createDataFrame([([1.0, 2.0], [1.0, 2.0]), ([1.0, 2.0], [1.0, 3.0]), ([1.0, None], [1.0, 2.0]), ([None, 1.0], [1.0, 2.0]), ([1.0], [1.0]), ([1.0], [1.0, 2.0])], "x array<double>, y array<double>")
     same = lambda n: [r[0] for r in df.select(V.every(F.col("x"), F.col("y"), lambda a, b: a == b, n)).collect()]
     assert same(None) == same(2) == [True, False, None, False, True, None]
+
+
+def test_deltas_of_a_known_horizon(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [[3.0, 4.0], [5.0, 7.0]]), ([1.0, 2.0], [[3.0, 4.0]]), ([1.0, 2.0], [[3.0], [5.0, 7.0]]), (None, [[1.0, 1.0], [2.0, 3.0]]), ([1.0, 2.0], None)], "v array<double>, c array<array<double>>")
+    both = df.select(M.to_delta(F.col("c"), F.col("v")).alias("a"), M.to_delta(F.col("c"), F.col("v"), 2, 2).alias("b")).collect()
+    assert all(r.a == r.b for r in both) and both[0].b == [[2.0, 2.0], [4.0, 5.0]]
