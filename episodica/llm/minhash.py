@@ -28,6 +28,8 @@ MINIMA, WORDS = BANDS * ROWS, -(-BANDS * ROWS * BITS // 64)
 SIGMAS = 6.0
 #: Bits for each id, and bits at most, of the broadcast filter that leaves out texts without a candidate: 32 MB. More ids than that allows are joined.
 FILTER_BITS, MOST_BITS, BITMAP = 8, 1 << 28, 1 << 15
+#: Bits for each id as far as the filter keeps to 8 MB, for whole sets are made of what passes: then one in 64 of the others at most.
+FINE_BITS, MOST_FINE = 64, 1 << 26
 #: Parts that the comparisons with one node are dealt into.
 SALTS = 16
 #: Nodes on a side of a cell in which nodes of different components are compared.
@@ -178,12 +180,13 @@ def _possible(a: str, b: str, percent: int) -> Column:
 def _filtered(df: DataFrame, id_col: str, ids: DataFrame, most_bits: int) -> DataFrame | None:
     """df with __maybe: whether a row's id, a long, may be among the ids (one column, durable); false for seven eighths of the others at least.
 
-    The filter's hashed bits, FILTER_BITS for each id, are broadcast; None if they would be more than most_bits.
+    The filter's hashed bits, FILTER_BITS for each id or up to FINE_BITS in a small one, are broadcast; None if they would be more than most_bits.
     """
     name, n = ids.columns[0], ids.count()
     if n * FILTER_BITS > most_bits:
         return None
-    bits = max(BITMAP, 1 << (n * FILTER_BITS - 1).bit_length() if n else 0)
+    wanted = max(n * FILTER_BITS, min(n * FINE_BITS, most_bits, MOST_FINE))
+    bits = max(BITMAP, 1 << (wanted - 1).bit_length() if n else 0)
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     part, place = lambda s: F.shiftright(s, 15).cast("int"), lambda s: s.bitwiseAND(F.lit(BITMAP - 1))
     one = ids.select(slot(F.col(name)).alias("s")).distinct()

@@ -8,7 +8,7 @@ boundary is where listing subsets and scanning lists cost the least together, fr
 
 How rare an n-gram is tells a table of counts by hash, a fixed number of slots summed over all documents. It only decides which lists a set
 enters, in one order for all sets, so equal slots cost time and lose nothing. What meets is ruled out by sizes and by parities of hashed
-n-grams, a bound that always holds, and confirmed on full sets.
+n-grams, a bound that always holds (large sets have more bits of them), and confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,9 @@ from episodica.llm.tokens import slices
 SLOT_BITS, CHUNK_BITS = 22, 12
 #: Longs of the parities of a set: each bit tells whether an even or odd number of its n-grams fall on it.
 PARITY_LONGS = 16
+#: From so many n-grams on a set has wide parities too, a bit for each one or two n-grams, 8 KB at most: those above say nothing of sets of some
+#: thousands. Longs of the widest.
+WIDE_FROM, MOST_WIDE = 2048, 1024
 #: Largest boundary that is considered: beyond it subsets are too many at any length of lists.
 MOST_SMALL = 48
 #: The share of all n-grams, the rarest, over which lists are measured: sets enter the lists of theirs.
@@ -40,7 +43,7 @@ _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 PARITIES = [f"p{i}" for i in range(PARITY_LONGS)]
 PROFILE = T.StructType(
     [T.StructField("kind", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
-    + [T.StructField(p, T.LongType()) for p in PARITIES] + [T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())]
+    + [T.StructField(p, T.LongType()) for p in PARITIES] + [T.StructField("wide", T.ArrayType(T.LongType())), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())]
 )
 POSTED = T.StructType([T.StructField("band", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("star_only", T.BooleanType()), T.StructField("reach", T.LongType()), T.StructField("weight", T.LongType())])
 
@@ -90,11 +93,17 @@ def subset_keys(members: np.ndarray, c: int) -> np.ndarray:
     return keys ^ keys >> np.uint64(32)
 
 
-def parities(members: np.ndarray) -> np.ndarray:
-    bits = np.bincount((members >> np.uint64(20) & np.uint64(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+def parities(members: np.ndarray, longs: int = PARITY_LONGS) -> np.ndarray:
+    """Of `longs` longs, a power of two: the exclusive or of their two halves is what half as many longs would hold."""
+    bits = np.bincount((members >> np.uint64(20) & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_parities(members: np.ndarray) -> np.ndarray | None:
+    """Parities of a large set; those of linked sets are alike in length, or one is twice as long."""
+    return parities(members, min(MOST_WIDE, 1 << (len(members).bit_length() - 7))) if len(members) >= WIDE_FROM else None
+
+
 def forget_words() -> None:
     """Gives back what this worker remembers of words; a function, for a task's closure holds copies of a module's values."""
     _HASHES.clear()
@@ -111,18 +120,20 @@ def profiles(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, nulls = np.zeros(1 << SLOT_BITS, np.uint32), lambda field, n: pa.nulls(n, {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}.get(field.dataType, pa.binary()))
+        kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
+        counts, nulls = np.zeros(1 << SLOT_BITS, np.uint32), lambda field, n: pa.nulls(n, kinds.get(field.dataType, pa.binary()))
         for batch in batches:
             for first, texts in slices(batch.column(1)):
-                n, digest, bits = [], [], np.zeros((len(texts), PARITY_LONGS), np.int64)
+                n, digest, wide, bits = [], [], [], np.zeros((len(texts), PARITY_LONGS), np.int64)
                 for i, t in enumerate(texts):
                     s = shingle_set(t, size)
                     n.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    wide.append(wide_parities(s))
                     if len(s):
                         bits[i] = parities(s)
                         np.add.at(counts, slot_of(s), 1)
-                own = {"kind": pa.array(np.zeros(len(n), np.int32)), "id": batch.column(0).slice(first, len(texts)), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary())}
+                own = {"kind": pa.array(np.zeros(len(n), np.int32)), "id": batch.column(0).slice(first, len(texts)), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "wide": pa.array(wide, pa.list_(pa.int64()))}
                 own |= {p: pa.array(bits[:, i]) for i, p in enumerate(PARITIES)}
                 yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else nulls(f, len(texts)) for f in PROFILE], names=PROFILE.names)
             tidy()
@@ -219,7 +230,27 @@ def _possible(a: str, b: str, percent: int) -> Column:
     differ = F.lit(0)
     for p in PARITIES:
         differ = differ + F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}")))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ <= na + nb - 2 * least)
+    wa, wb = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    longs, xor = F.least(F.size(wa), F.size(wb)), lambda x, y: x.bitwiseXOR(y)
+    folded = lambda w: F.when(F.size(w) == longs, w).when(F.size(w) == 2 * longs, F.zip_with(F.slice(w, 1, longs), F.slice(w, longs + 1, longs), xor))
+    wide = F.aggregate(F.zip_with(folded(wa), folded(wb), xor), F.lit(0), lambda total, x: total + F.bit_count(x))  # null if either has none
+    apart = na + nb - 2 * least
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ <= apart) & F.coalesce(wide <= apart, F.lit(True))
+
+
+def _rule_out_wide(may: np.ndarray, x: np.ndarray, y: np.ndarray, wide: pa.ChunkedArray, most: np.ndarray) -> None:
+    """Takes out of may the pairs whose wide parities differ in more than most."""
+    lists = wide.combine_chunks()
+    sizes, flat = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    held = lambda rows, longs: np.stack([np.bitwise_xor.reduce(flat[starts[r] : starts[r] + sizes[r]].reshape(-1, longs)) for r in rows])
+    for p in np.unique(sizes[x[sizes[x] > 0]]):
+        for q in {p // 2, p, 2 * p} - {0}:
+            rows, columns = np.flatnonzero(sizes[x] == p), np.flatnonzero(sizes[y] == q)
+            if len(columns):
+                other = held(y[columns], min(p, q))
+                for i, own in zip(rows, held(x[rows], min(p, q))):  # noqa: B905
+                    may[i, columns] &= np.bitwise_count(own ^ other).sum(axis=1, dtype=np.int64) <= most[i, columns]
 
 
 def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +261,10 @@ def _likely(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         differ += np.bitwise_count(bits[x][:, None] ^ bits[y])
     nx, ny, reach = n[x][:, None], n[y], t.column("reach").to_numpy()
     may = (component[x][:, None] != component[y]) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent) & (ny <= reach[x][:, None]) & (nx <= reach[y])
-    return x, y, may & (differ <= most_apart(nx, ny, percent))
+    most = most_apart(nx, ny, percent)
+    may &= differ <= most
+    _rule_out_wide(may, x, y, t.column("wide"), most)
+    return x, y, may
 
 
 def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", small: int | None = None) -> DataFrame:
@@ -243,10 +277,10 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     """
     found = durable(profiles(docs, size, id_col, text_col), "join-profiles")
     sets = found.filter("kind = 0")
-    full = sets.filter("n > 0 and id is not null").select("id", "n", "digest", *PARITIES)
+    full = sets.filter("n > 0 and id is not null").select("id", "n", "digest", *PARITIES, "wide")
     classes = durable(full.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("rows")), "join-classes")
     reps = full.join(classes.drop("rows"), (full["digest"] == classes["digest"]) & (full["id"] == classes["node"]))
-    light = durable(reps.select("node", "n", *PARITIES).distinct(), "join-reps")
+    light = durable(reps.select("node", "n", *PARITIES, "wide").distinct(), "join-reps")
     counts = slot_counts(found)
     if small is None:
         sizes = {r[0]: r[1] for r in light.filter(F.col("n") <= 2 * MOST_SMALL).groupBy("n").count().collect()}
@@ -255,23 +289,23 @@ def similar_sets(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str
     nodes = light.select("node").distinct()
     some = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null")
     ids = durable(nodes, "join-nodes")
-    posted = durable(postings(maybe_in(some, "__id", ids), size, percent, small, counts, "__id", "__text"), "join-postings")
+    # lists are gathered once; who else is in one is asked of windows over it, and lists of one set end there
     lists = ["band", "star_only"]
-    met = posted.groupBy(*lists).agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select(*lists)
-    several = durable(posted.join(met, lists).join(ids, "node").distinct(), "join-several")  # a few rows that are no class's passed the filter
-    drop(posted)
+    whole = Window.partitionBy(*lists)
+    posted = postings(maybe_in(some, "__id", ids), size, percent, small, counts, "__id", "__text")
+    met = posted.select("*", F.min("node").over(whole).alias("__a"), F.max("node").over(whole).alias("__b")).filter("__a < __b").drop("__a", "__b")
+    several = durable(met.join(ids, "node").distinct(), "join-several")  # a few rows that are no class's passed the filter
     # sizes of linked sets are in one level or in neighbouring ones: a set is in the part of a list for its own level and in the next one's
     level = F.floor(F.log(F.col("n").cast("double")) / log(100 / min(percent, 99.9) + 1e-9)).cast("int")
     levels = F.explode(F.when(F.col("star_only"), F.array(F.lit(0))).otherwise(F.array(level, level + 1))).alias("level")
-    parts = [*lists, "level"]
-    several = several.select("*", levels)
-    least = several.groupBy(*parts).agg(F.min("n").alias("__n"), F.count("*").alias("__m")).filter("__m > 1")
-    kept = durable(several.join(least, parts).filter("star_only or reach >= __n").drop("__n", "__m"), "join-kept")
-    low = F.when(F.col("star_only"), F.min(F.struct("n", "node"))["node"]).otherwise(F.max(F.struct("weight", (-F.col("node")).alias("m"), "node"))["node"])
-    lows = kept.groupBy(*parts).agg(low.alias("low"), F.count("*").alias("__m")).filter("__m > 1")
+    part = Window.partitionBy(*lists, "level")
+    dealt = several.repartition(*lists).select("*", levels)
+    kept = dealt.select("*", F.min("n").over(part).alias("__n"), F.count("*").over(part).alias("__m")).filter("__m > 1 and (star_only or reach >= __n)").drop("__n", "__m")
+    low = F.when(F.col("star_only"), F.min(F.struct("n", "node")).over(part)["node"]).otherwise(F.max(F.struct("weight", (-F.col("node")).alias("m"), "node")).over(part)["node"])
+    lows = kept.select("*", low.alias("low"), F.count("*").over(part).alias("__m")).filter("__m > 1")
     band = F.when(F.col("star_only"), F.col("band")).otherwise(F.xxhash64("band", "level"))
-    members = durable(kept.join(lows, parts).select(band.alias("band"), "node", "low", "star_only", "reach"), "join-members")
-    drop(kept, ids)
+    members = durable(lows.select(band.alias("band"), "node", "low", "star_only", "reach"), "join-members")
+    drop(several, ids)
 
     # an id with several texts is one document: its texts' classes are linked
     twice = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("id")

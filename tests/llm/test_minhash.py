@@ -110,6 +110,14 @@ def test_filters_of_any_size_lose_nothing(spark):
             assert wanted <= set(a) and sorted(a + b) == sorted(r.k for r in docs.collect()) and near.columns == docs.columns
 
 
+def test_filters_pass_few_others(spark):
+    """Whole sets are made of what passes a filter."""
+    from episodica.durable import durable
+
+    ids = durable(spark.range(9000).selectExpr("id * 11 as node"), "ids")
+    assert 9000 <= M.maybe_in(spark.range(99_000).selectExpr("id as k"), "k", ids).count() <= 9000 + 90_000 // 32
+
+
 def test_joins_in_place_of_filters_give_the_same(docs, monkeypatch):
     a = sorted((r.doc_id, r.component_id) for r in M.near_duplicates(docs, 2, 80).collect())
     kept = sorted(r.doc_id for r in M.keep_one(docs).collect())

@@ -2,6 +2,7 @@ import random
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from episodica.llm import minhash as M
@@ -112,3 +113,52 @@ def test_the_boundary_balances_both_costs():
     sizes = {n: 100 for n in range(1, 90)}
     assert S.boundary(sizes, 1.0, 90) < S.boundary(sizes, 30.0, 90) < S.boundary(sizes, 10_000.0, 90)
     assert S.boundary({}, 1.0, 90) == 0
+
+
+def test_large_sets_have_wide_parities(spark):
+    """The bound holds for them, also where one is twice as long, and rules out unrelated sets of thousands, which 1,024 bits do not."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: rng.integers(0, 1 << 63, n, np.uint64)
+    sets = []
+    for n in (1990, 2047, 2048, 4090, 5500):
+        base = draw(n)
+        sets += [np.unique(base), np.unique(np.concatenate([base[: n - n // 50], draw(n // 40)])), np.unique(draw(n)), np.unique(np.concatenate([base[: n // 2], draw(n // 2)]))]
+    wide = [S.wide_parities(s) for s in sets]
+    assert {len(w) for w in wide if w is not None} == {32, 64} and wide[0] is None
+    folded = np.bitwise_xor.reduce(S.parities(sets[0], 64).reshape(2, 32))
+    assert (folded == S.parities(sets[0], 32)).all()
+
+    k = len(sets)
+    cell = pa.table({"block": [0] * k + [1] * k, "row": [0] * 2 * k, "column": [1] * 2 * k, "component": range(2 * k), "n": [len(s) for s in sets] * 2, "reach": [10**6] * 2 * k, "wide": pa.array(wide * 2, pa.list_(pa.int64()))}
+                    | {p: [int(S.parities(s)[i]) for s in sets] * 2 for i, p in enumerate(S.PARITIES)})
+    x, y, may = S._likely(cell, 90)
+    rows_of = spark.createDataFrame([(i, len(s), None if w is None else w.tolist(), *S.parities(s).tolist()) for i, (s, w) in enumerate(zip(sets, wide))], "node long, n long, wide array<long>, " + ", ".join(f"{p} long" for p in S.PARITIES))  # noqa: B905
+    pairs = rows_of.alias("x").crossJoin(rows_of.alias("y")).filter(S._possible("x", "y", 90)).select("x.node", "y.node").collect()
+    assert {tuple(r) for r in pairs} == {(i, j) for i in range(k) for j in range(k) if may[i, j]}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            linked = 100 * both >= 90 * (len(a) + len(b) - both)
+            assert may[i, j] or not linked
+            if len(a) >= 5000 and len(b) >= 5000:
+                assert may[i, j] == linked
+    assert sum(may[i, i + 1] for i in range(0, k, 4)) == 5
+
+
+def test_lists_are_gathered_once(spark, docs, monkeypatch):
+    """One shuffle of the lists, and one of those of several sets: not one for what is asked of them and another for the answer."""
+    plans = {}
+    durable = S.durable
+
+    def spy(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return durable(df, tag)
+
+    monkeypatch.setattr(S, "durable", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        S.similar_sets(docs, 3, 90).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(plans[tag].count("hashpartitioning(band") == 1 for tag in ("join-several", "join-members"))
